@@ -16,6 +16,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .common import slices
 
 BLOCK = 3 << 20
 #: Words whose ids a task remembers from block to block.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 class Vocabulary:
@@ -117,7 +118,7 @@ def encode(texts: list[str | None], v: Vocabulary) -> list[bytes]:
     split = [v.split(t) if t else [] for t in texts]
     if len(v.known) > REMEMBERED:
         v.known.clear()
-    new = list({w for words in split for w in words} - v.known.keys())
+    new = list(set(chain.from_iterable(split)).difference(v.known))
     if new:
         v.known.update(zip(new, replay([w.encode() for w in new], v), strict=True))
     return [b"".join(map(v.known.__getitem__, words)) for words in split]

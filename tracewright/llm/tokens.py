@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ BLOCK = 6 << 20
 REMEMBERED = 500_000
 #: A word between the words that go to the library in one text.
 SEPARATOR = "—".encode()
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 SHARD_BYTES = 4 << 20
 RANGES_PER_PARTITION = 4
 LEVEL = 3
@@ -49,32 +52,49 @@ def tokenizer(path: str):
     mark = found.encode(SEPARATOR.decode(), add_special_tokens=False).ids
     if len(mark) != 1:
         raise ValueError(f"{path} has no single token for the separator")
-    return found, {}, mark[0]
+    return found, {}, {b"": b""}, mark[0]
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text with the end id, packed as little-endian unsigned 32-bit integers.
-
-    No token of this vocabulary spans white space, so each distinct word is encoded once and texts are put together
-    from their words. Words go to the library many in one text, with a separator word between them that is one token
-    and that none of them contains; the library lower-cases, so ASCII texts are lower-cased before words are compared."""
-    t, known, mark = tokenizer(path)
-    raw = [(x.encode().lower() if x.isascii() else x.encode()) if x else b"" for x in texts]
-    split = [x.split() for x in raw]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for words in split for w in words} - known.keys())
-    odd = [w for w in new if SEPARATOR in w]
-    plain = [w for w in new if SEPARATOR not in w] if odd else new
+def _whole_words(words: list[bytes], path: str) -> dict[bytes, bytes]:
+    """Packed ids of words, which go to the library many in one text, with a separator word between them that is one
+    token and that none of them contains."""
+    t, _, _, mark = tokenizer(path)
+    plain, out = [w for w in words if SEPARATOR not in w], {}
     for a in range(0, len(plain), 2000):
         part = plain[a : a + 2000]
         text = (b" " + SEPARATOR + b" ").join(part).decode()
         ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == mark) * 4
         packed = ids.tobytes()
-        known.update(zip(part, (packed[x:y] for x, y in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(packed)], strict=True)), strict=True))
-    for w in odd:
-        known[w] = np.array(t.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        out.update(zip(part, (packed[x:y] for x, y in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(packed)], strict=True)), strict=True))
+    for w in words:
+        if SEPARATOR in w:
+            out[w] = np.array(t.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    return out
+
+
+def encode(texts: list[bytes | None], path: str) -> list[bytes]:
+    """Ids of each UTF-8 text with the end id, packed as little-endian unsigned 32-bit integers.
+
+    No token of this vocabulary spans white space or the border from a letter or digit to ASCII punctuation, and the
+    library lower-cases. So texts are put together from their words, words from a stem and the punctuation after it,
+    and each distinct stem is encoded once."""
+    _, known, stems, _ = tokenizer(path)
+    split = [x.split() if x else [] for x in texts]
+    if len(known) > REMEMBERED // 2:
+        known.clear()
+    if len(stems) > REMEMBERED:
+        stems.clear()
+    new = list(set(chain.from_iterable(split)).difference(known))
+    parts = []
+    for w in new:
+        stem = w.rstrip(PUNCTUATION)
+        if not stem or stem[-1] not in ALNUM:
+            stem = w
+        parts.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
+    ends = {tail for _, tail in parts}
+    stems.update(_whole_words(list({stem for stem, _ in parts}.union(ends).difference(stems)), path))
+    known.update(zip(new, [stems[stem] + stems[tail] if tail else stems[stem] for stem, tail in parts], strict=True))
     end = np.array([END], "<u4").tobytes()
     return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
@@ -91,10 +111,11 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 2000, size: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [np.frombuffer(x, "<u4").astype(f"<u{_width(path)}").tobytes()[:sample_bytes] for x in encode(b.column("text").to_pylist(), path)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    chosen = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 4 * sample_bytes).alias("text")).where("text is not null")
-    rows = chosen.orderBy("h", F.xxhash64("text")).limit(samples).select("text").mapInArrow(run, "ids binary").collect()
+    ids = [r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples).collect()]
+    chosen = docs.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, 4 * sample_bytes).cast("binary").alias("text"))
+    rows = chosen.mapInArrow(run, "doc_id long, ids binary").orderBy("doc_id", "ids").limit(2 * samples).collect()
     try:
         return zstandard.train_dictionary(size, [bytes(r["ids"]) for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -153,7 +174,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
         if held:
             yield close()
 
-    packed = rows.mapInArrow(compress, "doc_id long, range int, n int, frame binary")
+    packed = rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(compress, "doc_id long, range int, n int, frame binary")
     dealt = packed.repartition(parts, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "n", "frame")
     dealt.mapInArrow(shards, SHARD).write.option("compression", "none").parquet(f"{out}/shards")
 
