@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, lattice, minhash, mixing, pii, quality, tokens
+from . import bpe, chat, langid, lattice, minhash, mixing, pii, quality, suffix, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op3_source_mix": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op4_token_files": lambda spark, d: tokens.token_files(table(spark, d, "documents")),
     "op5_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),
+    "op6_repeated_strings": lambda spark, d: suffix.remove_repeats(table(spark, d, "documents")),
     "op7_byte_bpe": lambda spark, d: bpe.encode_bpe(table(spark, d, "documents")),
     "op8_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op9_personal_data": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
