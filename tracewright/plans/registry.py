@@ -5,6 +5,542 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import claims, requests, text
+from ..operators import evaluation, evidence, graph, grounding, reconstruct, retrieval, risk, rules
+from ..sources import captures, store
+from ..streaming import windows
+from .tables import benchmark_terms, document_chunks, events, geography, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Events ------------------------------------------------------------------------------------------------------------
+
+
+@query("select event_id::varchar as event_id, user_id::varchar as source_entity, row_number() over (partition by user_id order by ts, event_id::varchar) as position from events")
+def q_timeline(spark, d):
+    line = reconstruct.numbered_ids(events(spark, d), "event", "n", "ts_text", "event_id", by=("source_entity",))
+    return line.select("event_id", "source_entity", F.regexp_replace("n", "event_", "").cast("long").alias("position"))
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def q_event_counts(spark, d):
+    return reconstruct.event_counts(table(spark, d, "events"))
+
+
+@query("""
+    select event_id::varchar as event_id, case when event_type ~ 'login|auth|ssh' then 'authentication_activity_observed' else 'web_request_observed' end as stage_label from events
+""")
+def q_stage_case(spark, d):
+    return reconstruct.timeline(events(spark, d)).select("event_id", "stage_label")
+
+
+@query("""
+    select a.event_id::varchar as left_id, b.event_id::varchar as right_id, round(abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6, 6) as seconds
+    from events a join events b on a.user_id = b.user_id and a.event_type <> b.event_type and (a.event_type = 'error' or b.event_type = 'error')
+        and a.event_type <> 'view' and b.event_type <> 'view'
+        and (b.ts > a.ts or b.ts = a.ts and b.event_id::varchar > a.event_id::varchar) and epoch_us(b.ts) - epoch_us(a.ts) <= 300000000
+""")
+def q_correlate_pairs(spark, d):
+    asked = reconstruct.requests(events(spark, d)).withColumn("suspicious", F.col("source") == "error")
+    found = reconstruct.correlate(asked, near=300.0)
+    return found.select("left_id", "right_id", F.col("timestamp_delta_seconds").alias("seconds"))
+
+
+@query("""
+    with t as (select sha256(text) as s, lang, doc_id, source from documents where text is not null),
+    f as (select s, lang, source, min(doc_id) as first_id from t group by all)
+    select g.doc_id, g.n, f.sources from (select s, lang, min(doc_id) as doc_id, count(*) as n from t group by all) g
+    join (select s, lang, string_agg(coalesce(source, ''), ',' order by first_id) as sources from f group by all) f on g.s = f.s and g.lang is not distinct from f.lang
+""")
+def q_event_dedup(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    none = F.create_map().cast("map<string,string>")
+    rows = docs.select(F.col("doc_id").cast("string").alias("event_id"), F.col("doc_id").alias("seq"), F.lit("").alias("ts_text"), F.coalesce("source", F.lit("")).alias("source"), F.lit("network_membership").alias("event_type"), F.sha2("text", 256).alias("source_entity"), F.col("lang").alias("destination_entity"), F.lit("seen").alias("action"), none.alias("attributes"))
+    merged = evidence.merge_observations(rows)
+    return merged.select(F.col("seq").alias("doc_id"), F.size("source_event_ids").cast("long").alias("n"), F.array_join("evidence_sources", ",").alias("sources"))
+
+
+@query("""
+    select case when n.n_name is not null then 'nation:' || n.n_name end as supplier, case when p.p_partkey is not null then 'part:' || p.p_brand end as part, count(*) as n
+    from lineitem l left join supplier s on s.s_suppkey = l.l_suppkey left join nation n on n.n_nationkey = s.s_nationkey
+    left join part p on p.p_partkey = l.l_partkey and p.p_size < 25 group by 1, 2
+""")
+def q_entity_resolution(spark, d):
+    s, n, p = table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "part")
+    keys = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("ip").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("key"), F.concat(F.lit("nation:"), "n_name").alias("canonical"))
+    keys = keys.union(p.where("p_size < 25").select(F.lit("name"), F.concat(F.lit("p"), "p_partkey"), F.concat(F.lit("part:"), "p_brand")))
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source_entity"), F.concat(F.lit("p"), "l_partkey").alias("destination_entity"))
+    out = evidence.resolve(rows, keys)
+    return out.groupBy(F.col("source_entity_canonical").alias("supplier"), F.col("destination_entity_canonical").alias("part")).agg(F.count("*").alias("n"))
+
+
+def _packets(spark, d):
+    """Events as packets: a user sends to the kind of event."""
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("dst"), F.lit("EVENT").alias("protocol"), F.lit(None).cast("int").alias("sport"), F.lit(None).cast("int").alias("dport"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+
+
+@query("select user_id::varchar as src, event_type as dst, count(*) as packets, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) as seconds from events group by 1, 2")
+def q_flow_summary(spark, d):
+    return captures.traffic_flows(_packets(spark, d)).select("src", "dst", "packets", F.round("seconds", 6).alias("seconds"))
+
+
+@query("""
+    select 'protocol' as kind, 'EVENT' as name, count(*) as packets from events
+    union all select 'source', user_id::varchar, count(*) from events group by user_id union all select 'destination', event_type, count(*) from events group by event_type
+""")
+def q_traffic_counts(spark, d):
+    return captures.traffic_counts(_packets(spark, d)).select("kind", "name", "packets")
+
+
+@query("select event_type, epoch(date_trunc('hour', ts))::bigint as start_s, count(*) as n from events group by 1, 2")
+def q_activity_windows(spark, d):
+    rows = table(spark, d, "events").withColumn("at", F.timestamp_micros(F.unix_micros(F.to_timestamp_ltz(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))))))
+    return windows.activity(rows, "at", ["event_type"], "1 hour").select("event_type", F.unix_seconds("start").alias("start_s"), "n")
+
+
+@query("""
+    with m as (select user_id, ts, case when ts - lag(ts) over w < interval 5 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+    g as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from m)
+    select user_id, n, count(*) as sessions from (select user_id, k, count(*) as n from g group by all) group by all
+""")
+def q_sessions(spark, d):
+    found = windows.sessions(table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")), "at", "user_id")
+    return found.groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
+
+
+@query("""
+    select conv_id, turn, sum(ceil(len(text) / 3.0)::bigint) over (partition by conv_id order by turn range between 2 preceding and current row)::bigint as used from conversations where text is not null
+""")
+def q_window_tokens(spark, d):
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.timestamp_seconds("turn").alias("at"), text.estimated_tokens(F.col("text")).alias("tokens"))
+    return windows.used_tokens(rows, "conv_id", "at", "tokens", seconds=3).select("conv_id", "turn", "used")
+
+
+# Graph -------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+    select 'customer:' || c_custkey as node_id, case when o.n is null then 'configured' else 'observed' end as basis, coalesce(o.n, 0)::int as n_evidence, c_mktsegment as segment
+    from customer left join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey = c_custkey
+""")
+def q_graph_nodes(spark, d):
+    none = F.array().cast("array<string>")
+    name = lambda c: F.concat(F.lit("customer:"), F.col(c).cast("string"))
+    known = table(spark, d, "customer").select(name("c_custkey").alias("node_id"), F.lit("user").alias("node_type"), name("c_custkey").alias("name"), F.lit("configured").alias("basis"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attributes"), none.alias("evidence_ids"), none.alias("source_artifacts"), F.lit(0).cast("long").alias("seq"))
+    seen = table(spark, d, "orders").select(name("o_custkey"), F.lit("user"), name("o_custkey"), F.lit("observed"), F.create_map(F.lit("segment"), F.lit(None).cast("string")), F.array(F.col("o_orderkey").cast("string")), none, F.col("o_orderkey") + 1)
+    merged = graph.merge_nodes(known.union(seen))
+    return merged.select("node_id", "basis", F.size("evidence_ids").alias("n_evidence"), F.element_at("attributes", F.lit("segment")).alias("segment"))
+
+
+@query("""
+    select c_nationkey::varchar as source, o_orderpriority as target, min_by(o_orderstatus, o_orderkey) as basis, count(*)::int as n_evidence
+    from orders join customer on c_custkey = o_custkey group by 1, 2
+""")
+def q_graph_edges(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    none = F.array().cast("array<string>")
+    rows = rows.select(F.col("c_nationkey").cast("string").alias("source"), F.col("o_orderpriority").alias("target"), F.lit("accesses").alias("edge_type"), F.col("o_orderstatus").alias("basis"), F.create_map().cast("map<string,string>").alias("attributes"), F.array(F.col("o_orderkey").cast("string")).alias("evidence_ids"), none.alias("source_artifacts"), F.col("o_orderkey").alias("seq"))
+    return graph.merge_edges(rows).select("source", "target", "basis", F.size("evidence_ids").alias("n_evidence"))
+
+
+@query("""
+    with e as (select 'region:' || n_regionkey as a, 'nation:' || n_nationkey as b from nation union all select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier union all select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier)
+    select node, sum(i)::bigint as n_in, sum(o)::bigint as n_out from (select a as node, 0 as i, 1 as o from e union all select b, 1, 0 from e) group by 1
+""")
+def q_node_degree(spark, d):
+    return graph.degrees(geography(spark, d)[1])
+
+
+@query("""
+    with p as (select n_regionkey as r, n_nationkey as n, s_suppkey as s from nation join supplier on s_nationkey = n_nationkey),
+    q as (select r, n, s, 1 as rank, (0.5 * 0.25 + 1.0) / 2 as score from p union all select r, n, s, 2, (0.5 * 0.25 + 0.3 * 0.25) / 2 from p)
+    select 'region:' || r as source, 'supplier:' || s as target, 'region:' || r || '>nation:' || n || '>supplier:' || s as path, rank::int as rank, round(score, 9)::double as score from q
+""")
+def q_paths(spark, d):
+    nodes, edges = geography(spark, d)
+    ends = nodes.where("node_id like 'region:%'").select(F.col("node_id").alias("source")).crossJoin(nodes.where("node_id like 'supplier:%'").select(F.col("node_id").alias("target")))  # five regions
+    found = graph.candidate_paths(nodes, edges, ends)
+    return found.select("source", "target", F.array_join("nodes", ">").alias("path"), "rank", F.round("score", 9).alias("score"))
+
+
+@query("""
+    with e as (select n_nationkey as k, [n_regionkey, n_nationkey, min(s_suppkey)] as want from nation join supplier on s_nationkey = n_nationkey group by n_nationkey, n_regionkey),
+    g as (select n_nationkey as k, [n_regionkey, n_nationkey, min(c_custkey)] as got from nation join customer on c_nationkey = n_nationkey group by n_nationkey, n_regionkey),
+    b as (select e.k, want, coalesce(got, []) as got from e left join g on e.k = g.k)
+    select k, len(list_distinct(want))::int as n_nodes, len(list_intersect(list_distinct(want), got))::int as n_nodes_covered,
+        len(list_distinct([want[1] || '-' || want[2], want[2] || '-' || want[3]]))::int as n_transitions,
+        len(list_intersect(list_distinct([want[1] || '-' || want[2], want[2] || '-' || want[3]]), case when len(got) = 0 then [] else [got[1] || '-' || got[2], got[2] || '-' || got[3]] end))::int as n_transitions_covered, want = got as exact from b
+""")
+def q_path_coverage(spark, d):
+    n = table(spark, d, "nation")
+    path = lambda t, nation, key: n.join(table(spark, d, t), F.col("n_nationkey") == F.col(nation)).groupBy(F.col("n_nationkey").alias("k"), "n_regionkey").agg(F.min(key).alias("m")).select("k", F.array("n_regionkey", "k", "m").alias("path"))
+    return graph.path_coverage(path("supplier", "s_nationkey", "s_suppkey"), path("customer", "c_nationkey", "c_custkey"), "k")
+
+
+@query("""
+    with f as (select 'u' || user_id as a, event_type as b, [value, len(props)::double] as f from events),
+    e as (select a as node_id, f from f union all select b, f from f)
+    select node_id, max(f[1]) as first_max, max(f[2]) as second_max from e group by 1
+""")
+def q_pooled_features(spark, d):
+    edges = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("source"), F.col("event_type").alias("target"), F.lit("accesses").alias("edge_type"), F.lit("observed").alias("basis"), "value", "props")
+    got = graph.pooled_features(edges, F.array(F.col("value"), F.length("props").cast("double")))
+    return got.select("node_id", F.col("features")[0].alias("first_max"), F.col("features")[1].alias("second_max"))
+
+
+@query("""
+    with n as (select 'nation:' || n_nationkey as id from nation), e as (select 'nation:' || c_nationkey as a, 'customer:' || c_custkey as b from customer)
+    select 'dangling' as issue, x as item from (select distinct x from (select a as x from e union all select b from e)) where x not in (select id from n)
+""")
+def q_graph_issues(spark, d):
+    nodes = table(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("node_id"))
+    edges = table(spark, d, "customer").select(F.concat(F.lit("nation:"), "c_nationkey").alias("source"), F.concat(F.lit("customer:"), "c_custkey").alias("target"), F.lit("hosts").alias("edge_type"))
+    return graph.graph_issues(nodes, edges)
+
+
+# Text and retrieval ------------------------------------------------------------------------------------------------
+
+STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+TERMS_SQL = f"""
+    terms as (
+        select distinct item_id as query_id, term from (
+            select item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from benchmark)
+        where len(term) >= 2 and not regexp_full_match(term, '\\p{{Nd}}+') and term not in ({STOP_SQL}))
+"""
+
+
+def _bm25_sql(chunks: str, name: str) -> str:
+    """CTEs that score chunks (doc_id, ordinal, text) against terms, as `name`_hits."""
+    return f"""
+        {name}_w as (select doc_id, ordinal, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from ({chunks})),
+        {name}_p as (select doc_id, ordinal, dl, term, count(*) as f from (select doc_id, ordinal, len(w) as dl, unnest(w) as term from {name}_w) group by all),
+        {name}_n as (select count(*) as N, avg(len(w)) as avgdl from {name}_w),
+        {name}_df as (select term, count(*) as df from {name}_p group by term),
+        {name}_s as (select p.term, doc_id, ordinal, greatest(case when ln((N - df + 0.5) / (df + 0.5)) > 0 then ln((N - df + 0.5) / (df + 0.5)) else 1e-6 end, 0) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s
+            from {name}_p p join {name}_df d on p.term = d.term, {name}_n where p.term in (select term from terms)),
+        {name}_hits as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id, ordinal) as hit from (
+            select query_id, doc_id, ordinal, round(sum(s), 9) as score from terms t join {name}_s s on t.term = s.term group by all)) where hit <= 100)
+    """
+
+
+WHOLE = "select doc_id, 0 as ordinal, text from documents where text is not null"
+FIXED = "select doc_id, o::int as ordinal, substr(text, o * 1200 + 1, 1200) as text from (select doc_id, text, unnest(range(ceil(len(text) / 1200.0)::bigint)) as o from documents where text is not null)"
+BEST = "select query_id, doc_id, max(score) as score from {0}_hits group by all"
+TOP2 = "select query_id, doc_id, sum(score) as score from (select *, row_number() over (partition by query_id, doc_id order by score desc, ordinal) as k from {0}_hits) where k <= 2 group by all"
+RANK = "select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ({0})) where rank <= 10"
+
+
+def _ranked(spark, d, size=None, how="best_chunk"):
+    found = retrieval.search(document_chunks(spark, d, size), benchmark_terms(spark, d), 10, how)
+    return found.select("query_id", "doc_id", "rank", "score")
+
+
+@query(f"with {TERMS_SQL}, {_bm25_sql(WHOLE, 'a')} select query_id, doc_id, rank::int as rank, round(score, 6) as score from ({RANK.format(BEST.format('a'))})")
+def q_bm25(spark, d):
+    return _ranked(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {TERMS_SQL}, {_bm25_sql(FIXED, 'a')} select query_id, doc_id, rank::int as rank, round(score, 6) as score from ({RANK.format(TOP2.format('a'))})")
+def q_bm25_top2(spark, d):
+    return _ranked(spark, d, 1200, "top2_sum").withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+    with {TERMS_SQL}, {_bm25_sql(WHOLE, 'a')}, {_bm25_sql(FIXED, 'b')}, x as ({RANK.format(BEST.format('a'))}), y as ({RANK.format(TOP2.format('b'))}),
+    l as (select query_id, doc_id, rank, 0 as lane from x union all select query_id, doc_id, rank, 1 from y),
+    f as (select query_id, doc_id, sum(1.0 / (60 + rank))::double as score, min(rank * 10 + lane) as best from l group by all)
+    select query_id, doc_id, rank::int as rank, round(score, 9) as score from (select *, row_number() over (partition by query_id order by round(score, 12) desc, best, doc_id) as rank from f) where rank <= 10
+""")
+def q_rrf(spark, d):
+    fused = retrieval.fuse([("whole", _ranked(spark, d)), ("windows", _ranked(spark, d, 1200, "top2_sum"))])
+    return fused.select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
+
+
+def _judged(spark, d):
+    """Documents that hold an item's text as it is: the items are a stated set against all documents."""
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return docs.select("doc_id", F.col("text").alias("t")).join(items, F.contains("t", F.col("text"))).select(F.col("item_id").alias("query_id"), "doc_id")
+
+
+JUDGED_SQL = "judged as (select distinct item_id as query_id, doc_id from benchmark b join documents d on contains(d.text, b.text))"
+MEASURES_SQL = """{1} as (select j.query_id, count(*) as n_relevant, count(case when rank <= 1 then 1 end) / count(*) as r1, count(case when rank <= 3 then 1 end) / count(*) as r3,
+    count(case when rank <= 5 then 1 end) / count(*) as r5, count(rank) / count(*) as r10, coalesce(1.0::double / min(rank), 0) as rr
+    from judged j left join {0} x on x.query_id = j.query_id and x.doc_id = j.doc_id group by j.query_id)"""
+
+
+@query(f"""
+    with {TERMS_SQL}, {_bm25_sql(WHOLE, 'a')}, x as ({RANK.format(BEST.format('a'))}), {JUDGED_SQL}, {MEASURES_SQL.format('x', 'm')}, g as (select *, case when n_relevant = 1 then 'single' else 'multi' end as style from m)
+    select case when grouping(style) = 1 then 'all' else 'style' end as kind, style as value, count(*) as n, round(avg(r1), 6) as recall_at_1, round(avg(r3), 6) as recall_at_3, round(avg(r5), 6) as recall_at_5, round(avg(r10), 6) as recall_at_10, round(avg(rr), 6) as mrr
+    from g group by grouping sets ((), (style))
+""")
+def q_recall_mrr(spark, d):
+    each = evaluation.ranking_measures(_ranked(spark, d), _judged(spark, d))
+    each = each.withColumn("style", F.when(F.col("n_relevant") == 1, "single").otherwise("multi"))
+    means = evaluation.mean_measures(each, ["style"])
+    return means.select("kind", "value", "n", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "mrr")])
+
+
+@query(f"""
+    with {TERMS_SQL}, {_bm25_sql(WHOLE, 'a')}, {_bm25_sql(FIXED, 'b')}, x as ({RANK.format(BEST.format('a'))}), y as ({RANK.format(TOP2.format('b'))}), {JUDGED_SQL},
+    {MEASURES_SQL.format('x', 'm')}, {MEASURES_SQL.format('y', 'n')}
+    select case when n.rr > m.rr then 'improved' when n.rr < m.rr then 'worsened' else 'unchanged' end as change, count(*) as n from m join n on m.query_id = n.query_id group by 1
+""")
+def q_paired_change(spark, d):
+    judged = _judged(spark, d)
+    one, two = (evaluation.ranking_measures(r, judged) for r in (_ranked(spark, d), _ranked(spark, d, 1200, "top2_sum")))
+    return evaluation.paired_changes(one, two)
+
+
+@query("""
+    with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
+    s as (select query_id, vec_id as doc_id, round(list_dot_product(q, embedding::double[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as score from q, embeddings)
+    select query_id, doc_id, rank::int as rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10
+""")
+def q_dense_topk(spark, d):
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = retrieval.dense_search(rows.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("ordinal"), F.col("embedding").alias("v")), asked, digits=6)
+    return found.select("query_id", "doc_id", "rank", "score")
+
+
+@query("select doc_id, len(w)::int as n_words, len(list_distinct(w))::int as n_distinct from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null)")
+def q_tokens(spark, d):
+    said = table(spark, d, "documents").where("text is not null").select("doc_id", text.words(F.col("text")).alias("w"))
+    return said.select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"))
+
+
+@query("select doc_id, len(list_distinct(regexp_extract_all(upper(text), '\\b(?:CWE|CAPEC|CVE)-[0-9]+(?:-[0-9]+)?\\b')))::int as n from documents where text is not null")
+def q_identifiers(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(text.identifiers(F.col("text"))).alias("n"))
+
+
+@query("""
+    with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null)
+    select * from (select doc_id, 'of the' as term, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the'))::bigint as f from w) where f > 0
+""")
+def q_phrase_hits(spark, d):
+    asked = spark.createDataFrame([("of the",)], "term string")
+    return retrieval.phrase_hits(document_chunks(spark, d), asked).select("doc_id", "term", "f")
+
+
+@query(f"""
+    select doc_id, count(*) as n_chunks, sha256(string_agg(ordinal::varchar || chr(9) || sha256(text), chr(10) order by ordinal)) as digest, true as valid from ({FIXED}) group by doc_id
+""")
+def q_chunk_digests(spark, d):
+    return store.chunk_digests(document_chunks(spark, d, 1200))
+
+
+@query()
+def q_chunks(spark, d):
+    return text.chunks(table(spark, d, "documents"))
+
+
+@query()
+def q_html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+
+
+@query("""
+    with p as (select page_id, regexp_replace(split_part(url, '#', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') as t from pages)
+    select page_id, case when lower(split_part(t, '?', 1)) = '/api/search' then 'api_search' when contains(lower(split_part(t, '?', 1)), 'login') then 'login' when starts_with(lower(split_part(t, '?', 1)), '/ftp') then 'ftp'
+        when contains(lower(split_part(t, '?', 1)), 'product') then 'product_search' when split_part(t, '?', 1) in ('', '/') then 'root' else 'other' end as bucket,
+        case when contains(t, '?') then least(len(regexp_replace(t, '^[^?]*\\?', '')), 512) / 512.0 else 0.0 end::double as query_length, 23 as n_features from p
+""")
+def q_http_features(spark, d):
+    from ..sources.logs import split_target
+
+    path, asked = split_target(F.col("url"))
+    rows = table(spark, d, "pages").select("page_id", path.alias("p"), asked.alias("q"))
+    f = requests.features(F.lit("GET"), F.col("p"), F.col("q"), F.lit("200"))
+    return rows.select("page_id", requests.path_bucket(F.col("p")).alias("bucket"), f.alias("f")).select("page_id", "bucket", F.element_at("f", -1).alias("query_length"), F.size("f").alias("n_features"))
+
+
+@query("""
+    select doc_id, len(list_distinct(regexp_extract_all(text, '\\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\\b', 1)))::int as n_methods,
+        len(list_distinct(regexp_extract_all(text, '(?i)\\b(?:HTTP\\s+|status(?:\\s+code)?\\s*[:=]?\\s*)([1-5][0-9]{2})\\b', 1)))::int as n_statuses from documents where text is not null
+""")
+def q_stated_facts(spark, d):
+    methods, statuses, _ = claims.stated_facts(F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(methods).alias("n_methods"), F.size(statuses).alias("n_statuses"))
+
+
+@query()
+def q_claim_screen(spark, d):
+    return claims.screen_claims(table(spark, d, "documents"), "doc_id", "text")
+
+
+# Stores, facts and references --------------------------------------------------------------------------------------
+
+
+@query("""
+    with o as (select d.doc_id, text, lang from documents d where doc_id in (select doc_id from labels)),
+    n as (select doc_id, case when source = 'src0' then text || '!' else text end as text, case when lang = 'de' then 'german' else lang end as lang from documents)
+    select doc_id, case when old is null then 'created' when c or m then 'updated' else 'unchanged' end as change, coalesce(c, false) as content_changed, coalesce(m, false) as metadata_changed
+    from (select n.doc_id, o.doc_id as old, o.doc_id is not null and n.text is distinct from o.text as c, o.doc_id is not null and n.lang is distinct from o.lang as m from n left join o on n.doc_id = o.doc_id)
+""")
+def q_upsert_classes(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    old = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").drop("source")
+    new = docs.withColumns({"text": F.when(F.col("source") == "src0", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "lang": F.when(F.col("lang") == "de", "german").otherwise(F.col("lang"))}).drop("source")
+    return store.change_classes(old, new, "doc_id", ["text"], ["lang"])
+
+
+@query("select o_custkey::varchar as subject, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as vals from orders group by 1 having count(distinct o_orderpriority) > 1")
+def q_fact_conflicts(spark, d):
+    facts = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("subject"), F.lit("priority").alias("attribute"), F.col("o_orderpriority").alias("value"), F.lit(True).alias("single_valued"))
+    return grounding.fact_conflicts(facts).select("subject", F.array_join("values", ",").alias("vals"))
+
+
+@query("""
+    select o_orderkey, row_number() over (partition by o_custkey order by case when o_orderstatus = 'F' then 0 else 1 end, case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 else 3 end, o_orderkey)::int as priority_rank from orders
+""")
+def q_priority_rank(spark, d):
+    o = table(spark, d, "orders")
+    level = F.when(F.col("o_orderpriority") == "1-URGENT", "high").when(F.col("o_orderpriority") == "2-HIGH", "medium").when(F.col("o_orderpriority") == "3-MEDIUM", "low")
+    linked = F.when(F.col("o_orderstatus") == "F", F.array(F.col("o_orderkey").cast("string"))).otherwise(F.array().cast("array<string>"))
+    drafts = o.select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("index"), level.alias("severity"), F.lit("low").alias("disruption"), F.lit("reversible").alias("reversibility"), linked.alias("observed_evidence_ids"))
+    return grounding.rank_proposals(drafts, "o_custkey").select("o_orderkey", "priority_rank")
+
+
+@query("select distinct doc_id as missing_id from documents where doc_id not in (select doc_id from labels)")
+def q_unknown_refs(spark, d):
+    cited = table(spark, d, "documents").select(F.array("doc_id").alias("ids"))
+    return reconstruct.unknown_references(cited, "ids", table(spark, d, "labels"), "doc_id")
+
+
+@query("""
+    with c as (select turn, role, conv_id, case when role = 'assistant' then 'reference' else 'observed' end as expected from conversations), k as (select conv_id as id, role as kind from conversations)
+    select conv_id || ':' || turn as location, case when turn > 2 then 'unknown_id' else 'wrong_category' end as code from c where turn > 2 or expected = 'reference'
+""")
+def q_citation_issues(spark, d):
+    c = table(spark, d, "conversations")
+    name = F.concat_ws(":", "conv_id", "turn")
+    cited = c.select(name.alias("location"), name.alias("id"), F.when(F.col("role") == "assistant", "reference").otherwise("observed").alias("expected"))
+    catalog = c.where("turn <= 2").select(name.alias("id"), F.lit("observed").alias("kind"))
+    return grounding.citation_issues(cited, catalog).select("location", "code")
+
+
+@query("""
+    with e as (select o_custkey, list(o_orderkey) filter (o_orderpriority = '1-URGENT') as want, list(o_orderkey) filter (o_totalprice > 150000) as got from orders group by 1),
+    f as (select o_custkey, coalesce(want, []) as want, coalesce(got, []) as got, len(list_intersect(coalesce(want, []), coalesce(got, []))) as hit from e)
+    select o_custkey, hit::int as n_hit, round(case when len(got) > 0 then hit / len(got) when len(want) = 0 then 1.0 else 0.0 end, 6)::double as precision_, round(case when len(want) > 0 then hit / len(want) when len(got) = 0 then 1.0 else 0.0 end, 6)::double as recall_ from f
+""")
+def q_set_scores(spark, d):
+    o = table(spark, d, "orders")
+    sets = o.groupBy("o_custkey").agg(F.collect_list(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))).alias("want"), F.collect_list(F.when(F.col("o_totalprice") > 150000, F.col("o_orderkey"))).alias("got"))
+    return evaluation.set_scores(sets, "want", "got").select("o_custkey", "n_hit", F.round("precision", 6).alias("precision_"), F.round("recall", 6).alias("recall_"))
+
+
+@query("select coalesce(l.doc_id, d.doc_id) as doc_id, case when l.doc_id is null then 'only_first' else 'only_second' end as side from documents d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null")
+def q_key_mismatch(spark, d):
+    return evaluation.key_mismatch(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+
+
+@query("select sha256(text) as family, string_agg(distinct source, ',' order by source) as splits, count(*) as n from documents where text is not null and source is not null group by 1 having count(distinct source) > 1")
+def q_split_leak(spark, d):
+    rows = table(spark, d, "documents").where("text is not null and source is not null").select(F.sha2("text", 256).alias("family"), F.col("source").alias("split"))
+    return evaluation.split_leaks(rows, "family").select("family", F.array_join("splits", ",").alias("splits"), "n")
+
+
+# Rules and risk ----------------------------------------------------------------------------------------------------
+
+
+@query("""
+    select doc_id, case when toxic = 1 then 'objective_achieved' when quality = 1 then 'objective_not_observed' else 'inconclusive' end as status,
+        case when toxic = 1 then 1 when quality = 1 then 2 end::int as rule_no from labels
+""")
+def q_rules_first_match(spark, d):
+    met = lambda c: F.when(c == 1, "met").otherwise("not_met")
+    three = F.array(F.struct(F.lit("record_outside_literal_match").alias("condition"), met(F.col("toxic")).alias("result")), F.struct(F.lit("control_request_succeeds").alias("condition"), met(F.col("quality")).alias("result")), F.struct(F.lit("probe_response_parseable").alias("condition"), F.lit("met").alias("result")))
+    results = table(spark, d, "labels").select("doc_id", F.explode(three).alias("c")).select("doc_id", "c.*")
+    return rules.first_rule(results, spark.createDataFrame(rules.SEARCH_RULES, rules.RULE), "doc_id").select("doc_id", "status", "rule_no")
+
+
+@query("""
+    select doc_id, case when quality = 1 and toxic = 1 then 'objective_still_achievable' when quality = 1 then 'objective_not_observed_after_baseline_achieved' when toxic = 1 then 'objective_newly_observed' else 'objective_not_observed_in_both' end as category from labels
+""")
+def q_before_after(spark, d):
+    status = lambda c: F.when(F.col(c) == 1, "objective_achieved").otherwise("objective_not_observed")
+    return table(spark, d, "labels").select("doc_id", rules.outcome(status("quality"), status("toxic"))["category"].alias("category"))
+
+
+@query("""
+    select doc_id, case when quality = 1 then null else 'quality_known' end as first_unmet, quality = 1 as ready, case when quality = 1 then 2 else 1 end::int as n_evaluated from labels
+""")
+def q_preconditions(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("quality_known"), F.col("toxic").isNotNull().alias("toxic_known"))
+    out = rules.preconditions(rows, ["quality_known", "toxic_known"])
+    return out.select("doc_id", "first_unmet", "ready", F.size(F.filter("checks", lambda c: c["evaluated"])).alias("n_evaluated"))
+
+
+@query("""
+    select doc_id, case when toxic = 1 and quality = 0 then 'inconclusive' when toxic = 1 then 'blocked' when quality = 1 then 'supported' else 'inconclusive' end as decision,
+        case when toxic = 1 and quality = 0 then 'evidence_id_ambiguous' when toxic = 1 then 'blocked_execution' when quality = 1 then 'rules_confirmed' else 'rule_not_confirmed' end as reason from labels
+""")
+def q_judge(spark, d):
+    bad, good, toxic = F.lit(False), F.col("quality") == 1, F.col("toxic") == 1
+    rows = table(spark, d, "labels").select("doc_id", F.when(toxic, "blocked").otherwise("objective_not_observed").alias("status"), F.lit(None).cast("string").alias("reason_code"), bad.alias("mode_conflict"), (toxic & ~good).alias("id_collision"), bad.alias("roles_conflict"), F.lit(0).alias("n_dangling"), good.alias("rule_confirmed"), F.lit("live").alias("provenance"), F.lit(None).cast("string").alias("claim"), F.lit(1).alias("n_proposals"), bad.alias("attested"))
+    return rules.judge(rows).select("doc_id", "decision", F.get("reason_codes", F.lit(0)).alias("reason"))
+
+
+@query("""
+    select l_suppkey, count(*) as n_draws, round(avg(l_discount * 8), 6) as mean, round(stddev_pop(l_discount * 8), 6) as std, round(quantile_cont(l_discount * 8, 0.05), 6) as q05, round(quantile_cont(l_discount * 8, 0.95), 6) as q95,
+        case when avg(l_discount * 8) < 0.33 then 'low' when avg(l_discount * 8) < 0.67 then 'medium' else 'high' end as band from lineitem group by 1
+""")
+def q_posterior_summary(spark, d):
+    draws = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_discount") * 8).alias("v"))
+    out = risk.posterior_summary(draws, "l_suppkey", "v")
+    return out.select("l_suppkey", "n_draws", *[F.round(c, 6).alias(c) for c in ("mean", "std", "q05", "q95")], "band")
+
+
+@query("""
+    select *, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6)::double as precision_, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6)::double as recall_, round((tp + tn) / (tp + fp + fn + tn), 6)::double as accuracy_
+    from (select count(*) filter (toxic = 1 and quality = 0) as tp, count(*) filter (toxic = 0 and quality = 0) as fp, count(*) filter (toxic = 1 and quality = 1) as fn, count(*) filter (toxic = 0 and quality = 1) as tn from labels)
+""")
+def q_confusion(spark, d):
+    out = evaluation.binary_scores(table(spark, d, "labels"), F.col("toxic") == 1, F.col("quality") == 0)
+    return out.select("tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision_"), F.round("recall", 6).alias("recall_"), F.round("accuracy", 6).alias("accuracy_"))
+
+
+@query("""
+    with s as (select quality as t, least(coalesce(n_chars, 0) / 8000.0, 1.0)::double as p from labels l join documents d on d.doc_id = l.doc_id),
+    r as (select t, p, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as r from s)
+    select count(*) as n, round(avg((p - t) * (p - t)), 6) as brier, round(avg(abs(p - t)), 6) as mae, round((sum(case when t = 1 then r end) - sum(t) * (sum(t) + 1) / 2.0) / (sum(t) * (count(*) - sum(t))), 6)::double as auc from r
+""")
+def q_auc(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("quality", F.least(F.coalesce("n_chars", F.lit(0)) / 8000.0, F.lit(1.0)).alias("p"))
+    return evaluation.probability_scores(rows, "quality", "p").select("n", *[F.round(c, 6).alias(c) for c in ("brier", "mae", "auc")])
+
+
+@query("""
+    with s as (select avg(l_quantity) as m, stddev_pop(l_quantity) as v from lineitem where l_returnflag <> 'R')
+    select l_orderkey, l_linenumber, round((l_quantity - m) / case when v > 0 then v else 1 end, 6) as z from lineitem, s
+""")
+def q_standardize(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("z"))
+    return risk.standardize(rows, F.col("l_returnflag") != "R", ["z"]).select("l_orderkey", "l_linenumber", F.round("z", 6).alias("z"))
+
+
+@query("""
+    select c_custkey, round(((c_acctbal - 1) * 2 + (c_acctbal - 1) * c_nationkey) / 2, 4) as phi_balance, round(((c_nationkey - 2) * 1 + (c_nationkey - 2) * c_acctbal) / 2, 4) as phi_nation from customer
+""")
+def q_shapley(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    out = risk.shapley(rows, ["balance", "nation"], {"balance": 1.0, "nation": 2.0}, lambda x: x["balance"] * x["nation"])
+    return out.select("c_custkey", F.round("phi_balance", 4).alias("phi_balance"), F.round("phi_nation", 4).alias("phi_nation"))
