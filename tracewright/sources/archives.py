@@ -37,10 +37,10 @@ def flat_text(node: ET.Element | None) -> str:
         tag = local(e.tag).lower()
         if tag in BREAKS:
             out.append("\n- " if tag == "li" else "\n")
-        out.append(e.text or "")
+        out.append(re.sub(r"\s+", " ", e.text or ""))
         for child in e:
             walk(child)
-            out.append(child.tail or "")
+            out.append(re.sub(r"\s+", " ", child.tail or ""))
         if tag in BREAKS and tag != "br":
             out.append("\n")
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..schema import attributes, event_columns, parse_time
 
+#: Places in arrival order: room for a record's parts, and network files after container files.
+STEP, NETWORKS_AFTER = 1 << 16, 1 << 44
 PORTS = "map<string,array<struct<HostIp:string,HostPort:string>>>"
 CONTAINER = f"""
     Id string, Name string, Created string, RestartCount long,
@@ -57,11 +59,11 @@ def container_events(containers: DataFrame) -> DataFrame:
     c, s, h, g = (F.col(x) for x in ("item", "item.State", "item.HostConfig", "item.Config"))
     rows = containers.select("index", "item", F.regexp_replace("item.Name", "^/+", "").alias("name"), F.coalesce("item.State.StartedAt", "item.Created").alias("at"))
     known = attributes(container_id=c["Id"], image=g["Image"], network_mode=h["NetworkMode"], running=s["Running"], paused=s["Paused"], restarting=s["Restarting"], oom_killed=s["OOMKilled"], dead=s["Dead"], restart_count=c["RestartCount"], exit_code=s["ExitCode"], privileged=h["Privileged"], readonly_rootfs=h["ReadonlyRootfs"], exposed_ports=_joined(F.array_sort(F.map_keys(g["ExposedPorts"]))), published_ports=F.to_json(published_ports(c["NetworkSettings"]["Ports"])))
-    states = rows.select(*event_columns(event_id=F.concat(F.lit("docker-container-"), "index"), seq=F.col("index") * 1000, ts_text=F.col("at"), ts=parse_time(F.col("at")), source=F.lit("docker"), event_type=F.lit("container_state"), source_entity=F.col("name"), action=F.coalesce(s["Status"], F.lit("unknown")), attributes=known))
+    states = rows.select(*event_columns(event_id=F.concat(F.lit("docker-container-"), "index"), seq=F.col("index").cast("long") * STEP, ts_text=F.col("at"), ts=parse_time(F.col("at")), source=F.lit("docker"), event_type=F.lit("container_state"), source_entity=F.col("name"), action=F.coalesce(s["Status"], F.lit("unknown")), attributes=known))
     nets = rows.select("index", "item", "name", "at", F.posexplode("item.NetworkSettings.Networks").alias("k", "network", "net"))
     n = F.col("net")
     known = attributes(container_id=c["Id"], network_id=n["NetworkID"], endpoint_id=n["EndpointID"], ip_address=n["IPAddress"], gateway=n["Gateway"], mac_address=n["MacAddress"], aliases=_joined(n["Aliases"]), dns_names=_joined(n["DNSNames"]))
-    member = nets.select(*event_columns(event_id=F.concat_ws("-", F.lit("docker-container-network"), "index", "network"), seq=F.col("index") * 1000 + F.col("k") + 1, ts_text=F.col("at"), ts=parse_time(F.col("at")), source=F.lit("docker"), event_type=F.lit("network_membership"), source_entity=F.col("name"), destination_entity=F.col("network"), action=F.lit("attached_to_network"), attributes=known))
+    member = nets.select(*event_columns(event_id=F.concat_ws("-", F.lit("docker-container-network"), "index", "network"), seq=F.col("index").cast("long") * STEP + F.col("k") + 1, ts_text=F.col("at"), ts=parse_time(F.col("at")), source=F.lit("docker"), event_type=F.lit("network_membership"), source_entity=F.col("name"), destination_entity=F.col("network"), action=F.lit("attached_to_network"), attributes=known))
     return states.unionByName(member)
 
 
@@ -70,7 +72,7 @@ def network_events(networks: DataFrame) -> DataFrame:
     rows = networks.select("index", "item", F.posexplode("item.Containers").alias("k", "container_id", "c"))
     c, n = F.col("c"), F.col("item")
     known = attributes(container_id=F.col("container_id"), endpoint_id=c["EndpointID"], ip_address=F.substring_index(c["IPv4Address"], "/", 1), ipv6_address=c["IPv6Address"], mac_address=c["MacAddress"], network_id=n["Id"], driver=n["Driver"], scope=n["Scope"])
-    return rows.select(*event_columns(event_id=F.concat_ws("-", F.lit("docker-network"), "index", F.substring("container_id", 1, 12)), seq=F.col("index") * 1000 + F.col("k"), ts_text=n["Created"], ts=parse_time(n["Created"]), source=F.lit("docker"), event_type=F.lit("network_membership"), source_entity=c["Name"], destination_entity=n["Name"], action=F.lit("attached_to_network"), attributes=known))
+    return rows.select(*event_columns(event_id=F.concat_ws("-", F.lit("docker-network"), "index", F.substring("container_id", 1, 12)), seq=F.lit(NETWORKS_AFTER) + F.col("index").cast("long") * STEP + F.col("k"), ts_text=n["Created"], ts=parse_time(n["Created"]), source=F.lit("docker"), event_type=F.lit("network_membership"), source_entity=c["Name"], destination_entity=n["Name"], action=F.lit("attached_to_network"), attributes=known))
 
 
 def docker_events(spark: SparkSession, path: str) -> DataFrame:

@@ -15,12 +15,12 @@ def digest(*columns: str) -> Column:
 
 def change_classes(old: DataFrame, new: DataFrame, key: str, content: list[str], metadata: list[str]) -> DataFrame:
     """key, change (created, updated, unchanged, absent) and which part changed. Null content or metadata is a value."""
-    a = old.select(F.col(key).alias("k"), digest(*content).alias("c"), digest(*metadata).alias("m"))
+    a = old.select(F.col(key).alias("_key"), digest(*content).alias("c"), digest(*metadata).alias("m"))
     b = new.select(F.col(key), digest(*content).alias("c2"), digest(*metadata).alias("m2"))
     changed = (F.col("c") != F.col("c2")) | (F.col("m") != F.col("m2"))
     change = F.when(F.col("c").isNull(), "created").when(F.col("c2").isNull(), "absent").when(changed, "updated").otherwise("unchanged")
     both = F.col("c").isNotNull() & F.col("c2").isNotNull()
-    return a.join(b, F.col("k") == F.col(key), "full").select(F.coalesce(key, "k").alias(key), change.alias("change"), (both & (F.col("c") != F.col("c2"))).alias("content_changed"), (both & (F.col("m") != F.col("m2"))).alias("metadata_changed"))
+    return a.join(b, F.col("_key") == F.col(key), "full").select(F.coalesce(key, "_key").alias(key), change.alias("change"), (both & (F.col("c") != F.col("c2"))).alias("content_changed"), (both & (F.col("m") != F.col("m2"))).alias("metadata_changed"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
