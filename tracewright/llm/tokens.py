@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,45 +34,60 @@ from .common import partitions, shared_dir, slices
 
 END = 1
 BLOCK = 6 << 20
-REMEMBERED = 500_000
-#: A word between the words that go to the library in one text.
-SEPARATOR = "—".encode()
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ALNUM = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: Words, and stems, that a task remembers.
+REMEMBERED = 800_000
 SHARD_BYTES = 4 << 20
 RANGES_PER_PARTITION = 4
 LEVEL = 3
 
 
+#: Words that the model takes as they are: Latin letters, which are their own lower case and one run for the splitter.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+STEM_END = re.compile(rb"(?m)(?<=[A-Za-z0-9])[!-/:-@\[-`{-~]+$")
+#: Lead bytes of combining marks in UTF-8; where they are, lower case is left to the library, after its normal form.
+MARKS = (b"\xcc", b"\xcd")
+
+
+class Library:
+    """The tokenizer, and what a task remembers of words and of stems."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.model = self.whole.model
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # each Latin letter as the model's symbols for its bytes
+        self.symbols = {ord(c): letters.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+
+    def learn(self, new: list[bytes]) -> None:
+        """Add the packed ids of words without white space."""
+        if len(self.stems) > REMEMBERED:
+            self.stems = {b"": b""}
+        joined = b"\n".join(new)
+        stems = STEM_END.sub(b"", joined)
+        if not any(m in stems for m in MARKS):
+            stems = stems.lower()
+        stems = stems.split(b"\n")
+        tails = [w[len(s) :] for w, s in zip(new, stems, strict=True)]
+        known = self.stems
+        for s in set(stems).union(tails).difference(known):
+            text = s.decode()
+            if PLAIN.fullmatch(text):
+                found = [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.symbols))]
+            else:
+                found = self.whole.encode(text, add_special_tokens=False).ids
+            known[s] = pack(f"<{len(found)}I", *found)
+        self.words.update(zip(new, [known[s] + known[t] if t else known[s] for s, t in zip(stems, tails, strict=True)], strict=True))
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    mark = found.encode(SEPARATOR.decode(), add_special_tokens=False).ids
-    if len(mark) != 1:
-        raise ValueError(f"{path} has no single token for the separator")
-    return found, {}, {b"": b""}, mark[0]
-
-
-def _whole_words(words: list[bytes], path: str) -> dict[bytes, bytes]:
-    """Packed ids of words, which go to the library many in one text, with a separator word between them that is one
-    token and that none of them contains."""
-    t, _, _, mark = tokenizer(path)
-    plain, out = [w for w in words if SEPARATOR not in w], {}
-    for a in range(0, len(plain), 2000):
-        part = plain[a : a + 2000]
-        text = (b" " + SEPARATOR + b" ").join(part).decode()
-        ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == mark) * 4
-        packed = ids.tobytes()
-        out.update(zip(part, (packed[x:y] for x, y in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(packed)], strict=True)), strict=True))
-    for w in words:
-        if SEPARATOR in w:
-            out[w] = np.array(t.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    return out
+def library(path: str) -> Library:
+    return Library(path)
 
 
 def encode(texts: list[bytes | None], path: str) -> list[bytes]:
@@ -78,30 +95,23 @@ def encode(texts: list[bytes | None], path: str) -> list[bytes]:
 
     No token of this vocabulary spans white space or the border from a letter or digit to ASCII punctuation, and the
     library lower-cases. So texts are put together from their words, words from a stem and the punctuation after it,
-    and each distinct stem is encoded once."""
-    _, known, stems, _ = tokenizer(path)
-    split = [x.split() if x else [] for x in texts]
-    if len(known) > REMEMBERED // 2:
-        known.clear()
-    if len(stems) > REMEMBERED:
-        stems.clear()
-    new = list(set(chain.from_iterable(split)).difference(known))
-    parts = []
-    for w in new:
-        stem = w.rstrip(PUNCTUATION)
-        if not stem or stem[-1] not in ALNUM:
-            stem = w
-        parts.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
-    ends = {tail for _, tail in parts}
-    stems.update(_whole_words(list({stem for stem, _ in parts}.union(ends).difference(stems)), path))
-    known.update(zip(new, [stems[stem] + stems[tail] if tail else stems[stem] for stem, tail in parts], strict=True))
-    end = np.array([END], "<u4").tobytes()
+    and each distinct stem is encoded once: by the library's model where the library's splitter would keep it whole, else by
+    the library."""
+    own = library(path)
+    split = [(x if any(m in x for m in MARKS) else x.lower()).split() if x else [] for x in texts]
+    new = list(set(chain.from_iterable(split)).difference(own.words))
+    if len(own.words) + len(new) > REMEMBERED and own.words:
+        own.words.clear()
+        new = list(set(chain.from_iterable(split)))
+    if new:
+        own.learn(new)
+    end, known = pack("<I", END), own.words
     return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
 
 def _width(path: str) -> int:
     """Bytes of an id in the files."""
-    return 2 if tokenizer(path)[0].get_vocab_size() <= 1 << 16 else 4
+    return 2 if library(path).whole.get_vocab_size() <= 1 << 16 else 4
 
 
 def train_dictionary(docs: DataFrame, path: str, samples: int = 2000, size: int = 64 << 10, sample_bytes: int = 8 << 10) -> bytes:
