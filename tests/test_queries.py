@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tracewright.plans import more  # noqa: F401  (registers its queries)
 from tracewright.plans.registry import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

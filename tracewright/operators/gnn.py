@@ -69,6 +69,11 @@ def _arrays(nodes: pd.DataFrame, edges: pd.DataFrame):
     return nodes, edges, x, ends, kinds, bases
 
 
+def _side(rows: DataFrame, *columns: str):
+    """Columns grouped by graph under new names of their own, so that both sides may come from one table."""
+    return rows.select(*[F.col(c).alias(c) for c in columns]).groupBy("graph_id")
+
+
 def score_edges(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """graph_id, source, target, edge_type, logit, probability."""
 
@@ -77,7 +82,7 @@ def score_edges(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarra
         logit = edge_logits(edge_inputs(embed(x, ends, kinds, bases, weights), ends, kinds, weights), weights) if len(e) else np.zeros(0)
         return e[["graph_id", "source", "target", "edge_type"]].assign(logit=logit, probability=1 / (1 + np.exp(-logit)))
 
-    return nodes.select("graph_id", "node_id", "features").groupBy("graph_id").cogroup(edges.select("graph_id", "source", "target", "edge_type", "basis").groupBy("graph_id")).applyInPandas(run, "graph_id string, source string, target string, edge_type string, logit double, probability double")
+    return _side(nodes, "graph_id", "node_id", "features").cogroup(_side(edges, "graph_id", "source", "target", "edge_type", "basis")).applyInPandas(run, "graph_id string, source string, target string, edge_type string, logit double, probability double")
 
 
 def embed_nodes(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
@@ -87,7 +92,7 @@ def embed_nodes(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarra
         n, _, x, ends, kinds, bases = _arrays(left, right)
         return n[["graph_id", "node_id"]].assign(embedding=list(embed(x, ends, kinds, bases, weights)))
 
-    return nodes.select("graph_id", "node_id", "features").groupBy("graph_id").cogroup(edges.select("graph_id", "source", "target", "edge_type", "basis").groupBy("graph_id")).applyInPandas(run, "graph_id string, node_id string, embedding array<double>")
+    return _side(nodes, "graph_id", "node_id", "features").cogroup(_side(edges, "graph_id", "source", "target", "edge_type", "basis")).applyInPandas(run, "graph_id string, node_id string, embedding array<double>")
 
 
 def train_scorer(nodes: DataFrame, labelled: DataFrame, graphs: int = 200, epochs: int = 50, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
