@@ -10,8 +10,8 @@ previous-smaller pointers name into finer groups; one more pass from the smalles
 groups, without renaming and recursion. Suffixes that agree on LENGTH bytes are then neighbours, and all but the earliest of
 them are repeats. Many texts are sorted side by side with array operations.
 
-An anchor with more than MANY differing contexts is not sorted in one task: its strings are named by 128 bits of hash,
-and Spark's sums by name find the earliest.
+An anchor with more than MANY differing contexts is not sorted in one task: its contexts are dealt to several, strings are
+named by 128 bits of hash, each task passes on the earliest of a name, and Spark's sums by name find the earliest of all.
 
 Defined cases: a null or empty text has no bytes; texts are never joined, so matches stay inside documents; rows that
 share a doc_id, or have none, are documents in the order of doc_id (null first) and then text; equal rows that share
@@ -39,6 +39,8 @@ BLOCK, PLACE = 1 << 20, 22
 REMEMBERED = 1 << 18
 #: Contexts of an anchor that are sorted together, and bytes of contexts sorted side by side.
 MANY, TOGETHER = 48, 1 << 20
+#: Contexts of a larger anchor that are dealt to one task together.
+SALTED = 256
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -388,24 +390,46 @@ def _joined(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each string of the contexts."""
+    """Two hashes of each string of the contexts. Of equal strings that a task holds together, only the earliest goes on;
+    the others are repeats already, and come as runs without hashes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        texts = t.column("bytes").to_pylist()
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        n = np.array([len(x) for x in texts])
+        sizes = n - LENGTH + 1
+        spot = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.repeat(np.cumsum(n) - n, sizes) + spot
+        one = Stretches(data).hash(at, at + LENGTH)
+        fours = _rolling(data, 4)
+        two = np.zeros(len(at), np.uint64)
+        for k in range(0, LENGTH, 4):
+            two = (two ^ fours[at + k]) * U(0xD6E8FEB86659FD93)
+            two ^= two >> U(29)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        doc, begin = t.column("doc_id").to_numpy()[owner], t.column("begin").to_numpy()[owner] + spot
+        order = np.lexsort((begin, doc, two, one))
+        one, two, doc, begin = one[order].view(np.int64), two[order].view(np.int64), doc[order], begin[order]
+        repeat = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
+        own = ~repeat
+        names = ["one", "two", "doc_id", "begin", "stop"]
+        yield pa.RecordBatch.from_arrays([pa.array(one[own]), pa.array(two[own]), pa.array(doc[own]), pa.array(begin[own]), pa.array(begin[own] + LENGTH)], names)
+        runs = _joined(doc[repeat], begin[repeat])
+        none = pa.nulls(runs.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *runs.columns], names)
+
     for b in batches:
         for part in slices([b], "bytes", BLOCK):
-            texts = part.column("bytes").to_pylist()
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            n = np.array([len(t) for t in texts])
-            sizes = n - LENGTH + 1
-            spot = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.repeat(np.cumsum(n) - n, sizes) + spot
-            one = Stretches(data).hash(at, at + LENGTH)
-            fours = _rolling(data, 4)
-            two = np.zeros(len(at), np.uint64)
-            for k in range(0, LENGTH, 4):
-                two = (two ^ fours[at + k]) * U(0xD6E8FEB86659FD93)
-                two ^= two >> U(29)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            doc, begin = part.column("doc_id").to_numpy()[owner], part.column("begin").to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(begin + spot)], ["one", "two", "doc_id", "begin"])
+            held.append(part)
+            size += pa.compute.sum(pa.compute.binary_length(part.column("bytes"))).as_py() or 0
+            if size >= BLOCK:
+                yield from close()
+                held, size = [], 0
+    if size:
+        yield from close()
 
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,16 +449,19 @@ def repeated(rows: DataFrame) -> DataFrame:
     settled = materialize(dealt.mapInArrow(_settle, REPEATS), "repeats")
     open_ = settled.where("anchor is not null")
     sizes = open_.groupBy("anchor").agg(F.count("*").alias("n"))
-    hot = materialize(sizes.where(F.col("n") > MANY).select(F.col("anchor").alias("h")), "hot")
-    wanted = open_.join(hot, F.col("anchor") == F.col("h"), "left")
+    hot = materialize(sizes.where(F.col("n") > MANY).select(F.col("anchor").alias("h"), "n"), "hot")
+    wanted = open_.join(hot.select("h"), F.col("anchor") == F.col("h"), "left")
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop", "anchor", F.col("h").isNotNull().alias("hot"))).alias("w"))  # of one document
     parts = materialize(rows.join(wanted, "doc_id").select("doc_id", "text", "w").mapInArrow(_take, "doc_id long, begin long, anchor long, hot boolean, bytes binary"), "contexts")
     schema = "doc_id long, begin long, stop long"
     few = parts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "begin").select("anchor", "doc_id", "begin", "bytes").mapInArrow(_sort, schema)
-    named = parts.where("hot").select("doc_id", "begin", "bytes").mapInArrow(_names, "one long, two long, doc_id long, begin long")
-    least = named.groupBy("one", "two").agg(F.min(F.struct("doc_id", "begin")).alias("m"), F.count("*").alias("n")).where("n > 1").select("one", "two", "m")
-    many = named.join(least, ["one", "two"]).where(F.struct("doc_id", "begin") != F.col("m"))
-    many = many.select("doc_id", "begin", (F.col("begin") + LENGTH).alias("stop"))
+    salt = F.pmod(F.xxhash64("doc_id", "begin"), F.ceil(F.col("n") / SALTED))
+    dealt = parts.where("hot").join(hot.select(F.col("h").alias("anchor"), "n"), "anchor").repartition("anchor", salt).select("doc_id", "begin", "bytes")
+    named = materialize(dealt.mapInArrow(_names, "one long, two long, doc_id long, begin long, stop long"), "names")
+    first = named.where("one is not null")
+    least = first.groupBy("one", "two").agg(F.min(F.struct("doc_id", "begin")).alias("m"), F.count("*").alias("n")).where("n > 1").select("one", "two", "m")
+    many = first.join(least, ["one", "two"]).where(F.struct("doc_id", "begin") != F.col("m")).select("doc_id", "begin", "stop")
+    many = many.unionByName(named.where("one is null").select("doc_id", "begin", "stop"))
     return settled.where("anchor is null").drop("anchor").unionByName(few).unionByName(many)
 
 
