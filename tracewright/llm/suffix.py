@@ -35,10 +35,10 @@ from .components import numbered
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a task works on at a time; positions inside fit PLACE bits.
 BLOCK, PLACE = 1 << 20, 22
-#: Anchors that a task remembers to spot repeats without a shuffle.
-REMEMBERED = 1 << 18
+#: Contexts among which a task spots repeats without a shuffle.
+TOGETHER_CONTEXTS = 1 << 17
 #: Contexts of an anchor that are sorted together, and bytes of contexts sorted side by side.
-MANY, TOGETHER = 48, 1 << 20
+MANY, TOGETHER = 48, 1 << 19
 #: Contexts of a larger anchor that are dealt to one task together.
 SALTED = 256
 
@@ -162,27 +162,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All contexts; those of which the task has met an earlier copy come with anchor null."""
-    known: dict[tuple[int, int], tuple[int, int]] = {}
-    for data, starts, ids, offsets in _blocks(batches):
-        doc, p, a, b, name, context = anchors(data, starts)
-        if not len(doc):
-            continue
-        own, place = ids[doc], p - starts[doc] + offsets[doc]
+    """All contexts; those of which the task holds an earlier copy come with anchor null."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def close() -> pa.RecordBatch:
+        name, context, own, place, first, last = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((place, own, context, name))
         same = np.append(False, (name[order][1:] == name[order][:-1]) & (context[order][1:] == context[order][:-1]))
-        repeat = np.zeros(len(doc), bool)
+        repeat = np.zeros(len(order), bool)
         repeat[order[same]] = True
-        if len(known) > REMEMBERED:
-            known.clear()
-        rest = np.flatnonzero(~repeat)
-        for k, key, at in zip(rest.tolist(), zip(name[rest].tolist(), context[rest].tolist(), strict=True), zip(own[rest].tolist(), place[rest].tolist(), strict=True), strict=True):
-            if known.setdefault(key, at) < at:
-                repeat[k] = True
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(name, mask=repeat), pa.array(np.where(repeat, own, context)), pa.array(own), pa.array(place), pa.array((p - a).astype(np.int32)), pa.array((p - b).astype(np.int32))],
-            ["anchor", "context", "doc_id", "place", "first", "last"],
-        )
+        columns = [pa.array(name, mask=repeat), pa.array(np.where(repeat, own, context)), *map(pa.array, (own, place, first, last))]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "context", "doc_id", "place", "first", "last"])
+
+    for data, starts, ids, offsets in _blocks(batches):
+        doc, p, a, b, name, context = anchors(data, starts)
+        if len(doc):
+            held.append((name, context, ids[doc], p - starts[doc] + offsets[doc], (p - a).astype(np.int32), (p - b).astype(np.int32)))
+            n += len(doc)
+            if n > TOGETHER_CONTEXTS:
+                yield close()
+                held, n = [], 0
+    if held:
+        yield close()
 
 
 REPEATS = "doc_id long, begin long, stop long, anchor long"
@@ -434,7 +436,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts of each document."""
-    for b in slices(batches, "text", 8 * BLOCK):
+    for b in slices(batches, "text", 2 * BLOCK):
         for i, t, w in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
             for k in range(0, len(w), 1 << 14):
                 part = w[k : k + (1 << 14)]
@@ -466,7 +468,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", 8 * BLOCK):
+    for b in slices(batches, "text", 2 * BLOCK):
         kept, removed, spans = [], [], []
         for t, gaps in zip(b.column("text").to_pylist(), b.column("gaps").to_pylist(), strict=True):
             out, at, runs = [], 0, 0
