@@ -13,21 +13,25 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 HIT_WINDOW, CHUNKS_SHOWN, RRF_K, SCORE_DIGITS = 100, 3, 60, 12
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, ordinal, term, f (occurrences), dl (the chunk's words), one row for each word of a chunk."""
+def postings(chunks: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """doc_id, ordinal, term, dl (the chunk's words), f (occurrences) for each word of a chunk; of the terms in only, where
+    given, and those are picked before anything is shuffled."""
     said = chunks.select("doc_id", "ordinal", words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    return said.select("doc_id", "ordinal", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "ordinal", "term", "dl").agg(F.count("*").alias("f"))
+    each = said.select("doc_id", "ordinal", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
+    return each.groupBy("doc_id", "ordinal", "term", "dl").agg(F.count("*").alias("f"))
 
 
 def phrase_hits(chunks: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of whole phrases (term, several words with blanks) in chunks: doc_id, ordinal, term, dl, f.
 
-    A phrase meets only chunks that hold its first word; the rest is compared in place."""
-    at = chunks.select("doc_id", "ordinal", words(F.coalesce(F.col(text), F.lit(""))).alias("w")).select("doc_id", "ordinal", "w", F.size("w").alias("dl"), F.explode(F.array_distinct("w")).alias("first"))
-    asked = phrases.select("term").distinct().withColumn("p", F.split("term", " ")).withColumn("first", F.element_at("p", 1))
-    n = F.size("p")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.col("dl") - n + 1, F.lit(1))), lambda i: F.slice("w", i, n) == F.col("p"))
-    return at.join(asked, "first").where(F.col("dl") >= n).select("doc_id", "ordinal", "term", "dl", F.size(starts).cast("long").alias("f")).where("f > 0")
+    Each word of a phrase meets its occurrences, moved back by its place in the phrase; where all words meet, the phrase
+    starts. Rows hold positions only, never a chunk's other words."""
+    said = chunks.select("doc_id", "ordinal", words(F.coalesce(F.col(text), F.lit(""))).alias("w")).select("doc_id", "ordinal", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "word"))
+    asked = phrases.select("term").distinct().select("term", F.size(F.split("term", " ")).alias("n"), F.posexplode(F.split("term", " ")).alias("k", "word"))
+    starts = said.join(asked, "word").groupBy("doc_id", "ordinal", "dl", "term", "n", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met")).where("met = n")
+    return starts.groupBy("doc_id", "ordinal", "term", "dl").agg(F.count("*").alias("f"))
 
 
 def bm25_hits(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
@@ -37,7 +41,7 @@ def bm25_hits(chunks: DataFrame, queries: DataFrame, text: str = "text") -> Data
     statistics join by term. Scores are rounded to 9 digits, so that equal texts tie whatever order they were summed in."""
     terms = queries.select("query_id", "term").distinct()
     single = terms.where("not contains(term, ' ')").select("term").distinct()
-    posted = postings(chunks, text).join(single, "term", "left_semi")
+    posted = postings(chunks, text, single)
     several = terms.where("contains(term, ' ')")
     posted = posted.unionByName(phrase_hits(chunks, several, text))
     size = chunks.agg(F.count("*").alias("N"), F.avg(F.size(words(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
