@@ -254,9 +254,9 @@ def q_posterior_draws(spark, d):
     return risk.posterior_summary(risk.bayesian_draws(rows, rows, ["size", "q"], "y", "doc_id", draws=50, epochs=100), "doc_id", "probability")
 
 
-@query("select user_id, event_type, min(event_id) as event_id from events group by 1, 2")
+@query("select distinct user_id, event_type from events")
 def q_first_seen(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return windows.first_seen(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts").select("user_id", "event_type")
 
 
 @query("select user_id, max_by(event_id, (ts, event_id)) as event_id from events group by 1")
