@@ -32,6 +32,11 @@ def test_access_log(spark, tmp_path):
     assert r["attributes"]["query"] == "q=%27%20OR%20%271%27=%271" and r["attributes"]["status"] == "200"
     assert r["ts_text"] == "2026-03-05T08:00:01Z"
     assert rows["nginx-3"]["destination_entity"] is None and rows["nginx-3"]["ts_text"] == "2026-03-05T08:00:01Z"
+    spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+    try:
+        assert {r["ts_text"] for r in logs.access_events(lines).collect()} == {"2026-03-05T08:00:01Z"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     by_prefix = {r["event_id"]: r["ts_text"] for r in logs.access_events(lines, prefix_time=True).collect()}
     assert by_prefix["nginx-3"] == "2026-03-05T08:00:02.123456789Z"
 

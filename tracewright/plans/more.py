@@ -26,10 +26,8 @@ def q_access_log(spark, d):
     tail = F.concat(F.lit(' HTTP/1.1" 200 17 "-" "agent" upstream='), up, F.lit(" upstream_status=200 request_time=0.01"))
     line = F.concat(F.lit("u"), "user_id", F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), "event_type", F.lit("?k="), "user_id", tail)
     line = F.when(F.col("event_type") == "signup", "not a request").when(F.col("event_type") == "error", F.concat(F.lit("2024-01-01T00:00:00Z "), line)).otherwise(line)
-    zone = spark.conf.get("spark.sql.session.timeZone")
     found = logs.access_events(_lines(spark, d, line))
-    shown = F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(F.to_timestamp("ts_text"), zone), "UTC"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if zone not in ("UTC", "Etc/UTC", "GMT", "Z") else F.col("ts_text")
-    return found.select("event_id", shown.alias("ts_text"), "source_entity", "destination_entity", "action", F.element_at("attributes", F.lit("query")).alias("query"), F.element_at("attributes", F.lit("status")).alias("status"))
+    return found.select("event_id", "ts_text", "source_entity", "destination_entity", "action", F.element_at("attributes", F.lit("query")).alias("query"), F.element_at("attributes", F.lit("status")).alias("status"))
 
 
 @query("""

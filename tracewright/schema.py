@@ -29,4 +29,10 @@ def attributes(**columns: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """ISO timestamps with any fraction (beyond microseconds cut); without a zone they are UTC, what does not parse is null."""
-    return F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"))
+    short = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    return F.try_to_timestamp(F.when(short.rlike(r"(?i)(z|utc|[+-]\d{2}:?\d{2})$"), short).otherwise(F.concat(short, F.lit("Z"))))
+
+
+def utc_text(ts: Column, fraction: bool = False) -> Column:
+    """A timestamp as ISO text in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss" + (".SSSSSS" if fraction else "") + "'Z'")

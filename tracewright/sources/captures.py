@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import attributes, event_columns
+from ..schema import attributes, event_columns, utc_text
 
 PACKET = "file string, position long, micros long, protocol string, src string, dst string, sport int, dport int, size int"
 #: Link types, EtherTypes and protocol numbers of the capture formats.
@@ -114,7 +114,7 @@ def packet_events(found: DataFrame) -> DataFrame:
     """Packets as events; a packet's offset in its file names it."""
     ts = F.timestamp_micros("micros")
     known = attributes(protocol=F.col("protocol"), source_port=F.col("sport"), destination_port=F.col("dport"), packet_length=F.col("size"), offset=F.col("position"))
-    return found.select(*event_columns(event_id=F.concat(F.lit("pcapng-packet-"), "position"), seq=F.col("position"), ts_text=F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), ts=ts, source=F.lit("packet_capture"), event_type=F.lit("network_packet"), source_entity=F.col("src"), destination_entity=F.col("dst"), action=F.lower("protocol"), attributes=known))
+    return found.select(*event_columns(event_id=F.concat(F.lit("pcapng-packet-"), "position"), seq=F.col("position"), ts_text=utc_text(ts, fraction=True), ts=ts, source=F.lit("packet_capture"), event_type=F.lit("network_packet"), source_entity=F.col("src"), destination_entity=F.col("dst"), action=F.lower("protocol"), attributes=known))
 
 
 def traffic_flows(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import attributes, event_columns, parse_time
+from ..schema import attributes, event_columns, parse_time, utc_text
 
 #: Fixed patterns: the formats of the log lines.
 ACCESS = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([A-Z]+)\s+(\S+)\s+HTTP/([^"]+)"\s+(\d{3})\s+(\d+)\s+"([^"]*)"\s+"([^"]*)"\s+upstream=(\S+)\s+upstream_status=(\S+)\s+request_time=(\S+)$'
@@ -46,7 +46,7 @@ def access_events(lines: DataFrame, prefix_time: bool = False) -> DataFrame:
     rows = lines.select("n", "value", fits.alias("whole"), line.alias("line")).where("line is not null")
     ip, at, method, target, version, status, size, referer, agent, upstream, upstream_status, seconds = _groups(F.col("line"), ACCESS, 12)
     path, query = split_target(target)
-    own = F.date_format(F.try_to_timestamp(at, F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    own = utc_text(F.try_to_timestamp(at, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
     text = F.when(~F.col("whole"), F.substring_index("value", " ", 1)).otherwise(own) if prefix_time else own
     known = attributes(method=method, path=path, query=query, http_version=version, status=status, upstream=upstream, upstream_status=upstream_status, body_bytes=size, request_time=F.when(seconds.rlike(r"^[0-9.eE+-]+$"), seconds), referer=referer, user_agent=agent, nginx_timestamp=at)
     to = F.when(upstream != "-", F.when(F.contains(upstream, F.lit(":")), F.regexp_replace(upstream, r":[^:]*$", "")).otherwise(upstream))
