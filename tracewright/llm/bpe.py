@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 #: Words whose ids a task remembers from block to block.
 REMEMBERED = 400_000
 
