@@ -125,3 +125,16 @@ def test_borderline_group(spark):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
     want = brute(docs)
     assert sum(got[i] != want[i] for i in docs) <= 0.02 * len(docs)
+
+
+def test_links_past_the_centres(spark):
+    """Texts of one large bucket that are similar to each other and not to its centres are linked all the same."""
+    rng = random.Random(21)
+    base, docs = say(rng, 320), {}
+    for i in range(160):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(320)] = f"{rng.choice('abcdefghijklmnop')}{rng.randrange(400)}"
+        docs[i] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == brute(docs)

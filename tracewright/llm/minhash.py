@@ -15,6 +15,9 @@ Within a band's bucket, up to SMALL texts are all compared. In a larger one each
 again with two centres in each finer bucket of two bands that are both large; so work grows in step with the bucket. One
 centre is the text with the largest buckets, which stands nearest to the middle of a group of copies, so that a large
 group hangs together through it; the other is drawn by hash. Equal texts are compared once. Classes are connected components.
+What the centres leave apart is then compared in full: in a large bucket whose texts lie in several classes, each text
+outside the bucket's largest class meets every text of another class, block by block. So the classes are those of
+comparing every two texts that share a bucket, and a bucket that hangs together costs nothing more.
 
 Defined cases: a null text or one without words is a class of its own; a text of fewer than five words is one shingle;
 rows that share a doc_id are one document to components; repeated rows each get their row; an empty table gives no
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +45,8 @@ SMALL = 24
 #: Texts near the middle with which all others of a large bucket are compared.
 MIDDLES = 8
 BLOCK = 3 << 20
+#: Texts of a large bucket that meet as many others in one task.
+MEET = 64
 #: Shingles worked on at a time, so that all arrays stay in the processor's cache.
 PIECE = 1 << 15
 
@@ -262,6 +268,71 @@ def verified(pairs: DataFrame, rows: DataFrame, weights, least: float) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _links(left: pa.Table, right: pa.Table, weigher: Weigher, least: float) -> tuple[list[int], list[int]]:
+    """Pairs of different classes that similar texts of both sides hold; of a pair that shares several buckets, in the first."""
+    column = lambda t, name: t.column(name).to_numpy()
+    bands = [np.array(t.column("bands").to_pylist(), np.int64) for t in (left, right)]
+    same = bands[0][:, None, :] == bands[1][None, :, :]
+    ask = ~same[:, :, : left.column("band")[0].as_py()].any(axis=2)
+    lc, rc = column(left, "c"), column(right, "c")
+    ask &= lc[:, None] != rc[None, :]
+    # two texts outside the largest class meet on either side
+    ask &= (rc == column(right, "main"))[None, :] | (column(left, "rep")[:, None] < column(right, "rep")[None, :])
+    if not ask.any():
+        return [], []
+    mine, others = weigher.shingles(left.column("text").to_pylist()), weigher.shingles(right.column("text").to_pylist())
+    total = [np.array([w.sum(dtype=np.float64) for _, w in s]) for s in (mine, others)]
+    # the similarity is at most the lighter text's share of the heavier one
+    ask &= np.minimum(total[0][:, None], total[1][None, :]) >= (least - 1e-6) * np.maximum(total[0][:, None], total[1][None, :])
+    keys, weights = np.concatenate([h for h, _ in others]), np.concatenate([w for _, w in others])
+    owner = np.repeat(np.arange(len(others)), [len(h) for h, _ in others])
+    found = set()
+    for i in np.flatnonzero(ask.any(axis=1)):
+        h, w = mine[i]
+        at = np.minimum(np.searchsorted(h, keys), len(h) - 1)
+        hit = h[at] == keys
+        shared = np.bincount(owner[hit], np.minimum(w[at[hit]], weights[hit]), len(others))
+        near = shared / (total[0][i] + total[1] - shared)
+        for j in np.flatnonzero(ask[i] & (near >= least - 1e-6)):
+            pair = (int(min(lc[i], rc[j])), int(max(lc[i], rc[j])))
+            if pair not in found and (near[j] > least + 1e-6 or weighted_jaccard(mine[i], others[j]) >= least):
+                found.add(pair)
+    return [a for a, _ in found], [b for _, b in found]
+
+
+def leftovers(placed: DataFrame, rows: DataFrame, weights, least: float) -> DataFrame:
+    """Links (a, b) between classes that the centres left apart, from texts (rep, bands, c: their class).
+
+    A bucket's texts outside its largest class are dealt to blocks, and so are all its texts; each two blocks meet in a
+    task of their own, so no task sees a bucket and no pair is a row."""
+    given = rows.sparkSession.sparkContext.broadcast(weights)
+    bucket = ["band", "name"]
+    spots = placed.where("rep is not null").select("rep", "c", F.posexplode("bands").alias("band", "name"))
+    sizes = spots.groupBy(*bucket, "c").agg(F.count("*").alias("k")).groupBy(*bucket).agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
+    apart = sizes.where(f"m > {SMALL} and top.k < m").select(*bucket, F.col("top.c").alias("main"))
+    members = materialize(spots.join(apart, bucket), "apart")
+    texts = rows.where("text is not null").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    lengths = texts.groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.octet_length("text")).alias("size"))
+    minor = F.col("c") != F.col("main")
+    blocks = lambda n, size: F.ceil(F.greatest(F.sum(n) / MEET, F.sum(size) / BLOCK))
+    dealt = members.join(lengths, "rep").groupBy(*bucket).agg(blocks(minor.cast("long"), F.when(minor, F.col("size"))).alias("few"), blocks(F.lit(1), F.col("size")).alias("all"))
+    # one row of a text for each of its buckets, then for each block that it meets
+    spread = members.join(dealt, bucket)
+    place = lambda n: F.pmod(F.xxhash64("rep", *bucket), n)
+    near = spread.where(minor).select("rep", "c", "main", *bucket, place("few").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"), F.lit(True).alias("asks"))
+    far = spread.select("rep", "c", "main", *bucket, F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).alias("i"), place("all").alias("j"), F.lit(False).alias("asks"))
+    signs = placed.select("rep", "bands")
+    cells = near.unionByName(far).join(signs, "rep").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+
+    def run(cell: pa.Table) -> pa.Table:
+        asks = cell.column("asks")
+        left, right = cell.filter(asks), cell.filter(pa.compute.invert(asks))
+        a, b = _links(left, right, Weigher(given.value), least) if left.num_rows and right.num_rows else ([], [])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return cells.groupBy(*bucket, "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Per row of docs: doc_id, component_id (its class), kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -271,7 +342,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts = materialize(texts, "texts")
     pairs, centres = candidates(texts.where("rep is not null").select("rep", "bands"))
     found = classes(verified(materialize(pairs, "pairs"), rows, weights, least), centres)
-    named = texts.join(found, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("c"))
+    placed = materialize(texts.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "bands", F.coalesce("component", "rep").alias("c")), "placed")
+    joined = connected_components(leftovers(placed, rows, weights, least))
+    named = placed.join(joined, F.col("c") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("component", "c").alias("c"))
     out = signed.join(named, (F.size("bands") > 0) & (F.col("key") == F.col("k")), "left").select("doc_id", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
