@@ -138,3 +138,10 @@ def test_links_past_the_centres(spark):
         docs[i] = " ".join(words)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == brute(docs)
+
+
+def test_all_words_above_the_floor_keep_their_weight(spark):
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(10_000))) for i in range(7) for k in (0, 1)]
+    words, idf, rare = minhash.word_weights(spark.createDataFrame(rows, "doc_id long, text string").select("text"))
+    assert len(words) == 70_000 and (words[1:] > words[:-1]).all()
+    assert np.allclose(idf, 1 + math.log(7)) and rare > idf.max()

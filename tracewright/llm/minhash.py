@@ -1,9 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A document is the weighted set of its five-word shingles. A shingle weighs its count in the document times the mean
-inverse document frequency of its words. Word frequencies count every document; the words that at least one document in
-FLOOR holds, and at most WORDS of them, get their own value, and all rarer words that of the floor, so the table that
-every task needs has a fixed bound and means the same at any corpus size.
+inverse document frequency of its words, in place of its own. Word frequencies count every document; all words that at
+least one document in FLOOR holds get their own value, and all rarer words that of the floor. So the table that every task
+needs has at most FLOOR times the mean number of distinct words of a document, and means the same at any corpus size.
 
 Consistent weighted sampling draws for each hash k and shingle with weight w the variables r, c ~ Gamma(2, 1) and
 b ~ U(0, 1), all functions of (k, shingle) alone, and keeps the shingle and level t = floor(ln w / r + b) that minimise
@@ -40,13 +40,13 @@ from .common import materialize, slices
 from .components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 10, 3
-FLOOR, WORDS = 10_000, 1 << 16
+FLOOR = 10_000
 SMALL = 24
 #: Texts near the middle with which all others of a large bucket are compared.
 MIDDLES = 8
 BLOCK = 3 << 20
 #: Texts of a large bucket that meet as many others in one task.
-MEET = 64
+MEET = 256
 #: Shingles worked on at a time, so that all arrays stay in the processor's cache.
 PIECE = 1 << 15
 
@@ -87,12 +87,12 @@ def word_weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     counts = materialize(word_counts(docs), "words")
     total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
     least = max(1, -(-total // FLOOR))
-    rows = counts.where(f"word is not null and n >= {least}").orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    if not rows:
+    rows = counts.where(f"word is not null and n >= {least}").select("word", "n").toArrow()
+    if not rows.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0
-    words = np.array([r["word"] + (1 << 63) for r in rows], np.uint64)
+    words = rows.column("word").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
     order = np.argsort(words)
-    idf = 1 + np.log(total / np.array([r["n"] for r in rows], np.float64))
+    idf = 1 + np.log(total / rows.column("n").to_numpy().astype(np.float64))
     return words[order], idf[order].astype(np.float32), float(1 + np.log(total / least))
 
 
@@ -185,7 +185,7 @@ def band_keys(drawn: np.ndarray) -> np.ndarray:
 
 def signatures(rows: DataFrame, weights) -> DataFrame:
     """doc_id, key (128-bit digest of the text), bands (empty where there are no words)."""
-    given = rows.sparkSession.sparkContext.broadcast(weights)  # at most WORDS entries
+    given = rows.sparkSession.sparkContext.broadcast(weights)  # bounded by FLOOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigher = Weigher(given.value)
