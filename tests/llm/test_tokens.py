@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tracewright.llm import tokens
+from tracewright.llm import queries, tokens
 
 
 def library():
@@ -57,3 +57,16 @@ def test_empty_and_repeated(spark):
     got = sorted(r["start"] for r in tokens.token_files(df).collect())
     assert got == [0, 2, 5]
     assert tokens.token_files(df.where("false")).count() == 0
+
+
+def test_added_tokens_in_texts(spark, tmp_path):
+    """The registered query against the library as it is, without a switch set."""
+    texts = [*TEXTS, "a <|endoftext|> b", "A<|endoftext|>B", "<|ENDOFTEXT|> c", "x<|startoftext|><|endoftext|>1.", "<|endoftext|", "e<|endoftext|>\u0301 DÉJÀ"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    t, want, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}, 0
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    got = queries.QUERIES["op4_token_files"](spark, f"file://{tmp_path}").collect()
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == want

@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_near_duplicates": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_source_mix": lambda spark, d: mixing.mix(table(spark, d, "documents")),
-    "op4_token_files": lambda spark, d: tokens.token_files(table(spark, d, "documents")),
+    "op4_token_files": lambda spark, d: tokens.token_files(table(spark, d, "documents"), added=True),
     "op5_language_id": lambda spark, d: langid.identify(table(spark, d, "documents")),
     "op6_repeated_strings": lambda spark, d: suffix.remove_repeats(table(spark, d, "documents")),
     "op7_byte_bpe": lambda spark, d: bpe.encode_bpe(table(spark, d, "documents")),

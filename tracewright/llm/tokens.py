@@ -8,7 +8,8 @@ touching its neighbours. The dictionary is a one-row table beside the shards.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first; rows that repeat a doc_id follow
 each other by text; an empty table gives no shards and reads back as no rows; extra columns never clash, as only
-doc_id and text are read.
+doc_id and text are read. A literal of one of the tokenizer's added tokens, such as <|endoftext|>, is that token's id with
+added=True, as the library has it by default; with added=False it is text like any other.
 """
 
 from __future__ import annotations
@@ -56,14 +57,25 @@ class Library:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = True  # for stems, which are cut out between literals of added tokens
+        #: Ids of added tokens, by names that no UTF-8 text holds.
+        self.added = {b"\xff" + t.content.encode(): pack("<I", i) for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.literals = sorted((k[1:] for k in self.added), key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.literals)) + b")")
         self.model = self.whole.model
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # each Latin letter as the model's symbols for its bytes
         self.symbols = {ord(c): letters.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = dict(self.added)
         self.stems: dict[bytes, bytes] = {b"": b""}
 
+    def split(self, text: bytes, added: bool) -> list[bytes]:
+        """The words of a text, and between them the names of the added tokens."""
+        if added and any(t in text for t in self.literals):
+            parts = self.cut.split(text)
+            return [w for k, x in enumerate(parts) for w in ([b"\xff" + x] if k % 2 else self.split(x, False))]
+        return (text if any(m in text for m in MARKS) else text.lower()).split()
+
     def learn(self, new: list[bytes]) -> None:
         """Add the packed ids of words without white space."""
         if len(self.stems) > REMEMBERED:
@@ -90,7 +102,7 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def encode(texts: list[bytes | None], path: str) -> list[bytes]:
+def encode(texts: list[bytes | None], path: str, added: bool = False) -> list[bytes]:
     """Ids of each UTF-8 text with the end id, packed as little-endian unsigned 32-bit integers.
 
     No token of this vocabulary spans white space or the border from a letter or digit to ASCII punctuation, and the
@@ -98,11 +110,12 @@ def encode(texts: list[bytes | None], path: str) -> list[bytes]:
     and each distinct stem is encoded once: by the library's model where the library's splitter would keep it whole, else by
     the library."""
     own = library(path)
-    split = [(x if any(m in x for m in MARKS) else x.lower()).split() if x else [] for x in texts]
+    split = [own.split(x, added) if x else [] for x in texts]
     new = list(set(chain.from_iterable(split)).difference(own.words))
     if len(own.words) + len(new) > REMEMBERED and own.words:
         own.words.clear()
-        new = list(set(chain.from_iterable(split)))
+        own.words.update(own.added)
+        new = list(set(chain.from_iterable(split)).difference(own.words))
     if new:
         own.learn(new)
     end, known = pack("<I", END), own.words
@@ -114,13 +127,13 @@ def _width(path: str) -> int:
     return 2 if library(path).whole.get_vocab_size() <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, path: str, samples: int = 2000, size: int = 64 << 10, sample_bytes: int = 8 << 10) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, samples: int = 2000, size: int = 64 << 10, sample_bytes: int = 8 << 10, added: bool = False) -> bytes:
     """A dictionary from the id arrays of at most `samples` documents chosen by hash of doc_id, each cut to sample_bytes
     for training only; empty where there is too little to train on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(f"<u{_width(path)}").tobytes()[:sample_bytes] for x in encode(b.column("text").to_pylist(), path)]
+            ids = [np.frombuffer(x, "<u4").astype(f"<u{_width(path)}").tobytes()[:sample_bytes] for x in encode(b.column("text").to_pylist(), path, added)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     ids = [r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples).collect()]
@@ -139,11 +152,11 @@ def _zdict(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 SHARD = "range int, dictionary_sha256 string, width int, doc_ids array<long>, counts array<int>, before array<long>, offsets array<long>, payload binary"
 
 
-def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
+def write_tokens(docs: DataFrame, out: str, path: str | None = None, added: bool = False) -> None:
     """Encode docs and write shards and dictionary under out."""
     spark, where = docs.sparkSession, path or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = train_dictionary(rows, where)
+    raw = train_dictionary(rows, where, added=added)
     name = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(name, bytearray(raw))], "sha256 string, dictionary binary").write.parquet(f"{out}/dictionary")
     parts = partitions(spark)
@@ -153,7 +166,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, press = _width(where), zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(raw), write_checksum=False)
         for b in slices(batches, "text", BLOCK):
-            ids = encode(b.column("text").to_pylist(), where)
+            ids = encode(b.column("text").to_pylist(), where, added)
             frames = [press.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in ids]
             ranges = np.searchsorted(cuts, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ranges.astype(np.int32)), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(frames, pa.binary())], ["doc_id", "range", "n", "frame"])
@@ -227,8 +240,8 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = False) -> DataFr
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, path: str | None = None, added: bool = False) -> DataFrame:
     """Write docs to a new place in the shared folder and read the digests back."""
     out = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, out, path)
+    write_tokens(docs, out, path, added)
     return read_tokens(docs.sparkSession, out)
