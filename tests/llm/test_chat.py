@@ -66,3 +66,19 @@ def test_no_python_in_plan(spark, small):
     df = chat.format_chats(spark.read.parquet(f"{small}/conversations.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_repeated_and_tied_rows_with_calls(spark):
+    """Each row is a message of its own: its calls are not those of rows that share its conversation and turn."""
+    twice = (1, 1, "assistant", {"tool_calls": [call("a"), call("b")]})
+    rows = [
+        (1, 0, "system", TOOLS), twice, twice, (1, 1, "assistant", {"tool_calls": [call("c")]}),
+        (1, 2, "tool", {"tool_call_id": "a", "content": 1}),
+        (None, None, "assistant", {"tool_calls": [call("x")]}), (None, None, "assistant", {"tool_calls": [call("y"), call("z")]}),
+    ]
+    got = [r for r in chat.format_chats(frame(spark, rows)).collect() if r["n_calls"]]
+    made = sorted([c["id"] for c in json.loads(r["chat_json"])["tool_calls"]] for r in got)
+    assert made == [["a", "b"], ["a", "b"], ["c"], ["x"], ["y", "z"]]
+    assert sorted(r["n_calls"] for r in got) == [1, 1, 2, 2, 2] and sum(r["n_linked"] for r in got) == 1
+    links = chat.link_calls(frame(spark, rows)).where("id = 'a'").collect()
+    assert sorted("duplicate_id" in r["errors"] for r in links) == [False, True]

@@ -7,8 +7,8 @@ the calls it depends on, are validated against the tool's schema, and each messa
 order, no white space. Nothing is gathered by conversation, so one conversation may hold any number of messages.
 
 Defined cases: a text that is no JSON object is plain content; null texts, roles, turns and conversations are kept as
-null; a call without id is never linked; of calls, results or schemas that repeat an identifier the first by turn
-counts, and later calls are in error (duplicate_id); a result before its call, a call without result, an unknown tool,
+null; each row is a message of its own, also where rows repeat or share a turn; a call without id is never linked; of
+calls, results or schemas that repeat an identifier the first by turn (then by text) counts, and later calls are in error (duplicate_id); a result before its call, a call without result, an unknown tool,
 a missing argument, an argument of another type and a circular dependency are errors, listed in order; dependencies on
 unknown calls are errors and order nothing; an empty table gives no rows; extra columns never clash.
 """
@@ -31,9 +31,24 @@ def _get(v: Column, path: str, kind: str) -> Column:
 def _messages(chats: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = chats.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"))
+    return _parsed(rows)
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("body", F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text")))
 
 
+def _holds() -> Column:
+    """Whether a message has calls."""
+    return F.coalesce(F.size(_get(F.col("body"), "$.tool_calls", "array<variant>")) > 0, F.lit(False)) & F.coalesce(F.col("role") == "assistant", F.lit(False))
+
+
+def _callers(rows: DataFrame) -> DataFrame:
+    """The messages with calls, each under a number `msg` of its own, written once so that all who read it see the same."""
+    own = rows.where(_holds()).select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("msg"))
+    return _parsed(materialize(own, "callers"))
+
+
 def _schemas(rows: DataFrame) -> DataFrame:
     """conv_id, name, required, types: the tools that system messages declare."""
     tool = rows.where("role = 'system'").select("conv_id", "turn", F.explode(_get(F.col("body"), "$.tools", "array<variant>")).alias("t"))
@@ -44,19 +59,19 @@ def _schemas(rows: DataFrame) -> DataFrame:
     return named.where("name is not null").groupBy("conv_id", "name").agg(F.min_by("s", "s.turn").alias("s")).select("conv_id", "name", "s.required", "s.types")
 
 
-def _calls(rows: DataFrame) -> DataFrame:
-    own = rows.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(_get(F.col("body"), "$.tool_calls", "array<variant>")).alias("pos", "c"))
+def _calls(callers: DataFrame) -> DataFrame:
+    own = callers.select("conv_id", "turn", "msg", F.xxhash64("text").alias("hash"), F.posexplode(_get(F.col("body"), "$.tool_calls", "array<variant>")).alias("pos", "c"))
     c = F.col("c")
     given = F.coalesce(_get(c, "$.arguments", "variant"), _get(c, "$.function.arguments", "variant"))
     packed = F.coalesce(_get(c, "$.arguments", "string"), _get(c, "$.function.arguments", "string"))
     arguments = F.coalesce(F.when(F.ltrim(packed).startswith("{"), F.try_parse_json(packed)), given)
-    return own.select("conv_id", "turn", "pos", _get(c, "$.id", "string").alias("id"), F.coalesce(_get(c, "$.name", "string"), _get(c, "$.function.name", "string")).alias("name"), arguments.alias("args"), F.coalesce(_get(c, "$.depends_on", "array<string>"), F.array().cast("array<string>")).alias("needs"))
+    return own.select("conv_id", "turn", "msg", "pos", F.struct("turn", "hash", "msg", "pos").alias("place"), _get(c, "$.id", "string").alias("id"), F.coalesce(_get(c, "$.name", "string"), _get(c, "$.function.name", "string")).alias("name"), arguments.alias("args"), F.coalesce(_get(c, "$.depends_on", "array<string>"), F.array().cast("array<string>")).alias("needs"))
 
 
 def _levels(calls: DataFrame) -> DataFrame:
     """conv_id, id, level for calls with an id: 0 without dependencies, else one more than the deepest of them; calls
     in or behind a circle have none. One round for each level."""
-    nodes = materialize(calls.where("id is not null").groupBy("conv_id", "id").agg(F.min_by("needs", F.struct("turn", "pos")).alias("needs")), "calls")
+    nodes = materialize(calls.where("id is not null").groupBy("conv_id", "id").agg(F.min_by("needs", "place").alias("needs")), "calls")
     known = nodes.select(F.col("conv_id").alias("kc"), F.col("id").alias("k"))
     edges = nodes.select("conv_id", "id", F.explode(F.array_distinct("needs")).alias("need"))
     edges = materialize(edges.join(known, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("need") == F.col("k"))).select("conv_id", "id", "need"), "needs")
@@ -93,17 +108,22 @@ def _wrong(types: Column, arguments: Column) -> Column:
 def link_calls(chats: DataFrame) -> DataFrame:
     """One row per call: conv_id, turn, pos, id, name, arguments (JSON), level, result (JSON), errors."""
     rows = _messages(chats)
-    calls = _calls(rows)
+    return _linked(rows, _callers(rows)).drop("msg")
+
+
+def _linked(rows: DataFrame, callers: DataFrame) -> DataFrame:
+    """The rows of link_calls with the number of each call's message, msg."""
+    calls = _calls(callers)
     results = rows.where("role = 'tool'").select(F.col("conv_id").alias("rc"), "turn", _get(F.col("body"), "$.tool_call_id", "string").alias("rid"), F.to_json(_get(F.col("body"), "$.content", "variant")).alias("content"))
-    results = results.where("rid is not null").groupBy("rc", "rid").agg(F.min_by(F.struct("turn", "content"), "turn").alias("r"))
-    firsts = calls.where("id is not null").groupBy(F.col("conv_id").alias("fc"), F.col("id").alias("f")).agg(F.min(F.struct("turn", "pos")).alias("first"), F.count("*").alias("times"))
+    results = results.where("rid is not null").groupBy("rc", "rid").agg(F.min_by(F.struct("turn", "content"), F.when(F.col("turn").isNotNull(), F.struct("turn", "content"))).alias("r"))
+    firsts = calls.where("id is not null").groupBy(F.col("conv_id").alias("fc"), F.col("id").alias("f")).agg(F.min("place").alias("first"), F.count("*").alias("times"))
     levels = _levels(calls).select(F.col("conv_id").alias("lc"), F.col("id").alias("l"), "level")
     schemas = _schemas(rows).select(F.col("conv_id").alias("sc"), F.col("name").alias("s"), "required", "types")
     by = lambda c, i: F.col("conv_id").eqNullSafe(F.col(c)) & (F.col("id") == F.col(i))
     out = calls.join(firsts, by("fc", "f"), "left").join(levels, by("lc", "l"), "left").join(results, by("rc", "rid"), "left")
     out = out.join(schemas, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("name") == F.col("s")), "left")
     values = F.coalesce(_get(F.col("args"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    repeat = (F.col("times") > 1) & (F.struct("turn", "pos") != F.col("first"))
+    repeat = (F.col("times") > 1) & ((F.col("msg") != F.col("first.msg")) | (F.col("pos") != F.col("first.pos")))
     one = lambda test, name: F.when(F.coalesce(test, F.lit(False)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     many = lambda names, name: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.concat(F.lit(name + ":"), x))
     errors = F.concat(
@@ -117,7 +137,7 @@ def link_calls(chats: DataFrame) -> DataFrame:
         many(_wrong(F.col("types"), values), "wrong_type"),
     )
     result = F.when(~F.coalesce(repeat, F.lit(False)), F.col("r.content"))
-    return out.select("conv_id", "turn", "pos", "id", "name", F.to_json("args").alias("arguments"), F.coalesce("level", F.lit(2**31 - 1)).alias("level"), result.alias("result"), errors.alias("errors"))
+    return out.select("msg", "conv_id", "turn", "pos", "id", "name", F.to_json("args").alias("arguments"), F.coalesce("level", F.lit(2**31 - 1)).alias("level"), result.alias("result"), errors.alias("errors"))
 
 
 def _string(c: Column) -> Column:
@@ -127,14 +147,15 @@ def _string(c: Column) -> Column:
 
 def format_chats(chats: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, n_calls, n_linked, n_errors, chat_json."""
-    rows = _messages(chats).withColumn("holds", F.coalesce(F.size(_get(F.col("body"), "$.tool_calls", "array<variant>")) > 0, F.lit(False)) & (F.col("role") == "assistant"))
-    calls = link_calls(chats)
+    rows = _messages(chats)
+    callers = _callers(rows)
+    calls = _linked(rows, callers)
     listed = F.concat(F.lit("["), F.concat_ws(",", F.transform("errors", _string)), F.lit("]"))
     whole = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"errors":'), listed, F.lit(',"id":'), _string(F.col("id")), F.lit(',"name":'), _string(F.col("name")), F.lit(',"result":'), F.coalesce("result", F.lit("null")), F.lit("}"))
-    each = calls.select("conv_id", "turn", "result", "errors", F.struct("level", "pos", whole.alias("j")).alias("call"))
-    each = each.groupBy(F.col("conv_id").alias("cc"), F.col("turn").alias("ct")).agg(F.array_sort(F.collect_list("call")).alias("calls"), F.count("*").alias("n"), F.count("result").alias("linked"), F.sum(F.size("errors")).alias("bad"))  # the calls of one message
-    plain, used = rows.where("not coalesce(holds, false)").drop("holds"), rows.where("holds").drop("holds")
-    joined = used.join(each, F.col("conv_id").eqNullSafe(F.col("cc")) & F.col("turn").eqNullSafe(F.col("ct")), "left").drop("cc", "ct")
+    each = calls.select("msg", "result", "errors", F.struct("level", "pos", whole.alias("j")).alias("call"))
+    each = each.groupBy("msg").agg(F.array_sort(F.collect_list("call")).alias("calls"), F.count("*").alias("n"), F.count("result").alias("linked"), F.sum(F.size("errors")).alias("bad"))  # the calls of one message
+    plain = rows.where(~_holds())
+    joined = callers.join(each, "msg", "left")
     none = plain.select("*", F.lit(None).cast("array<struct<level:int,pos:int,j:string>>").alias("calls"), *[F.lit(0).cast("long").alias(c) for c in ("n", "linked", "bad")])
     both = joined.select(none.columns).union(none)
     content = F.when(_get(F.col("body"), "$.tool_call_id", "string").isNotNull() & (F.col("role") == "tool"), F.coalesce(F.to_json(_get(F.col("body"), "$.content", "variant")), F.lit("null")))
