@@ -242,6 +242,24 @@ def test_comparison_and_judge(spark):
         ("Successful exploitation cannot be confirmed.", "impact", False),
         ("Successful exploitation occurred.", "impact", True),
         ("", "impact", False),
+        ("We cannot say whether this will prevent all attacks.", "success", False),
+        ("No claim is made that the service is now secure.", "success", False),
+        ("It could completely eliminate the risk.", "success", True),
+        ("Suspicious requests represent observed activity rather than confirmed exploitation.", "confirmation", False),
+        ("No server-side vulnerability or successful query manipulation has been proven by the evidence.", "confirmation", False),
+        ("No vulnerability has been proven, but exploitation is confirmed.", "confirmation", True),
+        ("The vulnerability has been proven.", "confirmation", True),
+        ("It may be that the attack is confirmed.", "confirmation", True),
+        ("It may be established that the app is injectable.", "confirmation", False),
+        ("There is no confirmed access in which the server was breached.", "compromise", False),
+        ("No evidence of theft, but the database was breached.", "compromise", True),
+        ("No evidence of theft was found. The database was breached.", "compromise", True),
+        ("It does not establish access, exfiltration, or successful exploitation.", "impact", False),
+        ("It does not establish access, and successful exploitation occurred.", "impact", True),
+        ("It does not establish access, successful exploitation occurred.", "impact", True),
+        ("Successful exploitation has not yet been established.", "impact", False),
+        ("It does not currently establish that data was exfiltrated.", "impact", False),
+        ("No evidence. Data was exfiltrated.", "impact", True),
     ],
 )
 def test_claim_screens(said, screen, found):
@@ -251,7 +269,14 @@ def test_claim_screens(said, screen, found):
 def test_claim_rows_and_facts(spark):
     rows = spark.createDataFrame([(1, "The attacker gained root. Fine."), (2, None)], "k int, t string")
     assert {(r["k"], r["words"]) for r in claims.screen_claims(rows, "k", "t").collect()} >= {(1, "attacker gained root")}
-    assert claims.without_denied("All good. There is no evidence that data was stolen. End.").startswith("All good. This is not established by the evidence. End.")
+    denied = "The logs do not confirm that an attack succeeded or that the system was compromised."
+    assert claims.qualified(f"All good. {denied} then end.", ["attack succeeded", "system was compromised"]) == f"All good. {claims.DENIAL} Then end."
+    assert claims.qualified(f"{denied} No logs were available to confirm successful exploitation.", ["successful exploitation"]) == f"{denied} {claims.DENIAL}"
+    assert claims.qualified(f"{denied} The attack succeeded.", ["attack succeeded"]) is None
+    assert claims.qualified("It does not show theft but the attack succeeded.", ["attack succeeded"]) is None
+    assert claims.qualified("Nothing here.", ["attack succeeded"]) is None and claims.qualified(None, ["x"]) is None
+    texts = spark.createDataFrame([(denied, ["attack succeeded"]), (None, None)], "t string, p array<string>")
+    assert [r[0] for r in texts.select(claims.neutral_text(F.col("t"), F.col("p"))).collect()] == [claims.DENIAL, None]
     said = spark.createDataFrame([("GET /a/b returned HTTP 200, POST too", ["GET"], ["200"], ["/a/b"])], "t string, m array<string>, s array<string>, p array<string>")
     assert said.select(claims.fact_issues(F.col("t"), F.col("m"), F.col("s"), F.col("p")).alias("r")).first()["r"] == ["method:POST"]
 
