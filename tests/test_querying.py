@@ -9,22 +9,32 @@ from tracewright.operators import querying
 from tracewright.sources import documents
 
 
-def test_compile():
-    q = querying.compile_query('CWE_89 “union select” cross‑site scripting the 2024 "x"', ["SQL Injection"])
+def compile_all(spark, *queries):
+    rows = spark.createDataFrame([(i, *q) for i, q in enumerate(queries)], "i int, t string, p array<string>")
+    return [r["compiled"] for r in querying.compiled(rows, "t", "p").orderBy("i").collect()]
+
+
+def test_compile(spark):
+    long = " ".join(f"word{i:04d}" for i in range(200))
+    q, single, hidden, many, none, open_, spans, numbers = compile_all(
+        spark,
+        ('CWE_89 “union select” cross‑site scripting the 2024 "x"', ["SQL Injection"]),
+        ("token", None),
+        ("a\u200bb c\u00adde", None),
+        (long, None),
+        (None, None),
+        ('say "x', None),
+        (" ".join(f'"q{i}"' for i in range(18)) + ' "--"', None),
+        ("CVE-2024-1234 12-34 ab-12 the", ["CVE 2024 1234"]),
+    )
     assert q["terms"] == ["cwe 89", "sql injection", "union select", "x", "cross site", "union", "select", "cross", "site", "scripting"]
-    assert q["notes"] and not q["low_information"]
-    assert querying.compile_query("token")["low_information"]
-    assert querying.compile_query("a​b c­de")["notes"] == ["invisible_removed"]
-    long = querying.compile_query(" ".join(f"word{i:04d}" for i in range(200)))
-    assert len(long["terms"]) + len(long["dropped"]) == 200 and sum(len(t) + 6 for t in long["terms"]) - 4 <= 1000
-    assert querying.compile_query(None)["terms"] == []
-    assert "unbalanced_quote" in querying.compile_query('say "x')["notes"]
-
-
-def test_compiled_columns(spark):
-    rows = spark.createDataFrame([("CWE-79 token", ["a b"]), (None, None)], "t string, p array<string>")
-    got = rows.select(querying.compiled(F.col("t"), F.col("p")).alias("q")).select("q.terms", "q.low_information").collect()
-    assert got[0]["terms"] == ["cwe 79", "a b", "token"] and got[1]["terms"] == []
+    assert q["notes"] == ["unicode_normalized", "dashes_folded"] and not q["low_information"]
+    assert single["low_information"] and single["terms"] == ["token"]
+    assert hidden["notes"] == ["invisible_removed"] and hidden["terms"] == ["cde"]
+    assert len(many["terms"]) + len(many["dropped"]) == 200 and sum(len(t) + 6 for t in many["terms"]) - 4 <= 1000
+    assert none["terms"] == [] and not none["low_information"]
+    assert "unbalanced_quote" in open_["notes"] and "empty_quoted_span" in spans["notes"] and "quoted_spans_ignored" in spans["notes"]
+    assert numbers["terms"] == ["cve 2024 1234", "ab 12", "ab"] and not numbers["low_information"]
 
 
 def test_finding_queries(spark):

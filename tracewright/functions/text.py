@@ -25,6 +25,7 @@ STOPWORDS = """
 """.split()
 WORD = r"[\p{L}\p{N}]+"
 IDENTIFIER = r"(?i)\b(?:CWE|CAPEC|CVE)-[0-9]+(?:-[0-9]+)?\b"
+LOOSE_IDENTIFIER = r"(?i)\b(?:CWE|CAPEC|CVE)[-_ ][0-9]+(?:-[0-9]+)?\b"
 
 
 def percent_decode(text: Column) -> Column:
@@ -61,7 +62,7 @@ def identifiers(text: Column) -> Column:
 
 def loose_identifiers(text: Column) -> Column:
     """As identifiers, where an underscore or a blank may stand for the first hyphen."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:CWE|CAPEC|CVE)[-_ ][0-9]+(?:-[0-9]+)?\b"), 0)
+    found = F.regexp_extract_all(text, F.lit(LOOSE_IDENTIFIER), 0)
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.upper(x), r"^([A-Z]+)[-_ ]", "$1-")))
 
 
