@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among a node's neighbours and then its label's label, so chains shrink
     geometrically. Rounds are written to the shared folder; only a count of changes reaches the driver. A node with
-    very many links is summed up before the shuffle and its join can be split."""
+    very many links is summed up before the shuffle and its join can be split. A round's files go once the next one is written."""
     ways = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     ways = materialize(ways, "links")
     labels = materialize(ways.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
@@ -23,8 +23,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
         new = met.join(jump, F.col("component") == F.col("at"), "left").select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component"))
         new = materialize(new, "labels")
+        release(labels)
         labels = new.select("node", "component")
         if new.where("component < old").limit(1).count() == 0:
+            release(ways)
             return labels
 
 

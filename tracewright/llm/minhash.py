@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, rows: DataFrame, weights, least: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigher = Weigher(given.value)
         for batch in batches:
-            for b in slices([batch], "ta", BLOCK):
+            for b in (c for c in slices([batch], "ta", BLOCK) for c in slices([c], "tb", BLOCK)):
                 one, two = b.column("ta").to_pylist(), b.column("tb").to_pylist()
                 texts = list({*one, *two})
                 known = dict(zip(texts, weigher.shingles(texts), strict=True))
