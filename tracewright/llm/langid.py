@@ -11,18 +11,19 @@ count and each get their row; extra columns never clash.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters and the marks on them; numbers that are no digits (as in fractions) are no letters.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 TOP = 300
 BLOCK = 4 << 20
 SALTS = 16
