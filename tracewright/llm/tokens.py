@@ -7,7 +7,7 @@ tokens, byte offsets into `payload`, the tokens before each of them in the range
 touching its neighbours. The dictionary is a one-row table beside the shards.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first; rows that repeat a doc_id follow
-each other by text; an empty table gives no shards and reads back as no rows; extra columns never clash, as only
+each other by their number of ids, then by their compressed bytes; an empty table gives no shards and reads back as no rows; extra columns never clash, as only
 doc_id and text are read. A literal of one of the tokenizer's added tokens, such as <|endoftext|>, is that token's id with
 added=True, as the library has it by default; with added=False it is text like any other.
 """
@@ -128,8 +128,8 @@ def _width(path: str) -> int:
 
 
 def train_dictionary(docs: DataFrame, path: str, samples: int = 2000, size: int = 64 << 10, sample_bytes: int = 8 << 10, added: bool = False) -> bytes:
-    """A dictionary from the id arrays of at most `samples` documents chosen by hash of doc_id, each cut to sample_bytes
-    for training only; empty where there is too little to train on."""
+    """A dictionary from the id arrays of at most `samples` documents chosen by hash of doc_id: of a long one a slice that
+    gives up to sample_bytes, from a place that the hash chooses anywhere in the text. Only the files' size depends on it; empty where there is too little to train on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +137,9 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 2000, size: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     ids = [r["doc_id"] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples).collect()]
-    chosen = docs.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, 4 * sample_bytes).cast("binary").alias("text"))
+    place = 1 + F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.greatest(F.length("text") - 4 * sample_bytes, F.lit(0)) + 1)
+    slice_ = F.substring(F.col("text"), place.cast("int"), F.lit(4 * sample_bytes))
+    chosen = docs.where(F.col("doc_id").isin(ids)).select("doc_id", slice_.cast("binary").alias("text"))
     rows = chosen.mapInArrow(run, "doc_id long, ids binary").orderBy("doc_id", "ids").limit(2 * samples).collect()
     try:
         return zstandard.train_dictionary(size, [bytes(r["ids"]) for r in rows]).as_bytes()
