@@ -23,7 +23,7 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns(spark, small, name):
     df = QUERIES[name](spark, small)
     assert set(COLUMNS[name]) <= set(df.columns)

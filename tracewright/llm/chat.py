@@ -4,13 +4,20 @@ A message whose text is a JSON object may hold `tools` (a system message: name,
 required), `tool_calls` (an assistant message: id, name, arguments, depends_on) or `tool_call_id` and `content` (a tool
 message). Calls meet their results in a hash join by conversation and identifier, are ordered so that each comes after
 the calls it depends on, are validated against the tool's schema, and each message is written as canonical JSON: keys in
-order, no white space. Nothing is gathered by conversation, so one conversation may hold any number of messages.
+order, no white space; of an assistant's object the keys `content` and `tool_calls`, of a tool's `tool_call_id` and
+`content`, and other keys are left out. Nothing is gathered by conversation, so one conversation may hold any number of
+messages.
+
+Schemas are walked level by level, value beside schema, as rows. What counts: type (a name or a list of names; an integer
+is a number without a fraction part in the text), enum and const (by JSON text), required, properties,
+additionalProperties when it is false, items, minimum, maximum, minLength, maxLength. Other keywords are passed over.
 
 Defined cases: a text that is no JSON object is plain content; null texts, roles, turns and conversations are kept as
 null; each row is a message of its own, also where rows repeat or share a turn; a call without id is never linked; of
-calls, results or schemas that repeat an identifier the first by turn (then by text) counts, and later calls are in error (duplicate_id); a result before its call, a call without result, an unknown tool,
-a missing argument, an argument of another type and a circular dependency are errors, listed in order; dependencies on
-unknown calls are errors and order nothing; an empty table gives no rows; extra columns never clash.
+calls, results or schemas that repeat an identifier the first by turn (then by text) counts, and later calls are in error
+(duplicate_id); a result before its call, a call without result, an unknown tool, a missing or unknown argument, a value of
+another type, outside its enum or range, and a circular dependency are errors, listed in order of their names; dependencies
+on unknown calls order nothing; arguments that are no object count as none; an empty table gives no rows; extra columns never clash.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: JSON-schema types and what the engine calls the types of values that fit them.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
+TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -50,13 +57,11 @@ def _callers(rows: DataFrame) -> DataFrame:
 
 
 def _schemas(rows: DataFrame) -> DataFrame:
-    """conv_id, name, required, types: the tools that system messages declare."""
+    """conv_id, name, schema (JSON): the tools that system messages declare, the first of a name."""
     tool = rows.where("role = 'system'").select("conv_id", "turn", F.explode(_get(F.col("body"), "$.tools", "array<variant>")).alias("t"))
-    properties = F.coalesce(_get(F.col("t"), "$.parameters.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    types = F.transform_values(properties, lambda _, v: _get(v, "$.type", "string"))
-    required = F.coalesce(_get(F.col("t"), "$.parameters.required", "array<string>"), F.array().cast("array<string>"))
-    named = tool.select("conv_id", _get(F.col("t"), "$.name", "string").alias("name"), F.struct("turn", required.alias("required"), F.map_entries(types).alias("types")).alias("s"))
-    return named.where("name is not null").groupBy("conv_id", "name").agg(F.min_by("s", "s.turn").alias("s")).select("conv_id", "name", "s.required", "s.types")
+    schema = F.coalesce(F.to_json(_get(F.col("t"), "$.parameters", "variant")), F.lit("{}"))
+    named = tool.select("conv_id", _get(F.col("t"), "$.name", "string").alias("name"), F.struct("turn", schema.alias("schema")).alias("s"))
+    return named.where("name is not null").groupBy("conv_id", "name").agg(F.min_by("s", "s").alias("s")).select("conv_id", "name", "s.schema")
 
 
 def _calls(callers: DataFrame) -> DataFrame:
@@ -80,29 +85,75 @@ def _levels(calls: DataFrame) -> DataFrame:
     done = nodes.join(behind, same, "left_anti").select("conv_id", "id", F.lit(0).alias("level"))
     if edges.limit(1).count() == 0:
         return done
-    done, size = materialize(done, "levels"), -1
-    while (n := done.count()) != size:
-        size = n
-        at = done.select(F.col("conv_id").alias("dc"), F.col("id").alias("d"), F.col("level").alias("below"))
-        met = edges.join(at, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("need") == F.col("d"))).groupBy("conv_id", "id").agg(F.count("*").alias("met"), (F.max("below") + 1).alias("level"))
-        new = met.join(behind, same & (F.col("met") == F.col("n"))).select("conv_id", "id", "level")
-        fresh = new.join(done.select(F.col("conv_id").alias("dc"), F.col("id").alias("d")), F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("id") == F.col("d")), "left_anti")
-        done = materialize(done.union(fresh), "levels")
-    return done
-
-
-def _wrong(types: Column, arguments: Column) -> Column:
-    """Names of the arguments whose values do not fit the declared type."""
+    # each round writes the calls that it reached and the dependencies that it met, once; earlier rounds are only read
+    last, met = materialize(done, "levels"), None
+    every = last
+    while last.limit(1).count():
+        at = last.select(F.col("conv_id").alias("dc"), F.col("id").alias("d"), F.col("level").alias("below"))
+        now = materialize(edges.join(at, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("need") == F.col("d"))).groupBy("conv_id", "id").agg(F.count("*").alias("met"), (F.max("below") + 1).alias("level")), "met")
+        met = now if met is None else met.union(now)
+        touched = now.select(F.col("conv_id").alias("tc"), F.col("id").alias("t"))
+        sums = met.join(touched, F.col("conv_id").eqNullSafe(F.col("tc")) & (F.col("id") == F.col("t")), "left_semi").groupBy("conv_id", "id").agg(F.sum("met").alias("met"), F.max("level").alias("level"))
+        last = materialize(sums.join(behind, same & (F.col("met") == F.col("n"))).select("conv_id", "id", "level"), "levels")
+        every = every.union(last)
+    return every
+
+
+def _fits(kinds: Column, value: Column) -> Column:
+    """Whether a value is of one of the named types; unknown names fit all."""
+    found = F.schema_of_variant(value)
+    return F.exists(kinds, lambda k: F.coalesce(*[F.when(k == name, found.rlike(f"^({pattern})$")) for name, pattern in TYPES.items()], F.lit(True)))
+
+
+def _faults(schema: Column, value: Column, path: Column) -> Column:
+    """What is wrong with one value by its own schema, children left out."""
+    name = F.when(path == "", F.lit("$")).otherwise(path)
+    text = F.to_json(value)
+    number, size = _get(value, "$", "double"), F.length(F.when(F.schema_of_variant(value) == "STRING", _get(value, "$", "string")))
+    bound = lambda key: _get(schema, f"$.{key}", "double")
+    kinds = F.coalesce(_get(schema, "$.type", "array<string>"), F.array(_get(schema, "$.type", "string")))
+    own = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.map_keys(_get(value, "$", "map<string,variant>")))
+    asked = F.array_except(F.coalesce(_get(schema, "$.required", "array<string>"), F.array().cast("array<string>")), F.coalesce(own, F.array().cast("array<string>")))
+    known = F.coalesce(F.map_keys(_get(schema, "$.properties", "map<string,variant>")), F.array().cast("array<string>"))
+    extra = F.when(_get(schema, "$.additionalProperties", "boolean") == F.lit(False), F.array_except(own, known))
+    below = lambda keys: F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.when(path == "", k).otherwise(F.concat(path, F.lit("."), k)))
+    tag = lambda code, keys: F.transform(keys, lambda k: F.concat(F.lit(code + ":"), k))
+    one = lambda code, test: F.when(F.coalesce(test, F.lit(False)), F.array(F.concat(F.lit(code + ":"), name))).otherwise(F.array().cast("array<string>"))
+    is_object = own.isNotNull()
+    return F.concat(
+        tag("missing_argument", F.when(is_object, below(asked)).otherwise(F.array().cast("array<string>"))),
+        tag("unknown_argument", below(extra)),
+        one("wrong_type", ~_fits(F.filter(kinds, lambda k: k.isNotNull()), value) & F.exists(kinds, lambda k: k.isNotNull())),
+        one("not_in_enum", ~F.exists(_get(schema, "$.enum", "array<variant>"), lambda e: F.to_json(e) == text)),
+        one("not_in_enum", F.to_json(_get(schema, "$.const", "variant")) != text),
+        one("out_of_range", (number < bound("minimum")) | (number > bound("maximum")) | (size < bound("minLength")) | (size > bound("maxLength"))),
+    )
 
-    def fits(kind: Column, value: Column) -> Column:
-        found = F.schema_of_variant(value)
-        out = F.lit(True)
-        for name, pattern in TYPES.items():
-            out = F.when(kind == name, found.rlike(f"^({pattern})$")).otherwise(out)
-        return out
 
-    bad = F.filter(types, lambda e: ~F.coalesce(fits(e["value"], F.element_at(arguments, e["key"])), F.lit(True)))
-    return F.array_sort(F.transform(bad, lambda e: e["key"]))
+def _validated(asked: DataFrame) -> DataFrame:
+    """msg, pos, faults from calls with their tool's schema (msg, pos, schema, value; both JSON). Each round takes the values
+    of one level and hands on their children beside their own schemas; rounds are as many as values are nested."""
+    level = asked.select("msg", "pos", F.lit("").alias("path"), "schema", "value")
+    found = []
+    while True:
+        seen = level.select("msg", "pos", "path", F.parse_json("schema").alias("s"), F.parse_json("value").alias("v"))
+        s, v, path = F.col("s"), F.col("v"), F.col("path")
+        kind = F.schema_of_variant(v)
+        fields = F.map_entries(F.when(kind.startswith("OBJECT"), _get(v, "$", "map<string,variant>")))
+        of_field = F.transform(fields, lambda e: F.struct(F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])).alias("path"), F.to_json(F.element_at(_get(s, "$.properties", "map<string,variant>"), e["key"])).alias("schema"), F.to_json(e["value"]).alias("value")))
+        items = F.when(kind.startswith("ARRAY"), _get(v, "$", "array<variant>"))
+        of_item = F.transform(items, lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.to_json(_get(s, "$.items", "variant")).alias("schema"), F.to_json(x).alias("value")))
+        none = F.array().cast("array<struct<path:string,schema:string,value:string>>")
+        below = F.filter(F.concat(F.coalesce(of_field, none), F.coalesce(of_item, none)), lambda c: c["schema"].isNotNull())
+        done = materialize(seen.select("msg", "pos", _faults(s, v, path).alias("faults"), below.alias("below")), "checked")
+        found.append(done.select("msg", "pos", F.explode("faults").alias("fault")))
+        level = done.select("msg", "pos", F.explode("below").alias("b")).select("msg", "pos", "b.*")
+        if level.limit(1).count() == 0:
+            break
+    every = found[0]
+    for rows in found[1:]:
+        every = every.union(rows)
+    return every.groupBy("msg", "pos").agg(F.array_sort(F.collect_set("fault")).alias("faults"))  # of one call
 
 
 def link_calls(chats: DataFrame) -> DataFrame:
@@ -118,24 +169,27 @@ def _linked(rows: DataFrame, callers: DataFrame) -> DataFrame:
     results = results.where("rid is not null").groupBy("rc", "rid").agg(F.min_by(F.struct("turn", "content"), F.when(F.col("turn").isNotNull(), F.struct("turn", "content"))).alias("r"))
     firsts = calls.where("id is not null").groupBy(F.col("conv_id").alias("fc"), F.col("id").alias("f")).agg(F.min("place").alias("first"), F.count("*").alias("times"))
     levels = _levels(calls).select(F.col("conv_id").alias("lc"), F.col("id").alias("l"), "level")
-    schemas = _schemas(rows).select(F.col("conv_id").alias("sc"), F.col("name").alias("s"), "required", "types")
+    schemas = _schemas(rows).select(F.col("conv_id").alias("sc"), F.col("name").alias("s"), "schema")
     by = lambda c, i: F.col("conv_id").eqNullSafe(F.col(c)) & (F.col("id") == F.col(i))
     out = calls.join(firsts, by("fc", "f"), "left").join(levels, by("lc", "l"), "left").join(results, by("rc", "rid"), "left")
-    out = out.join(schemas, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("name") == F.col("s")), "left")
-    values = F.coalesce(_get(F.col("args"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    tool = calls.join(schemas, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("name") == F.col("s")))
+    value = F.when(F.schema_of_variant(F.col("args")).startswith("OBJECT"), F.to_json("args"))
+    tool = materialize(tool.select("msg", "pos", "schema", F.coalesce(value, F.lit("{}")).alias("value")), "asked")
+    faults = _validated(tool).select(F.col("msg").alias("fm"), F.col("pos").alias("fp"), "faults")
+    known = tool.select(F.col("msg").alias("tm"), F.col("pos").alias("tp"))
+    out = out.join(known, (F.col("msg") == F.col("tm")) & (F.col("pos") == F.col("tp")), "left").join(faults, (F.col("msg") == F.col("fm")) & (F.col("pos") == F.col("fp")), "left")
     repeat = (F.col("times") > 1) & ((F.col("msg") != F.col("first.msg")) | (F.col("pos") != F.col("first.pos")))
     one = lambda test, name: F.when(F.coalesce(test, F.lit(False)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    many = lambda names, name: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.concat(F.lit(name + ":"), x))
     errors = F.concat(
         one(F.col("level").isNull() & F.col("id").isNotNull(), "circular_dependency"),
         one(repeat, "duplicate_id"),
-        many(F.array_sort(F.array_except("required", F.map_keys(values))), "missing_argument"),
         one(F.col("id").isNull(), "no_id"),
         one(F.col("r").isNull() | repeat, "no_result"),
         one(F.col("r.turn") < F.col("turn"), "result_before_call"),
-        one(F.col("types").isNull(), "unknown_tool"),
-        many(_wrong(F.col("types"), values), "wrong_type"),
+        one(F.col("tm").isNull(), "unknown_tool"),
+        F.coalesce("faults", F.array().cast("array<string>")),
     )
+    errors = F.array_sort(errors)
     result = F.when(~F.coalesce(repeat, F.lit(False)), F.col("r.content"))
     return out.select("msg", "conv_id", "turn", "pos", "id", "name", F.to_json("args").alias("arguments"), F.coalesce("level", F.lit(2**31 - 1)).alias("level"), result.alias("result"), errors.alias("errors"))
 

@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, lattice, minhash, mixing, pii, quality, suffix, tokens
 from .common import table
 
+
+
+def chat_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Tool calls made from every row of conversations: each assistant turn calls a tool with its turn as argument and
+    depends on the call two turns before, each other turn answers the call before it; a system message declares the tool."""
+    own = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    rows = own.select("conv_id", "turn", (F.col("role") == "assistant").alias("asks"))
+    name = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+    given = F.concat(F.lit('{"tool_calls":[{"id":"'), name(0), F.lit('","name":"'), F.when(F.col("turn") % 5 == 0, "none").otherwise("say"), F.lit('","arguments":{"n":'), F.when(F.col("turn") % 4 == 3, '"x"').otherwise(F.col("turn").cast("string")), F.lit('},"depends_on":["'), name(2), F.lit('"]}]}'))
+    answer = F.concat(F.lit('{"tool_call_id":"'), name(1), F.lit('","content":'), F.col("turn").cast("string"), F.lit("}"))
+    said = rows.select("conv_id", "turn", F.when(F.col("asks"), "assistant").otherwise("tool").alias("role"), F.when(F.col("asks"), given).otherwise(answer).alias("text"))
+    tool = F.lit('{"tools":[{"name":"say","parameters":{"required":["n"],"properties":{"n":{"type":"integer","maximum":4}}}}]}')
+    declared = rows.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), tool.alias("text"))
+    found = chat.link_calls(said.unionByName(declared))
+    return found.select("conv_id", "turn", "id", "level", F.col("result").isNotNull().alias("linked"), F.array_join("errors", ",").alias("errors"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -22,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op9_personal_data": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op10_near_vectors": lambda spark, d: lattice.link_vectors(table(spark, d, "embeddings")),
+    "q_chat_calls": chat_calls,
 }
 
 ORACLE: dict[str, str] = {
@@ -58,4 +77,15 @@ ORACLE: dict[str, str] = {
             || ',"turn":' || coalesce(turn::varchar, 'null') || '}' as chat_json
         from conversations
     """,
+    "q_chat_calls": r"""
+        with a as (select conv_id, turn, row_number() over (partition by conv_id, turn) as copy from conversations where role = 'assistant'),
+        f as (select *, turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as island from a where copy = 1),
+        l as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2, island order by turn) - 1 as level from f),
+        r as (select distinct conv_id, turn from conversations where role is distinct from 'assistant')
+        select a.conv_id, a.turn, 'c' || a.turn as id, l.level::int as level, r.turn is not null and a.copy = 1 as linked,
+            array_to_string(list_filter([case when copy > 1 then 'duplicate_id' end, case when r.turn is null or copy > 1 then 'no_result' end,
+                case when a.turn % 5 <> 0 and a.turn % 4 <> 3 and a.turn > 4 then 'out_of_range:n' end, case when a.turn % 5 = 0 then 'unknown_tool' end,
+                case when a.turn % 5 <> 0 and a.turn % 4 = 3 then 'wrong_type:n' end], lambda x: x is not null), ',') as errors
+        from a join l on l.conv_id = a.conv_id and l.turn = a.turn left join r on r.conv_id = a.conv_id and r.turn = a.turn + 1
+    """,
 }
