@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import suffix
@@ -63,6 +64,50 @@ def test_many_contexts_of_one_anchor(spark):
     assert rows_of(suffix.remove_repeats(df)) == plain(docs)
 
 
+def test_parting_keeps_all_repeats(spark):
+    """Texts of one anchor, parted down to whole strings, give the repeats that sorting them together gives."""
+    rng = random.Random(8)
+    core = "".join(rng.choice("abc") for _ in range(32))
+    rows, starts = [], {}
+    for i in range(90):
+        left = "".join(rng.choice("ab") for _ in range(3)) * rng.choice([2, 9, 22])
+        right = "".join(rng.choice("ab") for _ in range(3)) * rng.choice([2, 9, 22])
+        text = (left[-68:].rjust(68, "x") + core + right[:68].ljust(68, "y")).encode()
+        a, b = rng.randrange(69), rng.randrange(69)
+        a, b = min(a, b), max(a, b)
+        cut = text[a : b + 100]
+        rows.append((5, i, a, 68 - a, 100 - a, bytearray(cut)))
+        for k in range(len(cut) - 99):
+            starts.setdefault(cut[k : k + 100], []).append((i, a + k))
+    want = {p for places in starts.values() for p in sorted(places)[1:]}
+    df = spark.createDataFrame(rows, suffix.TEXTS).repartition(3)
+    for many in (1, 4, 1000):
+        got = {(r["doc_id"], p) for r in suffix.sorted_repeats(df, many).collect() for p in range(r["begin"], r["stop"] - 99)}
+        assert got == want and want
+
+
+def test_copies_are_checked_by_their_bytes(spark):
+    """A copy that a hash takes for its source, and is not, stops the job."""
+    base = b"q" * 120
+    rows = [(suffix.SOURCE, 1, 0, 1, 0, bytearray(base)), (suffix.COPY, 2, 7, 1, 0, bytearray(base))]
+    assert suffix.differing(spark.createDataFrame(rows, suffix.TAKEN)).count() == 0
+    for other in (bytearray(base[:-1] + b"r"), bytearray(base[:-1])):
+        wrong = [*rows, (suffix.COPY, 3, 0, 1, 0, other)]
+        with pytest.raises(Exception, match="two different strings"):
+            suffix.differing(spark.createDataFrame(wrong, suffix.TAKEN)).collect()
+
+
+def test_each_removed_byte_is_sorted_or_compared(spark, small):
+    """Nothing is removed but what the suffix order or a comparison of bytes says."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    gone = suffix.repeated(rows).collect()
+    assert gone and all(0 <= r["begin"] < r["stop"] <= len(texts[r["doc_id"]]) for r in gone)
+    whole = rows_of(suffix.remove_repeats(docs))
+    assert whole == plain({i: t.decode() for i, t in texts.items()})
+
+
 def test_long_documents_in_pieces(spark, monkeypatch):
     rng = random.Random(7)
     base = "".join(rng.choice("abcdef ") for _ in range(3000))

@@ -3,15 +3,21 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller document, or further left in
 the same one. To sort only suffixes that can match, every string of LENGTH bytes is sent to the smallest GRAM-byte hash
 inside it (its anchor), which equal strings share, at the same place. Neighbouring strings with one anchor travel
-together as a context. Where an anchor occurs once, or always in the same context, nothing has to be sorted. The
-differing contexts of an anchor are joined to one text, whose suffix array is built by grouping: suffixes are put in
+together as a context. An anchor that occurs once has nothing to sort.
+
+Contexts of one anchor that are the same text enter as one text, its earliest place. A hash brings them together; that
+they are the same is then checked on the bytes: a copy's neighbouring contexts that follow the same source are joined to
+pieces, and each piece's bytes are compared with its source's by a join. A difference stops the job: no hash decides.
+
+The different texts of an anchor are joined to one, whose suffix array is built by grouping: suffixes are put in
 groups by their Lyndon prefix, the groups are taken from the largest down, and each moves the suffixes that its
 previous-smaller pointers name into finer groups; one more pass from the smallest suffix up emits the order inside the
 groups, without renaming and recursion. Suffixes that agree on LENGTH bytes are then neighbours, and all but the earliest of
 them are repeats. Many texts are sorted side by side with array operations.
 
-An anchor with more than MANY differing contexts is not sorted in one task: its contexts are dealt to several, strings are
-named by 128 bits of hash, each task passes on the earliest of a name, and Spark's sums by name find the earliest of all.
+An anchor with very many different texts is parted by more of its strings' bytes: a string holds either the next bytes
+left of the anchor or those right of it, so each text gives a left and a right part, named by those bytes; parts that are
+still too many are parted again, up to whole strings. Sorting means the same in each part, and no group grows with the input.
 
 Defined cases: a null or empty text has no bytes; texts are never joined, so matches stay inside documents; rows that
 share a doc_id, or have none, are documents in the order of doc_id (null first) and then text; equal rows that share
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +44,10 @@ LENGTH, GRAM = 100, 32
 BLOCK, PLACE = 1 << 20, 22
 #: Contexts among which a task spots repeats without a shuffle.
 TOGETHER_CONTEXTS = 1 << 17
-#: Contexts of an anchor that are sorted together, and bytes of contexts sorted side by side.
+#: Different texts of an anchor that are sorted together, and bytes of texts sorted side by side.
 MANY, TOGETHER = 48, 1 << 19
-#: Contexts of a larger anchor that are dealt to one task together.
-SALTED = 256
+#: A piece of a copy stays inside one such stretch of its source, so a source has few different pieces.
+STRETCH = 1 << 12
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -135,7 +142,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, p, a, b, name.view(np.int64), context.view(np.int64)
 
 
-CONTEXTS = "anchor long, context long, doc_id long, place long, first int, last int"
+CONTEXTS = "anchor long, context long, doc_id long, place long, first int, last int, of_doc long, of_place long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,7 +169,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All contexts; those of which the task holds an earlier copy come with anchor null."""
+    """All contexts; those of which the task holds an earlier one come with anchor null and with its place."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
 
@@ -170,10 +177,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, context, own, place, first, last = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((place, own, context, name))
         same = np.append(False, (name[order][1:] == name[order][:-1]) & (context[order][1:] == context[order][:-1]))
-        repeat = np.zeros(len(order), bool)
+        repeat, source = np.zeros(len(order), bool), np.arange(len(order))
         repeat[order[same]] = True
+        source[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         columns = [pa.array(name, mask=repeat), pa.array(np.where(repeat, own, context)), *map(pa.array, (own, place, first, last))]
-        return pa.RecordBatch.from_arrays(columns, ["anchor", "context", "doc_id", "place", "first", "last"])
+        columns += [pa.array(own[source], mask=~repeat), pa.array(place[source], mask=~repeat)]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "context", "doc_id", "place", "first", "last", "of_doc", "of_place"])
 
     for data, starts, ids, offsets in _blocks(batches):
         doc, p, a, b, name, context = anchors(data, starts)
@@ -187,51 +196,101 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-REPEATS = "doc_id long, begin long, stop long, anchor long"
+SETTLED = "doc_id long, begin long, stop long, anchor long, at int, of_doc long, of_begin long"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by anchor, context, document and place: the repeats (anchor null), and the contexts of an
-    anchor that has several. Memory stays bounded whatever an anchor has."""
-    names = ["doc_id", "begin", "stop", "anchor"]
+    """From contexts sorted by anchor, context, document and place: those that look like an earlier one, with its place
+    (anchor null), and the first of each text of an anchor that has several. Memory stays bounded whatever an anchor has."""
+    names = [c.split()[0] for c in SETTLED.split(", ")]
     carry: pa.Table | None = None
-    going: tuple[int, int] | None = None  # the anchor and context before carry, if that anchor is known to have several
+    going: tuple[int, int, int, int] | None = None  # anchor, context and first place before carry, if that anchor is known to have several
 
-    def decide(t: pa.Table) -> pa.RecordBatch:
+    def decide(t: pa.Table) -> tuple[pa.RecordBatch, tuple[int, int, int, int]]:
         name, context, own, place, first, last = (t.column(c).to_numpy() for c in ("anchor", "context", "doc_id", "place", "first", "last"))
+        begin = place - first
         new = np.append(True, name[1:] != name[:-1])
         head = new | np.append(True, context[1:] != context[:-1])
         group = np.cumsum(new) - 1
         several = np.bincount(group, weights=head)[group] > 1
+        before = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        of_doc, of_begin = own[before], begin[before]
         if going and name[0] == going[0]:
-            head[0] = context[0] != going[1]
             several[group == 0] = True
+            if context[0] == going[1]:
+                head[0] = False
+                same = before == 0
+                of_doc, of_begin = np.where(same, going[2], of_doc), np.where(same, going[3], of_begin)
         take = ~head | several
-        return pa.RecordBatch.from_arrays([pa.array(own[take]), pa.array((place - first)[take]), pa.array((place - last + LENGTH)[take]), pa.array(name[take], mask=~head[take])], names)
+        columns = [own[take], begin[take], (place - last + LENGTH)[take], pa.array(name[take], mask=~head[take]), first[take], pa.array(of_doc[take], mask=head[take]), pa.array(of_begin[take], mask=head[take])]
+        state = int(name[-1]), int(context[-1]), int(of_doc[-1]), int(of_begin[-1])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names), state
 
     for b in batches:
         done = pa.compute.is_null(b.column("anchor"))
         local = b.filter(done)
         if local.num_rows:
-            place, first, last = (local.column(c).to_numpy() for c in ("place", "first", "last"))
-            yield pa.RecordBatch.from_arrays([local.column("doc_id"), pa.array(place - first), pa.array(place - last + LENGTH), pa.nulls(local.num_rows, pa.int64())], names)
+            place, first, last, of_place = (local.column(c).to_numpy() for c in ("place", "first", "last", "of_place"))
+            yield pa.RecordBatch.from_arrays([local.column("doc_id"), pa.array(place - first), pa.array(place - last + LENGTH), pa.nulls(local.num_rows, pa.int64()), pa.array(first), local.column("of_doc"), pa.array(of_place - first)], names)
         rest = pa.Table.from_batches([b.filter(pa.compute.invert(done))])
         carry = rest if carry is None else pa.concat_tables([carry, rest])
         if carry.num_rows > 50_000:
             name, context = carry.column("anchor").to_numpy(), carry.column("context").to_numpy()
             cut = int(np.searchsorted(name, name[-1]))  # the last anchor may go on
             if cut:
-                yield decide(carry.slice(0, cut))
+                yield decide(carry.slice(0, cut))[0]
                 carry, going = carry.slice(cut), None
             elif context[0] != context[-1] or going and going[0] == name[0]:
-                yield decide(carry)
-                carry, going = carry.slice(carry.num_rows), (name[-1], context[-1])
+                out, going = decide(carry)
+                yield out
+                carry = carry.slice(carry.num_rows)
             else:  # one context so far: its first row waits
-                one = decide(carry)
-                yield one
+                yield decide(carry)[0]
                 carry = carry.slice(0, 1)
     if carry is not None and carry.num_rows:
-        yield decide(carry)
+        yield decide(carry)[0]
+
+
+PIECES = "doc_id long, begin long, stop long, of_doc long, of_begin long"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts that follow one source without a gap, as one piece; rows are sorted by document, source, shift and begin."""
+    for b in batches:
+        doc, begin, stop, of_doc, of_begin = (b.column(c).to_numpy() for c in ("doc_id", "begin", "stop", "of_doc", "of_begin"))
+        if not len(doc):
+            continue
+        shift, cell = begin - of_begin, of_begin // STRETCH
+        new = np.append(True, (doc[1:] != doc[:-1]) | (of_doc[1:] != of_doc[:-1]) | (shift[1:] != shift[:-1]) | (cell[1:] != cell[:-1]) | (begin[1:] > stop[:-1]))
+        last = np.append(new[1:], True)  # stops ascend with begins
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[new], begin[new], stop[last], of_doc[new], of_begin[new])], [c.split()[0] for c in PIECES.split(", ")])
+
+
+TEXTS = "key long, doc_id long, begin long, low int, high int, bytes binary"
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The left and the right part of texts, of which bytes [low, high) lie in every string, under the names of their new
+    common bytes: strings that hold the next `half` bytes to the left, and those that do not and so hold more to the right."""
+    names = [c.split()[0] for c in TEXTS.split(", ")]
+    for b in batches:
+        out: list[tuple] = []
+        for key, doc, begin, low, high, text in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            rest = LENGTH - (high - low)
+            half = (rest + 1) // 2
+            more = rest - half + 1
+            ends = len(text) - LENGTH  # the last string's start
+            if half and low >= half:
+                stop = min(ends, low - half)
+                name = xxhash.xxh64_intdigest(text[low - half : low], seed=key & 0xFFFFFFFF) - (1 << 63)
+                out.append((name, doc, begin, low - half, high, text[: stop + LENGTH]))
+            first = max(0, low - half + 1)
+            if first <= ends:
+                name = xxhash.xxh64_intdigest(text[high : high + more], seed=(key ^ 0x5BD1E995) & 0xFFFFFFFF) - (1 << 63)
+                out.append((name, doc, begin + first, low - first, high + more - first, text[first:]))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -323,9 +382,14 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among the contexts of each anchor; rows are sorted by anchor."""
+    """Repeats among the texts of each key; rows are sorted by key, bytes, document and begin. Of the rows of one text the
+    first is sorted; the others repeat it whole."""
     held: list[tuple] = []
     size = 0
+    again: list[tuple[int, int, int]] = []
+
+    def copies() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*again, strict=True) if again else ((), (), ()))], ["doc_id", "begin", "stop"])
 
     def close() -> pa.RecordBatch:
         parts, starts, at, last = [], [], 0, None
@@ -371,13 +435,18 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     last = None
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "begin", "bytes")), strict=True):
+        for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "begin", "bytes")), strict=True):
+            if held and row[0] == held[-1][0] and row[3] == held[-1][3]:
+                again.append((row[1], row[2], row[2] + len(row[3])))
+                continue
             if size > TOGETHER and row[0] != last:
                 yield close()
                 held, size = [], 0
             held.append(row)
             last = row[0]
             size += len(row[3])
+        yield copies()
+        again.clear()
     if held:
         yield close()
 
@@ -391,80 +460,64 @@ def _joined(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d[new], pa.int64()), pa.array(s[new], pa.int64()), pa.array(s[end] + LENGTH, pa.int64())], ["doc_id", "begin", "stop"])
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each string of the contexts. Of equal strings that a task holds together, only the earliest goes on;
-    the others are repeats already, and come as runs without hashes."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def close() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        texts = t.column("bytes").to_pylist()
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        n = np.array([len(x) for x in texts])
-        sizes = n - LENGTH + 1
-        spot = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.repeat(np.cumsum(n) - n, sizes) + spot
-        one = Stretches(data).hash(at, at + LENGTH)
-        fours = _rolling(data, 4)
-        two = np.zeros(len(at), np.uint64)
-        for k in range(0, LENGTH, 4):
-            two = (two ^ fours[at + k]) * U(0xD6E8FEB86659FD93)
-            two ^= two >> U(29)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        doc, begin = t.column("doc_id").to_numpy()[owner], t.column("begin").to_numpy()[owner] + spot
-        order = np.lexsort((begin, doc, two, one))
-        one, two, doc, begin = one[order].view(np.int64), two[order].view(np.int64), doc[order], begin[order]
-        repeat = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
-        own = ~repeat
-        names = ["one", "two", "doc_id", "begin", "stop"]
-        yield pa.RecordBatch.from_arrays([pa.array(one[own]), pa.array(two[own]), pa.array(doc[own]), pa.array(begin[own]), pa.array(begin[own] + LENGTH)], names)
-        runs = _joined(doc[repeat], begin[repeat])
-        none = pa.nulls(runs.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, *runs.columns], names)
-
-    for b in batches:
-        for part in slices([b], "bytes", BLOCK):
-            held.append(part)
-            size += pa.compute.sum(pa.compute.binary_length(part.column("bytes"))).as_py() or 0
-            if size >= BLOCK:
-                yield from close()
-                held, size = [], 0
-    if size:
-        yield from close()
+WANTED = "struct<kind:int,begin:bigint,stop:bigint,one:bigint,two:bigint>"
+TEXT, COPY, SOURCE = 0, 1, 2
+TAKEN = "kind int, doc_id long, begin long, one long, two long, bytes binary"
 
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted contexts of each document."""
+    """The bytes of the wanted stretches of each document."""
     for b in slices(batches, "text", 2 * BLOCK):
         for i, t, w in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
             for k in range(0, len(w), 1 << 14):
                 part = w[k : k + (1 << 14)]
-                cols = [pa.array([x[c] for x in part], kind) for c, kind in (("begin", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.int64()), *cols, pa.array([t[x["begin"] : x["stop"]] for x in part], pa.binary())], ["doc_id", "begin", "anchor", "hot", "bytes"])
+                kind, begin, one, two = (pa.array([x[c] for x in part], t_) for c, t_ in (("kind", pa.int32()), ("begin", pa.int64()), ("one", pa.int64()), ("two", pa.int64())))
+                yield pa.RecordBatch.from_arrays([kind, pa.array([i] * len(part), pa.int64()), begin, one, two, pa.array([t[x["begin"] : x["stop"]] for x in part], pa.binary())], ["kind", "doc_id", "begin", "one", "two", "bytes"])
+
+
+def differing(taken: DataFrame) -> DataFrame:
+    """No rows, or an error: copies (one, two: their source's document and begin) whose bytes are not their source's."""
+    copies = taken.where(f"kind = {COPY}").select("doc_id", "begin", "one", "two", "bytes", F.length("bytes").alias("n"))
+    sources = taken.where(f"kind = {SOURCE}").select(F.col("one").alias("s1"), F.col("two").alias("s2"), F.length("bytes").alias("sn"), F.col("bytes").alias("source"))
+    met = copies.join(sources, (F.col("one") == F.col("s1")) & (F.col("two") == F.col("s2")) & (F.col("n") == F.col("sn")), "left")
+    wrong = F.coalesce(F.col("bytes") != F.col("source"), F.lit(True))
+    return met.where(F.when(wrong, F.raise_error(F.lit("two different strings have one 64-bit name: change the hash's base"))).otherwise(F.lit(False))).select("doc_id", "begin", (F.col("begin") + F.col("n")).alias("stop"))
+
+
+def sorted_repeats(texts: DataFrame, many: int = MANY) -> DataFrame:
+    """doc_id, begin, stop of repeats among texts that share a key. Keys with over `many` different texts are parted first."""
+    found, level, whole = [], texts, True
+    while True:
+        sizes = level.groupBy("key", F.xxhash64("bytes").alias("h")).agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+        sizes = materialize(sizes.where(f"n > 1 and (d > {many} or {not whole})"), "sizes")
+        large = sizes.where(f"d > {many}").select("key")
+        fine = level.join(large, "key", "left_anti") if whole else level.join(sizes.where(f"d <= {many}").select("key"), "key", "left_semi")
+        found.append(fine.repartition("key").sortWithinPartitions("key", "bytes", "doc_id", "begin").mapInArrow(_sort, "doc_id long, begin long, stop long"))
+        if large.limit(1).count() == 0:
+            break
+        level, whole = materialize(level.join(large, "key", "left_semi").mapInArrow(_parted, TEXTS), "parted"), False
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """doc_id, begin, stop: stretches to remove, from rows (doc_id, text as bytes) with different doc_ids."""
     found = rows.where(F.length("text") >= LENGTH).mapInArrow(_contexts, CONTEXTS)
     dealt = found.repartition(F.coalesce("anchor", "context")).sortWithinPartitions("anchor", "context", "doc_id", "place")
-    settled = materialize(dealt.mapInArrow(_settle, REPEATS), "repeats")
-    open_ = settled.where("anchor is not null")
-    sizes = open_.groupBy("anchor").agg(F.count("*").alias("n"))
-    hot = materialize(sizes.where(F.col("n") > MANY).select(F.col("anchor").alias("h"), "n"), "hot")
-    wanted = open_.join(hot.select("h"), F.col("anchor") == F.col("h"), "left")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop", "anchor", F.col("h").isNotNull().alias("hot"))).alias("w"))  # of one document
-    parts = materialize(rows.join(wanted, "doc_id").select("doc_id", "text", "w").mapInArrow(_take, "doc_id long, begin long, anchor long, hot boolean, bytes binary"), "contexts")
-    schema = "doc_id long, begin long, stop long"
-    few = parts.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "begin").select("anchor", "doc_id", "begin", "bytes").mapInArrow(_sort, schema)
-    salt = F.pmod(F.xxhash64("doc_id", "begin"), F.ceil(F.col("n") / SALTED))
-    dealt = parts.where("hot").join(hot.select(F.col("h").alias("anchor"), "n"), "anchor").repartition("anchor", salt).select("doc_id", "begin", "bytes")
-    named = materialize(dealt.mapInArrow(_names, "one long, two long, doc_id long, begin long, stop long"), "names")
-    first = named.where("one is not null")
-    least = first.groupBy("one", "two").agg(F.min(F.struct("doc_id", "begin")).alias("m"), F.count("*").alias("n")).where("n > 1").select("one", "two", "m")
-    many = first.join(least, ["one", "two"]).where(F.struct("doc_id", "begin") != F.col("m")).select("doc_id", "begin", "stop")
-    many = many.unionByName(named.where("one is null").select("doc_id", "begin", "stop"))
-    return settled.where("anchor is null").drop("anchor").unionByName(few).unionByName(many)
+    settled = materialize(dealt.mapInArrow(_settle, SETTLED), "settled")
+    claims = settled.where("anchor is null").repartition("doc_id").sortWithinPartitions("doc_id", "of_doc", F.col("begin") - F.col("of_begin"), "begin")
+    pieces = materialize(claims.select("doc_id", "begin", "stop", "of_doc", "of_begin").mapInArrow(_pieces, PIECES), "pieces")
+    want = lambda df, kind, begin, stop, one, two: df.select("doc_id", F.struct(F.lit(kind).alias("kind"), begin.alias("begin"), stop.alias("stop"), one.alias("one"), two.alias("two")).cast(WANTED).alias("w"))
+    c = F.col
+    sources = pieces.select(c("of_doc").alias("doc_id"), c("of_begin").alias("begin"), (c("of_begin") + c("stop") - c("begin")).alias("stop")).distinct()
+    wanted = want(settled.where("anchor is not null"), TEXT, c("begin"), c("stop"), c("anchor"), c("at"))
+    wanted = wanted.union(want(pieces, COPY, c("begin"), c("stop"), c("of_doc"), c("of_begin"))).union(want(sources, SOURCE, c("begin"), c("stop"), c("doc_id"), c("begin")))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("w"))  # of one document
+    taken = materialize(rows.join(wanted, "doc_id").select("doc_id", "text", "w").mapInArrow(_take, TAKEN), "taken")
+    texts = taken.where(f"kind = {TEXT}").select(c("one").alias("key"), "doc_id", "begin", c("two").cast("int").alias("low"), (c("two") + GRAM).cast("int").alias("high"), "bytes")
+    return pieces.select("doc_id", "begin", "stop").unionByName(differing(taken)).unionByName(sorted_repeats(texts))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
