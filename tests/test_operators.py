@@ -66,6 +66,57 @@ def test_normalizing_and_chunks(spark):
     assert text.plain_html("<title>A &amp; b</title><script>x</script><ul><li>one</li><li>two</li></ul><p>c <b>d</b></p>") == "A & b\n- one\n- two\nc d"
 
 
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("a\x0bb\x0cc\x85d\u2028e\x1cf", "a\nb\nc\nd\ne\nf"),
+        ("foo\x1fbar\x00\x1b\x7f", "foo bar"),
+        ("\n\ufeff\n\ufeff  indented\n\n", "  indented"),
+        ("line one\n\ufeffline two", "line one\n\ufeffline two"),
+        ("one      \ntwo", "one  \ntwo"),
+        ("one \ntwo\t \nthree  \n\nfour  ", "one\ntwo\nthree\n\nfour"),
+        ("a\n \t \n\n b", "a\n\n b"),
+        ("intro\n\n```sh  \nA  \n\n\n\nB\t\n```\n\n\nend", "intro\n\n```sh\nA  \n\n\n\nB\t\n```\n\nend"),
+        ("````\n```\ny  \n````\n\n\nz", "````\n```\ny  \n````\n\nz"),
+        ("```x```  \n\n\n\ny", "```x```\n\ny"),
+        ("~~~ a`b\nx  \n\n\n```\n", "~~~ a`b\nx  \n\n\n```"),
+        ("> ```\nA  \n\n\n\nB", "> ```\nA\n\nB"),
+        ("e\x00\u0301", "é"),
+        ("   ", ""),
+        (None, None),
+    ],
+)
+def test_normal_form(given, want):
+    assert text.normalize_text(given) == want
+    assert text.normalize_text(want) == want
+
+
+@pytest.mark.parametrize(
+    ("said", "most", "overlap", "want"),
+    [
+        ("aa bb\n\ncc dd\nee ff gg", 16, 0, ["aa bb\n\n", "cc dd\nee ff gg"]),
+        ("aa\n\nbb\n\ncc dd ee ff gg hh", 11, 0, ["aa\n\nbb\n\n", "cc dd ee ", "ff gg hh"]),
+        ("aa bb cc\ndd ee ff gg", 14, 0, ["aa bb cc\n", "dd ee ff gg"]),
+        ("aaaa bbbb cccc dddd", 12, 0, ["aaaa bbbb ", "cccc dddd"]),
+        ("aa\n\nbbbbbbbbbbbbbb", 8, 5, [(0, 8), (3, 11), (6, 14), (9, 17), (12, 18)]),
+        ("aa\n\nbbbbbbbbbbbbbb", 8, 3, [(0, 4), (1, 9), (6, 14), (11, 18)]),
+        ("ab" + "e\u0301" * 3 + "cd", 3, 0, [(0, 2), (2, 4), (4, 6), (6, 9), (9, 10)]),
+        ("x" + " " * 9 + "y", 4, 0, [(0, 4), (8, 11)]),
+        ("", 4, 0, []),
+        ("p one.\n\n" + "w " * 700, 1200, 120, [(0, 1200), (1080, 1408)]),
+    ],
+)
+def test_chunk_rules(said, most, overlap, want):
+    got = text.chunk_bounds(said, most, overlap)
+    assert (got if want and isinstance(want[0], tuple) else [said[a:b] for a, b in got]) == want
+
+
+def test_literals(spark):
+    rows = spark.createDataFrame([("Run `Sed -i x` on /etc/app.conf, see / and `/etc/app.conf`. (/API/v1).", "/etc/app.conf sed -i x")], "t string, c string")
+    got = rows.select(text.literals(F.col("t")).alias("l"), text.ungrounded_literals(F.col("t"), F.col("c")).alias("u")).first()
+    assert got["l"] == ["Sed -i x", "/etc/app.conf", "/API/v1"] and got["u"] == ["Sed -i x", "/API/v1"]
+
+
 def test_timeline_and_correlation(spark):
     rows = [
         event("nginx-1", "2026-01-01T00:00:00Z", method="GET", path="/api/search", query="q=%27%20or%20%271%27%3D%271"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -111,65 +112,104 @@ def strip_identifiers(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-#: What stands for "not known" in a finding, and literals that an answer may quote.
+# What stands for "not known" in a finding, quoted spans, and path-like tokens.
 PLACEHOLDER = r"(?i)^\s*(?:unknown|undetermined|not confirmed|unconfirmed|none|n/?a|tbd)\b"
-LITERAL = r"`([^`]+)`"
+LITERAL = r"`([^`\n]{1,200})`"
+PATH = r"(?<![A-Za-z0-9/])(/[A-Za-z0-9._~!$&'()*+,;=:@%/-]*)"
+# End of fixed values
 
 
 def is_placeholder(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "") | text.rlike(PLACEHOLDER)
 
 
+def paths_in(text: Column) -> Column:
+    """Path-like tokens without the marks of a sentence after them; bare slashes are none."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(PATH), 1), lambda x: F.regexp_replace(x, r"[.,;:)]+$", ""))
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin("", "/", "//")))
+
+
+def literals(text: Column) -> Column:
+    """What a text could make up and present as real: its quoted spans, then its paths."""
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(LITERAL), 1), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(F.concat(quoted, paths_in(text)), lambda x: x != ""))
+
+
 def ungrounded_literals(text: Column, corpus: Column) -> Column:
-    """Quoted literals of a text that its corpus does not contain."""
-    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(LITERAL), 1)), lambda x: ~F.contains(F.lower(corpus), F.lower(x)))
+    """Literals of a text that its corpus does not contain as they are."""
+    return F.filter(literals(text), lambda x: ~F.contains(corpus, x))
+
+
+# What counts as a line's end, and the marks that open and close code.
+LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+CODE_OPENS = r"[ \t]*(?:(`{3,})[^`\n]*|(~{3,}).*)"
+CODE_CLOSES = r"[ \t]*(`{3,}|~{3,})[ \t]*"
+# End of fixed values
+
+
+def _code_lines(lines: list[str]) -> Iterator[str]:
+    """For each line its part: `mark` opens or closes code, `code` lies inside, `text` outside. Code that is not closed goes on."""
+    mark = ""
+    for line in lines:
+        if mark:
+            m = re.fullmatch(CODE_CLOSES, line)
+            closes = m and m[1].startswith(mark)
+            yield "mark" if closes else "code"
+            mark = "" if closes else mark
+        else:
+            m = re.fullmatch(CODE_OPENS, line)
+            mark = (m[1] or m[2]) if m else ""
+            yield "mark" if m else "text"
 
 
 def normalize_text(text: str | None) -> str | None:
-    """Line breaks as \\n, no controls or BOM, NFC, blanks cut at line ends (two stay outside fences: a hard break), runs of
-    empty lines as one outside fences, no empty lines at the ends."""
+    """One form of a text: every kind of line end as \\n, other controls gone (unit separators as blanks), NFC, no empty lines
+    or byte-order marks before the first line. Outside code, blanks at line ends go, but for two before another line
+    with text (a hard break), and empty lines in a row become one. No white space at the end."""
     if text is None:
         return None
-    text = unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").replace(" ", "\n").replace(" ", "\n").lstrip("﻿"))
-    text = "".join(c for c in text if c in "\n\t" or unicodedata.category(c) != "Cc")
+    text = re.sub(LINE_ENDS, "\n", text).replace("\x1f", " ")
+    text = unicodedata.normalize("NFC", re.sub(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]", "", text))
+    lines = re.sub(r"\A(?:\ufeff*\s*\n)*\ufeff*", "", text).split("\n")
     out: list[str] = []
-    fenced = False
-    for line in text.split("\n"):
-        cut = line.rstrip(" \t")
-        fence = cut.lstrip().startswith(("```", "~~~"))
-        if not fenced and not fence and cut and line.endswith("  "):
-            cut += "  "
-        if fence:
-            fenced = not fenced
-        if cut or fenced or (out and out[-1]):
+    for line, part, after in zip(lines, _code_lines(lines), [*lines[1:], ""], strict=True):
+        cut = line.rstrip()
+        if part == "code":
+            out.append(line)
+        elif part == "mark":
             out.append(cut)
-    return "\n".join(out).strip("\n")
+        elif cut:
+            out.append(cut + "  " if re.fullmatch("  +", line[len(cut) :]) and after.strip() else cut)
+        elif not out or out[-1]:
+            out.append("")
+    return "\n".join(out).rstrip()
 
 
 def chunk_bounds(text: str, most: int = 1200, overlap: int = 120) -> list[tuple[int, int]]:
-    """Ends of chunks at the last paragraph, else line, else blank, else anywhere but before a combining mark; the next
-    chunk starts `overlap` before, moved on to a word."""
+    """Start and end of each chunk. One that is not the last ends after the last empty line in its window, else after the last
+    line end, else after the last white space, else anywhere but before a combining mark; it is longer than `overlap`
+    and not blank. The next starts exactly `overlap` before its end. Windows of white space give no chunk."""
+    if not 0 <= overlap < most:
+        raise ValueError("overlap must be at least 0 and less than the longest chunk")
+    ends = [[m.start() + k for m in re.finditer(p, text)] for p, k in ((r"(?=\n\n)", 2), (r"\n", 1), (r"\s", 1))]
+    mark = lambda i: unicodedata.category(text[i]).startswith("M")
     out, start, n = [], 0, len(text)
     while start < n:
-        end = min(n, start + most)
-        if end < n:
-            half = start + most // 2
-            for mark in ("\n\n", "\n", " "):
-                at = text.rfind(mark, half, end)
-                if at > start:
-                    end = at
-                    break
-            else:
-                while end > start + 1 and unicodedata.combining(text[end]):
-                    end -= 1
+        limit = min(start + most, n)
+        said = re.compile(r"\S").search(text, start, limit)
+        if not said:
+            start = limit
+            continue
+        if limit == n:
+            return [*out, (start, n)]
+        low = max(start + overlap, said.start())
+        last = (places[k - 1] for places in ends if (k := bisect_right(places, limit)) and places[k - 1] > low)
+        end = next(last, None)
+        if end is None:
+            free = next((i for i in range(limit, low, -1) if not mark(i)), limit)
+            end = free
         out.append((start, end))
-        if end >= n:
-            break
-        back = max(start + 1, end - overlap)
-        word = re.compile(r"\s").search(text, back, end)
-        start = word.end() if word else back
-        while start < n and (text[start].isspace() or unicodedata.combining(text[start])):
-            start += 1
+        start = end - overlap
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.requests import attribute
+from ..sources.scratch import written
 
 #: Weights that rank candidate paths, and the factor of edges that are only configured.
 WEIGHTS = {"accesses": 1.0, "forwards": 1.0, "communicates_with": 0.9, "authenticates_to": 0.9, "connects_to": 0.5, "depends_on": 0.6, "hosts": 0.3, "executes": 0.2}
@@ -97,7 +98,8 @@ def candidate_paths(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_hop
 
     Paths grow by one join a hop, for all pairs at once. `found` orders them as a breadth-first search meets them: by hops,
     then by the places of their edges in the order of target and type. A search stops expanding once max_paths are found,
-    so the paths of the expansion that reaches the bound stay, and later expansions go."""
+    so the paths of the expansion that reaches the bound stay, and later expansions go. Each hop is written once; pairs that
+    have enough paths drop out before the next, and the search ends when no pair is open."""
     if max_hops < 1 or max_paths < 1:
         raise ValueError("max_hops and max_paths must be positive")
     known = nodes.select("node_id").distinct()
@@ -108,15 +110,22 @@ def candidate_paths(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_hop
         edges = edges.where("basis = 'observed'")
     place = F.row_number().over(Window.partitionBy("source").orderBy("target", "edge_type"))
     steps = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("edge_type").alias("e"), edge_weight(F.col("edge_type"), F.col("basis")).alias("w"), place.alias("place"))
+    steps = written(steps, "steps")
     strings, numbers, doubles = (F.array().cast(f"array<{k}>") for k in ("string", "int", "double"))
     open_ = ends.select("source", "target", F.array("source").alias("nodes"), strings.alias("edge_types"), doubles.alias("weights"), numbers.alias("places"), F.col("source").alias("at"))
     same = open_.where("source = target").drop("at").withColumn("score", F.lit(1.0))
     open_, found = open_.where("source <> target"), []
-    for _ in range(max_hops):
+    for hop in range(max_hops):
         grown = open_.join(steps, (F.col("at") == F.col("s")) & ~F.array_contains("nodes", F.col("t")))
         grown = grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("edge_types", F.array("e")).alias("edge_types"), F.concat("weights", F.array("w")).alias("weights"), F.concat("places", F.array("place")).alias("places"), F.col("t").alias("at"))
+        grown = written(grown, "hop")
         found.append(grown.where("at = target").drop("at"))
-        open_ = grown.where("at <> target")
+        if hop + 1 == max_hops:
+            break
+        enough = reduce(lambda a, b: a.unionByName(b), found).groupBy("source", "target").agg(F.count("*").alias("n")).where(F.col("n") >= max_paths)
+        open_ = grown.where("at <> target").join(enough, ["source", "target"], "left_anti")
+        if open_.limit(1).count() == 0:
+            break
     score = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x) / F.size("weights")
     every = reduce(lambda a, b: a.unionByName(b), found).withColumn("score", score)
     pair = Window.partitionBy("source", "target")

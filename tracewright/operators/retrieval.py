@@ -2,49 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.scratch import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Vectors, and queries, that meet in one matrix product.
+BLOCK_ROWS = 2048
 HIT_WINDOW, CHUNKS_SHOWN, RRF_K, SCORE_DIGITS = 100, 3, 60, 12
 
 
-def postings(chunks: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """doc_id, ordinal, term, dl (the chunk's words), f (occurrences) for each word of a chunk; of the terms in only, where
-    given, and those are picked before anything is shuffled."""
-    said = chunks.select("doc_id", "ordinal", words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    each = said.select("doc_id", "ordinal", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    if only is not None:
-        each = each.join(only, "term", "left_semi")
-    return each.groupBy("doc_id", "ordinal", "term", "dl").agg(F.count("*").alias("f"))
+def _said(chunks: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """doc_id, ordinal, w: the words of the fields, one field after the other with an empty word between."""
+    each = [words(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+    gap = F.array(F.lit(""))
+    return chunks.select("doc_id", "ordinal", reduce(lambda a, b: F.concat(a, gap, b), each).alias("w"))
 
 
-def phrase_hits(chunks: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
+def postings(chunks: DataFrame, only: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, ordinal, term, dl (the chunk's words), f (occurrences) for each of the wanted terms (term) that a chunk holds,
+    and one row with an empty term for the chunk itself. Texts are taken apart once, and terms are picked before anything
+    is shuffled."""
+    said = _said(chunks, fields)
+    dl = F.size("w") - (len(fields) - 1)
+    each = said.select("doc_id", "ordinal", dl.alias("dl"), F.explode(F.concat(F.filter("w", lambda x: x != ""), F.array(F.lit("")))).alias("term"))
+    wanted = only.select("term").union(only.sparkSession.createDataFrame([("",)], "term string"))
+    return each.join(wanted, "term", "left_semi").groupBy("doc_id", "ordinal", "term", "dl").agg(F.count("*").alias("f"))
+
+
+def phrase_hits(chunks: DataFrame, phrases: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
     """Occurrences of whole phrases (term, several words with blanks) in chunks: doc_id, ordinal, term, dl, f.
 
     Each word of a phrase meets its occurrences, moved back by its place in the phrase; where all words meet, the phrase
-    starts. Rows hold positions only, never a chunk's other words."""
-    said = chunks.select("doc_id", "ordinal", words(F.coalesce(F.col(text), F.lit(""))).alias("w")).select("doc_id", "ordinal", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "word"))
+    starts. Rows hold positions only, never a chunk's other words; no phrase goes from one field into the next."""
+    said = _said(chunks, fields).select("doc_id", "ordinal", (F.size("w") - (len(fields) - 1)).alias("dl"), F.posexplode("w").alias("pos", "word"))
     asked = phrases.select("term").distinct().select("term", F.size(F.split("term", " ")).alias("n"), F.posexplode(F.split("term", " ")).alias("k", "word"))
     starts = said.join(asked, "word").groupBy("doc_id", "ordinal", "dl", "term", "n", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met")).where("met = n")
     return starts.groupBy("doc_id", "ordinal", "term", "dl").agg(F.count("*").alias("f"))
 
 
-def bm25_hits(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
+def bm25_hits(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
     """query_id, doc_id, ordinal, score of all chunks that hold a term of a query (query_id, term).
 
-    Only the queries' terms are kept of the postings before anything is summed; the totals are one row, and term
-    statistics join by term. Scores are rounded to 9 digits, so that equal texts tie whatever order they were summed in."""
+    The postings of the queries' terms and a row for each chunk are written once; counts of chunks, mean length and term
+    statistics come from them, so texts are scanned once (twice if a query asks for a phrase). Scores are rounded to 9
+    digits, so that equal texts tie whatever order they were summed in."""
     terms = queries.select("query_id", "term").distinct()
-    single = terms.where("not contains(term, ' ')").select("term").distinct()
-    posted = postings(chunks, text, single)
+    posted = postings(chunks, terms.where("not contains(term, ' ')").select("term").distinct(), fields)
     several = terms.where("contains(term, ' ')")
-    posted = posted.unionByName(phrase_hits(chunks, several, text))
-    size = chunks.agg(F.count("*").alias("N"), F.avg(F.size(words(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
+    if several.limit(1).count():
+        posted = posted.unionByName(phrase_hits(chunks, several, fields))
+    posted = written(posted, "postings")
+    size = posted.where("term = ''").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    posted = posted.where("term <> ''")
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
@@ -76,9 +94,9 @@ def ranked(scores: DataFrame, limit: int, *ties: str | Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int = 10, how: str = "best_chunk", allowed: Column | None = None, text: str = "text") -> DataFrame:
-    """Ranked documents for each query."""
-    hits = hit_window(bm25_hits(chunks, queries, text))
+def search(chunks: DataFrame, queries: DataFrame, limit: int = 10, how: str = "best_chunk", allowed: Column | None = None, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Ranked documents for each query, over the words of the fields (title and text, say)."""
+    hits = hit_window(bm25_hits(chunks, queries, fields))
     return ranked(fold(hits if allowed is None else hits.where(allowed), how), limit)
 
 
@@ -101,16 +119,58 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _blocks(rows: DataFrame, names: list[str], vector: str) -> DataFrame:
+    """Rows of one vector length packed as they come: names as arrays, vectors as one matrix of doubles."""
+    kinds = ", ".join(f"{n} array<{rows.schema[n].dataType.simpleString()}>" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                b = whole.slice(at, BLOCK_ROWS)
+                sizes = pa.compute.list_value_length(b.column(vector)).to_numpy()
+                for size in np.unique(sizes).tolist():
+                    own = b.filter(pa.array(sizes == size))
+                    flat = own.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    lists = [pa.array([own.column(n).to_pylist()], pa.list_(own.column(n).type)) for n in names]
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([size], pa.int32()), pa.array([flat.tobytes()], pa.binary())], [*names, "size", "matrix"])
+
+    return rows.select(*names, vector).mapInArrow(run, f"{kinds}, size int, matrix binary")
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, chunks: int = CHUNKS_SHOWN, digits: int = 9) -> DataFrame:
     """Documents by their best chunk's cosine with each query (query_id, q) over vectors (doc_id, ordinal, v): a stated set of
-    queries against all rows.
+    queries against all rows, block by block.
 
-    Each task keeps the best of its rows before anything is shuffled: the window's limit is applied below the exchange."""
+    A block of queries meets a block of vectors in one matrix product, which passes on the block's best documents of each
+    query only. The chunks to show are then looked up for the documents that are left."""
     own = vectors.select("doc_id", "ordinal", unit(F.col("v")).alias("v")).where("v is not null")
     asked = queries.select("query_id", unit(F.col("q")).alias("q")).where("q is not null")
-    scored = own.crossJoin(asked).select("query_id", "doc_id", "ordinal", F.round(dot(F.col("v"), F.col("q")), digits).alias("score"))
-    best = scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("ordinal")).alias("o"))), asc=False), 1, chunks).alias("c"))
-    return ranked(best.select("query_id", "doc_id", "score", F.transform("c", lambda x: -x["o"]).alias("ordinals")), limit)
+    left = _blocks(asked, ["query_id"], "q").withColumnRenamed("matrix", "qm").withColumnRenamed("size", "qs")
+    met = _blocks(own, ["doc_id"], "v").join(left, F.col("size") == F.col("qs"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {n: b.column(n)[k].as_py() for n in ("doc_id", "query_id", "size", "matrix", "qm")}
+                v, q = (np.frombuffer(row[m]).reshape(-1, row["size"]) for m in ("matrix", "qm"))
+                score = np.round(q @ v.T, digits)
+                docs = np.array(row["doc_id"], dtype=object) if isinstance(row["doc_id"][0], str) else np.array(row["doc_id"])
+                order = np.argsort(docs, kind="stable")
+                docs, score = docs[order], score[:, order]
+                first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+                score, docs = np.maximum.reduceat(score, first, axis=1), docs[first]
+                top = np.argsort(-score, axis=1, kind="stable")[:, :limit]  # ties by document
+                names = np.repeat(np.arange(len(top)), top.shape[1])
+                cols = [pa.array([row["query_id"][i] for i in names], b.schema.field("query_id").type.value_type), pa.array(docs[top.ravel()].tolist(), b.schema.field("doc_id").type.value_type), pa.array(np.take_along_axis(score, top, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "doc_id", "score"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    near = met.mapInArrow(best, f"query_id {kind(asked, 'query_id')}, doc_id {kind(own, 'doc_id')}, score double")
+    found = written(ranked(near.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), limit), "nearest")
+    seen = found.select("query_id", "doc_id").join(own, "doc_id").join(asked, "query_id").where(F.size("v") == F.size("q"))
+    shown = seen.select("query_id", "doc_id", F.struct((-F.round(dot(F.col("v"), F.col("q")), digits)).alias("s"), "ordinal").alias("c"))
+    shown = shown.groupBy("query_id", "doc_id").agg(F.transform(F.slice(F.array_sort(F.collect_list("c")), 1, chunks), lambda c: c["ordinal"]).alias("ordinals"))  # of one document
+    return found.join(shown, ["query_id", "doc_id"])
 
 
 def fuse(lanes: list[tuple[str, DataFrame]], limit: int = 10, k: int = RRF_K) -> DataFrame:
