@@ -89,7 +89,7 @@ def within_budget(terms: Column, most: int = 1000) -> Column:
 def shortened(text: Column, most: int, mark: str = " […]") -> Column:
     """Text cut at the last blank before `most` characters, with a mark; a shorter text as it is."""
     head = F.substring(text, 1, most)
-    cut = F.regexp_replace(head, r"\s+\S*\z", "")
+    cut = F.regexp_replace(head, r"[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]*\z", "")
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(cut == "", head).otherwise(cut), F.lit(mark)))
 
 

@@ -21,9 +21,10 @@ def ranking_measures(run: DataFrame, judged: DataFrame, cuts: tuple[int, ...] =
 
 
 def mean_measures(each: DataFrame, groups: list[str], cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """Means over all queries and by each of the groups, in one pass: kind (the group's column or all), value, n, means."""
+    """Means over all queries and by each of the groups, in one pass: kind (the group's column or all), value, n,
+    queries with a hit (hit_at_k) and with all that is relevant (full_at_k), means."""
     means = [F.avg(f"recall_at_{k}").alias(f"recall_at_{k}") for k in cuts] + [F.avg("reciprocal_rank").alias("mrr")]
-    sums = each.groupingSets([[], *[[g] for g in groups]], *groups).agg(F.count("*").alias("n"), *[F.count_if(F.col(f"recall_at_{k}") > 0).alias(f"hit_at_{k}") for k in cuts], *means, *[F.grouping(g).alias(f"_{g}") for g in groups])
+    sums = (each.groupingSets([[], *[[g] for g in groups]], *groups) if groups else each.groupBy()).agg(F.count("*").alias("n"), *[F.count_if(F.col(f"recall_at_{k}") > 0).alias(f"hit_at_{k}") for k in cuts], *[F.count_if(F.col(f"recall_at_{k}") == 1).alias(f"full_at_{k}") for k in cuts], *means, *[F.grouping(g).alias(f"_{g}") for g in groups])
     kind, value = F.lit("all"), F.lit(None).cast("string")
     for g in groups:
         kind, value = F.when(F.col(f"_{g}") == 0, g).otherwise(kind), F.when(F.col(f"_{g}") == 0, F.col(g).cast("string")).otherwise(value)

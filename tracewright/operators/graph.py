@@ -88,6 +88,49 @@ def build_graph(events: DataFrame, environment: DataFrame | None = None) -> tupl
     return merge_nodes(union(nodes)), merge_edges(union(edges))
 
 
+def ordered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph in the order of its files: nodes by id, edges by source, target and type."""
+    return nodes.orderBy("node_id"), edges.orderBy("source", "target", "edge_type")
+
+
+def mapped_labels(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """labels (…, label) with the node_id each stands for: the container of that name, else the only node that has the name;
+    null where neither is, and for the attacker, who is outside the graph."""
+    ids = nodes.select(F.col("node_id").alias("_c")).distinct()
+    single = nodes.groupBy(F.col("name").alias("_n")).agg(F.min("node_id").alias("_id"), F.count("*").alias("_k")).where("_k = 1")
+    rows = labels.join(ids, F.concat(F.lit("container:"), "label") == F.col("_c"), "left").join(single, F.col("label") == F.col("_n"), "left")
+    return rows.withColumn("node_id", F.when(F.col("label") != "attacker", F.coalesce("_c", "_id"))).drop("_c", "_n", "_id", "_k")
+
+
+#: Names under which the services of a true path appear in a graph.
+SERVICES = {"nginx": ["nginx"], "api": ["autoshield-api", "service api", " api"], "postgres": ["postgres", "postgresql"]}
+
+
+def service_nodes(nodes: DataFrame) -> DataFrame:
+    """service, node_id: the only service node that says the service's name, else the first node (by position) whose id holds it."""
+    said = F.lower(F.concat_ws(" ", "name", F.map_values("attributes")))
+    rows = None
+    for service, names in SERVICES.items():
+        named = reduce(lambda a, b: a | b, [F.contains(said, F.lit(n)) for n in names])
+        in_id = reduce(lambda a, b: a | b, [F.contains(F.lower("node_id"), F.lit(n)) for n in names])
+        kind = (F.lower("node_type") == "service") | F.lower("node_id").startswith("service:") | F.lower("node_id").startswith("svc:")
+        own = nodes.select(F.lit(service).alias("service"), "node_id", "position", (named & kind).alias("sure"), (F.contains(F.lower("node_id"), F.lit(service)) & (named | in_id)).alias("maybe"))
+        rows = own if rows is None else rows.union(own)
+    sums = rows.groupBy("service").agg(F.count_if("sure").alias("n"), F.min(F.when(F.col("sure"), F.col("node_id"))).alias("one"), F.min_by("node_id", F.when(F.col("maybe"), F.col("position"))).alias("other"), F.bool_or("maybe").alias("any"))
+    return sums.select("service", F.when(F.col("n") == 1, F.col("one")).when(F.col("any"), F.col("other")).alias("node_id")).where("node_id is not null")
+
+
+def service_path(labels: DataFrame, services: DataFrame) -> DataFrame:
+    """case_id, nodes: true paths (case_id, position, label) as service nodes, in order, without the attacker, labels of no
+    service, and repeats in a row."""
+    text = F.lower("label")
+    named = F.when(text == "attacker", None).when(F.contains(text, F.lit("nginx")), "nginx").when(F.contains(text, F.lit("postgres")) | F.contains(text, F.lit("database")), "postgres").when(F.contains(text, F.lit("autoshield-api")) | (text == "api"), "api")
+    rows = labels.withColumn("service", named).join(services, "service")
+    before = F.lag("node_id").over(Window.partitionBy("case_id").orderBy("position"))
+    kept = rows.withColumn("_before", before).where("_before is null or _before <> node_id")
+    return kept.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "node_id"))), lambda x: x["node_id"]).alias("nodes"))  # of one path
+
+
 def edge_weight(edge_type: Column, basis: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
     return F.coalesce(F.element_at(table, edge_type), F.lit(OTHER_WEIGHT)) * F.when(basis == "observed", 1.0).otherwise(CONFIGURED)

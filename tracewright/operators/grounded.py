@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import claims, text
+from ..sources.scratch import written
 
 # Keys and allowed values of answers and plans, and the names of issues that screens give.
 ANSWER_KEYS = ["schema_version", "incident_id", "observed_evidence", "hypotheses", "reference_guidance", "reference_relevance", "evidence_gaps", "limitations"]
@@ -95,7 +96,7 @@ def citations(cited: DataFrame, context: Context, barred: DataFrame | None = Non
         .when(F.size(F.array_remove("kinds", "conflicting")) > 0, "category_mixing")
         .otherwise(F.concat(F.lit("unknown_"), F.col("expected"), F.lit("_id")))
     )
-    rows = rows.withColumn("code", code)
+    rows = written(rows.withColumn("code", code), "cited")
     return rows.where("code is not null").select("incident_id", "location", "code", F.col("id").alias("detail")), rows.where("code is null").select("incident_id", "item", "id", "expected")
 
 
@@ -174,6 +175,13 @@ def _names(v: Column, path: str) -> Column:
     return F.when(F.forall(each, lambda x: _is(x, "STRING") & (F.trim(F.coalesce(_get(x, "$", "string"), F.lit(""))) != "")), _get(v, path, "array<string>"))
 
 
+ITEMS = "array<struct<section:string,k:int,location:string,json:string>>"
+
+
+def _numbered_in(section: str):
+    return lambda v, k: F.struct(F.lit(section).alias("section"), k.alias("k"), F.concat(F.lit(section + "["), k.cast("string"), F.lit("]")).alias("location"), F.to_json(v).alias("json"))
+
+
 def answer_checks(answers: DataFrame, context: Context) -> DataFrame:
     """Every issue of answers (incident_id, response: JSON text)."""
     parsed = answers.select("incident_id", F.try_parse_json(F.trim("response")).alias("body"), F.lit("answer").alias("location"))
@@ -184,12 +192,13 @@ def answer_checks(answers: DataFrame, context: Context) -> DataFrame:
     out.append(issue(rows, ~_get(body, "$.schema_version", "string").eqNullSafe(F.lit(VERSION)), "invalid_value", "schema_version"))
     out.append(issue(rows, ~_get(body, "$.incident_id", "string").eqNullSafe(F.col("incident_id")), "wrong_incident", F.lit("incident_id")))
 
-    items: dict[str, DataFrame] = {}
-    for section in [*SECTIONS, *FREE_SECTIONS]:
-        listed = _get(body, f"$.{section}", "array<variant>")
-        out.append(issue(rows, listed.isNull(), "invalid_structure", section))
-        each = rows.select("incident_id", F.posexplode(listed).alias("k", "v"))
-        items[section] = each.select("incident_id", F.concat(F.lit(section + "["), F.col("k").cast("string"), F.lit("]")).alias("location"), "k", "v")
+    names = [*SECTIONS, *FREE_SECTIONS]
+    listed = {n: _get(body, f"$.{n}", "array<variant>") for n in names}
+    out += [issue(rows, listed[n].isNull(), "invalid_structure", n) for n in names]
+    each = F.concat(*[F.coalesce(F.transform(listed[n], _numbered_in(n)), F.array().cast(ITEMS)) for n in names])
+    # taken apart once; every rule reads its section
+    every = written(rows.select("incident_id", F.explode(each).alias("x")).select("incident_id", "x.*"), "items")
+    items = {n: every.where(F.col("section") == n).withColumn("v", F.parse_json("json")) for n in names}
     for section, keys in SECTIONS.items():
         out.append(_keys(items[section], "v", keys))
         items[section] = items[section].where(_whole("v", keys))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import numbered
+
 #: Places of levels when proposals are ranked.
 SEVERITY = ["high", "medium", "low", "unknown"]
 DISRUPTION = ["low", "medium", "high", "unknown"]
@@ -46,11 +48,17 @@ def ambiguous_ids(catalog: DataFrame) -> DataFrame:
 
 
 def merge_facts(facts: DataFrame) -> DataFrame:
-    """One row for each (subject, attribute, value): flags or-ed, evidence united, and an id in order of the three."""
+    """One row for each (subject, attribute, value): flags or-ed and evidence united."""
     merged = facts.groupBy("subject", "attribute", "value").agg(F.bool_or("single_valued").alias("single_valued"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"))
     return merged
 
 
+def numbered_facts(facts: DataFrame, prefix: str = "CFG-") -> DataFrame:
+    """Merged facts with their fact_id: prefix and place in the order of subject, attribute and value."""
+    out = numbered(facts, "_n", "subject", "attribute", "value")
+    return out.withColumn("fact_id", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
+
+
 def fact_conflicts(facts: DataFrame) -> DataFrame:
     """Single-valued (subject, attribute) with several values."""
     sums = facts.groupBy("subject", "attribute").agg(F.bool_or("single_valued").alias("single"), F.array_sort(F.collect_set("value")).alias("values"))

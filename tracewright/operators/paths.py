@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 from .graph import adjusted_score, path_coverage
 
 
+def depth_first_paths(edges: DataFrame, ends: DataFrame, max_hops: int = 8, limit: int = 100) -> DataFrame:
+    """The first `limit` simple paths of each (source, target) of ends as a depth-first search meets them: source, target,
+    nodes, positions of their edges, place.
+
+    edges are (source, target, position in the file). Depth first is the order of the arrays of positions, so paths grow
+    by one join a hop for all pairs, each hop is written once, and the order is taken at the end."""
+    steps = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("position").alias("p"))
+    open_ = ends.select("source", "target", F.array("source").alias("nodes"), F.array().cast("array<bigint>").alias("positions"), F.col("source").alias("at"))
+    found = [open_.where("source = target")]
+    open_ = open_.where("source <> target")
+    for hop in range(max_hops):
+        grown = open_.join(steps, (F.col("at") == F.col("s")) & ~F.array_contains("nodes", F.col("t")))
+        grown = written(grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("positions", F.array(F.col("p").cast("long"))).alias("positions"), F.col("t").alias("at")), "deep")
+        found.append(grown.where("at = target"))
+        open_ = grown.where("at <> target")
+        if hop + 1 == max_hops or open_.limit(1).count() == 0:
+            break
+    every = reduce(lambda a, b: a.unionByName(b), found).drop("at")
+    place = F.row_number().over(Window.partitionBy("source", "target").orderBy("positions"))
+    return every.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def path_scores(paths: DataFrame) -> DataFrame:
     """paths (case, nodes, weights, bases, coherence, position) with evidence, guided, observed share and adjusted score."""
     mean = F.when(F.size("weights") > 0, F.aggregate("weights", F.lit(0.0), lambda a, x: a + x) / F.size("weights")).otherwise(0.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.requests import attribute, interpretation, stage, suspicious
 from ..functions.text import decoded_twice
+from ..sources.scratch import numbered
 
 NEAR_SECONDS = 5.0
 
@@ -21,9 +22,13 @@ def timeline(events: DataFrame) -> DataFrame:
 
 
 def numbered_ids(rows: DataFrame, prefix: str, name: str, *order: Column | str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sequential ids in an order, `prefix_001` on; by: columns of the group that is numbered, such as the incident."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn(name, F.concat(F.lit(prefix + "_"), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0"))))
+    """Sequential ids in an order, `prefix_001` on; by: columns of the group that is numbered, such as the incident. Without
+    one, all rows are numbered range by range."""
+    if by:
+        rows, n = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))), F.col("_n")
+    else:
+        rows, n = numbered(rows, "_n", *order), F.col("_n")
+    return rows.withColumn(name, F.concat(F.lit(prefix + "_"), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), F.lit("0")))).drop("_n")
 
 
 def requests(events: DataFrame) -> DataFrame:

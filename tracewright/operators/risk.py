@@ -98,6 +98,13 @@ def strongest(rows: DataFrame, key: str, features: list[str], top: int = 5) -> D
     return rows.select(key, F.slice(F.array_sort(listed, lambda a, b: F.when(F.abs(a["phi"]) > F.abs(b["phi"]), -1).when(F.abs(a["phi"]) < F.abs(b["phi"]), 1).otherwise(F.when(a["feature"] < b["feature"], -1).otherwise(1))), 1, top).alias("top"))
 
 
+def output_issue(value: Column, meaning: str) -> Column:
+    """Why a model's output breaks its contract, or null: it must be finite, and a risk_probability lies within 0 and 1."""
+    odd = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    outside = (value < 0) | (value > 1)
+    return F.when(odd, "not_finite").when(outside & F.lit(meaning == "risk_probability"), "out_of_range")
+
+
 def bayesian_draws(train: DataFrame, rows: DataFrame, features: list[str], label: str, key: str, draws: int = 500, sample: int = 20_000, hidden: int = 8, epochs: int = 300, patience: int = 60, seed: int = 7) -> DataFrame:
     """key, draw, probability: posterior draws of a small network whose weights are Gaussians, fitted by back-propagation
     through their samples.

@@ -144,11 +144,6 @@ def q_integrity(spark, d):
     return store.integrity(chunks, docs.select("doc_id", F.col("text").alias("content")))
 
 
-@query("select count(*) as n_documents from documents")
-def q_corpus_fingerprint(spark, d):
-    return store.corpus_fingerprint(table(spark, d, "documents")).select("n_documents")
-
-
 @query("select vec_id, label is not null as cached from embeddings where label is null or label <> 3 union all select vec_id, false from embeddings where label = 3")
 def q_reuse_vectors(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.coalesce("label", F.lit(3)).alias("label"), F.sha2(F.col("vec_id").cast("string"), 256).alias("entry_key"), "embedding")
@@ -249,12 +244,7 @@ def q_edge_scores(spark, d):
 @query()
 def q_posterior_draws(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("toxic").alias("y"), (F.coalesce("n_chars", F.lit(0)) / 5000.0).alias("size"), F.col("quality").cast("double").alias("q"))
-    return risk.posterior_summary(risk.bayesian_draws(rows, rows, ["size", "q"], "y", "doc_id", draws=50, epochs=100), "doc_id", "probability")
-
-
-@query("select distinct user_id, event_type from events")
-def q_first_seen(spark, d):
-    return windows.first_seen(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts").select("user_id", "event_type")
+    return risk.posterior_summary(risk.bayesian_draws(rows, rows, ["size", "q"], "y", "doc_id"), "doc_id", "probability")
 
 
 @query("select user_id, max_by(event_id, (ts, event_id)) as event_id from events group by 1")
@@ -262,23 +252,11 @@ def q_latest(spark, d):
     return windows.latest(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
-@query("select doc_id, case when len(text) <= 200 then text when regexp_matches(substr(text, 1, 200), '^\\S*$') then substr(text, 1, 200) || ' […]' else regexp_replace(substr(text, 1, 200), '\\s+\\S*$', '') || ' […]' end as short from documents where text is not null and ascii(text) > 0 and not regexp_matches(text, '[^ -~\\n]')")
-def q_shortened(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.col("text") != "") & ~F.col("text").rlike(r"[^ -~\n]"))
-    return docs.select("doc_id", text.shortened(F.col("text"), 200).alias("short"))
-
-
 @query("select doc_id, ceil(len(text) / 3.0)::bigint as tokens from documents where text is not null")
 def q_token_estimate(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", text.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("select conv_id, turn, 'password=[REDACTED] ' || turn as said from conversations")
-def q_redacted(spark, d):
-    said = F.concat(F.lit("password="), F.concat(F.lit("p"), "conv_id"), F.lit(" "), "turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", text.redact_credentials(said).alias("said"))
-
-
 @query("""
     with s as (select region.r_regionkey as k, n_name as f, n_nationkey as v from region join nation on n_regionkey = r_regionkey)
     select k, count(*) as n, count(*) filter (v > 10) as n_known from s group by k

@@ -388,11 +388,6 @@ def q_stated_facts(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(methods).alias("n_methods"), F.size(statuses).alias("n_statuses"))
 
 
-@query()
-def q_claim_screen(spark, d):
-    return claims.screen_claims(table(spark, d, "documents"), "doc_id", "text")
-
-
 # Stores, facts and references --------------------------------------------------------------------------------------
 
 
@@ -497,16 +492,6 @@ def q_preconditions(spark, d):
     return out.select("doc_id", "first_unmet", "ready", F.size(F.filter("checks", lambda c: c["evaluated"])).alias("n_evaluated"))
 
 
-@query("""
-    select doc_id, case when toxic = 1 and quality = 0 then 'inconclusive' when toxic = 1 then 'blocked' when quality = 1 then 'supported' else 'inconclusive' end as decision,
-        case when toxic = 1 and quality = 0 then 'evidence_id_ambiguous' when toxic = 1 then 'blocked_execution' when quality = 1 then 'rules_confirmed' else 'rule_not_confirmed' end as reason from labels
-""")
-def q_judge(spark, d):
-    bad, good, toxic = F.lit(False), F.col("quality") == 1, F.col("toxic") == 1
-    rows = table(spark, d, "labels").select("doc_id", F.when(toxic, "blocked").otherwise("objective_not_observed").alias("status"), F.lit(None).cast("string").alias("reason_code"), bad.alias("mode_conflict"), (toxic & ~good).alias("id_collision"), bad.alias("roles_conflict"), F.lit(0).alias("n_dangling"), good.alias("rule_confirmed"), F.lit("live").alias("provenance"), F.lit(None).cast("string").alias("claim"), F.lit(1).alias("n_proposals"), bad.alias("attested"))
-    return rules.judge(rows).select("doc_id", "decision", F.get("reason_codes", F.lit(0)).alias("reason"))
-
-
 @query("""
     select l_suppkey, count(*) as n_draws, round(avg(l_discount * 8), 6) as mean, round(stddev_pop(l_discount * 8), 6) as std, round(quantile_cont(l_discount * 8, 0.05), 6) as q05, round(quantile_cont(l_discount * 8, 0.95), 6) as q95,
         case when avg(l_discount * 8) < 0.33 then 'low' when avg(l_discount * 8) < 0.67 then 'medium' else 'high' end as band from lineitem group by 1

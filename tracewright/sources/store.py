@@ -52,15 +52,24 @@ def chunk_digests(chunks: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_chunks", F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), ((F.col("top") == F.col("n_chunks") - 1) & (F.col("d") == F.col("n_chunks"))).alias("valid"))
 
 
-def corpus_fingerprint(documents: DataFrame, parts: int = 256) -> DataFrame:
-    """One digest of a corpus from sorted `doc_id<tab>sha` lines: of hash buckets first, then of the buckets' digests, so
-    that no task sees all lines."""
-    line = F.concat_ws("\t", "doc_id", F.sha2("text", 256))
-    rows = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("bucket"), line.alias("line"))
-    # lines are summed by bucket as digests, which add up in any order
-    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring(F.sha2("line", 256), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)])
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "n", *[f"s{k}" for k in range(4)]))), lambda x: x), "\n")
-    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"), F.sha2(whole, 256).alias("fingerprint"))
+def _lines(documents: DataFrame) -> Column:
+    return F.concat_ws("\t", "doc_id", F.sha2("text", 256))
+
+
+def corpus_fingerprint(documents: DataFrame) -> DataFrame:
+    """n_documents and the SHA-256 of a corpus's sorted `doc_id<tab>sha` lines, as stored fingerprints have it. The lines come
+    together in one row, which suits a reference corpus; a large one is compared by corpus_checksum."""
+    lines = documents.select(_lines(documents).alias("line"))
+    return lines.agg(F.count("*").alias("n_documents"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("fingerprint"))
+
+
+def corpus_checksum(documents: DataFrame, parts: int = 256) -> DataFrame:
+    """n_documents and a checksum of a corpus of any size: its lines' digests are summed by hash bucket, in any order, then the
+    buckets' sums are digested."""
+    rows = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("bucket"), _lines(documents).alias("line"))
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring(F.sha2("line", 256), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(8)])
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "n", *[f"s{k}" for k in range(8)]))), "\n")  # of the buckets
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"), F.sha2(whole, 256).alias("checksum"))
 
 
 def integrity(chunks: DataFrame, documents: DataFrame) -> DataFrame:
