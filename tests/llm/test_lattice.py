@@ -69,3 +69,34 @@ def test_recall_on_table(spark, small):
     total = sum(w[0] for w in want.values())
     assert sum(got.values()) >= 0.9 * total
     assert lattice.link_vectors(df.where(F.lit(False))).count() == 0
+
+
+def test_blocks_of_a_large_group_and_many_copies(spark, monkeypatch):
+    """Cells that are dealt to many blocks, and many copies of one vector, give the links of comparing all."""
+    monkeypatch.setattr(lattice, "MEET", 16)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=32)
+    rows = [(i, [float(np.float32(x)) for x in base + rng.normal(size=32) * rng.choice([0.02, 0.1, 0.14])], 1) for i in range(150)]
+    rows += [(500 + i, rows[3][1], 1) for i in range(60)] + [(600 + i, rows[3][1], 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in lattice.link_vectors(df).collect()}
+    want = brute(rows)
+    assert sum(w[0] - got[i][0] for i, w in want.items()) <= 0.02 * sum(w[0] for w in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert all(got[i] == want[i] for i in want if i >= 600)
+
+
+def test_roots():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 3), (60, 40), (60, 200)):
+        p, q = rng.integers(0, n, m), rng.integers(0, n, m)
+        up = list(range(n))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in zip(p.tolist(), q.tolist(), strict=True):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        assert lattice._roots(n, p, q).tolist() == [root(x) for x in range(n)]
