@@ -145,3 +145,46 @@ def test_all_words_above_the_floor_keep_their_weight(spark):
     words, idf, rare = minhash.word_weights(spark.createDataFrame(rows, "doc_id long, text string").select("text"))
     assert len(words) == 70_000 and (words[1:] > words[:-1]).all()
     assert np.allclose(idf, 1 + math.log(7)) and rare > idf.max()
+
+
+def matrix_brute(docs, spark, least=0.8):
+    """Links of all pairs, from one row of shingle weights a text."""
+    ids = sorted(docs)
+    weights = minhash.word_weights(spark.createDataFrame(list(docs.items()), "doc_id long, text string").select("text"))
+    sets = minhash.Weigher(weights).shingles([docs[i] for i in ids])
+    names = {x: k for k, x in enumerate(sorted({x for keys, _ in sets for x in keys.tolist()}))}
+    rows = np.zeros((len(ids), len(names)))
+    for k, (keys, w) in enumerate(sets):
+        rows[k, [names[x] for x in keys.tolist()]] = w
+    total = rows.sum(1)
+    links = []
+    for k in range(len(ids)):
+        same = np.minimum(rows[k], rows[k + 1 :]).sum(1)
+        links += [(ids[k], ids[k + 1 + int(j)]) for j in np.flatnonzero(same / (total[k] + total[k + 1 :] - same) >= least)]
+    return links
+
+
+def test_no_link_is_lost_in_a_loose_group(spark):
+    """Six hundred altered copies, half of all pairs under 0.7: every link of 0.8 lies inside a class."""
+    rng = random.Random(31)
+    base, docs = say(rng, 320), {}
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.randrange(3, 6)):
+            words[rng.randrange(320)] = f"{rng.choice('abcdefghijklmnop')}{rng.randrange(400)}"
+        docs[i] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    links = matrix_brute(docs, spark)
+    assert len(links) > 100 and all(got[a] == got[b] for a, b in links)
+    assert len(set(got.values())) > 400
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    long = say(rng, 200_000)
+    near = list(long)
+    near[77] = "changed"
+    docs = {1: " ".join(long), 2: " ".join(near), 3: " ".join(long[:50]), 4: " ".join(long[:50])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
