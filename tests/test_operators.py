@@ -138,7 +138,7 @@ def test_timeline_and_correlation(spark):
     said = reconstruct.numbered_ids(reconstruct.claims(line), "claim", "claim_id", "observed_at", "event_id").collect()
     assert [r["claim_id"] for r in said] == ["claim_001", "claim_002", "claim_003", "claim_004"]
     cause = reconstruct.root_cause(line).first()
-    assert (cause["status"], cause["confidence"], len(cause["supporting_evidence_ids"])) == ("hypothesis_not_confirmed", 0.55, 4)
+    assert (cause["status"], cause["confidence"], cause["n_supporting"]) == ("hypothesis_not_confirmed", 0.55, 4)
     assert reconstruct.root_cause(line.where("event_id = 'auth-1'")).first()["status"] == "insufficient_evidence"
     assert reconstruct.unknown_references(reconstruct.claims(line), "evidence_ids", events(spark, rows[1:]), "event_id").first()["missing_id"] == "nginx-1"
 
@@ -208,7 +208,14 @@ def test_graph_construction(spark):
     assert kinds["ip:172.18.0.3"] == "observed" and kinds["service:api"] == "configured" and "ip:8.8.8.8" not in kinds
     got = {(r["source"], r["target"], r["edge_type"]): r for r in edges.collect()}
     assert set(got) == {("container:api", "service:api", "hosts"), ("container:api", "ip:172.18.0.3", "connects_to"), ("ip:10.0.0.9", "service:nginx", "accesses"), ("service:nginx", "service:api", "forwards"), ("ip:10.0.0.9", "ip:172.18.0.3", "communicates_with"), ("service:web", "service:api", "depends_on")}
-    assert got["ip:10.0.0.9", "service:nginx", "accesses"]["evidence_ids"] == ["n1", "n2"]
+    assert got["ip:10.0.0.9", "service:nginx", "accesses"]["n_evidence"] == 2
+    key = ("source", "target", "edge_type")
+    cited = graph.evidence_of(graph.graph_rows(events(spark, rows), env)[1], *key)
+    whole = {tuple(r[c] for c in key): r["evidence_ids"] for r in graph.exported(edges, cited, *key).collect()}
+    assert whole["ip:10.0.0.9", "service:nginx", "accesses"] == ["n1", "n2"] and whole["service:web", "service:api", "depends_on"] == []
+    line = events(spark, rows).withColumn("suspicious", F.col("event_id") == "n2")
+    met = reconstruct.request_relationships(line, reconstruct.relationships(nodes, edges), cited).collect()
+    assert {(r["event_id"], r["relationship"]) for r in met} == {("n2", "accesses"), ("n2", "forwards")}
 
 
 def test_bm25_equals_full_text_index(spark):
@@ -335,7 +342,8 @@ def test_claim_rows_and_facts(spark):
 def test_grounding(spark):
     facts = spark.createDataFrame([("db", "port", "1", True, ["a"]), ("db", "port", "1", False, ["b"]), ("db", "port", "2", True, ["c"]), ("db", "env", "x", False, []), ("db", "env", "y", False, [])], "subject string, attribute string, value string, single_valued boolean, evidence_ids array<string>")
     merged = grounding.merge_facts(facts)
-    assert {(r["attribute"], r["value"]): r["evidence_ids"] for r in merged.collect()}["port", "1"] == ["a", "b"]
+    assert {(r["attribute"], r["value"]): r["n_evidence"] for r in merged.collect()} == {("port", "1"): 2, ("port", "2"): 1, ("env", "x"): 0, ("env", "y"): 0}
+    assert {r["evidence_id"] for r in grounding.fact_evidence(facts).where("value = '1'").collect()} == {"a", "b"}
     assert [(r["attribute"], r["values"]) for r in grounding.fact_conflicts(merged).collect()] == [("port", ["1", "2"])]
     assert {r["attribute"] for r in grounding.usable_facts(merged).collect()} == {"env"}
     drafts = spark.createDataFrame([(0, [], "high", "low", "reversible"), (1, ["e"], "low", "high", "weird"), (2, ["e"], "low", "low", None)], "index int, observed_evidence_ids array<string>, severity string, disruption string, reversibility string")

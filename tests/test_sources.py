@@ -91,7 +91,9 @@ def test_snapshots_resolution_and_dedup(spark, tmp_path):
     assert got["docker-container-0"]["source_entity_type"] == "name"
     merged = {r["event_id"]: r for r in evidence.merge_observations(every).collect()}
     assert len(merged) == 6
-    assert merged["docker-container-network-0-net"]["source_event_ids"] == ["docker-container-network-0-net", "docker-network-0-c1"] or merged["docker-container-network-0-net"]["source_event_ids"]
+    firsts = {r["event_id"]: r["first_id"] for r in evidence.observations(every).collect()}
+    assert len(firsts) == every.count() and set(firsts.values()) == set(merged)
+    assert all(merged[f]["n_observations"] == list(firsts.values()).count(f) for f in merged)
     env = {(r["name"], r["key"]): r["value"] for r in snapshots.environment(snapshots.read_array(spark, path, snapshots.CONTAINER)).collect()}
     assert env == {("web", "DB_HOST"): "db", ("web", "X"): "1=2"}
     with pytest.raises(ValueError):

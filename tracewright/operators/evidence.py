@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.requests import attribute
@@ -52,15 +54,32 @@ def resolve(events: DataFrame, keys: DataFrame, columns: tuple[str, ...] = ("sou
 
 def merge_observations(events: DataFrame) -> DataFrame:
     """One event for each observation: network memberships by their seven identifying parts, others by identity. The first
-    row stays; sources and ids of all are listed in arrival order."""
+    row stays, with the sources of all in arrival order (there are few kinds) and n_observations; observations lists the ids."""
+    names = events.columns
+    rows = _keyed(events)
+    keys = [c for c in rows.columns if c.startswith("_k")]
+    merged = rows.groupBy(*keys).agg(F.min_by(F.struct(*names), "seq").alias("_row"), F.count_distinct("event_id").alias("n_observations"))
+    sources = rows.groupBy(*keys, "source").agg(F.min("seq").alias("seq")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("evidence_sources"))
+    same = [F.col(k).eqNullSafe(F.col(k + "s")) for k in keys]
+    named = sources.select(*[F.col(k).alias(k + "s") for k in keys], "evidence_sources")
+    out = merged.join(named, reduce(lambda a, b: a & b, same))
+    return out.select("_row.*", "evidence_sources", "n_observations")
+
+
+def observations(events: DataFrame) -> DataFrame:
+    """first_id, event_id, source, seq: every event beside the one that stays for its observation."""
+    rows = _keyed(events)
+    w = Window.partitionBy(*[c for c in rows.columns if c.startswith("_k")]).orderBy("seq")
+    return rows.select(F.first("event_id").over(w).alias("first_id"), "event_id", "source", "seq")
+
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """Events with the parts that identify their observation."""
     member = F.col("event_type") == "network_membership"
     shared = [F.col(c) for c in ("event_type", "source_entity", "destination_entity", "action")]
     own = [F.when(member, attribute(k)) for k in ("ip_address", "container_id", "network_id")] + [F.when(~member, F.col(c)) for c in ("source", "ts_text", "event_id")]
     key = [c.alias(f"_k{i}") for i, c in enumerate([*shared, *own])]
-    names = events.columns
-    rows = events.select(*key, F.struct(*names).alias("_row"), "seq", "source", "event_id")
-    merged = rows.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.min_by("_row", "seq").alias("_row"), F.array_sort(F.collect_list(F.struct("seq", "source", "event_id"))).alias("_all"))
-    return merged.select("_row.*", F.array_distinct(F.transform("_all", lambda x: x["source"])).alias("evidence_sources"), F.array_distinct(F.transform("_all", lambda x: x["event_id"])).alias("source_event_ids"))
+    return events.select(*key, *events.columns)
 
 
 def without_answers(events: DataFrame) -> DataFrame:

@@ -15,27 +15,39 @@ WEIGHTS = {"accesses": 1.0, "forwards": 1.0, "communicates_with": 0.9, "authenti
 OTHER_WEIGHT, CONFIGURED = 0.1, 0.25
 
 
+def evidence_of(rows: DataFrame, *key: str, ids: str = "evidence_ids") -> DataFrame:
+    """The key's columns and id: every id behind a node or an edge, once, as rows. An edge of a busy service has as many as it
+    has requests, so they are never gathered in one row; exported does that for a graph that is small."""
+    return rows.select(*key, F.explode(ids).alias("id")).where("id <> ''").distinct()
+
+
+def exported(merged: DataFrame, evidence: DataFrame, *key: str) -> DataFrame:
+    """Merged nodes or edges with their ids as sorted arrays, for the files of a graph that is small enough."""
+    listed = evidence.groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("evidence_ids"))
+    return merged.join(listed, list(key), "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
+
+
 def merge_nodes(rows: DataFrame) -> DataFrame:
-    """One row for each node: the first value wins and later ones fill nulls, id lists are united, observed beats
-    configured. conflict marks nodes of several types or names."""
+    """One row for each node: the first value wins and later ones fill nulls, ids are counted (evidence_of lists them),
+    observed beats configured. conflict marks nodes of several types or names."""
     pairs = rows.select("node_id", "seq", F.explode("attributes").alias("k", "v")).where("v is not null").groupBy("node_id", "k").agg(F.min_by("v", "seq").alias("v"))
     known = pairs.groupBy("node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))  # of one node
-    unite = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))))
+    counts = evidence_of(rows, "node_id").groupBy("node_id").agg(F.count("*").alias("n_evidence"))
     merged = rows.groupBy("node_id").agg(
         F.min_by("node_type", "seq").alias("node_type"),
         F.min_by("name", "seq").alias("name"),
         F.when(F.bool_or(F.col("basis") == "observed"), "observed").otherwise("configured").alias("basis"),
-        unite("evidence_ids").alias("evidence_ids"),
-        unite("source_artifacts").alias("source_artifacts"),
         ((F.count_distinct("node_type") > 1) | (F.count_distinct("name") > 1)).alias("conflict"),
     )
-    return merged.join(known, "node_id", "left")
+    return merged.join(known, "node_id", "left").join(counts, "node_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0).cast("long")))
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
-    """One row for each (source, target, edge_type): attributes and basis of the first, id lists united."""
-    unite = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))))
-    return rows.groupBy("source", "target", "edge_type").agg(F.min_by("basis", "seq").alias("basis"), F.min_by("attributes", "seq").alias("attributes"), unite("evidence_ids").alias("evidence_ids"), unite("source_artifacts").alias("source_artifacts"))
+    """One row for each (source, target, edge_type): attributes and basis of the first, ids counted (evidence_of lists them)."""
+    key = ["source", "target", "edge_type"]
+    counts = evidence_of(rows, *key).groupBy(*key).agg(F.count("*").alias("n_evidence"))
+    merged = rows.groupBy(*key).agg(F.min_by("basis", "seq").alias("basis"), F.min_by("attributes", "seq").alias("attributes"))
+    return merged.join(counts, key, "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0).cast("long")))
 
 
 def _node(kind: str, name: Column, basis: str, **known: Column) -> list[Column]:
@@ -53,6 +65,12 @@ def build_graph(events: DataFrame, environment: DataFrame | None = None) -> tupl
     Containers host services of their name and connect to their addresses; requests access the front service, which
     forwards to the service behind an upstream address; a *_HOST setting that names a service is a dependency; packets
     connect addresses that are both known. A rule is a select; merging follows arrival order."""
+    nodes, edges = graph_rows(events, environment)
+    return merge_nodes(nodes), merge_edges(edges)
+
+
+def graph_rows(events: DataFrame, environment: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What build_graph merges: a node or an edge for each event that speaks of it."""
     id_of = lambda kind, name: F.concat(F.lit(kind + ":"), name)
     states = events.where("event_type = 'container_state'")
     member = events.where("event_type = 'network_membership'").withColumn("ip", attribute("ip_address"))
@@ -85,7 +103,7 @@ def build_graph(events: DataFrame, environment: DataFrame | None = None) -> tupl
         empty = F.array().cast("array<string>")
         edges.append(s.join(there, F.col("value") == F.col("t")).select(id_of("service", F.col("name")).alias("source"), id_of("service", F.col("t")).alias("target"), F.lit("depends_on").alias("edge_type"), F.lit("configured").alias("basis"), F.create_map().cast("map<string,string>").alias("attributes"), empty.alias("evidence_ids"), F.array(F.lit("docker")).alias("source_artifacts"), F.lit(1 << 60).alias("seq")))
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return merge_nodes(union(nodes)), merge_edges(union(edges))
+    return union(nodes), union(edges)
 
 
 def ordered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

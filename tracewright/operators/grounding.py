@@ -48,9 +48,17 @@ def ambiguous_ids(catalog: DataFrame) -> DataFrame:
 
 
 def merge_facts(facts: DataFrame) -> DataFrame:
-    """One row for each (subject, attribute, value): flags or-ed and evidence united."""
-    merged = facts.groupBy("subject", "attribute", "value").agg(F.bool_or("single_valued").alias("single_valued"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"))
-    return merged
+    """One row for each (subject, attribute, value): flags or-ed and evidence counted; fact_evidence lists it."""
+    key = ["subject", "attribute", "value"]
+    merged = facts.groupBy(*key).agg(F.bool_or("single_valued").alias("single_valued"))
+    n = fact_evidence(facts).groupBy(*[F.col(k).alias("_" + k) for k in key]).agg(F.count("*").alias("n_evidence"))
+    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in key]
+    return merged.join(n, reduce(lambda a, b: a & b, same), "left").select(*key, "single_valued", F.coalesce("n_evidence", F.lit(0).cast("long")).alias("n_evidence"))
+
+
+def fact_evidence(facts: DataFrame) -> DataFrame:
+    """subject, attribute, value, evidence_id: what each fact rests on, once."""
+    return facts.select("subject", "attribute", "value", F.explode("evidence_ids").alias("evidence_id")).distinct()
 
 
 def numbered_facts(facts: DataFrame, prefix: str = "CFG-") -> DataFrame:

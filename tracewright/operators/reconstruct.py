@@ -90,13 +90,13 @@ def relationships(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     named = nodes.groupBy("node_id").agg(F.first("name").alias("name"))
     a, b = named.select(F.col("node_id").alias("_a"), F.col("name").alias("_an")), named.select(F.col("node_id").alias("_b"), F.col("name").alias("_bn"))
     joined = edges.join(a, F.col("source") == F.col("_a"), "left").join(b, F.col("target") == F.col("_b"), "left")
-    ids = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: x != "")))
-    return joined.select("source", F.coalesce("_an", "source").alias("source_name"), "target", F.coalesce("_bn", "target").alias("target_name"), F.col("edge_type").alias("relationship"), F.lower("basis").alias("basis"), ids("evidence_ids").alias("evidence_ids"), ids("source_artifacts").alias("source_artifacts"))
+    return joined.select("source", F.coalesce("_an", "source").alias("source_name"), "target", F.coalesce("_bn", "target").alias("target_name"), F.col("edge_type").alias("relationship"), F.lower("basis").alias("basis"), F.col("source").alias("source_id"), F.col("target").alias("target_id"))
 
 
-def request_relationships(line: DataFrame, related: DataFrame) -> DataFrame:
-    """Suspicious events with the observed edges that cite them by id."""
-    cited = related.where("basis = 'observed'").withColumn("event_id", F.explode("evidence_ids")).drop("evidence_ids")
+def request_relationships(line: DataFrame, related: DataFrame, cited: DataFrame) -> DataFrame:
+    """Suspicious events with the observed edges that cite them: cited (source, target, edge_type, id) are the edges' ids."""
+    ids = cited.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.col("edge_type").alias("relationship"), F.col("id").alias("event_id"))
+    cited = related.where("basis = 'observed'").join(ids, ["source_id", "target_id", "relationship"])
     return line.where("suspicious").select("event_id", "ts_text").join(cited, "event_id")
 
 
@@ -105,13 +105,14 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 
 def root_cause(line: DataFrame, *by: str) -> DataFrame:
-    """One finding for each incident (by): a hypothesis where there is an indicator, else insufficient evidence."""
+    """One finding for each incident (by): a hypothesis where there is an indicator, else insufficient evidence. Its events are
+    those of line that are suspicious, n_supporting of them."""
     some = F.count_if("suspicious") > 0
     return line.groupBy(*by).agg(
         F.when(some, "hypothesis_not_confirmed").otherwise("insufficient_evidence").alias("status"),
         F.when(some, "potential_sql_injection (CWE-89 hypothesis)").otherwise("unknown").alias("vulnerability_type"),
         F.when(some, 0.55).otherwise(0.0).alias("confidence"),
-        F.array_sort(F.collect_set(F.when(F.col("suspicious"), F.col("event_id")))).alias("supporting_evidence_ids"),
+        F.count_distinct(F.when(F.col("suspicious"), F.col("event_id"))).alias("n_supporting"),
     )
 
 

@@ -184,7 +184,11 @@ def fuse(lanes: list[tuple[str, DataFrame]], limit: int = 10, k: int = RRF_K) ->
 
 
 def hash_embedding(text: Column, size: int = 64) -> Column:
-    """Signed hashing of words into `size` slots at unit length, for tests without a model."""
-    slots = F.transform(words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("slot"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    summed = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"]))
-    return unit(summed)
+    """Signed hashing of words into `size` slots at unit length, for tests without a model: the first four bytes of a word's
+    SHA-256 choose the slot, the last bit of the fifth the sign. A text whose words cancel out points along the first axis."""
+    number = lambda w, at, n: F.conv(F.substring(F.sha2(w, 256), at, n), 16, 10).cast("long")
+    slots = F.transform(words(text), lambda w: F.struct((number(w, 1, 8) % size).cast("int").alias("slot"), F.when(number(w, 9, 2) % 2 == 1, 1.0).otherwise(-1.0).alias("sign")))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    summed = F.aggregate(slots, zeros, lambda a, w: F.transform(a, lambda x, i: x + F.when(i == w["slot"], w["sign"]).otherwise(0.0)))
+    first = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    return F.coalesce(unit(summed), first)

@@ -102,6 +102,11 @@ def comparison_problems(a: str = "a", b: str = "b") -> Column:
     x, y = lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}")
     differ = lambda c: ~x(c).eqNullSafe(y(c))
     missing = x("pre_state_id").isNull() | y("pre_state_id").isNull()
+    none = F.col(a).isNull() | F.col(b).isNull()
+    return F.when(none, F.array(F.lit("report_type_invalid"))).otherwise(_differences(x, y, differ, missing))
+
+
+def _differences(x, y, differ, missing) -> Column:
     return codes(
         ((x("report_kind") == "pre_remediation_observation") | (y("report_kind") == "pre_remediation_observation"), "observation_is_not_remediation_evidence"),
         (x("run_id") == y("run_id"), "same_run"),
@@ -126,7 +131,8 @@ def comparison_problems(a: str = "a", b: str = "b") -> Column:
 def compare_reports(pairs: DataFrame) -> DataFrame:
     """pairs (a, b: reports with status) with problems, comparable, category, interpretation, basis and usable."""
     p = comparison_problems()
-    run = ~F.col("a.status").isin(NOT_RUN) & ~F.col("b.status").isin(NOT_RUN)
+    none = F.col("a").isNull() | F.col("b").isNull()
+    run = none | (~F.col("a.status").isin(NOT_RUN) & ~F.col("b.status").isin(NOT_RUN))
     rows = pairs.withColumn("problems", F.when(run, p).otherwise(F.array().cast("array<string>")))
     got = outcome(F.col("a.status"), F.col("b.status"))
     fine = run & (F.size("problems") == 0)

@@ -84,7 +84,7 @@ def q_claims(spark, d):
 def q_root_cause(spark, d):
     line = events(spark, d).withColumn("suspicious", F.col("source") == "error")
     out = reconstruct.root_cause(line, "source_entity")
-    return out.select(F.col("source_entity").alias("user_id"), "status", "confidence", F.size("supporting_evidence_ids").alias("n"))
+    return out.select(F.col("source_entity").alias("user_id"), "status", "confidence", F.col("n_supporting").cast("int").alias("n"))
 
 
 @query("""

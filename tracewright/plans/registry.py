@@ -73,7 +73,7 @@ def q_event_dedup(spark, d):
     none = F.create_map().cast("map<string,string>")
     rows = docs.select(F.col("doc_id").cast("string").alias("event_id"), F.col("doc_id").alias("seq"), F.lit("").alias("ts_text"), F.coalesce("source", F.lit("")).alias("source"), F.lit("network_membership").alias("event_type"), F.sha2("text", 256).alias("source_entity"), F.col("lang").alias("destination_entity"), F.lit("seen").alias("action"), none.alias("attributes"))
     merged = evidence.merge_observations(rows)
-    return merged.select(F.col("seq").alias("doc_id"), F.size("source_event_ids").cast("long").alias("n"), F.array_join("evidence_sources", ",").alias("sources"))
+    return merged.select(F.col("seq").alias("doc_id"), F.col("n_observations").alias("n"), F.array_join("evidence_sources", ",").alias("sources"))
 
 
 @query("""
@@ -145,7 +145,7 @@ def q_graph_nodes(spark, d):
     known = table(spark, d, "customer").select(name("c_custkey").alias("node_id"), F.lit("user").alias("node_type"), name("c_custkey").alias("name"), F.lit("configured").alias("basis"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attributes"), none.alias("evidence_ids"), none.alias("source_artifacts"), F.lit(0).cast("long").alias("seq"))
     seen = table(spark, d, "orders").select(name("o_custkey"), F.lit("user"), name("o_custkey"), F.lit("observed"), F.create_map(F.lit("segment"), F.lit(None).cast("string")), F.array(F.col("o_orderkey").cast("string")), none, F.col("o_orderkey") + 1)
     merged = graph.merge_nodes(known.union(seen))
-    return merged.select("node_id", "basis", F.size("evidence_ids").alias("n_evidence"), F.element_at("attributes", F.lit("segment")).alias("segment"))
+    return merged.select("node_id", "basis", F.col("n_evidence").cast("int").alias("n_evidence"), F.element_at("attributes", F.lit("segment")).alias("segment"))
 
 
 @query("""
@@ -156,7 +156,7 @@ def q_graph_edges(spark, d):
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     none = F.array().cast("array<string>")
     rows = rows.select(F.col("c_nationkey").cast("string").alias("source"), F.col("o_orderpriority").alias("target"), F.lit("accesses").alias("edge_type"), F.col("o_orderstatus").alias("basis"), F.create_map().cast("map<string,string>").alias("attributes"), F.array(F.col("o_orderkey").cast("string")).alias("evidence_ids"), none.alias("source_artifacts"), F.col("o_orderkey").alias("seq"))
-    return graph.merge_edges(rows).select("source", "target", "basis", F.size("evidence_ids").alias("n_evidence"))
+    return graph.merge_edges(rows).select("source", "target", "basis", F.col("n_evidence").cast("int").alias("n_evidence"))
 
 
 @query("""

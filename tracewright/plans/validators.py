@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import claims, text
-from ..operators import evaluation, graph, grounded, judging, paths, risk, rules
+from ..operators import evaluation, graph, grounded, judging, paths, retrieval, risk, rules
 from ..sources import store
 from .registry import query
 from .tables import table
@@ -282,3 +282,31 @@ def q_fact_ids(spark, d):
 
     facts = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("subject"), F.col("o_orderstatus").alias("attribute"), F.col("o_orderpriority").alias("value"), F.lit(True).alias("single_valued"), F.array(F.col("o_orderkey").cast("string")).alias("evidence_ids"))
     return grounding.numbered_facts(grounding.merge_facts(facts)).select("fact_id", "subject", "attribute", "value")
+
+
+@query("""
+    with w as (select item_id, sha256(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) as h from benchmark),
+    s as (select item_id, ('0x' || substr(h, 1, 8))::bigint % 64 as slot, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then 1.0 else -1.0 end)::double as v from w group by all)
+    select item_id, slot::int as slot, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) as value from s where v <> 0
+""")
+def q_hash_embedding(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", retrieval.hash_embedding(F.col("text")).alias("e"))
+    return rows.select("item_id", F.posexplode("e").alias("slot", "value")).where("value <> 0").select("item_id", "slot", F.round("value", 6).alias("value"))
+
+
+@query("""
+    select doc_id, case when doc_id % 5 = 0 then 'created' when doc_id % 2 = 0 or doc_id % 3 = 0 or doc_id % 7 = 0 or doc_id % 11 = 0 or doc_id % 13 = 0 then 'updated' else 'unchanged' end as change,
+        doc_id % 5 <> 0 and doc_id % 2 = 0 as content_changed, doc_id % 5 <> 0 and doc_id % 3 = 0 and doc_id % 2 <> 0 as metadata_changed,
+        doc_id % 5 <> 0 and doc_id % 7 = 0 and doc_id % 2 <> 0 and doc_id % 3 <> 0 as provenance_changed, doc_id % 5 <> 0 and doc_id % 11 = 0 as config_changed, doc_id % 5 <> 0 and (doc_id % 2 = 0 or doc_id % 13 = 0) as chunks_replaced
+    from documents
+""")
+def q_ingest_changes(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    i = F.col("doc_id")
+
+    def state(changed):
+        new = lambda n, c: F.when((i % n == 0) & F.lit(changed), F.concat(c, F.lit("!"))).otherwise(c)
+        content = F.sha2(new(2, F.col("text")), 256)
+        return docs.select("doc_id", content.alias("content_sha256"), F.concat(content, new(3, F.lit("m"))).alias("document_sha256"), new(7, F.lit("p")).alias("provenance"), new(11, F.lit("c")).alias("config"), F.sha2(new(2, F.col("text")), 256).alias("chunks_sha256"), F.when((i % 13 == 0) & F.lit(changed), 2).otherwise(1).alias("chunk_count"))
+
+    return store.ingest_changes(state(False).where("doc_id % 5 <> 0"), state(True))

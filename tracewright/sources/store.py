@@ -23,6 +23,32 @@ def change_classes(old: DataFrame, new: DataFrame, key: str, content: list[str],
     return a.join(b, F.col("_key") == F.col(key), "full").select(F.coalesce(key, "_key").alias(key), change.alias("change"), (both & (F.col("c") != F.col("c2"))).alias("content_changed"), (both & (F.col("m") != F.col("m2"))).alias("metadata_changed"))
 
 
+def ingest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, change and its flags for documents with their chunks' state: content_sha256, document_sha256 (content and
+    metadata), provenance, config, chunks_sha256, chunk_count. A change of metadata alone is metadata_changed; chunks are
+    replaced where they differ in any way."""
+    names = ["content_sha256", "document_sha256", "provenance", "config", "chunks_sha256", "chunk_count"]
+    before = old.select(F.col("doc_id").alias("_id"), *[F.col(c).alias("_" + c) for c in names])
+    rows = new.select("doc_id", *names).join(before, F.col("doc_id") == F.col("_id"), "left")
+    differ = lambda c: ~F.col(c).eqNullSafe(F.col("_" + c))
+    known = F.col("_id").isNotNull()
+    flags = {
+        "content_changed": known & differ("content_sha256"),
+        "metadata_changed": known & differ("document_sha256") & ~differ("content_sha256"),
+        "provenance_changed": known & ~differ("document_sha256") & differ("provenance"),
+        "config_changed": known & differ("config"),
+        "chunks_replaced": known & (differ("chunks_sha256") | differ("chunk_count")),
+    }
+    rows = rows.withColumns(flags)
+    some = F.col("chunks_replaced") | F.col("config_changed") | F.col("provenance_changed") | (known & differ("document_sha256"))
+    return rows.select("doc_id", F.when(~known, "created").when(some, "updated").otherwise("unchanged").alias("change"), *flags)
+
+
+def cascade(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Documents, chunks, postings and vectors without those of the doc_ids in gone."""
+    return [delete(t, gone, "doc_id") for t in tables]
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new put in their place; rows that are the same stay as they were."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
