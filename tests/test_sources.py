@@ -5,6 +5,8 @@ import json
 import struct
 import zipfile
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,15 @@ def test_archives(spark, tmp_path):
     assert {x["id"]: x["status"] for x in archives.select_records(records, wanted).collect()} == {"89": "selected", "79": "missing"}
     with pytest.raises(Exception):
         archives.read_catalog(spark, path, digest="0" * 64).collect()
+    right = archives.Pinned("http://x", "Weakness_Catalog", "CWE", "4.1", "2026-01-01")
+    said = CATALOG.replace('Version="4.1"', 'Name="CWE" Date="2026-01-01" Version="4.1"')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.xml", said)
+    assert archives.catalog(out.getvalue(), None, right).get("Version") == "4.1"
+    for change in ({"namespace": "http://y"}, {"root": "Other"}, {"name": "CAPEC"}, {"version": "4.2"}, {"date": "2026-01-02"}):
+        with pytest.raises(ValueError, match="the catalog's"):
+            archives.catalog(out.getvalue(), None, replace(right, **change))
 
 
 def test_store(spark):

@@ -10,6 +10,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,11 +61,34 @@ def member(data: bytes, digest: str | None) -> bytes:
         if inside[0].file_size > MOST_BYTES:
             raise ValueError("the XML member is too large")
         text = z.read(inside[0])
-    if b"<!DOCTYPE" in text[:4096]:
-        raise ValueError("a document type declaration is refused")
+    if b"<!DOCTYPE" in text or b"<!ENTITY" in text:
+        raise ValueError("document type and entity declarations are refused")
     return text
 
 
+@dataclass(frozen=True)
+class Pinned:
+    """What a catalog must say of itself; its file name counts for nothing."""
+
+    namespace: str
+    root: str
+    name: str
+    version: str
+    date: str
+
+
+def catalog(data: bytes, digest: str | None, pinned: Pinned | None) -> ET.Element:
+    """The root of an archive's catalog, if it is the pinned one."""
+    root = ET.fromstring(member(data, digest))
+    if pinned is not None:
+        says = {"root element": root.tag, "name": root.get("Name"), "version": root.get("Version"), "date": root.get("Date")}
+        asked = {"root element": f"{{{pinned.namespace}}}{pinned.root}", "name": pinned.name, "version": pinned.version, "date": pinned.date}
+        for part, value in asked.items():
+            if says[part] != value:
+                raise ValueError(f"the catalog's {part} is {says[part]!r}, not {value!r}")
+    return root
+
+
 def _record(e: ET.Element, file: str, version: str) -> tuple:
     find = lambda name: next((c for c in e if local(c.tag) == name), None)
     every = lambda name: [c for c in e.iter() if local(c.tag) == name]
@@ -80,26 +104,26 @@ def _record(e: ET.Element, file: str, version: str) -> tuple:
     return file, version, RECORDS[local(e.tag)], e.get("ID"), e.get("Name"), e.get("Status"), flat_text(find("Description")), sections, dates, related, taxonomy, [r for r in refs if r]
 
 
-def read_catalog(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
-    """The records of catalog archives."""
+def read_catalog(spark: SparkSession, path: str, digest: str | None = None, pinned: Pinned | None = None) -> DataFrame:
+    """The records of catalog archives, each of which must be the pinned one where that is given."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = re.findall(r"(?:^|, )(\w+) (?=string|map|array)", RECORD)
         for frame in frames:
             for file, data in zip(frame["path"], frame["content"], strict=True):
-                root = ET.fromstring(member(bytes(data), digest))
+                root = catalog(bytes(data), digest, pinned)
                 yield pd.DataFrame([_record(e, file, root.get("Version")) for e in root.iter() if local(e.tag) in RECORDS], columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORD)
 
 
-def read_references(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
+def read_references(spark: SparkSession, path: str, digest: str | None = None, pinned: Pinned | None = None) -> DataFrame:
     """The catalog's table of external references."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, data in zip(frame["path"], frame["content"], strict=True):
-                root = ET.fromstring(member(bytes(data), digest))
+                root = catalog(bytes(data), digest, pinned)
                 rows = []
                 for e in root.iter():
                     if local(e.tag) == "External_Reference":
