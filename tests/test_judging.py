@@ -34,9 +34,9 @@ def test_depth_first_order_and_limit(spark):
 
 def test_service_paths(spark):
     s = "node_id string, node_type string, name string, attributes map<string,string>, position int"
-    nodes = spark.createDataFrame([("service:web", "service", "nginx front", {}, 0), ("container:autoshield-api", "container", "x", {}, 1), ("service:a", "service", "one", {"image": "postgres:16"}, 2), ("service:b", "service", "PostgreSQL", {}, 3), ("node:postgres-1", "other", "postgres", {}, 4)], s)
-    services = graph.service_nodes(nodes)
-    assert {r["service"]: r["node_id"] for r in services.collect()} == {"nginx": "service:web", "api": "container:autoshield-api", "postgres": "node:postgres-1"}
+    nodes = spark.createDataFrame([("service:web", "service", "nginx front", {}, 0), ("container:shop-api", "container", "x", {}, 1), ("service:a", "service", "one", {"image": "postgres:16"}, 2), ("service:b", "service", "PostgreSQL", {}, 3), ("node:postgres-1", "other", "postgres", {}, 4)], s)
+    services = graph.service_nodes(nodes, graph.SERVICES | {"api": ["shop-api", *graph.SERVICES["api"]]})
+    assert {r["service"]: r["node_id"] for r in services.collect()} == {"nginx": "service:web", "api": "container:shop-api", "postgres": "node:postgres-1"}
     labels = spark.createDataFrame([(1, k, x) for k, x in enumerate(["attacker", "NGINX", "nginx proxy", "unknown", "database"])], "case_id int, position int, label string")
     assert graph.service_path(labels, services).collect()[0]["nodes"] == ["service:web", "node:postgres-1"]
 

@@ -121,14 +121,15 @@ def mapped_labels(labels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 #: Names under which the services of a true path appear in a graph.
-SERVICES = {"nginx": ["nginx"], "api": ["autoshield-api", "service api", " api"], "postgres": ["postgres", "postgresql"]}
+SERVICES = {"nginx": ["nginx"], "api": ["service api", " api"], "postgres": ["postgres", "postgresql"]}
 
 
-def service_nodes(nodes: DataFrame) -> DataFrame:
-    """service, node_id: the only service node that says the service's name, else the first node (by position) whose id holds it."""
+def service_nodes(nodes: DataFrame, services: dict[str, list[str]] = SERVICES) -> DataFrame:
+    """service, node_id: the only service node that says one of the service's names, else the first node (by position) whose id
+    holds it. A deployment gives the names of its own containers beside the usual ones."""
     said = F.lower(F.concat_ws(" ", "name", F.map_values("attributes")))
     rows = None
-    for service, names in SERVICES.items():
+    for service, names in services.items():
         named = reduce(lambda a, b: a | b, [F.contains(said, F.lit(n)) for n in names])
         in_id = reduce(lambda a, b: a | b, [F.contains(F.lower("node_id"), F.lit(n)) for n in names])
         kind = (F.lower("node_type") == "service") | F.lower("node_id").startswith("service:") | F.lower("node_id").startswith("svc:")
@@ -138,11 +139,11 @@ def service_nodes(nodes: DataFrame) -> DataFrame:
     return sums.select("service", F.when(F.col("n") == 1, F.col("one")).when(F.col("any"), F.col("other")).alias("node_id")).where("node_id is not null")
 
 
-def service_path(labels: DataFrame, services: DataFrame) -> DataFrame:
+def service_path(labels: DataFrame, services: DataFrame, api: str = "api") -> DataFrame:
     """case_id, nodes: true paths (case_id, position, label) as service nodes, in order, without the attacker, labels of no
-    service, and repeats in a row."""
+    service, and repeats in a row. A label is the api's if it is `api` or holds the container's name."""
     text = F.lower("label")
-    named = F.when(text == "attacker", None).when(F.contains(text, F.lit("nginx")), "nginx").when(F.contains(text, F.lit("postgres")) | F.contains(text, F.lit("database")), "postgres").when(F.contains(text, F.lit("autoshield-api")) | (text == "api"), "api")
+    named = F.when(text == "attacker", None).when(F.contains(text, F.lit("nginx")), "nginx").when(F.contains(text, F.lit("postgres")) | F.contains(text, F.lit("database")), "postgres").when((text == "api") | (F.contains(text, F.lit(api)) & F.lit(api != "api")), "api")
     rows = labels.withColumn("service", named).join(services, "service")
     before = F.lag("node_id").over(Window.partitionBy("case_id").orderBy("position"))
     kept = rows.withColumn("_before", before).where("_before is null or _before <> node_id")
