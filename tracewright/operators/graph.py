@@ -227,14 +227,19 @@ def pooled_features(edges: DataFrame, features: Column) -> DataFrame:
     return best.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("features"))
 
 
-def graph_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """issue, item: edges whose end is no node, and repeated nodes and edges."""
+def graph_issues(nodes: DataFrame, edges: DataFrame, assessed: DataFrame | None = None) -> DataFrame:
+    """issue, item: edges whose end is no node, repeated nodes and edges, and edges without an assessment (source, target,
+    edge_type) where assessments are given."""
     known = nodes.select("node_id").distinct()
     ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
     dangling = ends.join(known, "node_id", "left_anti").select(F.lit("dangling").alias("issue"), F.col("node_id").alias("item"))
     twice = nodes.groupBy("node_id").count().where("count > 1").select(F.lit("duplicate_node").alias("issue"), F.col("node_id").alias("item"))
     again = edges.groupBy("source", "target", "edge_type").count().where("count > 1").select(F.lit("duplicate_edge").alias("issue"), F.concat_ws("→", "source", "target", "edge_type").alias("item"))
-    return dangling.union(twice).union(again)
+    out = dangling.union(twice).union(again)
+    if assessed is not None:
+        open_ = edges.select("source", "target", "edge_type").distinct().join(assessed, ["source", "target", "edge_type"], "left_anti")
+        out = out.union(open_.select(F.lit("unassessed_edge").alias("issue"), F.concat_ws("→", "source", "target", "edge_type").alias("item")))
+    return out
 
 
 def positive_edges(paths: DataFrame, edges: DataFrame, key: str, path: str = "path") -> DataFrame:

@@ -205,3 +205,63 @@ def pipeline_view(judgements: DataFrame) -> DataFrame:
     """Judgements as the pipeline's decisions; confidence 0 says that no score was computed."""
     view = {"confidence": F.lit(0.0), "live_evidence": F.col("provenance").eqNullSafe(F.lit("live"))}
     return judgements.withColumns(view)
+
+
+#: Fixed value: a plain origin, host and port, without credentials, path, query or escapes.
+ORIGIN = r"^http://([^\s/?#@:\\%\x00-\x1f\x7f]+):([0-9]{1,5})/?$"
+MOST_TARGET = 2048
+
+
+def scope_decisions(requests: DataFrame, labs: DataFrame, enabled: bool) -> DataFrame:
+    """requests with origin, lab_id, codes, conditions_met and permitted: every reason why a request is outside its scope.
+
+    requests: target_url, incident_id, expected_state_id, forbidden (verifiers), live (the identity must be fit for live
+    work), now; scenario (struct: scenario_id, eligible), identity (struct: independent, verifier, lab_id, network,
+    containers, compose_sha256, lab_state_id, issued: array of begin, end, live_suitable) and authorization (struct: live,
+    lab_id, scenario_id, incident_id), each null where there is none. labs: lab_id, host, port, scenarios, network,
+    containers, compose_sha256; the lab of a request is the one at its origin. An identity counts only by the records that
+    were issued for it."""
+    c = F.col
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    good = (F.length("target_url") <= MOST_TARGET) & c("target_url").rlike(ORIGIN) & (F.regexp_extract("target_url", ORIGIN, 2).try_cast("int") <= 65535)
+    rows = requests.withColumns({"_host": F.when(good, F.lower(F.regexp_extract("target_url", ORIGIN, 1))), "_port": F.when(good, F.regexp_extract("target_url", ORIGIN, 2).try_cast("int"))})
+    one = labs.groupBy("host", "port").agg(F.min_by(F.struct("lab_id", "scenarios", "network", "containers", "compose_sha256"), "lab_id").alias("_lab"))
+    some = labs.limit(1).agg((F.count("*") > 0).alias("_any"))  # one row
+    rows = rows.join(one, (c("_host") == c("host")) & (c("_port") == c("port")), "left").drop("host", "port").join(F.broadcast(some))
+    lab, who, auth, plan = c("_lab"), c("identity"), c("authorization"), c("scenario")
+    has = lambda x: x.isNotNull()
+    issued = F.coalesce(who["issued"], F.array().cast(requests.schema["identity"].dataType["issued"].dataType))
+    covers = F.filter(issued, lambda r: c("now").between(r["begin"], r["end"]))
+    first = F.array_min(F.transform(issued, lambda r: r["begin"]))
+    assessed = yes(who["independent"]) & (F.size(issued) > 0)
+    suitable = F.exists(F.when(F.size(covers) > 0, covers).otherwise(issued), lambda r: yes(r["live_suitable"]))
+    match = (who["lab_id"] == lab["lab_id"]) & (who["network"] == lab["network"]) & (F.array_sort(who["containers"]) == F.array_sort(lab["containers"])) & (lab["compose_sha256"].isNull() | who["compose_sha256"].eqNullSafe(lab["compose_sha256"]))
+    expected = has(c("expected_state_id")) & has(who)
+    bound = has(lab) & has(plan) & has(c("incident_id")) & auth["lab_id"].eqNullSafe(lab["lab_id"]) & auth["scenario_id"].eqNullSafe(plan["scenario_id"]) & auth["incident_id"].eqNullSafe(c("incident_id"))
+    found = codes(
+        (~c("_any"), "no_approved_lab"),
+        (c("target_url").isNull(), "target_missing"),
+        (has(c("target_url")) & c("_host").isNull(), "target_malformed"),
+        (has(c("_host")) & ~has(lab) & c("_any"), "target_not_approved"),
+        (~has(plan), "scenario_missing"),
+        (has(plan) & ~yes(plan["eligible"]), "scenario_not_eligible"),
+        (has(plan) & has(lab) & ~yes(F.array_contains(lab["scenarios"], plan["scenario_id"])), "scenario_not_approved_for_lab"),
+        (~has(who), "lab_identity_missing"),
+        (has(who) & ~yes(who["independent"]), "lab_identity_not_independent"),
+        (yes(who["independent"]) & (F.size(issued) == 0), "lab_identity_not_assessed"),
+        (assessed & c("now").isNull() & yes(c("live")), "lab_identity_freshness_unchecked"),
+        (assessed & has(c("now")) & (F.size(covers) == 0) & (c("now") < first), "lab_identity_from_future"),
+        (assessed & has(c("now")) & (F.size(covers) == 0) & (c("now") >= first), "lab_identity_stale"),
+        (assessed & yes(c("live")) & ~yes(suitable), "lab_identity_not_live_suitable"),
+        (has(who) & yes(F.array_contains(c("forbidden"), who["verifier"])), "lab_identity_verifier_conflict"),
+        (has(who) & ~yes(match), "lab_identity_mismatch"),
+        (expected & who["lab_state_id"].isNull(), "lab_state_unverified"),
+        (expected & (who["lab_state_id"] != c("expected_state_id")), "lab_state_mismatch"),
+        (~has(auth), "operator_authorization_missing"),
+        (has(auth) & ~yes(auth["live"]), "operator_authorization_not_live"),
+        (has(auth) & ~yes(bound), "operator_authorization_mismatch"),
+        (F.lit(not enabled), "execution_disabled"),
+    )
+    rows = rows.withColumns({"origin": F.when(has(c("_host")), F.concat(F.lit("http://"), "_host", F.lit(":"), c("_port").cast("string"))), "lab_id": lab["lab_id"], "codes": found})
+    met = F.size(F.array_except("codes", F.array(F.lit("execution_disabled")))) == 0
+    return rows.withColumns({"conditions_met": met, "permitted": F.size("codes") == 0}).drop("_host", "_port", "_lab", "_any")

@@ -72,6 +72,12 @@ def logistic_baseline(train: DataFrame, features: list[str], label: str, c: floa
     return LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200).fit(rows)
 
 
+def linear_shapley(rows: DataFrame, weights: dict[str, float], base: dict[str, float]) -> DataFrame:
+    """Shapley values of a linear score in closed form, for any number of features: phi_<feature> is the weight times the
+    distance from the base. They add up to the score minus the base's."""
+    return rows.withColumns({f"phi_{f}": F.lit(float(w)) * (F.col(f) - F.lit(float(base[f]))) for f, w in weights.items()})
+
+
 def shapley(rows: DataFrame, features: list[str], base: dict[str, float], score) -> DataFrame:
     """Exact Shapley values of score(columns) for up to ten features: each coalition's score is a column expression, with the
     others at their base. Adds phi_<feature>; they add up to score minus base score."""

@@ -204,16 +204,6 @@ def q_pooled_features(spark, d):
     return got.select("node_id", F.col("features")[0].alias("first_max"), F.col("features")[1].alias("second_max"))
 
 
-@query("""
-    with n as (select 'nation:' || n_nationkey as id from nation), e as (select 'nation:' || c_nationkey as a, 'customer:' || c_custkey as b from customer)
-    select 'dangling' as issue, x as item from (select distinct x from (select a as x from e union all select b from e)) where x not in (select id from n)
-""")
-def q_graph_issues(spark, d):
-    nodes = table(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("node_id"))
-    edges = table(spark, d, "customer").select(F.concat(F.lit("nation:"), "c_nationkey").alias("source"), F.concat(F.lit("customer:"), "c_custkey").alias("target"), F.lit("hosts").alias("edge_type"))
-    return graph.graph_issues(nodes, edges)
-
-
 # Text and retrieval ------------------------------------------------------------------------------------------------
 
 STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS)

@@ -310,3 +310,50 @@ def q_ingest_changes(spark, d):
         return docs.select("doc_id", content.alias("content_sha256"), F.concat(content, new(3, F.lit("m"))).alias("document_sha256"), new(7, F.lit("p")).alias("provenance"), new(11, F.lit("c")).alias("config"), F.sha2(new(2, F.col("text")), 256).alias("chunks_sha256"), F.when((i % 13 == 0) & F.lit(changed), 2).otherwise(1).alias("chunk_count"))
 
     return store.ingest_changes(state(False).where("doc_id % 5 <> 0"), state(True))
+
+
+@query("""
+    with r as (select o_orderkey as k, case o_orderkey % 7 when 0 then null when 1 then 'http://A:80/x' when 2 then 'http://b:81' else 'http://A:80/' end as url from orders),
+    c as (select k, list_filter([case when url is null then 'target_missing' end, case when url = 'http://A:80/x' then 'target_malformed' end, case when url = 'http://b:81' then 'target_not_approved' end,
+        case when k % 11 = 0 then 'scenario_missing' end, case when k % 11 <> 0 and k % 13 = 0 then 'scenario_not_eligible' end, case when k % 11 <> 0 and k % 7 > 2 and k % 17 = 0 then 'scenario_not_approved_for_lab' end,
+        case when k % 19 = 0 then 'lab_identity_missing' end, case when k % 19 <> 0 and k % 23 = 0 then 'lab_identity_not_independent' end, case when k % 19 <> 0 and k % 23 <> 0 and k % 29 = 0 then 'lab_identity_not_assessed' end,
+        case when k % 19 <> 0 and k % 23 <> 0 and k % 29 <> 0 and k % 31 = 0 then 'lab_identity_freshness_unchecked' end,
+        case when k % 19 <> 0 and k % 23 <> 0 and k % 29 <> 0 and k % 31 = 1 then 'lab_identity_from_future' end, case when k % 19 <> 0 and k % 23 <> 0 and k % 29 <> 0 and k % 31 = 2 then 'lab_identity_stale' end,
+        case when k % 19 <> 0 and k % 23 <> 0 and k % 29 <> 0 and k % 37 = 0 then 'lab_identity_not_live_suitable' end, case when k % 19 <> 0 and k % 5 = 0 then 'lab_identity_verifier_conflict' end,
+        case when k % 19 <> 0 and (k % 7 <= 2 or k % 41 = 0) then 'lab_identity_mismatch' end, case when k % 19 <> 0 and k % 3 = 0 then 'lab_state_unverified' end, case when k % 19 <> 0 and k % 3 = 1 and k % 2 = 0 then 'lab_state_mismatch' end,
+        case when k % 43 = 0 then 'operator_authorization_missing' end, case when k % 43 <> 0 and k % 47 = 0 then 'operator_authorization_not_live' end,
+        case when k % 43 <> 0 and (k % 7 <= 2 or k % 11 = 0 or k % 4 = 3) then 'operator_authorization_mismatch' end, 'execution_disabled'], lambda x: x is not null) as codes, url from r)
+    select k as o_orderkey, array_to_string(codes, ',') as codes, len(codes) = 1 as conditions_met, false as permitted, case when k % 7 = 2 then 'http://b:81' when k % 7 > 2 then 'http://a:80' end as origin from c
+""")
+def q_scope_decisions(spark, d):
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    url = F.when(_k() % 7 == 1, "http://A:80/x").when(_k() % 7 == 2, "http://b:81").when(_k() % 7 != 0, "http://A:80/")
+    record = F.struct(at(1000).alias("begin"), at(2000).alias("end"), (_k() % 37 != 0).alias("live_suitable"))
+    identity = F.struct((_k() % 23 != 0).alias("independent"), F.when(_k() % 5 == 0, "bad").otherwise("v").alias("verifier"), F.lit("lab").alias("lab_id"), F.when(_k() % 41 == 0, "x").otherwise("net").alias("network"), F.array(F.lit("c2"), F.lit("c1")).alias("containers"), F.lit("h").alias("compose_sha256"), F.when(_k() % 3 == 0, None).when((_k() % 3 == 1) & (_k() % 2 == 0), "other").otherwise("s").alias("lab_state_id"), F.filter(F.array(record), lambda _: _k() % 29 != 0).alias("issued"))
+    allowed = F.struct((_k() % 47 != 0).alias("live"), F.lit("lab").alias("lab_id"), F.when(_k() % 17 == 0, "s9").otherwise("s1").alias("scenario_id"), F.when(_k() % 4 == 3, "j").otherwise("i").alias("incident_id"))
+    scenario = F.struct(F.when(_k() % 17 == 0, "s9").otherwise("s1").alias("scenario_id"), (_k() % 13 != 0).alias("eligible"))
+    now = F.when(_k() % 31 == 1, at(10)).when(_k() % 31 == 2, at(9000)).when(_k() % 31 != 0, at(1500))
+    rows = table(spark, d, "orders").select("o_orderkey", url.alias("target_url"), F.lit("i").alias("incident_id"), F.lit("s").alias("expected_state_id"), F.array(F.lit("bad")).alias("forbidden"), F.lit(True).alias("live"), now.alias("now"), F.when(_k() % 11 != 0, scenario).alias("scenario"), F.when(_k() % 19 != 0, identity).alias("identity"), F.when(_k() % 43 != 0, allowed).alias("authorization"))
+    labs = spark.createDataFrame([("lab", "a", 80, ["s1"], "net", ["c1", "c2"], "h")], "lab_id string, host string, port int, scenarios array<string>, network string, containers array<string>, compose_sha256 string")
+    out = judging.scope_decisions(rows, labs, False)
+    return out.select("o_orderkey", F.array_join("codes", ",").alias("codes"), "conditions_met", "permitted", "origin")
+
+
+@query("select c_custkey, round(2 * (c_acctbal - 100), 4) as phi_balance, round(-0.5 * (c_nationkey - 3), 4)::double as phi_nation from customer")
+def q_linear_shapley(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    out = risk.linear_shapley(rows, {"balance": 2.0, "nation": -0.5}, {"balance": 100.0, "nation": 3.0})
+    return out.select("c_custkey", F.round("phi_balance", 4).alias("phi_balance"), F.round("phi_nation", 4).alias("phi_nation"))
+
+
+@query("""
+    with n as (select 'nation:' || n_nationkey as id from nation union all select 'nation:1'), e as (select 'nation:' || c_nationkey as a, 'customer:' || c_custkey as b, 'hosts' as t from customer union all select 'nation:' || c_nationkey, 'customer:' || c_custkey, 'hosts' from customer where c_custkey % 9 = 0)
+    select 'dangling' as issue, x as item from (select distinct b as x from e) union all select 'duplicate_node', 'nation:1'
+    union all select 'duplicate_edge', a || '→' || b || '→' || t from e group by a, b, t having count(*) > 1 union all select 'unassessed_edge', 'nation:' || c_nationkey || '→customer:' || c_custkey || '→hosts' from customer where c_custkey % 4 <> 0
+""")
+def q_graph_issues(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    nodes = n.select(F.concat(F.lit("nation:"), "n_nationkey").alias("node_id"))
+    edges = c.select(F.concat(F.lit("nation:"), "c_nationkey").alias("source"), F.concat(F.lit("customer:"), "c_custkey").alias("target"), F.lit("hosts").alias("edge_type"), "c_custkey")
+    nodes = nodes.union(nodes.where("node_id = 'nation:1'"))
+    return graph.graph_issues(nodes, edges.union(edges.where("c_custkey % 9 = 0")), edges.where("c_custkey % 4 = 0").drop("c_custkey"))
