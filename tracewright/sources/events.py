@@ -36,9 +36,10 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def union_sources(spark: SparkSession, *sources: DataFrame | None) -> DataFrame:
-    """All rows of the sources that exist, numbered by source in arrival order and place in the source."""
+    """All rows of the sources that exist, numbered by source in arrival order and place in the source; sources
+    that are not known come last."""
     there = [s for s in sources if s is not None]
     if not there:
         return spark.createDataFrame([], EVENT)
-    order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SOURCE_ORDER]), F.col("source")), F.lit(len(SOURCE_ORDER) + 1))
+    order = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SOURCE_ORDER]), F.col("source")), F.lit(0).cast("long")), F.lit(len(SOURCE_ORDER) + 1))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), there).withColumn("seq", order.cast("long") * F.lit(1 << 48) + F.coalesce("seq", F.lit(0)))
