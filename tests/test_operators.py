@@ -401,6 +401,35 @@ def test_graph_network(spark):
     assert -1 <= got[1] <= 1 and got[2] == 1.0
 
 
+def test_message_passing_equals_plain_layers(spark):
+    """Two layers over joins are those of plain sums over each graph, with repeated edges, loops and ends that are no nodes."""
+    import numpy as np
+
+    rng, w = random.Random(5), gnn.initial_weights()
+    names = {g: [f"n{i}" for i in range(5)] for g in ("x", "y")}
+    nodes = [(g, n, rng.choice(gnn.NODE_TYPES), rng.choice(gnn.BASES)) for g, own in names.items() for n in own]
+    edges = [(g, rng.choice(own), rng.choice([*own, "gone"]), rng.choice([*gnn.EDGE_TYPES, "odd"]), rng.choice([*gnn.BASES, None])) for g, own in names.items() for _ in range(14)]
+    n = spark.createDataFrame(nodes, "graph_id string, node_id string, node_type string, basis string")
+    e = spark.createDataFrame(edges, "graph_id string, source string, target string, edge_type string, basis string")
+    vectors = gnn.node_vectors(n, spark.createDataFrame([], "graph_id string, node_id string, features array<double>"))
+    h = {(r["graph_id"], r["node_id"]): np.array(r["features"]) for r in vectors.collect()}
+    for own, rel, relu in (("own1", "rel1", False), ("own2", "rel2", True)):
+        h = {k: np.maximum(v, 0) if relu else v for k, v in h.items()}
+        new = {k: v @ w[own] for k, v in h.items()}
+        for g, node in new:
+            groups = {}
+            for gg, a, b, kind, basis in edges:
+                if gg == g and b == node:
+                    r = (gnn.EDGE_TYPES.index(kind) if kind in gnn.EDGE_TYPES else 0) * 2 + (gnn.BASES.index(basis) if basis in gnn.BASES else 1)
+                    groups.setdefault(r, []).append(h[g, a])
+            new[g, node] = new[g, node] + sum((np.mean(v, 0) @ w[rel][r] for r, v in groups.items()), 0)
+        h = new
+    got = {(r["graph_id"], r["node_id"]): np.array(r["embedding"]) for r in gnn.embed_nodes(vectors, e, w).collect()}
+    assert set(got) == set(h) and all(np.allclose(got[k], h[k]) for k in h)
+    scored = gnn.score_edges(vectors, e, w)
+    assert scored.count() == sum(b != "gone" for _, _, b, *_ in edges)
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     base = dt.datetime(2026, 1, 1)

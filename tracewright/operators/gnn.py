@@ -1,15 +1,19 @@
-"""A small relation-aware graph network, scored one graph to a group.
+"""A small relation-aware graph network by message passing in joins.
 
-Graphs are incident-sized: a group is one graph, never the whole table. Weights come from a seed or from training on
-labelled edges; training sees a bounded sample of graphs."""
+A layer joins edges to the vectors of their sources, averages them by target and relation with partial sums, applies the
+small weight matrices to Arrow batches of rows, and adds what arrives at a node. So a graph may have any number of edges:
+nothing is gathered by graph. Weights come from a seed or from training on labelled edges, of which a bounded sample is seen."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .risk import EDGE_TYPES, NODE_TYPES
 
 BASES = ["observed", "configured"]
@@ -32,80 +36,101 @@ def initial_weights(seed: int = 7) -> dict[str, np.ndarray]:
     return {"own1": draw(WIDTH, HIDDEN), "rel1": draw(n, WIDTH, HIDDEN), "own2": draw(HIDDEN, OUT), "rel2": draw(n, HIDDEN, OUT), "kind": rng.normal(0, 0.1, (len(EDGE_TYPES), 8)), "hid": draw(3 * OUT + 8, HIDDEN), "bias": np.zeros(HIDDEN), "out": draw(HIDDEN, 1)[:, 0], "last": np.zeros(1)}
 
 
-def embed(x: np.ndarray, ends: np.ndarray, kinds: np.ndarray, bases: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Two layers; a node adds the mean of its in-neighbours over each of the type and basis relations."""
+NODE_KEY = ["graph_id", "node_id"]
 
-    def layer(h: np.ndarray, own: np.ndarray, rel: np.ndarray) -> np.ndarray:
-        out = h @ own
-        relation = kinds * len(BASES) + bases
-        for r in np.unique(relation):
-            a, b = ends[relation == r].T
-            total, n = np.zeros((len(h), h.shape[1])), np.zeros(len(h))
-            np.add.at(total, b, h[a])
-            np.add.at(n, b, 1)
-            out += (total / np.maximum(n, 1)[:, None]) @ rel[r]
-        return out
 
-    return layer(np.maximum(layer(x, w["own1"], w["rel1"]), 0), w["own2"], w["rel2"])
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def edge_inputs(h: np.ndarray, ends: np.ndarray, kinds: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    a, b = h[ends[:, 0]], h[ends[:, 1]]
-    return np.hstack([a, b, np.abs(a - b), w["kind"][kinds]])
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
 
 
-def edge_logits(z: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.maximum(z @ w["hid"] + w["bias"], 0) @ w["out"] + w["last"][0]
+def _times(rows: DataFrame, matrices: np.ndarray, relu: bool) -> DataFrame:
+    """graph_id, node_id, v times the matrix that relation names."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, relation = _matrix(b.column("v")), b.column("relation").to_numpy()
+                x = np.maximum(x, 0) if relu else x
+                out = np.zeros((len(x), matrices.shape[2]))
+                for r in np.unique(relation):
+                    out[relation == r] = x[relation == r] @ matrices[r]
+                yield pa.RecordBatch.from_arrays([b.column("graph_id"), b.column("node_id"), _lists(out)], [*NODE_KEY, "v"])
 
-def _arrays(nodes: pd.DataFrame, edges: pd.DataFrame):
-    nodes = nodes.sort_values("node_id")
-    place = {n: i for i, n in enumerate(nodes["node_id"])}
-    edges = edges[edges["source"].isin(place) & edges["target"].isin(place)].sort_values(["source", "target", "edge_type"])
-    x = np.array(nodes["features"].tolist(), float).reshape(len(nodes), WIDTH)
-    ends = np.array([[place[a], place[b]] for a, b in zip(edges["source"], edges["target"], strict=True)], int).reshape(-1, 2)
-    kinds = edges["edge_type"].map(lambda t: EDGE_TYPES.index(t) if t in EDGE_TYPES else 0).to_numpy(int)
-    bases = edges["basis"].map(lambda b: BASES.index(b) if b in BASES else 1).to_numpy(int)
-    return nodes, edges, x, ends, kinds, bases
+    return rows.select(*NODE_KEY, "v", "relation").mapInArrow(run, "graph_id string, node_id string, v array<double>")
 
 
-def _side(rows: DataFrame, *columns: str):
-    """Columns grouped by graph under new names of their own, so that both sides may come from one table."""
-    return rows.select(*[F.col(c).alias(c) for c in columns]).groupBy("graph_id")
+def _relation() -> Column:
+    """The place of an edge's type and basis; types that are not known count as the first, bases as configured."""
+    place = lambda names, c, other: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)), F.lit(0).cast("long")), F.lit(other + 1)) - 1
+    return (place(EDGE_TYPES, "edge_type", 0) * len(BASES) + place(BASES, "basis", 1)).cast("int")
 
 
-def score_edges(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """graph_id, source, target, edge_type, logit, probability."""
+def _each(size: int, how) -> Column:
+    return F.array(*[how(F.col("v")[k]) for k in range(size)])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        _, e, x, ends, kinds, bases = _arrays(left, right)
-        logit = edge_logits(edge_inputs(embed(x, ends, kinds, bases, weights), ends, kinds, weights), weights) if len(e) else np.zeros(0)
-        return e[["graph_id", "source", "target", "edge_type"]].assign(logit=logit, probability=1 / (1 + np.exp(-logit)))
 
-    return _side(nodes, "graph_id", "node_id", "features").cogroup(_side(edges, "graph_id", "source", "target", "edge_type", "basis")).applyInPandas(run, "graph_id string, source string, target string, edge_type string, logit double, probability double")
+def _layer(h: DataFrame, edges: DataFrame, own: np.ndarray, rel: np.ndarray, relu: bool) -> DataFrame:
+    """graph_id, node_id, v: a node's own vector and the means of its in-neighbours' over each relation, each by its matrix."""
+    width, out = own.shape
+    sent = edges.join(h.select("graph_id", F.col("node_id").alias("source"), F.transform("v", lambda x: F.greatest(x, F.lit(0.0))).alias("v") if relu else F.col("v")), ["graph_id", "source"])
+    means = sent.groupBy("graph_id", F.col("target").alias("node_id"), "relation").agg(_each(width, F.avg).alias("v"))
+    arrived = _times(means, rel, False).withColumn("own", F.lit(0))
+    mine = _times(h.withColumn("relation", F.lit(0)), own[None], relu).withColumn("own", F.lit(1))
+    both = mine.unionByName(arrived).groupBy(*NODE_KEY).agg(_each(out, F.sum).alias("v"), F.max("own").alias("own"))
+    return written(both.where("own = 1").drop("own"), "layer")
 
 
 def embed_nodes(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """graph_id, node_id, embedding."""
+    """graph_id, node_id, embedding after two layers; edges whose end is no node count for nothing."""
+    h = nodes.select(*NODE_KEY, F.col("features").alias("v"))
+    own = edges.select("graph_id", "source", "target", _relation().alias("relation"))
+    h = _layer(h, own, weights["own1"], weights["rel1"], False)
+    return _layer(h, own, weights["own2"], weights["rel2"], True).withColumnRenamed("v", "embedding")
+
+
+def _ends(embeddings: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with the embeddings of both ends, a and b."""
+    side = lambda end, name: embeddings.select("graph_id", F.col("node_id").alias(end), F.col("embedding").alias(name))
+    return edges.join(side("source", "a"), ["graph_id", "source"]).join(side("target", "b"), ["graph_id", "target"]).withColumn("kind", F.floor(_relation() / len(BASES)).cast("int"))
+
+
+def edge_inputs(a: np.ndarray, b: np.ndarray, kinds: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.hstack([a, b, np.abs(a - b), w["kind"][kinds]])
+
+
+def edge_logits(z: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.maximum(z @ w["hid"] + w["bias"], 0) @ w["out"] + w["last"][0]
+
+
+def score_edges(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """graph_id, source, target, edge_type, logit, probability."""
+    names = ["graph_id", "source", "target", "edge_type"]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        n, _, x, ends, kinds, bases = _arrays(left, right)
-        return n[["graph_id", "node_id"]].assign(embedding=list(embed(x, ends, kinds, bases, weights)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                logit = edge_logits(edge_inputs(_matrix(b.column("a")), _matrix(b.column("b")), b.column("kind").to_numpy(), weights), weights)
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(logit), pa.array(1 / (1 + np.exp(-logit)))], [*names, "logit", "probability"])
 
-    return _side(nodes, "graph_id", "node_id", "features").cogroup(_side(edges, "graph_id", "source", "target", "edge_type", "basis")).applyInPandas(run, "graph_id string, node_id string, embedding array<double>")
+    rows = _ends(embed_nodes(nodes, edges, weights), edges).select(*names, "kind", "a", "b")
+    return rows.mapInArrow(run, "graph_id string, source string, target string, edge_type string, logit double, probability double")
 
 
-def train_scorer(nodes: DataFrame, labelled: DataFrame, graphs: int = 200, epochs: int = 50, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights whose edge scorer is fitted with Adam on the labelled edges of at most `graphs` graphs, chosen by hash; the
-    layers below keep their seeded values."""
+def train_scorer(nodes: DataFrame, labelled: DataFrame, most: int = 20_000, epochs: int = 50, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights whose edge scorer is fitted with Adam on at most `most` labelled edges, chosen by hash; the layers below keep
+    their seeded values. Embeddings see all edges."""
     w = initial_weights(seed)
-    chosen = labelled.select("graph_id").distinct().orderBy(F.xxhash64("graph_id"), "graph_id").limit(graphs)
-    left, right = nodes.join(chosen, "graph_id", "left_semi").toPandas(), labelled.join(chosen, "graph_id", "left_semi").toPandas()
-    parts = [_arrays(left[left["graph_id"] == g], right[right["graph_id"] == g]) for g in sorted(right["graph_id"].unique())]
-    if not parts:
+    key = ["graph_id", "source", "target", "edge_type"]
+    chosen = labelled.orderBy(F.xxhash64(*key), *key).limit(most)
+    rows = _ends(embed_nodes(nodes, labelled, w), chosen).select(*key, "kind", "a", "b", F.col("label").cast("double").alias("y")).orderBy(*key).toArrow()
+    if not rows.num_rows:
         return w
-    z = np.vstack([edge_inputs(embed(x, ends, kinds, bases, w), ends, kinds, w) for _, _, x, ends, kinds, bases in parts])
-    y = np.concatenate([e["label"].to_numpy(float) for _, e, *_ in parts])
+    z, y = edge_inputs(_matrix(rows.column("a")), _matrix(rows.column("b")), rows.column("kind").to_numpy(), w), rows.column("y").to_numpy()
     keys = ["hid", "bias", "out", "last"]
     m, v = ({k: np.zeros_like(w[k]) for k in keys} for _ in range(2))
     for t in range(1, epochs + 1):
