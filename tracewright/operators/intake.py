@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import redact_credentials
 from .rules import first_status
 
 EXTRACTION = "struct<relevant_event_ids:array<string>,direct_event_ids:array<string>,relevant_network_event_ids:array<string>,relevant_docker_paths:array<string>,relevant_pcap_paths:array<string>,summary:string,confidence:double>"
@@ -109,3 +110,62 @@ def source_drift(pinned: DataFrame, current: DataFrame, key: str = "path") -> Da
     a, b = pinned.select(F.col(key).alias("_p"), F.col("sha256").alias("_a")), current.select(F.col(key).alias("_c"), F.col("sha256").alias("_b"))
     state = F.when(F.col("_c").isNull(), "missing").when(F.col("_p").isNull(), "unexpected").when(F.col("_a") != F.col("_b"), "changed")
     return a.join(b, F.col("_p") == F.col("_c"), "full").select(F.coalesce("_p", "_c").alias(key), state.alias("state")).where("state is not null")
+
+
+def scenario_issues() -> Column:
+    """What is inconsistent in a scenario definition, from its columns scenario_id, incident_id, source_incident_id, conditions,
+    rules (requires_met, requires_not_met, status), required_evidence, false_conclusions, limitations, ambiguities (code, blocking,
+    resolved), wire_encoding, control_value, procedure_sha256 and review (status, reviewer, required_approvers, approvals: name,
+    approved, confirms, date, scenario_id, procedure_sha256). An approval binds one reviewer to one procedure of one scenario."""
+    c = F.col
+    empty = lambda a: F.coalesce(F.size(a), F.lit(0)) <= 0
+    repeats = lambda a: F.size(F.array_distinct(a)) < F.size(a)
+    said = lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""
+    given = c("review.approvals")
+    bound = lambda a: said(a["date"]) | said(a["scenario_id"]) | said(a["procedure_sha256"])
+    whole = lambda a: a["confirms"] & said(a["date"]) & said(a["scenario_id"]) & said(a["procedure_sha256"])
+    day = lambda a: a["date"].rlike(r"^\d{4}-\d{2}-\d{2}$") & a["date"].try_cast("date").isNotNull()
+    approved = c("review.status") == "approved"
+    checks = [
+        (empty("conditions") | repeats(c("conditions")), "condition_ids_not_unique"),
+        (F.exists("rules", lambda r: F.size(F.array_except(F.concat(r["requires_met"], r["requires_not_met"]), c("conditions"))) > 0), "rule_with_unknown_condition"),
+        (F.exists("rules", lambda r: F.arrays_overlap(r["requires_met"], r["requires_not_met"])), "rule_contradicts_itself"),
+        (F.exists("rules", lambda r: r["status"].isin("objective_achieved", "objective_not_observed") & (F.size(r["requires_met"]) == 0)), "conclusive_rule_requires_nothing"),
+        (empty("required_evidence") | empty("false_conclusions"), "oracle_without_evidence_or_false_conclusions"),
+        (F.exists(given, lambda a: a["approved"] & ~F.coalesce(whole(a), F.lit(False))), "approval_not_bound"),
+        (F.exists(given, lambda a: a["approved"] & F.coalesce(whole(a), F.lit(False)) & ~day(a)), "approval_date_invalid"),
+        (F.exists(given, lambda a: ~a["approved"] & (F.coalesce(a["confirms"], F.lit(False)) | bound(a))), "pending_approval_already_bound"),
+        (repeats(F.transform(given, lambda a: a["name"])), "approval_repeated"),
+        (~c("source_incident_id").eqNullSafe(c("incident_id")), "source_of_another_incident"),
+        (empty("limitations"), "limitations_missing"),
+        (repeats(F.transform("ambiguities", lambda a: a["code"])), "ambiguity_codes_not_unique"),
+        (approved & ~said(c("review.reviewer")), "approved_without_reviewer"),
+        (approved & open_ambiguity(), "approved_with_open_ambiguity"),
+        (approved & ((c("wire_encoding") == "unspecified") | ~said(c("control_value"))), "approved_without_fixed_probe"),
+        (approved & (F.size(missing_approvals()) > 0), "approved_without_required_approvals"),
+        (approved & F.exists(given, lambda a: a["approved"] & ~a["scenario_id"].eqNullSafe(c("scenario_id"))), "approval_of_another_scenario"),
+        (approved & F.exists(given, lambda a: a["approved"] & ~a["procedure_sha256"].eqNullSafe(c("procedure_sha256"))), "approval_of_another_procedure"),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(False)), code) for x, code in checks]))
+
+
+def missing_approvals() -> Column:
+    """Required reviewers of a scenario who have not approved it."""
+    granted = F.transform(F.filter("review.approvals", lambda a: a["approved"]), lambda a: a["name"])
+    return F.array_except("review.required_approvers", F.coalesce(granted, F.array().cast("array<string>")))
+
+
+def open_ambiguity() -> Column:
+    return F.exists("ambiguities", lambda a: a["blocking"] & ~F.coalesce(a["resolved"], F.lit(False)))
+
+
+def finding_reports(contexts: DataFrame, answers: DataFrame, plans: DataFrame) -> DataFrame:
+    """One row for each finding (incident_id, finding_index): the answer that was generated for it (status, issue_codes,
+    response), which planning reuses, whether a plan was asked for (model_called), and of a rejected answer the text without
+    credentials. A finding without an answer or plan says so by nulls."""
+    key = ["incident_id", "finding_index"]
+    a = answers.select(*key, F.col("status").alias("answer_status"), "issue_codes", F.col("response").alias("_response"))
+    p = plans.select(*key, F.col("status").alias("plan_status"), "model_called")
+    rows = contexts.select(*key).join(a, key, "left").join(p, key, "left")
+    rejected = F.col("answer_status").isin("invalid_response", "citations_rejected")
+    return rows.select(*key, "answer_status", F.when(F.col("answer_status") != "answered", F.col("issue_codes")).alias("issue_codes"), "plan_status", F.coalesce("model_called", F.lit(False)).alias("planner_called"), F.when(rejected, redact_credentials(F.col("_response"))).alias("rejected_answer"))

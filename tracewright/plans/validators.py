@@ -357,3 +357,42 @@ def q_graph_issues(spark, d):
     edges = c.select(F.concat(F.lit("nation:"), "c_nationkey").alias("source"), F.concat(F.lit("customer:"), "c_custkey").alias("target"), F.lit("hosts").alias("edge_type"), "c_custkey")
     nodes = nodes.union(nodes.where("node_id = 'nation:1'"))
     return graph.graph_issues(nodes, edges.union(edges.where("c_custkey % 9 = 0")), edges.where("c_custkey % 4 = 0").drop("c_custkey"))
+
+
+@query("""
+    select o_orderkey, array_to_string(list_filter([case when o_orderkey % 3 = 0 then 'condition_ids_not_unique' end, case when o_orderkey % 5 = 0 then 'rule_with_unknown_condition' end, case when o_orderkey % 7 = 0 then 'rule_contradicts_itself' end,
+        case when o_orderkey % 11 = 0 then 'conclusive_rule_requires_nothing' end, case when o_orderkey % 13 = 0 then 'oracle_without_evidence_or_false_conclusions' end,
+        case when o_orderkey % 17 = 0 then 'approval_not_bound' end, case when o_orderkey % 17 <> 0 and o_orderkey % 19 = 0 then 'approval_date_invalid' end, case when o_orderkey % 23 = 0 then 'pending_approval_already_bound' end, case when o_orderkey % 29 = 0 then 'approval_repeated' end,
+        case when o_orderkey % 31 = 0 then 'source_of_another_incident' end, case when o_orderkey % 37 = 0 then 'limitations_missing' end, case when o_orderkey % 41 = 0 then 'ambiguity_codes_not_unique' end,
+        case when o_orderkey % 2 = 0 and o_orderkey % 43 = 0 then 'approved_without_reviewer' end, case when o_orderkey % 2 = 0 and o_orderkey % 9 = 4 then 'approved_with_open_ambiguity' end, case when o_orderkey % 2 = 0 and o_orderkey % 8 = 6 then 'approved_without_fixed_probe' end,
+        case when o_orderkey % 2 = 0 and o_orderkey % 10 = 4 then 'approved_without_required_approvals' end, case when o_orderkey % 2 = 0 and o_orderkey % 12 = 2 then 'approval_of_another_scenario' end, case when o_orderkey % 2 = 0 and o_orderkey % 14 = 6 then 'approval_of_another_procedure' end], lambda x: x is not null), ',') as issues,
+        case when o_orderkey % 10 = 4 then 'r2' else '' end as missing from orders
+""")
+def q_scenario_issues(spark, d):
+    from ..operators import intake
+
+    two = lambda n, a, b: F.when(_k() % n == 0, a).otherwise(b)
+    names = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    rule = F.struct(two(11, names(), two(5, names("c1", "zz"), names("c1"))).alias("requires_met"), names().alias("requires_not_met"), F.lit("objective_achieved").alias("status"))
+    own = F.struct(two(5, names("zz"), names("c1")).alias("requires_met"), two(7, two(5, names("zz"), names("c1")), names()).alias("requires_not_met"), F.lit("inconclusive").alias("status"))
+    approval = F.struct(F.lit("r1").alias("name"), F.lit(True).alias("approved"), (_k() % 17 != 0).alias("confirms"), two(19, F.lit("2026-02-30"), F.lit("2026-02-03")).alias("date"), F.when(_k() % 12 == 2, "other").otherwise("s").alias("scenario_id"), F.when(_k() % 14 == 6, "x").otherwise("h").alias("procedure_sha256"))
+    pending = F.struct(two(29, F.lit("r1"), F.lit("r3")).alias("name"), F.lit(False).alias("approved"), F.lit(False).alias("confirms"), F.when(_k() % 23 == 0, "2026-01-01").alias("date"), F.lit(None).cast("string").alias("scenario_id"), F.lit(None).cast("string").alias("procedure_sha256"))
+    doubt = lambda code, open_: F.struct(code.alias("code"), F.lit(True).alias("blocking"), (~open_).alias("resolved"))
+    review = F.struct(F.when(_k() % 2 == 0, "approved").otherwise("pending").alias("status"), F.when(_k() % 43 != 0, "someone").alias("reviewer"), F.when(_k() % 10 == 4, names("r1", "r2")).otherwise(names("r1")).alias("required_approvers"), F.array(approval, pending).alias("approvals"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit("s").alias("scenario_id"), F.lit("i").alias("incident_id"), two(31, F.lit("j"), F.lit("i")).alias("source_incident_id"), two(3, names("c1", "c1"), names("c1", "c2")).alias("conditions"), F.array(rule, own).alias("rules"), two(13, names(), names("e")).alias("required_evidence"), names("f").alias("false_conclusions"), two(37, names(), names("l")).alias("limitations"), F.array(doubt(F.lit("a"), _k() % 9 == 4), doubt(two(41, F.lit("a"), F.lit("b")), F.lit(False))).alias("ambiguities"), F.when(_k() % 8 == 6, "unspecified").otherwise("utf8").alias("wire_encoding"), F.lit("v").alias("control_value"), F.lit("h").alias("procedure_sha256"), review.alias("review"))
+    return rows.select("o_orderkey", F.array_join(intake.scenario_issues(), ",").alias("issues"), F.array_join(intake.missing_approvals(), ",").alias("missing"))
+
+
+@query("""
+    select c_custkey::varchar as incident_id, o_orderkey as finding_index, case o_orderstatus when 'F' then 'answered' when 'O' then 'citations_rejected' else 'model_error' end as answer_status, o_orderpriority = '1-URGENT' as planner_called,
+        case when o_orderstatus = 'O' then 'token=[REDACTED] ' || o_orderkey end as rejected_answer from orders join customer on c_custkey = o_custkey
+""")
+def q_finding_reports(spark, d):
+    from ..operators import intake
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("incident_id"), F.col("o_orderkey").alias("finding_index"), "o_orderstatus", "o_orderpriority")
+    status = F.when(F.col("o_orderstatus") == "F", "answered").when(F.col("o_orderstatus") == "O", "citations_rejected").otherwise("model_error")
+    answers = o.select("incident_id", "finding_index", status.alias("status"), F.array(F.lit("x")).alias("issue_codes"), F.concat(F.lit("token=abc "), "finding_index").alias("response"))
+    plans = o.where("o_orderpriority = '1-URGENT'").select("incident_id", "finding_index", F.lit("planned").alias("status"), F.lit(True).alias("model_called"))
+    out = intake.finding_reports(o, answers, plans)
+    return out.select("incident_id", "finding_index", "answer_status", "planner_called", "rejected_answer")
