@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import sqlite3
 
 import numpy as np
@@ -322,6 +323,7 @@ def test_comparison_and_judge(spark):
 )
 def test_claim_screens(said, screen, found):
     assert bool(claims.claims_in(said, screen)) == found
+    assert not found or re.search(claims.STEMS[screen], said, re.IGNORECASE)
 
 
 def test_claim_rows_and_facts(spark):
