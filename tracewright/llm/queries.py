@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lattice, minhash, mixing, pii, quality, suffix, tokens
+from . import bpe, chat, langid, lattice, lines, minhash, mixing, pii, quality, suffix, tokens
 from .common import table
 
 
@@ -40,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op9_personal_data": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op10_near_vectors": lambda spark, d: lattice.link_vectors(table(spark, d, "embeddings")),
+    "op13_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")).drop("n_shared"),
     "q_chat_calls": chat_calls,
 }
 
@@ -77,6 +78,22 @@ ORACLE: dict[str, str] = {
             || ',"turn":' || coalesce(turn::varchar, 'null') || '}' as chat_json
         from conversations
     """,
+    "op13_line_dedup": r"""
+        with whole as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, row_number() over () as r from documents),
+        cut as (select r, doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from whole),
+        keyed as (
+            select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from cut
+        ), owners as (
+            select key, min(coalesce(doc_id, 9223372036854775807)) as owner, max(coalesce(doc_id, 9223372036854775807)) as last
+            from keyed where length(key) >= 10 group by key
+        )
+        select any_value(k.doc_id)::bigint as doc_id, count(*)::bigint as n_lines,
+            count(*) filter (where coalesce(owner < coalesce(doc_id, 9223372036854775807), false))::bigint as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not coalesce(owner < coalesce(doc_id, 9223372036854775807), false)), '')) as kept_sha256
+        from keyed k left join owners o on k.key = o.key group by r
+    """,
     "q_chat_calls": r"""
         with a as (select conv_id, turn, row_number() over (partition by conv_id, turn) as copy from conversations where role = 'assistant'),
         f as (select *, turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as island from a where copy = 1),
