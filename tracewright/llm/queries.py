@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lattice, lines, minhash, mixing, pii, quality, suffix, tokens
+from . import bpe, chat, langid, lattice, lines, minhash, mixing, phrases, pii, quality, suffix, tokens
 from .common import table
 
 
@@ -40,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op9_personal_data": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op10_near_vectors": lambda spark, d: lattice.link_vectors(table(spark, d, "embeddings")),
+    "op12_collocations": lambda spark, d: phrases.collocations(table(spark, d, "documents")),
     "op13_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")).drop("n_shared"),
     "q_chat_calls": chat_calls,
 }
@@ -78,6 +79,31 @@ ORACLE: dict[str, str] = {
             || ',"turn":' || coalesce(turn::varchar, 'null') || '}' as chat_json
         from conversations
     """,
+    "op12_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+        ), cut as (select row_number() over () as p, lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+        words as (select p, lang, unnest(w) as w, unnest(range(len(w))) as i from cut),
+        runs as (select lang, w as w1, lead(w) over (partition by p order by i) as w2, lead(w, 2) over (partition by p order by i) as w3 from words),
+        f as (
+            select lang, [w1] as p, count(*) as n from runs group by all
+            union all select lang, [w1, w2], count(*) from runs where w2 is not null group by all
+            union all select lang, [w1, w2, w3], count(*) from runs where w3 is not null group by all
+        ), often as (select * from f where n >= 10),
+        cuts as (select lang, p, n as a, unnest(range(1, len(p))) as k from often where len(p) > 1),
+        scored as (
+            select c.lang, c.p, c.a, c.k, l.n as l, r.n as r, ((1000000::hugeint * c.a * c.a) // (l.n::hugeint * r.n))::bigint as score
+            from cuts c join often l on l.lang = c.lang and l.p = c.p[:c.k] join often r on r.lang = c.lang and r.p = c.p[c.k + 1:]
+        ), weakest as (select lang, p, a, unnest(min({'score': score, 'k': k, 'l': l, 'r': r})) from scored group by lang, p, a),
+        inside as (select lang, unnest([p[:2], p[2:]]) as p, n from often where len(p) = 3),
+        above as (select lang, p, max(n) as n from inside group by lang, p),
+        kept as (select w.* from weakest w left join above u on u.lang = w.lang and u.p = w.p where not coalesce(100 * u.n >= 50 * w.a, false)),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank from kept),
+        totals as (select lang, count(*) as n from words group by lang)
+        select lang, rank::bigint as rank, array_to_string(p, ' ') as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score
+        from ranked join totals using (lang) where rank <= 2000
+    """,
     "op13_line_dedup": r"""
         with whole as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, row_number() over () as r from documents),
         cut as (select r, doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from whole),
