@@ -54,6 +54,7 @@ def test_random_texts(spark, monkeypatch):
         text = "".join(rng.choice(words[: rng.choice([4, 8, 50])]) + rng.choice(ends) for _ in range(rng.randrange(60)))
         rows.append((rng.choice(["en", "de", None, "und"]), text + rng.choice(["", "New York city ", "new york City\t"])))
     check(spark, rows)
+    monkeypatch.setattr(phrases, "NUMBERS", 20)
     check(spark, rows, least=3, top=7)
 
 

@@ -19,6 +19,7 @@ COLUMNS = {
     "op7_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op8_chat_format": ["conv_id", "turn", "chat_json"],
     "op9_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op11_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
     "op12_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op13_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op10_near_vectors": ["vec_id", "n_links", "component_id", "kept"],

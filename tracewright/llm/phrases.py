@@ -45,6 +45,8 @@ MANY = 400_000
 #: The characters that end a piece become line ends, a tab a blank; A-Z lower-cased.
 TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 NONE, END = 0, 1
+#: Words whose numbers fit three into one.
+NUMBERS = 1 << 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _slots(bits: int, lang: str, *words: np.ndarray) -> np.ndarray:
     """The buckets of n-grams given by their words' hashes."""
-    x = np.uint64(xxhash.xxh64_intdigest(lang))
+    x = np.full(1, xxhash.xxh64_intdigest(lang), np.uint64)
     for h in words:
         x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + h)
     return (x >> np.uint64(64 - bits)).astype(np.int64)
@@ -175,7 +177,7 @@ def counted(rows: DataFrame, size: int, least: int = LEAST, buckets: np.ndarray
             two = two[has(frequent, _slots(bits, lang, h[ids[two]], h[ids[two + 1]]))]
             three = two[:-1][np.diff(two) == 1]
             three = three[has(allowed, _slots(bits, lang, h[ids[three]], h[ids[three + 1]], h[ids[three + 2]]))]
-            if len(known) <= 1 << 21:
+            if len(known) <= NUMBERS:
                 tally.add(ids[three] << 42 | ids[three + 1] << 21 | ids[three + 2])
             else:  # a piece of millions of words: too many for three numbers in one
                 wide.append((lang, *np.unique(np.stack([ids[three + j] for j in range(3)], axis=1), axis=0, return_counts=True)))

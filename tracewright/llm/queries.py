@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lattice, lines, minhash, mixing, phrases, pii, quality, suffix, tokens
+from . import bpe, chat, divergence, langid, lattice, lines, minhash, mixing, phrases, pii, quality, suffix, tokens
 from .common import table
 
 
@@ -40,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
     "op9_personal_data": lambda spark, d: pii.find_pii(table(spark, d, "documents")),
     "op10_near_vectors": lambda spark, d: lattice.link_vectors(table(spark, d, "embeddings")),
+    "op11_source_divergence": lambda spark, d: divergence.audit(table(spark, d, "documents")),
     "op12_collocations": lambda spark, d: phrases.collocations(table(spark, d, "documents")),
     "op13_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")).drop("n_shared"),
     "q_chat_calls": chat_calls,
@@ -79,6 +80,30 @@ ORACLE: dict[str, str] = {
             || ',"turn":' || coalesce(turn::varchar, 'null') || '}' as chat_json
         from conversations
     """,
+    "op11_source_divergence": r"""
+        with docs as (
+            select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+        ), words as (select r, lang, source, unnest(terms) as term from docs),
+        kept as (select lang, term, count(*) as total from words group by all having count(distinct r) >= 10),
+        counts as (select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by all),
+        groups as (select distinct lang, source from docs),
+        grid as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.total from groups g join kept k using (lang) left join counts c using (lang, source, term)),
+        shares as (
+            select *, (1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * count(*) over (partition by lang, source)))::bigint as p,
+                (1 + (1000000000::hugeint * (total + 2)) // (sum(total) over (partition by lang, source) + 2 * count(*) over (partition by lang, source)))::bigint as q
+            from grid
+        ), pairs as (
+            select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+            from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ), found as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0)::bigint as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+            union all
+            select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from shares where n > 0 and p > q
+        ), ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from found)
+        select * from ranked where part = 'pair' or rank <= 10
+    """,
     "op12_collocations": r"""
         with pieces as (
             select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
