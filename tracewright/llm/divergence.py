@@ -98,20 +98,20 @@ def kept_terms(sums: DataFrame, shards: int, least: int = LEAST) -> DataFrame:
             if new > GROWN:
                 con.execute("create or replace table sums as select lang, source, term, sum(n)::bigint as n, sum(d)::bigint as d from sums group by all")
                 new = 0
-        found = con.execute(
+        found = con.sql(
             """
             with counts as (select lang, source, term, sum(n)::bigint as n, sum(d)::bigint as d from sums group by all)
             select lang, source, term, n, (sum(n) over same)::bigint as total, row_number() over (partition by lang, term order by source) = 1 as head
             from counts window same as (partition by lang, term) qualify sum(d) over same >= ?
             """,
-            [least],
+            params=[least],
         )
         yield from _arrow(found)
 
     return sums.repartition(shards, "lang", "term").mapInArrow(run, "lang string, source string, term string, n long, total long, head boolean")
 
 
-def _arrow(found: duckdb.DuckDBPyConnection) -> Iterator[pa.RecordBatch]:
+def _arrow(found: duckdb.DuckDBPyRelation) -> Iterator[pa.RecordBatch]:
     yield from found.to_arrow_table().to_batches(max_chunksize=100_000)
 
 
@@ -132,15 +132,15 @@ def shard_sums(kept: DataFrame, shards: int, first: int = FIRST) -> DataFrame:
         for b in batches:
             con.register("batch", pa.Table.from_batches([b]))
             con.execute("insert into uses select lang, source, term, share(n, whole, terms), share(0, whole, terms), share(total, lang_whole, terms) from batch")
-        yield from _arrow(con.execute(
+        yield from _arrow(con.sql(
             """
             select 'term' as kind, lang, source, term as item, null::bigint as p, apart(p, q) as value from uses
             where p > q qualify row_number() over (partition by lang, source order by value desc, term) <= ?
             """,
-            [first],
+            params=[first],
         ))
-        yield from _arrow(con.execute("select 'use' as kind, lang, source, null::varchar as item, p, count(*)::bigint as value from uses group by all"))
-        yield from _arrow(con.execute(
+        yield from _arrow(con.sql("select 'use' as kind, lang, source, null::varchar as item, p, count(*)::bigint as value from uses group by all"))
+        yield from _arrow(con.sql(
             """
             select 'pair' as kind, a.lang, a.source, b.source as item, null::bigint as p,
                 sum(apart(a.p, b.p) - apart(a.p, b.p0) - apart(a.p0, b.p) + apart(a.p0, b.p0))::bigint as value
