@@ -188,3 +188,12 @@ def test_very_long_text(spark):
     docs = {1: " ".join(long), 2: " ".join(near), 3: " ".join(long[:50]), 4: " ".join(long[:50])}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_keep_one_with_clashing_columns(spark):
+    names = ["_gone", "_id", "_row", "component_id", "kept", "count", "a.b"]
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text, *"abcdefg"), (2, text, *"abcdefg"), (3, "another text of some words here", *"abcdefg"), (3, "another text of some words here", *"bbcdefg")], ["doc_id", "text", *names])
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(1, text, "a"), (3, "another text of some words here", "a")]

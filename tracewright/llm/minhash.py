@@ -351,15 +351,18 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """docs with one document of each class; of rows that share its doc_id, one."""
-    known = materialize(near_duplicates(docs, least), "classes")
+    names = docs.columns
+    # the row as one column, so that no name of its own meets the ones here
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    ident = F.col("_row.doc_id").cast("long")
+    known = materialize(near_duplicates(docs.select("doc_id", "text"), least), "classes")
     gone = known.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     twice = known.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).count().where("count > 1").select("_gone")
     twice = materialize(twice, "twice")
-    ident = F.col("doc_id").cast("long")
     # joined alike at every size: the ids grow with the corpus, so a broadcast would only be a small input's plan
-    kept = docs.join(gone.hint("merge"), ident == F.col("_gone"), "left_anti")
+    kept = packed.join(gone.hint("merge"), ident == F.col("_gone"), "left_anti")
     single = kept.join(twice, ident == F.col("_gone"), "left_anti")
-    names = docs.columns
     rest = kept.join(twice, ident == F.col("_gone"), "left_semi")
-    rest = rest.groupBy(ident.alias("_id")).agg(F.min_by(F.struct(*names), F.struct(*[F.col(c).cast("string") for c in names])).alias("_row")).select("_row.*")
-    return single.unionByName(rest)
+    order = F.struct(*[F.col(f"_row.`{c}`").cast("string") for c in names])
+    rest = rest.groupBy(ident.alias("_id")).agg(F.min_by("_row", order).alias("_row")).select("_row")
+    return single.unionByName(rest).select("_row.*")
