@@ -48,6 +48,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
+def _folding() -> tuple[str, str]:
+    """Letters that are an ASCII letter with one mark, and those marks; the letters without it."""
+    once = {}
+    for c in map(chr, range(0xC0, 0x1F00)):
+        parts = unicodedata.decomposition(c).split()
+        if c == c.lower() and len(parts) == 2 and (base := chr(int(parts[0], 16) if "<" not in parts[0] else 0)).isalpha() and base.isascii():
+            once[c] = (base, chr(int(parts[1], 16)))
+    return "".join(once) + "".join(sorted({m for _, m in once.values()})), "".join(b for b, _ in once.values())
+
+
+FOLDED = _folding()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics, as a full-text index matches words: `Café` is `cafe`. Marks of their own go; letters with
+    more than one mark keep them."""
+    return F.translate(F.lower(text), *FOLDED)
+
+
 def search_words(text: Column) -> Column:
     """Distinct words of a query that carry content: no stop words, numbers or single characters."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])

@@ -11,20 +11,22 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import folded, words
+from ..sources.index import BETWEEN, Index
 from ..sources.scratch import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-BETWEEN = r"[^\p{L}\p{N}]+"
 #: Vectors, and queries, that meet in one matrix product.
 BLOCK_ROWS = 2048
+#: Blocks that set a query's floor, as many times as would hold its best chunks.
+FIRST_BLOCKS = 8
 HIT_WINDOW, CHUNKS_SHOWN, RRF_K, SCORE_DIGITS = 100, 3, 60, 12
 
 
 def _said(chunks: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """doc_id, ordinal, w: the words of the fields, one field after the other with an empty word between."""
     # the runs that words() finds, by what lies between them: one pass without a match object for each
-    each = [F.array_remove(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), BETWEEN), "") for f in fields]
+    each = [F.array_remove(F.split(folded(F.coalesce(F.col(f), F.lit(""))), BETWEEN), "") for f in fields]
     gap = F.array(F.lit(""))
     return chunks.select("doc_id", "ordinal", reduce(lambda a, b: F.concat(a, gap, b), each).alias("w"))
 
@@ -46,7 +48,7 @@ def phrase_hits(chunks: DataFrame, phrases: DataFrame, fields: tuple[str, ...] =
     Each word of a phrase meets its occurrences, moved back by its place in the phrase; where all words meet, the phrase
     starts. Rows hold positions only, never a chunk's other words; no phrase goes from one field into the next."""
     said = _said(chunks, fields).select("doc_id", "ordinal", (F.size("w") - (len(fields) - 1)).alias("dl"), F.posexplode("w").alias("pos", "word"))
-    asked = phrases.select("term").distinct().select("term", F.size(F.split("term", " ")).alias("n"), F.posexplode(F.split("term", " ")).alias("k", "word"))
+    asked = phrases.select(folded(F.col("term")).alias("term")).distinct().select("term", F.size(F.split("term", " ")).alias("n"), F.posexplode(F.split("term", " ")).alias("k", "word"))
     starts = said.join(asked, "word").groupBy("doc_id", "ordinal", "dl", "term", "n", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met")).where("met = n")
     return starts.groupBy("doc_id", "ordinal", "term", "dl").agg(F.count("*").alias("f"))
 
@@ -57,7 +59,7 @@ def bm25_hits(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = (
     The postings of the queries' terms and a row for each chunk are written once; counts of chunks, mean length and term
     statistics come from them, so texts are scanned once (twice if a query asks for a phrase). Scores are rounded to 9
     digits, so that equal texts tie whatever order they were summed in."""
-    terms = queries.select("query_id", "term").distinct()
+    terms = queries.select("query_id", folded(F.col("term")).alias("term")).distinct()
     posted = postings(chunks, terms.where("not contains(term, ' ')").select("term").distinct(), fields)
     several = terms.where("contains(term, ' ')")
     if several.limit(1).count():
@@ -66,14 +68,68 @@ def bm25_hits(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = (
     size = posted.where("term = ''").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     posted = posted.where("term <> ''")
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-    known = df.join(F.broadcast(size)).select("term", idf.alias("idf"), "avgdl")  # the totals are one row
-    weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    known = df.join(F.broadcast(size)).select("term", _idf(F.col("N"), F.col("df")).alias("idf"), "avgdl")  # the totals are one row
+    weight = F.col("idf") * _saturated(F.col("f"), F.col("dl"), F.col("avgdl"))
     scored = posted.join(known, "term").select("term", "doc_id", "ordinal", weight.alias("s"))
     return terms.join(scored, "term").groupBy("query_id", "doc_id", "ordinal").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
+def _idf(n: Column, df: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
+
+
+def _saturated(f: Column, dl: Column, avgdl: Column) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+
+
+def phrase_postings(index: Index, phrases: DataFrame) -> DataFrame:
+    """The rows of whole phrases (term, several words with blanks) as an index would hold them: each word's places, moved
+    back by its place in the phrase, meet where the phrase starts. No phrase goes from one field into the next."""
+    asked = phrases.select("term", F.size(F.split("term", " ")).alias("words"), F.posexplode(F.split("term", " ")).alias("k", "word"))
+    held = index.postings(asked.select(F.col("word").alias("term"))).select(F.col("term").alias("word"), "block", F.inline("entries"))
+    each = held.select("word", "block", "doc_id", "ordinal", "dl", F.explode("at").alias("pos")).join(asked, "word")
+    starts = each.groupBy("block", "doc_id", "ordinal", "dl", "term", "words", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met")).where("met = words")
+    found = starts.groupBy("term", "block", "doc_id", "ordinal", "dl").agg(F.count("*").cast("int").alias("f"), F.array_sort(F.collect_list("start")).alias("at"))
+    entry = F.struct("doc_id", "ordinal", "dl", "f", "at")
+    return found.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("f").alias("top_f"), F.min("dl").alias("least_dl"), F.collect_list(entry).alias("entries"))
+
+
+def index_hits(index: Index, queries: DataFrame, limit: int | None = HIT_WINDOW) -> DataFrame:
+    """query_id, doc_id, ordinal, score: the chunks that bm25_hits would find, from a stored index. With a limit, blocks that
+    cannot hold one of a query's `limit` best chunks are not opened; all others come whole, so hit_window takes the same.
+
+    A block's chunks score at most the sum of what its highest frequency and its shortest chunk would give for each term. The
+    blocks with the highest bounds are scored first; the limit-th best score there is a floor below which no block matters."""
+    terms = written(queries.select("query_id", folded(F.col("term")).alias("term")).distinct(), "terms")
+    posted = index.postings(terms.where("not contains(term, ' ')"))
+    several = terms.where("contains(term, ' ')").select("term").distinct()
+    if several.limit(1).count():
+        posted = posted.unionByName(written(phrase_postings(index, several), "phrases"))
+    avgdl = F.lit(index.words / index.chunks if index.chunks else 1.0)
+    known = posted.groupBy("term").agg(F.sum("n").alias("df")).select("term", _idf(F.lit(index.chunks), F.col("df")).alias("idf"))
+    known = written(known, "idf")
+    asked = terms.join(known, "term")
+
+    def scored(blocks: DataFrame | None) -> DataFrame:
+        rows = asked if blocks is None else asked.join(blocks, "query_id")
+        met = rows.join(posted.select("term", "block", "entries"), ["term"] if blocks is None else ["term", "block"])
+        each = met.select("query_id", "idf", F.inline(F.transform("entries", lambda e: F.struct(e["doc_id"].alias("doc_id"), e["ordinal"].alias("ordinal"), e["dl"].alias("dl"), e["f"].alias("f")))))
+        return each.groupBy("query_id", "doc_id", "ordinal").agg(F.round(F.sum(F.col("idf") * _saturated(F.col("f"), F.col("dl"), avgdl)), 9).alias("score"))
+
+    first = FIRST_BLOCKS * (1 + (limit or 0) * index.blocks // max(1, index.chunks))
+    if limit is None or index.blocks <= 2 * first:
+        return scored(None)
+    bound = F.sum(F.col("idf") * _saturated(F.col("top_f"), F.col("least_dl"), avgdl))
+    bounds = asked.join(posted.select("term", "block", "top_f", "least_dl"), "term").groupBy("query_id", "block").agg(bound.alias("bound"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+    bounds = written(bounds.withColumn("place", place), "bounds")
+    best = written(scored(bounds.where(F.col("place") <= first).select("query_id", "block")), "first")
+    floor = hit_window(best, limit).groupBy("query_id").agg(F.when(F.count("*") == limit, F.min("score")).alias("floor"))
+    rest = bounds.where(F.col("place") > first).join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6))
+    return best.unionByName(scored(rest.select("query_id", "block")))
+
+
 def hit_window(hits: DataFrame, limit: int = HIT_WINDOW) -> DataFrame:
     """The best chunks of each query, ties by document and place. Filters by kind of document come after this."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ordinal")
@@ -96,9 +152,9 @@ def ranked(scores: DataFrame, limit: int, *ties: str | Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int = 10, how: str = "best_chunk", allowed: Column | None = None, fields: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Ranked documents for each query, over the words of the fields (title and text, say)."""
-    hits = hit_window(bm25_hits(chunks, queries, fields))
+def search(chunks: DataFrame | Index, queries: DataFrame, limit: int = 10, how: str = "best_chunk", allowed: Column | None = None, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Ranked documents for each query, from a stored index, or over the words of the fields (title and text, say) of chunks."""
+    hits = hit_window(index_hits(chunks, queries) if isinstance(chunks, Index) else bm25_hits(chunks, queries, fields))
     return ranked(fold(hits if allowed is None else hits.where(allowed), how), limit)
 
 

@@ -11,7 +11,7 @@ from ..functions import claims, requests, text
 from ..operators import evaluation, evidence, graph, grounding, reconstruct, retrieval, risk, rules
 from ..sources import captures, store
 from ..streaming import windows
-from .tables import benchmark_terms, document_chunks, events, geography, table
+from .tables import benchmark_terms, document_chunks, document_index, events, geography, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -209,7 +209,7 @@ def q_pooled_features(spark, d):
 STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 TERMS_SQL = f"""
     terms as (
-        select distinct item_id as query_id, term from (
+        select distinct item_id as query_id, strip_accents(term) as term from (
             select item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from benchmark)
         where len(term) >= 2 and not regexp_full_match(term, '\\p{{Nd}}+') and term not in ({STOP_SQL}))
 """
@@ -218,7 +218,7 @@ TERMS_SQL = f"""
 def _bm25_sql(chunks: str, name: str) -> str:
     """CTEs that score chunks (doc_id, ordinal, text) against terms, as `name`_hits."""
     return f"""
-        {name}_w as (select doc_id, ordinal, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from ({chunks})),
+        {name}_w as (select doc_id, ordinal, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') as w from ({chunks})),
         {name}_p as (select doc_id, ordinal, dl, term, count(*) as f from (select doc_id, ordinal, len(w) as dl, unnest(w) as term from {name}_w) group by all),
         {name}_n as (select count(*) as N, avg(len(w)) as avgdl from {name}_w),
         {name}_df as (select term, count(*) as df from {name}_p group by term),
@@ -237,7 +237,7 @@ RANK = "select * from (select *, row_number() over (partition by query_id order
 
 
 def _ranked(spark, d, size=None, how="best_chunk"):
-    found = retrieval.search(document_chunks(spark, d, size), benchmark_terms(spark, d), 10, how)
+    found = retrieval.search(document_index(spark, d, size), benchmark_terms(spark, d), 10, how)
     return found.select("query_id", "doc_id", "rank", "score")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed_chunks, search_words, within_budget
 from ..schema import event_columns
+from ..sources import index
+from ..sources.scratch import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +30,16 @@ def document_chunks(spark: SparkSession, sf_dir: str, size: int | None = None) -
     return fixed_chunks(docs, size) if size else docs.select("doc_id", F.lit(0).alias("ordinal"), "text")
 
 
+def document_index(spark: SparkSession, sf_dir: str, size: int | None = None) -> index.Index:
+    """The index of document_chunks, built where the files of `documents` have none yet: it is kept under the shared folder by
+    their names, lengths and times, and all queries over them read it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    path = f"{scratch_dir(spark)}/index-{hashlib.sha256(repr((files, size)).encode()).hexdigest()[:32]}"
+    return index.opened(spark, path) or index.build(document_chunks(spark, sf_dir, size), path)
+
+
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, term for each item of `benchmark`."""
     terms = within_budget(search_words(F.col("text")))
