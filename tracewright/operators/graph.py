@@ -155,10 +155,25 @@ def edge_weight(edge_type: Column, basis: Column) -> Column:
     return F.coalesce(F.element_at(table, edge_type), F.lit(OTHER_WEIGHT)) * F.when(basis == "observed", 1.0).otherwise(CONFIGURED)
 
 
+def distances(steps: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """target, node, d: the hops from each node to each target (t) within `most`, over steps (s, t). Searches run backwards from
+    all targets at once, a join a hop; a node is labelled once for a target."""
+    steps = steps.select("s", F.col("t").alias("_t")).distinct()
+    labels = edge = written(targets.select(F.col("t").alias("target"), F.col("t").alias("node"), F.lit(0).alias("d")).distinct(), "labels")
+    for d in range(1, most + 1):
+        met = edge.join(steps, F.col("node") == F.col("_t")).select("target", F.col("s").alias("node")).distinct()
+        edge = written(met.join(labels, ["target", "node"], "left_anti").select("target", "node", F.lit(d).alias("d")), "labels")
+        if edge.limit(1).count() == 0:
+            break
+        labels = labels.unionByName(edge)
+    return labels
+
+
 def candidate_paths(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_hops: int = 6, max_paths: int = 10, observed_only: bool = False) -> DataFrame:
     """Simple directed paths for each (source, target) of ends: nodes, edge types, score, position.
 
-    Paths grow by one join a hop, for all pairs at once. `found` orders them as a breadth-first search meets them: by hops,
+    Paths grow by one join a hop, for all pairs at once, and only through nodes from which the target is within the hops that
+    are left: distances to each target, found backwards first, prune what leads nowhere. `found` orders them as a breadth-first search meets them: by hops,
     then by the places of their edges in the order of target and type. A search stops expanding once max_paths are found,
     so the paths of the expansion that reaches the bound stay, and later expansions go. Each hop is written once; pairs that
     have enough paths drop out before the next, and the search ends when no pair is open."""
@@ -173,14 +188,16 @@ def candidate_paths(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_hop
     place = F.row_number().over(Window.partitionBy("source").orderBy("target", "edge_type"))
     steps = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("edge_type").alias("e"), edge_weight(F.col("edge_type"), F.col("basis")).alias("w"), place.alias("place"))
     steps = written(steps, "steps")
+    ahead = distances(steps, ends.select(F.col("target").alias("t")), max_hops).withColumnsRenamed({"target": "_end", "node": "_node"})
+    near = lambda rows, left: rows.join(ahead, (F.col("target") == F.col("_end")) & (F.col("at") == F.col("_node"))).where(F.col("d") <= left).drop("_end", "_node", "d")
     strings, numbers, doubles = (F.array().cast(f"array<{k}>") for k in ("string", "int", "double"))
     open_ = ends.select("source", "target", F.array("source").alias("nodes"), strings.alias("edge_types"), doubles.alias("weights"), numbers.alias("places"), F.col("source").alias("at"))
     same = open_.where("source = target").drop("at").withColumn("score", F.lit(1.0))
-    open_, found = open_.where("source <> target"), []
+    open_, found = near(open_.where("source <> target"), max_hops), []
     for hop in range(max_hops):
         grown = open_.join(steps, (F.col("at") == F.col("s")) & ~F.array_contains("nodes", F.col("t")))
         grown = grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("edge_types", F.array("e")).alias("edge_types"), F.concat("weights", F.array("w")).alias("weights"), F.concat("places", F.array("place")).alias("places"), F.col("t").alias("at"))
-        grown = written(grown, "hop")
+        grown = written(near(grown, max_hops - hop - 1), "hop")
         found.append(grown.where("at = target").drop("at"))
         if hop + 1 == max_hops:
             break
@@ -192,8 +209,8 @@ def candidate_paths(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_hop
     every = reduce(lambda a, b: a.unionByName(b), found).withColumn("score", score)
     pair = Window.partitionBy("source", "target")
     before = every.withColumn("hops", F.size("edge_types")).withColumn("from", F.slice("places", 1, F.size("places") - 1))
-    ahead = F.count("*").over(pair.orderBy("hops", "from").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count("*").over(Window.partitionBy("source", "target", "hops", "from"))
-    kept = before.withColumn("ahead", ahead).where(F.col("ahead") < max_paths).drop("ahead", "from")
+    earlier = F.count("*").over(pair.orderBy("hops", "from").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count("*").over(Window.partitionBy("source", "target", "hops", "from"))
+    kept = before.withColumn("earlier", earlier).where(F.col("earlier") < max_paths).drop("earlier", "from")
     out = kept.unionByName(same.withColumn("hops", F.lit(0)))
     return out.withColumn("rank", F.row_number().over(pair.orderBy(F.desc("score"), "hops", "nodes", "edge_types"))).drop("weights", "places")
 

@@ -9,29 +9,37 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-from .graph import adjusted_score, path_coverage
+from .graph import adjusted_score, distances, path_coverage
 
 
 def depth_first_paths(edges: DataFrame, ends: DataFrame, max_hops: int = 8, limit: int = 100) -> DataFrame:
     """The first `limit` simple paths of each (source, target) of ends as a depth-first search meets them: source, target,
     nodes, positions of their edges, place.
 
-    edges are (source, target, position in the file). Depth first is the order of the arrays of positions, so paths grow
-    by one join a hop for all pairs, each hop is written once, and the order is taken at the end."""
-    steps = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("position").alias("p"))
-    open_ = ends.select("source", "target", F.array("source").alias("nodes"), F.array().cast("array<bigint>").alias("positions"), F.col("source").alias("at"))
-    found = [open_.where("source = target")]
-    open_ = open_.where("source <> target")
+    edges are (source, target, position in the file). Depth first is the order of the arrays of positions, and the order of
+    two open paths is that of all that becomes of them. So the limit acts hop by hop: an open path is sure to arrive if no
+    node before its last one is as near to the target as that, for a shortest way on meets none of them; once `limit` paths
+    that arrived or surely will come before a path, it goes. Paths from whose end the target is too far go at once."""
+    steps = written(edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("position").cast("long").alias("p")), "steps")
+    ahead = distances(steps, ends.select(F.col("target").alias("t")), max_hops).withColumnsRenamed({"target": "_end", "node": "_node"})
+    near = lambda rows, left: rows.join(ahead, (F.col("target") == F.col("_end")) & (F.col("at") == F.col("_node"))).where(F.col("d") <= left).drop("_end", "_node")
+    empty = F.array().cast("array<bigint>")
+    start = ends.select("source", "target", F.array("source").alias("nodes"), empty.alias("positions"), F.col("source").alias("at"), F.lit(None).cast("int").alias("nearest"))
+    found = start.where("source = target").select("source", "target", "nodes", "positions")
+    open_ = near(start.where("source <> target"), max_hops)
+    sooner = Window.partitionBy("source", "target").orderBy("positions").rowsBetween(Window.unboundedPreceding, -1)
     for hop in range(max_hops):
-        grown = open_.join(steps, (F.col("at") == F.col("s")) & ~F.array_contains("nodes", F.col("t")))
-        grown = written(grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("positions", F.array(F.col("p").cast("long"))).alias("positions"), F.col("t").alias("at")), "deep")
-        found.append(grown.where("at = target"))
-        open_ = grown.where("at <> target")
+        grown = open_.withColumn("nearest", F.least("nearest", "d")).drop("d").join(steps, (F.col("at") == F.col("s")) & ~F.array_contains("nodes", F.col("t")))
+        grown = grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("positions", F.array("p")).alias("positions"), F.col("t").alias("at"), "nearest")
+        grown = near(grown, max_hops - hop - 1).withColumn("sure", (F.col("d") <= F.col("nearest")).cast("int"))
+        arrived = found.select("source", "target", "nodes", "positions", F.col("target").alias("at"), F.lit(0).alias("nearest"), F.lit(0).alias("d"), F.lit(1).alias("sure"))
+        rows = grown.unionByName(arrived).withColumn("sooner", F.coalesce(F.sum("sure").over(sooner), F.lit(0))).where(F.col("sooner") < limit).drop("sure", "sooner")
+        rows = written(rows, "deep")
+        found, open_ = rows.where("at = target").select("source", "target", "nodes", "positions"), rows.where("at <> target")
         if hop + 1 == max_hops or open_.limit(1).count() == 0:
             break
-    every = reduce(lambda a, b: a.unionByName(b), found).drop("at")
     place = F.row_number().over(Window.partitionBy("source", "target").orderBy("positions"))
-    return every.withColumn("place", place).where(F.col("place") <= limit)
+    return found.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def path_scores(paths: DataFrame) -> DataFrame:
