@@ -3,7 +3,6 @@
 import datetime as dt
 import math
 import random
-import re
 import sqlite3
 
 import numpy as np
@@ -286,9 +285,7 @@ def test_comparison_and_judge(spark):
     assert [r["decision"] for r in rules.judge(spark.createDataFrame(cases, s)).collect()] == ["blocked", "not_supported", "inconclusive", "inconclusive", "supported"]
 
 
-@pytest.mark.parametrize(
-    ("said", "screen", "found"),
-    [
+SAID = [
         ("The database was compromised.", "compromise", True),
         ("There is no evidence that the database was compromised.", "compromise", False),
         ("It does not establish A, or that the server was breached.", "compromise", False),
@@ -319,24 +316,46 @@ def test_comparison_and_judge(spark):
         ("Successful exploitation has not yet been established.", "impact", False),
         ("It does not currently establish that data was exfiltrated.", "impact", False),
         ("No evidence. Data was exfiltrated.", "impact", True),
-    ],
-)
-def test_claim_screens(said, screen, found):
-    assert bool(claims.claims_in(said, screen)) == found
-    assert not found or re.search(claims.STEMS[screen], said, re.IGNORECASE)
+        ("The logs don't show that the system was compromised.", "compromise", False),
+        ("Nothing is known; the attacker gained root, however.", "impact", True),
+        ("It is not clear that the host was breached.", "compromise", False),
+        ("Root cause is confirmed (see below).", "stated", True),
+        ("Neither theft nor data exfiltrated elsewhere.", "impact", False),
+]
+
+
+def test_claim_screens(spark):
+    rows = spark.createDataFrame([(i, said) for i, (said, _, _) in enumerate(SAID)], "k int, t string")
+    got = {(r["k"], r["screen"]) for r in claims.screen_claims(rows, "k", "t", tuple(claims.SCREENS)).collect()}
+    assert [(said, screen, (i, screen) in got) for i, (said, screen, _) in enumerate(SAID)] == SAID
+
+
+def test_claim_places(spark):
+    text = "Ça va.\nThe database was\nbreached! The database was breached."
+    got = claims.screen_claims(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", ("compromise",)).collect()
+    assert sorted((r["start"], text[r["start"] : r["end"]]) for r in got) == [(11, "database was\nbreached"), (38, "database was breached")]
+    assert all(text[r["start"] : r["end"]] == r["words"] for r in got)
 
 
 def test_claim_rows_and_facts(spark):
     rows = spark.createDataFrame([(1, "The attacker gained root. Fine."), (2, None)], "k int, t string")
     assert {(r["k"], r["words"]) for r in claims.screen_claims(rows, "k", "t").collect()} >= {(1, "attacker gained root")}
     denied = "The logs do not confirm that an attack succeeded or that the system was compromised."
-    assert claims.qualified(f"All good. {denied} then end.", ["attack succeeded", "system was compromised"]) == f"All good. {claims.DENIAL} Then end."
-    assert claims.qualified(f"{denied} No logs were available to confirm successful exploitation.", ["successful exploitation"]) == f"{denied} {claims.DENIAL}"
-    assert claims.qualified(f"{denied} The attack succeeded.", ["attack succeeded"]) is None
-    assert claims.qualified("It does not show theft but the attack succeeded.", ["attack succeeded"]) is None
-    assert claims.qualified("Nothing here.", ["attack succeeded"]) is None and claims.qualified(None, ["x"]) is None
-    texts = spark.createDataFrame([(denied, ["attack succeeded"]), (None, None)], "t string, p array<string>")
-    assert [r[0] for r in texts.select(claims.neutral_text(F.col("t"), F.col("p"))).collect()] == [claims.DENIAL, None]
+    cases = [
+        (f"All good. {denied} then end.", ["attack succeeded", "system was compromised"], f"All good. {claims.DENIAL} Then end."),
+        (f"{denied} No logs were available to confirm successful exploitation.", ["successful exploitation"], f"{denied} {claims.DENIAL}"),
+        (f"{denied} No logs show theft. End.", ["Attack Succeeded", "theft"], f"{claims.DENIAL} End."),
+        (f"{denied} The attack succeeded.", ["attack succeeded"], None),
+        ("It does not show theft but the attack succeeded.", ["attack succeeded"], None),
+        ("Nothing here.", ["attack succeeded"], None),
+        (denied, ["attack succeeded"], claims.DENIAL),
+        (denied, [], None),
+        (None, ["x"], None),
+        ("", ["x"], None),
+        (denied, None, None),
+    ]
+    texts = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(cases)], "i int, t string, p array<string>").orderBy("i")
+    assert [r[0] for r in texts.select(claims.neutral_text(F.col("t"), F.col("p"))).collect()] == [want for _, _, want in cases]
     said = spark.createDataFrame([("GET /a/b returned HTTP 200, POST too", ["GET"], ["200"], ["/a/b"])], "t string, m array<string>, s array<string>, p array<string>")
     assert said.select(claims.fact_issues(F.col("t"), F.col("m"), F.col("s"), F.col("p")).alias("r")).first()["r"] == ["method:POST"]
 
