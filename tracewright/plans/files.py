@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import events as event_files
-from ..sources import logs, snapshots
+from ..sources import captures, logs, snapshots
 from ..sources.scratch import scratch_dir
 from .registry import query
 from .tables import events, table
@@ -91,3 +91,25 @@ def q_request_results(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     rows.write.option("sep", "\t").option("header", True).csv(at)
     return logs.request_results(spark, at)
+
+
+@query("""
+    select epoch_us(ts) as micros, 'UDP' as protocol, '10.' || (user_id // 65536) % 256 || '.' || (user_id // 256) % 256 || '.' || user_id % 256 as src,
+        '192.0.2.' || len(event_type) as dst, (event_id % 65536)::int as sport, 80 + len(event_type)::int as dport, 43 + len(event_type)::int + case when event_id % 3 = 0 then 200 else 0 end as size from events
+""")
+def q_captured_packets(spark, d):
+    """A packet for each event, written as classic captures of one file a task and decoded in chunks.
+
+    A record ends with the line feed that the text writer puts there; a file's first row begins with the file's head."""
+    at = _folder(spark, "capture")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.to_utc_timestamp("ts", "UTC")).alias("micros"))
+    number = lambda c, size: F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+    n, i, u = F.length("event_type"), F.col("event_id"), F.col("user_id")
+    filler = F.when(i % 3 == 0, F.repeat(F.lit("0A"), 200)).otherwise("")
+    ip = [F.lit("4500002800000000401100000A"), number(u % (1 << 24), 3), F.lit("C00002"), number(n, 1), number(i % 65536, 2), number(80 + n, 2)]
+    size = 43 + n + F.when(i % 3 == 0, 200).otherwise(0)
+    record = F.concat(number(F.floor(F.col("micros") / 1_000_000), 4), number(F.pmod("micros", F.lit(1_000_000)), 4), number(size, 4), number(size, 4), F.repeat(F.lit("00"), 12), F.lit("0800"), *ip, F.lit("00000000"), F.hex("event_type"), filler)
+    head = F.lit("A1B2C3D4000200040000000000000000" + "0000FFFF" + "00000001")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    e.repartition(4, "event_id").select(F.unhex(F.concat(F.when(first, head).otherwise(""), record)).cast("string").alias("value")).write.option("lineSep", "\n").text(at)
+    return captures.packets(spark, at).select("micros", "protocol", "src", "dst", "sport", "dport", "size")
