@@ -1,10 +1,7 @@
-"""Event-time windows, batch or streaming: the token ledger and activity windows."""
+"""Event-time windows, batch or streaming."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,37 +34,6 @@ def first_seen(events: DataFrame, keys: list[str], at: str, late: str = "10 minu
     return events.dropDuplicates(keys)
 
 
-def token_ledger(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """Streaming admission: request_id, account, granted, used for requests (request_id, account, at, tokens) in event time.
-
-    State for an account is the granted requests of its last window; it goes when the window has passed."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int]] = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "request_id"])
-        out = []
-        for r in rows.itertuples():
-            now = int(r.at.value // 1000)
-            held = [(t, n) for t, n in held if t > now - seconds * 1_000_000]
-            used = sum(n for _, n in held)
-            fits = 0 < r.tokens <= limit - used
-            if fits:
-                held.append((now, int(r.tokens)))
-                used += int(r.tokens)
-            out.append((r.request_id, key[0], bool(fits), used))
-        if held:
-            state.update(([t for t, _ in held], [n for _, n in held]))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, held[-1][0] // 1000 + seconds * 1000))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["request_id", "account", "granted", "used"])
-
-    return requests.withWatermark("at", f"{seconds} seconds").groupBy("account").applyInPandasWithState(run, "request_id string, account string, granted boolean, used long", "times array<long>, tokens array<long>", "append", "EventTimeTimeout")
-
-
 def latest(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The last row of each key, for the result of a stream that is read as a table."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
