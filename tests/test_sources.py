@@ -158,34 +158,96 @@ CATALOG = """<?xml version="1.0"?><Weakness_Catalog xmlns="http://x" xmlns:xhtml
 </Weaknesses><External_References><External_Reference Reference_ID="REF-1"><Title>Book</Title><URL>http://b</URL></External_Reference></External_References></Weakness_Catalog>"""
 
 
-def test_archives(spark, tmp_path):
+def zipped(text):
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
-        z.writestr("cwe.xml", CATALOG)
-    path = write(tmp_path, "cwe.zip", held.getvalue())
+        z.writestr("a.xml", text)
+    return held.getvalue()
+
+
+def test_archives(spark, tmp_path):
+    path = write(tmp_path, "cwe.zip", zipped(CATALOG))
     records = archives.read_catalog(spark, path)
     r = records.first()
-    assert (r["id"], r["catalog_version"], r["description"]) == ("89", "4.1", "Bad query building.")
-    assert r["sections"]["Extended_Description"] == "One.\n- a\n- b"
-    doc = archives.documents(records).first()
-    assert doc["doc_id"] == "cwe:CWE-89" and doc["source_modified"] == "2024-02-29" and doc["content"].startswith("# SQL Injection\n\nBad query")
-    refs = archives.citations(records, archives.read_references(spark, path)).collect()
+    assert (r["id"], r["catalog_version"], r["status"]) == ("89", "4.1", "Stable")
+    assert {s["title"]: s["body"] for s in r["sections"]} == {"Description": "Bad query building.", "Extended Description": "One.\n\n- a\n- b", "Relationships": "- ChildOf CWE-943", "Taxonomy Mappings": "- T: Inj"}
+    references = archives.read_references(spark, path)
+    with pytest.raises(Exception, match="cites the unknown REF-9"):
+        archives.documents(records, references).collect()
+    refs = archives.citations(records, references).collect()
     assert {(x["reference_id"], x["known"]) for x in refs} == {("REF-1", True), ("REF-9", False)}
     assert archives.taxonomy_entries(records).first()["entry"] == "Inj"
     assert archives.relationship_edges(records).first()["target"] == "CWE-943"
     wanted = spark.createDataFrame([("89", "SQL Injection"), ("79", "XSS")], "id string, name string")
     assert {x["id"]: x["status"] for x in archives.select_records(records, wanted).collect()} == {"89": "selected", "79": "missing"}
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="SHA-256"):
         archives.read_catalog(spark, path, digest="0" * 64).collect()
     right = archives.Pinned("http://x", "Weakness_Catalog", "CWE", "4.1", "2026-01-01")
-    said = CATALOG.replace('Version="4.1"', 'Name="CWE" Date="2026-01-01" Version="4.1"')
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("a.xml", said)
-    assert archives.catalog(out.getvalue(), None, right).get("Version") == "4.1"
+    said = write(tmp_path, "said.zip", zipped(CATALOG.replace('Version="4.1"', 'Name="CWE" Date="2026-01-01" Version="4.1"')))
+    assert archives.read_catalog(spark, said, pinned=right).first()["catalog_version"] == "4.1"
     for change in ({"namespace": "http://y"}, {"root": "Other"}, {"name": "CAPEC"}, {"version": "4.2"}, {"date": "2026-01-02"}):
-        with pytest.raises(ValueError, match="the catalog's"):
-            archives.catalog(out.getvalue(), None, replace(right, **change))
+        with pytest.raises(Exception, match="the catalog's"):
+            archives.read_catalog(spark, said, pinned=replace(right, **change)).collect()
+
+
+def test_catalog_files_in_splits(spark, tmp_path):
+    one = CATALOG[CATALOG.index("<Weakness ID") : CATALOG.index("</Weaknesses>")]
+    head, tail = CATALOG[: CATALOG.index("<Weakness ID")], CATALOG[CATALOG.index("</Weaknesses>") :]
+    path = write(tmp_path, "big.xml", head + "\n".join(one.replace('"89"', f'"{i}"') for i in range(500)) + '<Weakness ID="x" Name="empty"/>' + tail)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.option("lineSep", "</Weakness>").text(path).rdd.getNumPartitions() > 5
+        records = archives.read_catalog(spark, path)
+        assert {r["id"] for r in records.select("id").collect()} == {str(i) for i in range(500)} and records.count() == 500
+        assert archives.read_references(spark, path).first().asDict() == {"file": records.first()["file"], "reference_id": "REF-1", "title": "Book", "authors": [], "url": "http://b"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, text, why in (("cut.xml", CATALOG[:-20], "cut short"), ("bad.xml", CATALOG.replace("</Extended_Description>", ""), "(?i)malformed"), ("dtd.xml", CATALOG.replace("<Weakness_Catalog", "<!DOCTYPE x><Weakness_Catalog"), "refused"), ("none.xml", "<a/>", "another root")):
+        got = archives.read_catalog(spark, write(tmp_path, name, text))
+        if name == "none.xml":
+            assert got.count() == 0  # no record, nothing to refuse
+            continue
+        with pytest.raises(Exception, match=why):
+            got.collect()
+
+
+TEXTS = {
+    None: "",
+    "": "",
+    " a \n b ": "a b",
+    "One<xhtml:br></xhtml:br><xhtml:br/>two": "One\ntwo",
+    "<xhtml:p>a</xhtml:p><xhtml:p class='x>y'>b <xhtml:i>c</xhtml:i> d</xhtml:p>": "a\n\nb c d",
+    "x<xhtml:ul><xhtml:li><xhtml:p>a</xhtml:p></xhtml:li><xhtml:li></xhtml:li><xhtml:li>b</xhtml:li></xhtml:ul>y": "x\n\n- a\n\n- b\n\ny",
+    "<Other>kept</Other> \ufdd0p>": "kept <p>",
+    "<xhtml:li>a</xhtml:li>tail<xhtml:li> </xhtml:li>": "- atail",
+    "no-break\u00a0blank": "no-break blank",
+    "word " * 100_000: ("word " * 100_000).strip(),
+}
+
+
+def test_flat_text(spark):
+    rows = spark.createDataFrame([(k,) for k in TEXTS], "t string")
+    assert {r["t"]: r["f"] for r in rows.select("t", archives.flat_text(F.col("t")).alias("f")).collect()} == TEXTS
+
+
+FULL = """<Attack_Pattern_Catalog xmlns="http://y" xmlns:xhtml="http://www.w3.org/1999/xhtml" Version="3.9"><Attack_Patterns>
+<Attack_Pattern ID="66" Name="SQL  Injection" Status="Draft" Abstraction="Standard"><Description>d &lt;b&gt; &amp;lt;</Description>
+<Alternate_Terms><Alternate_Term><Term>SQLi</Term><Description><xhtml:p>short</xhtml:p></Description></Alternate_Term><Alternate_Term><Term/></Alternate_Term></Alternate_Terms>
+<Likelihood_Of_Attack>High</Likelihood_Of_Attack><Prerequisites><Prerequisite>one</Prerequisite><Prerequisite> </Prerequisite></Prerequisites>
+<Skills_Required><Skill Level="Low">easy <xhtml:b>x</xhtml:b></Skill><Skill>plain</Skill><Skill Level="High"/></Skills_Required>
+<Execution_Flow><Attack_Step><Step>1</Step><Phase>Explore</Phase><Description>look</Description><Technique>t1</Technique><Technique>t2</Technique></Attack_Step><Attack_Step><Step>2</Step></Attack_Step></Execution_Flow>
+<Consequences><Consequence><Scope>C</Scope><Scope>I</Scope><Impact>Read</Impact><Note>n</Note></Consequence><Consequence/></Consequences>
+<Related_Attack_Patterns><Related_Attack_Pattern Nature="ChildOf" CAPEC_ID="248"/></Related_Attack_Patterns><Related_Weaknesses><Related_Weakness CWE_ID="89"/></Related_Weaknesses>
+<Notes><Note Type="Other">why</Note></Notes><References><Reference External_Reference_ID="REF-2" Section="p. 3"/><Reference External_Reference_ID="REF-2"/></References></Attack_Pattern></Attack_Patterns>
+<External_References><External_Reference Reference_ID="REF-2"><Author>A B</Author><Author>C</Author><Title>T</Title></External_Reference></External_References></Attack_Pattern_Catalog>"""
+
+
+def test_pattern_document(spark, tmp_path):
+    path = write(tmp_path, "capec.xml", FULL)
+    doc = archives.documents(archives.read_catalog(spark, path, archives.PATTERNS), archives.read_references(spark, path, archives.PATTERNS)).first()
+    want = ["# CAPEC-66: SQL Injection", "Status: Draft\nAbstraction: Standard", "## Description\nd <b> &lt;", "## Alternate Terms\n- SQLi: short", "## Likelihood of Attack\nHigh", "## Prerequisites\n- one", "## Skills Required\n- (Low) easy x\n- plain", "## Execution Flow\n- Step 1 [Explore]: look\n  - Technique: t1\n  - Technique: t2\n- Step 2", "## Consequences\n- Scope: C, I | Impact: Read | Note: n", "## Related Attack Patterns\n- ChildOf CAPEC-248", "## Related Weaknesses\n- CWE-89", "## Notes\n- Other: why", "## References\n- REF-2: T (A B; C), p. 3\n- REF-2: T (A B; C)"]
+    assert doc["content"].split("\n\n") == want
+    assert (doc["doc_id"], doc["reference_ids"], doc["source_modified"]) == ("capec:CAPEC-66", ["REF-2"], None)
 
 
 def test_store(spark):
