@@ -68,3 +68,32 @@ def test_strict_documents(spark, tmp_path):
     put("d.json", json.dumps({"format": "f1", "documents": [doc | {"content": "other"}]}))
     with pytest.raises(Exception, match="different records share"):
         documents.accepted(documents.read_documents(spark, "file://" + str(tmp_path), "f1")).collect()
+
+
+ODD_FILES = {
+    " ": "file:not one JSON value",
+    "{": "file:not one JSON value",
+    "[]": "file:the envelope needs a format and a list of documents, and nothing else",
+    '{"format": "f1", "documents": []} {"a": 1}': "file:not one JSON value",
+    '{"format": "f1", "documents": []}, {"a": 1}': "file:not one JSON value",
+    '{"format": "f1", "documents": [], "more": 1}': "file:the envelope needs a format and a list of documents, and nothing else",
+    '{"format": "f1", "documents": {}}': "file:the envelope needs a format and a list of documents, and nothing else",
+    '{"format": 1, "documents": []}': "file:the format is not f1",
+    '{"format": "f1", "documents": [], "description": 2}': "file:the description is not a text",
+    '{"format": "f1", "documents": [{"source": "s", "x": {"b": 1, "b": 2}}]}': "file:a key is repeated",
+    '{"format": "f1", "documents": [null]}': "not_an_object",
+    '{"format": "f1", "documents": [{"source": 3}]}': "missing:source",
+    '\ufeff{"format": "f1", "description": "d", "documents": []}': None,
+}
+
+
+def test_odd_document_files(spark, tmp_path):
+    for i, text in enumerate(ODD_FILES):
+        (tmp_path / f"{i:02}.json").write_text(text)
+    got = {r["file"][-7:-5]: r["issue"] for r in documents.read_documents(spark, "file://" + str(tmp_path), "f1").collect()}
+    assert got == {f"{i:02}": issue for i, issue in enumerate(ODD_FILES.values()) if issue}
+    long = {"source": "s", "source_id": "1", "source_version": "1", "doc_type": "d", "title": "T", "content": "word " * 400_000, "z": {"b": 1, "a": [1.5, None]}}
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "a.json").write_text(json.dumps({"documents": [long, long], "format": "f1"}))
+    one = documents.accepted(documents.read_documents(spark, "file://" + str(tmp_path / "long"), "f1")).collect()
+    assert len(one) == 1 and one[0]["content"] == long["content"] and json.loads(one[0]["record"]) == long

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import events as event_files
-from ..sources import captures, logs, snapshots
+from ..sources import captures, documents, logs, snapshots
 from ..sources.scratch import scratch_dir
 from .registry import query
 from .tables import events, table
@@ -113,3 +113,26 @@ def q_captured_packets(spark, d):
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     e.repartition(4, "event_id").select(F.unhex(F.concat(F.when(first, head).otherwise(""), record)).cast("string").alias("value")).write.option("lineSep", "\n").text(at)
     return captures.packets(spark, at).select("micros", "protocol", "src", "dst", "sport", "dport", "size")
+
+
+@query("""
+    with f as (select doc_id // 10 as f, min_by(lang, doc_id) as lang from documents group by 1),
+        g as (select f, case lang when 'de' then 'file:a key is repeated' when 'fr' then 'file:the format is not corpus' when 'es' then 'file:not one JSON value' end as issue from f)
+    select f as file, doc_id % 10 as index, 'made:' || doc_id as doc_id, case when n_chars > 1000 then source end as title, text as content, case when n_chars > 1000 then null else 'missing:title' end as issue
+    from documents join g on f = doc_id // 10 where issue is null
+    union all select f, 10, null, null, null, 'not_an_object' from g where issue is null
+    union all select f, null, null, null, null, issue from g where issue is not null
+""")
+def q_local_documents(spark, d):
+    """Ten documents to a JSON file, short ones without a title, and a number after them; the language of a file's first
+    document says what is wrong with the file as a whole."""
+    docs, at = table(spark, d, "documents"), _folder(spark, "local-documents")
+    docs = docs.withColumn("file", F.floor(F.col("doc_id") / 10))
+    record = F.to_json(F.struct(F.lit("made").alias("source"), F.col("doc_id").cast("string").alias("source_id"), F.lit("1").alias("source_version"), F.lit("page").alias("doc_type"), F.when(F.col("n_chars") > 1000, F.col("source")).alias("title"), F.col("text").alias("content")))
+    kinds = docs.groupBy("file").agg(F.min_by("lang", "doc_id").alias("lang"))
+    start = F.concat(F.lit('{"format": '), F.when(F.col("lang") == "fr", F.lit('"other", ')).otherwise(F.lit('"corpus", ')), F.when(F.col("lang") == "de", F.lit('"documents": [], ')).otherwise(""), F.lit('"documents": ['))
+    end = F.when(F.col("lang") == "es", F.lit("3]")).otherwise(F.lit("3]}"))
+    rows = kinds.select("file", F.lit(-1).cast("long").alias("k"), start.alias("value")).union(docs.select("file", "doc_id", F.concat(record, F.lit(",")))).union(kinds.select("file", F.lit((1 << 63) - 1), end))
+    rows.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(at)
+    got = documents.read_documents(spark, at, "corpus")
+    return got.select(F.regexp_extract("file", r"file=(\d+)", 1).cast("long").alias("file"), F.col("index").cast("long").alias("index"), "doc_id", "title", "content", "issue")
