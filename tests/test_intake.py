@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.functions import checks
-from tracewright.operators import intake, paths, risk
+from tracewright.operators import bayes, intake, paths, risk
 
 
 def issues(spark, check, values):
@@ -71,7 +71,30 @@ def test_posterior_draws(spark):
     rng = np.random.default_rng(3)
     rows = [(i, float(a), float(b), int(a + 0.3 * rng.normal() > 0)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
     df = spark.createDataFrame(rows, "k int, a double, b double, y int")
-    draws = risk.bayesian_draws(df, df, ["a", "b"], "y", "k", draws=40)
-    out = risk.posterior_summary(draws, "k", "probability").join(df, "k").collect()
-    assert len(out) == 400 and all(r["n_draws"] == 40 and r["q05"] <= r["mean"] <= r["q95"] + 1e-9 for r in out)
+    model = bayes.fit(df.repartition(5), ["a", "b"], "y")
+    other = bayes.fit(df.coalesce(1), ["a", "b"], "y", steps=3)
+    assert np.allclose(model.losses[:3], other.losses) and model.losses[-1] < model.losses[0] / 2
+    long = {r["k"]: r for r in risk.posterior_summary(bayes.posterior_draws(model, df, "k", draws=40), "k", "probability").collect()}
+    out = bayes.posterior_summary(model, df, "k", draws=40).join(df, "k").collect()
+    assert len(out) == 400 and all(r["q05"] <= r["q95"] for r in out)
+    for r in out:
+        assert np.allclose([r[c] for c in ("n_draws", "mean", "std", "q05", "q95")], [long[r["k"]][c] for c in ("n_draws", "mean", "std", "q05", "q95")]) and r["band"] == long[r["k"]]["band"]
     assert np.mean([(r["mean"] > 0.5) == bool(r["y"]) for r in out]) > 0.85
+    odd = spark.createDataFrame([(1, None, 1.0, 1), (2, 0.5, 0.5, None)], df.schema)
+    assert bayes.fit(odd, ["a", "b"], "y").losses == ()
+    got = {r["k"]: r for r in bayes.posterior_summary(model, odd.union(odd), "k", draws=40).distinct().collect()}
+    assert got[1]["mean"] is None and got[1]["band"] is None and 0 < got[2]["mean"] < 1
+    assert bayes.posterior_summary(model, odd.where("false"), "k").count() == 0
+
+
+def test_gradient_is_that_of_the_loss():
+    rng, shape = np.random.default_rng(5), bayes.Shape(3, 4)
+    w, x, y = rng.normal(size=shape.size), rng.normal(size=(50, 3)), rng.integers(0, 2, 50).astype(float)
+    got = bayes.gradient(shape, w, x, y)
+    for i in range(shape.size):
+        step = np.zeros(shape.size)
+        step[i] = 1e-6
+        slope = (bayes.gradient(shape, w + step, x, y)[-2] - bayes.gradient(shape, w - step, x, y)[-2]) / 2e-6
+        assert abs(got[i] - slope) < 1e-4
+    p = bayes.probabilities(shape, w[None], x)[:, 0]
+    assert np.isclose(got[-2], -np.sum(y * np.log(p) + (1 - y) * np.log(1 - p))) and got[-1] == 50

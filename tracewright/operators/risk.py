@@ -109,61 +109,3 @@ def output_issue(value: Column, meaning: str) -> Column:
     odd = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
     outside = (value < 0) | (value > 1)
     return F.when(odd, "not_finite").when(outside & F.lit(meaning == "risk_probability"), "out_of_range")
-
-
-def bayesian_draws(train: DataFrame, rows: DataFrame, features: list[str], label: str, key: str, draws: int = 500, sample: int = 20_000, hidden: int = 8, epochs: int = 300, patience: int = 60, seed: int = 7) -> DataFrame:
-    """key, draw, probability: posterior draws of a small network whose weights are Gaussians, fitted by back-propagation
-    through their samples.
-
-    The fit sees at most `sample` training rows, chosen by hash of key; drawn weights go to all tasks (draws times a few
-    hundred numbers), and every row of `rows` is scored."""
-    import numpy as np
-    import pandas as pd
-
-    held = train.orderBy(F.xxhash64(key), key).limit(sample).select(*features, F.col(label).cast("double").alias("_y")).toPandas()
-    x, y = held[features].to_numpy(float), held["_y"].to_numpy(float)
-    rng, n = np.random.default_rng(seed), len(features)
-    sizes = [(n, hidden), (hidden,), (hidden,), (1,)]
-    mu = [rng.normal(0, 0.3, s) for s in sizes]
-    rho = [np.full(s, -3.0) for s in sizes]
-    m, v = ([[np.zeros(s) for s in sizes] for _ in range(2)] for _ in range(2))
-    best, since, kept = float("inf"), 0, None
-
-    def forward(w, x):
-        a = x @ w[0] + w[1]
-        h = np.maximum(a, 0)
-        return a, h, 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3][0], -30, 30)))
-
-    for t in range(1, epochs + 1):
-        noise = [rng.normal(size=s) for s in sizes]
-        sigma = [np.log1p(np.exp(r)) for r in rho]
-        w = [a + s * e for a, s, e in zip(mu, sigma, noise, strict=True)]
-        a, h, p = forward(w, x)
-        d = (p - y) / max(len(y), 1)
-        back = np.outer(d, w[2]) * (a > 0)
-        grads = [x.T @ back, back.sum(0), h.T @ d, np.array([d.sum()])]
-        loss = -np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)) if len(y) else 0.0
-        for i in range(4):  # likelihood, and a unit Gaussian prior shared over the rows
-            gm = grads[i] + mu[i] / max(len(y), 1)
-            gr = (grads[i] * noise[i] + (sigma[i] - 1 / sigma[i]) / max(len(y), 1)) / (1 + np.exp(-rho[i]))
-            for k, (value, g) in enumerate(((mu, gm), (rho, gr))):
-                m[k][i] = 0.9 * m[k][i] + 0.1 * g
-                v[k][i] = 0.999 * v[k][i] + 0.001 * g**2
-                value[i] = value[i] - 0.02 * (m[k][i] / (1 - 0.9**t)) / (np.sqrt(v[k][i] / (1 - 0.999**t)) + 1e-8)
-        if loss < best - 1e-4:
-            best, since, kept = loss, 0, ([a.copy() for a in mu], [r.copy() for r in rho])
-        elif (since := since + 1) >= patience:
-            break
-    mu, rho = kept or (mu, rho)
-    drawn = [[a + np.log1p(np.exp(r)) * rng.normal(size=a.shape) for a, r in zip(mu, rho, strict=True)] for _ in range(draws)]
-
-    def run(frames):
-        for frame in frames:
-            z = frame[features].to_numpy(float)
-            for at in range(0, len(frame), 2000):
-                part = np.stack([forward(w, z[at : at + 2000])[2] for w in drawn], 1)
-                keys = frame[key].iloc[at : at + 2000]
-                yield pd.DataFrame({key: np.repeat(keys.to_numpy(), draws), "draw": np.tile(np.arange(draws), len(keys)), "probability": part.ravel()})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *features).mapInPandas(run, f"{key} {kind}, draw int, probability double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
-from ..operators import evaluation, evidence, gnn, graph, grounding, intake, paths, reconstruct, retrieval, risk, rules
+from ..operators import bayes, evaluation, evidence, gnn, graph, grounding, intake, paths, reconstruct, retrieval, risk, rules
 from ..sources import logs, snapshots, store
 from ..streaming import windows
 from .registry import query
@@ -244,7 +244,7 @@ def q_edge_scores(spark, d):
 @query()
 def q_posterior_draws(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("toxic").alias("y"), (F.coalesce("n_chars", F.lit(0)) / 5000.0).alias("size"), F.col("quality").cast("double").alias("q"))
-    return risk.posterior_summary(risk.bayesian_draws(rows, rows, ["size", "q"], "y", "doc_id"), "doc_id", "probability")
+    return bayes.posterior_summary(bayes.fit(rows, ["size", "q"], "y"), rows, "doc_id")
 
 
 @query("select user_id, max_by(event_id, (ts, event_id)) as event_id from events group by 1")
