@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
-from ..operators import bayes, evaluation, evidence, gnn, graph, grounding, intake, paths, reconstruct, retrieval, risk, rules
+from ..operators import attribution, bayes, evaluation, evidence, gnn, graph, grounding, intake, paths, reconstruct, retrieval, risk, rules
 from ..sources import logs, snapshots, store
 from ..streaming import windows
 from .registry import query
@@ -241,6 +241,20 @@ def q_edge_scores(spark, d):
     return gnn.score_edges(vectors, rows, gnn.initial_weights())
 
 
+@query()
+def q_edge_attribution(spark, d):
+    """Users and the kinds of their events as a graph whose request features are counts by hour; the edge from the first user
+    to its most frequent kind is explained."""
+    e = table(spark, d, "events").where("user_id is not null").select(F.concat(F.lit("user:"), "user_id").alias("source"), F.concat(F.lit("kind:"), "event_type").alias("target"), F.least(F.hour("ts"), F.lit(gnn.HTTP - 1)).alias("slot"))
+    ends = e.select(F.col("source").alias("node_id"), "slot").union(e.select("target", "slot"))
+    hours = F.array(*[F.log1p(F.count_if(F.col("slot") == k)) for k in range(gnn.HTTP)])
+    pooled = ends.groupBy(F.lit("g").alias("graph_id"), "node_id").agg(hours.alias("features"))
+    nodes = pooled.select("graph_id", "node_id", F.when(F.col("node_id").startswith("user:"), "user").otherwise("service").alias("node_type"), F.lit("observed").alias("basis"))
+    edges = e.groupBy("source", "target").agg(F.count("*").alias("n")).select(F.lit("g").alias("graph_id"), "source", "target", F.lit("accesses").alias("edge_type"), F.lit("observed").alias("basis"), "n")
+    chosen = edges.agg(F.min(F.struct("source", -F.col("n"), "target")).alias("m")).select("m.source", "m.target").first()
+    return attribution.explain_edge(gnn.node_vectors(nodes, pooled), edges, gnn.initial_weights(), "g", chosen["source"], chosen["target"], "accesses")
+
+
 @query()
 def q_posterior_draws(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("toxic").alias("y"), (F.coalesce("n_chars", F.lit(0)) / 5000.0).alias("size"), F.col("quality").cast("double").alias("q"))
