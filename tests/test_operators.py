@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import claims, requests, text
-from tracewright.operators import evaluation, evidence, gnn, graph, grounding, reconstruct, retrieval, risk, rules
+from tracewright.operators import evaluation, evidence, gnn, gnn_training, graph, grounding, reconstruct, retrieval, risk, rules
 from tracewright.schema import EVENT, EDGE, NODE, parse_time
 from tracewright.streaming import windows
 
@@ -413,7 +413,10 @@ def test_graph_network(spark):
     n = spark.createDataFrame(nodes, "graph_id string, node_id string, node_type string, basis string")
     e = spark.createDataFrame(edges, "graph_id string, source string, target string, edge_type string, basis string, label boolean")
     vectors = gnn.node_vectors(n, spark.createDataFrame([], "graph_id string, node_id string, features array<double>"))
-    w = gnn.train_scorer(vectors, e, epochs=300, rate=0.02)
+    labelled = e.withColumn("label", F.col("label").cast("int")).withColumn("split", F.when(F.col("graph_id").isin("g9", "g10", "g11"), "validation").otherwise("train"))
+    trained = gnn_training.train(vectors, e, labelled, epochs=15, rate=0.05)
+    w = trained.weights
+    assert trained.validation_losses[-1] < trained.validation_losses[0]
     scored = gnn.score_edges(vectors, e, w).join(e, ["graph_id", "source", "target", "edge_type"])
     m = evaluation.binary_scores(scored, F.col("label"), F.col("probability") > 0.5).first()
     assert m["accuracy"] > 0.85 and scored.count() == len(edges)

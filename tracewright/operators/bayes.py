@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import released, written
 from .risk import risk_band
 
 ROWS_AT_ONCE = 512
@@ -112,6 +112,7 @@ def fit(train: DataFrame, features: list[str], label: str, hidden: int = 8, step
             break
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
         value = value - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    released(rows)
     return Fit(tuple(features), shape, kept[: shape.size], np.logaddexp(0, kept[shape.size :]), tuple(losses))
 
 

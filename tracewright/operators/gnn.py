@@ -2,7 +2,7 @@
 
 A layer joins edges to the vectors of their sources, averages them by target and relation with partial sums, applies the
 small weight matrices to Arrow batches of rows, and adds what arrives at a node. So a graph may have any number of edges:
-nothing is gathered by graph. Weights come from a seed or from training on labelled edges, of which a bounded sample is seen."""
+nothing is gathered by graph. Weights come from a seed or from gnn_training."""
 
 from __future__ import annotations
 
@@ -121,31 +121,6 @@ def score_edges(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarra
     return rows.mapInArrow(run, "graph_id string, source string, target string, edge_type string, logit double, probability double")
 
 
-def train_scorer(nodes: DataFrame, labelled: DataFrame, most: int = 20_000, epochs: int = 50, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights whose edge scorer is fitted with Adam on at most `most` labelled edges, chosen by hash; the layers below keep
-    their seeded values. Embeddings see all edges."""
-    w = initial_weights(seed)
-    key = ["graph_id", "source", "target", "edge_type"]
-    chosen = labelled.orderBy(F.xxhash64(*key), *key).limit(most)
-    rows = _ends(embed_nodes(nodes, labelled, w), chosen).select(*key, "kind", "a", "b", F.col("label").cast("double").alias("y")).orderBy(*key).toArrow()
-    if not rows.num_rows:
-        return w
-    z, y = edge_inputs(_matrix(rows.column("a")), _matrix(rows.column("b")), rows.column("kind").to_numpy(), w), rows.column("y").to_numpy()
-    keys = ["hid", "bias", "out", "last"]
-    m, v = ({k: np.zeros_like(w[k]) for k in keys} for _ in range(2))
-    for t in range(1, epochs + 1):
-        a = z @ w["hid"] + w["bias"]
-        h = np.maximum(a, 0)
-        d = (1 / (1 + np.exp(-(h @ w["out"] + w["last"][0]))) - y) / len(y)
-        back = np.outer(d, w["out"]) * (a > 0)
-        grads = {"hid": z.T @ back, "bias": back.sum(0), "out": h.T @ d, "last": np.array([d.sum()])}
-        for k in keys:
-            m[k] = 0.9 * m[k] + 0.1 * grads[k]
-            v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return w
-
-
 def path_coherence(paths: DataFrame, embeddings: DataFrame) -> DataFrame:
     """graph_id, path_id, coherence: mean cosine of consecutive nodes of a path, in -1..1; a single node has 1."""
     steps = paths.select("graph_id", "path_id", F.posexplode("nodes").alias("pos", "node_id")).join(embeddings, ["graph_id", "node_id"])

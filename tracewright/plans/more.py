@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
-from ..operators import attribution, bayes, evaluation, evidence, gnn, graph, grounding, intake, paths, reconstruct, retrieval, risk, rules
+from ..operators import attribution, bayes, evaluation, evidence, gnn, gnn_training, graph, grounding, intake, paths, reconstruct, retrieval, risk, rules
 from ..sources import logs, snapshots, store
 from ..streaming import windows
 from .registry import query
@@ -241,6 +241,19 @@ def q_edge_scores(spark, d):
     return gnn.score_edges(vectors, rows, gnn.initial_weights())
 
 
+@query()
+def q_trained_edges(spark, d):
+    """Edges from nations to customers, a graph for each region, scored after three epochs of training on customers of a high
+    balance; the last region validates. A customer's request features hold its balance."""
+    n, c = table(spark, d, "nation"), table(spark, d, "customer").where("c_acctbal is not null")
+    rows = n.join(c, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("graph_id"), F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("c"), "c_custkey").alias("target"), F.lit("forwards").alias("edge_type"), F.lit("observed").alias("basis"), (F.col("c_acctbal") > 4000).cast("int").alias("label"), (F.col("c_acctbal") / 10000).alias("balance"))
+    pooled = rows.select("graph_id", F.col("target").alias("node_id"), F.concat(F.array("balance"), F.array_repeat(F.lit(0.0), gnn.HTTP - 1)).alias("features"))
+    nodes = rows.select("graph_id", F.col("source").alias("node_id"), F.lit("service").alias("node_type"), "basis").distinct().union(rows.select("graph_id", "target", F.lit("container"), "basis"))
+    vectors = gnn.node_vectors(nodes, pooled)
+    labelled = rows.withColumn("split", F.when(F.col("graph_id") == "4", "validation").otherwise("train"))
+    return gnn.score_edges(vectors, rows, gnn_training.train(vectors, rows, labelled, epochs=3).weights)
+
+
 @query()
 def q_edge_attribution(spark, d):
     """Users and the kinds of their events as a graph whose request features are counts by hour; the edge from the first user

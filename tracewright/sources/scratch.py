@@ -38,3 +38,13 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
         before += r["count"]
     rows = df.sparkSession.createDataFrame(starts, "_p long, _before long")
     return dealt.join(F.broadcast(rows), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(mask)) + 1).drop("_at", "_p", "_before")
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and that nothing reads any more."""
+    for df in tables:
+        spark, base = df.sparkSession, scratch_dir(df.sparkSession).split(":", 1)[-1].lstrip("/")
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.split(":", 1)[-1].lstrip("/").startswith(base):
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
