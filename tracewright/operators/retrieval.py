@@ -199,12 +199,16 @@ def dense_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, chunks
     """Documents by their best chunk's cosine with each query (query_id, q) over vectors (doc_id, ordinal, v): a stated set of
     queries against all rows, block by block.
 
-    A block of queries meets a block of vectors in one matrix product, which passes on the block's best documents of each
+    Blocks of vectors are dealt into lots, to each of which every block of queries goes, so that vectors of one length are no
+    hot key. A block of queries meets a block of vectors in one matrix product, which passes on the block's best documents of each
     query only. The chunks to show are then looked up for the documents that are left."""
     own = vectors.select("doc_id", "ordinal", unit(F.col("v")).alias("v")).where("v is not null")
     asked = queries.select("query_id", unit(F.col("q")).alias("q")).where("q is not null")
+    lots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = _blocks(asked, ["query_id"], "q").withColumnRenamed("matrix", "qm").withColumnRenamed("size", "qs")
-    met = _blocks(own, ["doc_id"], "v").join(left, F.col("size") == F.col("qs"))
+    left = left.withColumn("ql", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(lots))
+    met = _blocks(own, ["doc_id"], "v").join(left, (F.col("size") == F.col("qs")) & (lot == F.col("ql")))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
