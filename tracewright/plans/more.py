@@ -151,10 +151,20 @@ def q_reuse_vectors(spark, d):
     return have.select("vec_id", F.lit(True).alias("cached")).union(miss.select("vec_id", F.lit(False)))
 
 
-@query("select vec_id, case when len(embedding) <> 64 then 'shape' when abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) > 1e-4 then 'not_unit' end as issue from embeddings where embedding is not null")
+@query("""
+    with e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null)
+    select vec_id, 'own' as form, case when len(v) <> 64 then 'shape' when sqrt(list_dot_product(v, v)) = 0 then 'zero' when abs(sqrt(list_dot_product(v, v)) - 1) > 1e-4 then 'not_unit' end as issue from e
+    union all select vec_id, 'cut', 'shape' from e union all select vec_id, 'holed', 'not_finite' from e union all select vec_id, 'endless', 'not_finite' from e
+    union all select vec_id, 'zeros', 'zero' from e union all select vec_id, 'doubled', case when sqrt(list_dot_product(v, v)) = 0 then 'zero' else 'not_unit' end from e
+""")
 def q_vector_checks(spark, d):
-    rows = table(spark, d, "embeddings").where("embedding is not null")
-    return rows.select("vec_id", retrieval.vector_issue(F.col("embedding"), 64).alias("issue"))
+    """Every vector as it is and in five broken forms."""
+    e = F.col("embedding")
+    put = lambda c: F.concat(F.array(c.cast("float")), F.slice(e, 2, 63))
+    forms = {"own": e, "cut": F.slice(e, 1, 63), "holed": put(F.lit(None)), "endless": put(F.lit(float("inf"))), "zeros": F.transform(e, lambda x: F.lit(0.0).cast("float")), "doubled": F.transform(e, lambda x: (x * 2).cast("float"))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("v")) for k, v in forms.items()])).alias("f")
+    rows = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", each)
+    return rows.select("vec_id", "f.form", retrieval.vector_issue(F.col("f.v"), 64).alias("issue"))
 
 
 @query("""
@@ -173,9 +183,36 @@ def q_contradicting_labels(spark, d):
     return evaluation.contradicting_labels(table(spark, d, "events").withColumn("label", F.col("event_type") == "error"), "user_id")
 
 
-@query("select url, case when regexp_matches(url, '\\s') then 'white_space' when not regexp_matches(url, '^[hH][tT][tT][pP][sS]?:') then 'scheme' when not regexp_matches(url, '^[a-zA-Z]+://[^/?#]+') then 'host' end as issue from pages")
+@query("""
+    select url, 'own' as form, case when url is null then 'missing' when regexp_matches(url, '\\s') then 'white_space' when not regexp_matches(url, '^[hH][tT][tT][pP][sS]?:') then 'scheme' when not regexp_matches(url, '^[a-zA-Z]+://[^/?#]+') then 'host' end as issue from pages
+    union all select url, 'blank', 'white_space' from pages where url is not null union all select url, 'bare', 'scheme' from pages where url is not null
+    union all select url, 'no_host', 'host' from pages where url is not null union all select url, 'none', 'missing' from pages union all select url, 'with_user', null from pages where url is not null
+""")
 def q_url_checks(spark, d):
-    return table(spark, d, "pages").select("url", checks.url_issue(F.col("url")).alias("issue"))
+    """Every URL as it is and in five other forms."""
+    u = F.col("url")
+    path = F.regexp_replace(u, "^[a-z]+://[^/]*", "")
+    forms = {"own": u, "blank": F.concat(u, F.lit(" x")), "bare": F.regexp_replace(u, "^[a-z]+:", ""), "no_host": F.concat(F.lit("https://"), path), "none": F.lit(None).cast("string"), "with_user": F.concat(F.lit("HTTPS://user@host:8080"), path)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("v")) for k, v in forms.items()])).alias("f")
+    rows = table(spark, d, "pages").select("url", each).where("url is not null or f.form in ('own', 'none')")
+    return rows.select("url", "f.form", checks.url_issue(F.col("f.v")).alias("issue"))
+
+
+@query("""
+    select event_id, case when event_type in ('view', 'click') then null when event_type = 'error' then 'no_such_time' when event_type is null then 'missing' else 'form' end as time_issue,
+        case when event_type in ('view', 'click') then null when event_type is null then 'missing' else 'form' end as hash_issue,
+        case event_type when 'view' then null when 'click' then 'absolute' when 'error' then 'parent_segment' when 'purchase' then 'backslash' end as path_issue
+    from events
+""")
+def q_stored_values(spark, d):
+    """Times, hashes and paths made from events; the kind of event says how each is written."""
+    kind, path = F.col("event_type"), F.concat(F.lit("logs/"), F.col("event_id").cast("string"), F.lit(".txt"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    time = F.when(kind.isin("view", "click"), F.concat(time, F.lit("Z"))).when(kind == "error", F.concat(F.lit("2025-02-30"), F.substring(time, 11, 9), F.lit("Z"))).when(kind.isNotNull(), time)
+    digest = F.sha2(F.col("event_id").cast("string"), 256)
+    digest = F.when(kind.isin("view", "click"), digest).when(kind.isNotNull(), F.concat(digest, F.lit("0")))
+    path = F.when(kind == "click", F.concat(F.lit("/"), path)).when(kind == "error", F.concat(F.lit("a/../"), path)).when(kind == "purchase", F.concat(F.lit("a\\"), path)).otherwise(path)
+    return table(spark, d, "events").select("event_id", checks.utc_time_issue(time).alias("time_issue"), checks.sha256_issue(digest).alias("hash_issue"), checks.relative_path_issue(path).alias("path_issue"))
 
 
 @query("select c_custkey, case when length(c_name) > 300 then 'too_long' when c_name <> trim(c_name) then 'outer_white_space' end as label_issue, case when contains(c_name, '#') then 'reserved_character' end as id_issue from customer")
