@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, text
 from ..operators import attribution, bayes, evaluation, evidence, gnn, gnn_training, graph, grounding, intake, paths, reconstruct, retrieval, risk, rules
+from ..schema import event_columns
 from ..sources import logs, snapshots, store
 from ..streaming import windows
 from .registry import query
@@ -77,6 +78,23 @@ def q_claims(spark, d):
     return reconstruct.claims(line).select("event_id", "statement")
 
 
+@query("""
+    with e as (select event_id, case when event_type = 'error' and value > 50 then 'exploitation_attempt_indicator' when event_type = 'signup' then 'authentication_activity_observed' when event_type in ('error', 'purchase') then 'web_request_observed'
+        when event_type = 'click' then 'network_activity_observed' when value > 50 then 'system_state_or_process_event' else 'unclassified_event' end as stage_label from events)
+    select event_id::varchar as event_id, stage_label, case when stage_label = 'exploitation_attempt_indicator' then 'attempt_indicator_observed_success_unconfirmed' when stage_label = 'authentication_activity_observed' then 'activity_observed_outcome_requires_evidence'
+        when stage_label = 'unclassified_event' then 'observed_event_stage_unknown' else 'activity_observed' end as interpretation_status from e
+""")
+def q_stage_labels(spark, d):
+    """Events of all stages: errors ask for something (an injection, twice encoded, where the value is high), clicks are packets,
+    views are states of containers or notes, sign-ups are logins."""
+    kind, high = F.col("event_type"), F.coalesce(F.col("value") > 50, F.lit(False))
+    source = F.when(kind == "signup", "sshd").when(kind == "click", "tcp capture").when((kind == "view") & high, "docker").when(kind == "view", "notes").otherwise("proxy")
+    asked = F.when((kind == "error") & high, "q=%2527%20OR%20%25271%2527=%25271").otherwise("q=plain+words")
+    held = F.when(kind.isin("error", "purchase"), F.create_map(F.lit("method"), F.lit("GET"), F.lit("query"), asked)).otherwise(F.create_map().cast("map<string,string>"))
+    rows = table(spark, d, "events").select(*event_columns(event_id=F.col("event_id"), seq=F.col("event_id"), ts_text=F.col("ts").cast("string"), ts=F.col("ts"), source=source, event_type=F.lit("record"), source_entity=F.col("user_id"), destination_entity=F.lit("host"), action=F.lit("seen"), attributes=held))
+    return reconstruct.timeline(rows).select("event_id", "stage_label", "interpretation_status")
+
+
 @query("""
     select user_id::varchar as user_id, case when count(case when event_type = 'error' then 1 end) > 0 then 'hypothesis_not_confirmed' else 'insufficient_evidence' end as status,
         case when count(case when event_type = 'error' then 1 end) > 0 then 0.55 else 0.0 end::double as confidence, count(case when event_type = 'error' then 1 end)::int as n from events group by 1
