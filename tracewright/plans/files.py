@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import events as event_files
-from ..sources import captures, documents, logs, snapshots
+from ..sources import captures, documents, formats, logs, snapshots
 from ..sources.scratch import scratch_dir
 from .registry import query
 from .tables import events, table
@@ -136,3 +136,25 @@ def q_local_documents(spark, d):
     rows.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(at)
     got = documents.read_documents(spark, at, "corpus")
     return got.select(F.regexp_extract("file", r"file=(\d+)", 1).cast("long").alias("file"), F.col("index").cast("long").alias("index"), "doc_id", "title", "content", "issue")
+
+
+def access_files(spark, d):
+    """A folder of access logs with a line for each event and its line number for its size; every eleventh line is none of the format."""
+    at = _folder(spark, "access")
+    e = table(spark, d, "events").repartition("event_id")
+    n = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    status = F.when(F.col("event_type") == "error", "500").when(F.col("event_type") == "purchase", "201").otherwise("200")
+    line = F.format_string('10.0.0.%d - - [%s +0000] "GET /%s?id=%d HTTP/1.1" %s %d "-" "check" upstream=- upstream_status=- request_time=0.1', F.col("user_id"), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), "event_type", "event_id", status, n)
+    e.select(F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("worker "), "event_id")).otherwise(line).alias("value")).write.text(at)
+    return at
+
+
+@query("""
+    select event_id::varchar as id, '/' || event_type as path, '10.0.0.' || user_id as source_entity, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as ts_text, case event_type when 'error' then '500' else '201' end as status, true as numbered
+    from events where event_id % 11 <> 0 and event_type in ('error', 'purchase')
+""")
+def q_log_ranges(spark, d):
+    """Access logs read as byte ranges, with a filter at the reader and every line's number in its file."""
+    lines = formats.log_lines(spark, access_files(spark, d), "access", 1 << 18).where(F.col("status").isin("500", "201"))
+    got, said = logs.access_events(lines), lambda k: F.element_at("attributes", F.lit(k))
+    return got.select(F.regexp_extract(said("query"), r"^id=(\d+)$", 1).alias("id"), said("path").alias("path"), "source_entity", "ts_text", said("status").alias("status"), (F.col("event_id") == F.concat(F.lit("nginx-"), said("body_bytes"))).alias("numbered"))

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..sources import formats
 from ..sources.scratch import scratch_dir
 from ..streaming import ledger
+from .files import access_files
 from .registry import query
 from .tables import table
 
@@ -60,3 +62,18 @@ def q_token_ledger(spark, d):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     return spark.read.schema(ledger.RESULT).parquet(f"{at}/out").where("account <> ''").select(F.col("seq").alias("event_id"), "action", "outcome", "used")
+
+
+@query("""
+    select case when event_id % 11 = 0 then null when event_type = 'error' then '500' when event_type = 'purchase' then '201' else '200' end as status, count(*) as lines,
+        sum(case when event_id % 11 = 0 then null else event_id end)::bigint as ids from events group by 1
+""")
+def q_log_stream(spark, d):
+    """The same logs followed as a stream until all that is there has been read."""
+    formats.register(spark)
+    at, out = access_files(spark, d), f"{scratch_dir(spark)}/log-stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.format(formats.NAME).option("kind", "access").option("rangeBytes", 1 << 18).load(at)
+    rows = stream.select("status", F.regexp_extract("target", r"id=(\d+)$", 1).alias("id"))
+    rows.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("status string, id string").parquet(f"{out}/out")
+    return got.groupBy("status").agg(F.count("*").alias("lines"), F.sum(F.expr("try_cast(id as long)")).alias("ids"))
