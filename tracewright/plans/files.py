@@ -141,10 +141,9 @@ def q_local_documents(spark, d):
 def access_files(spark, d):
     """A folder of access logs with a line for each event and its line number for its size; every eleventh line is none of the format."""
     at = _folder(spark, "access")
-    e = table(spark, d, "events").repartition("event_id")
-    n = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    e = table(spark, d, "events").repartition("event_id").withColumn("n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     status = F.when(F.col("event_type") == "error", "500").when(F.col("event_type") == "purchase", "201").otherwise("200")
-    line = F.format_string('10.0.0.%d - - [%s +0000] "GET /%s?id=%d HTTP/1.1" %s %d "-" "check" upstream=- upstream_status=- request_time=0.1', F.col("user_id"), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), "event_type", "event_id", status, n)
+    line = F.format_string('10.0.0.%d - - [%s +0000] "GET /%s?id=%d HTTP/1.1" %s %d "-" "check" upstream=- upstream_status=- request_time=0.1', F.col("user_id"), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), "event_type", "event_id", status, "n")
     e.select(F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("worker "), "event_id")).otherwise(line).alias("value")).write.text(at)
     return at
 
