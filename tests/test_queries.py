@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracewright.plans import catalogs, files, more, validators  # noqa: F401  (they register their queries)
+from tracewright.plans import catalogs, files, graphs, more, streams, validators  # noqa: F401  (they register their queries)
 from tracewright.plans.registry import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -53,35 +53,39 @@ def parse_records(body: Column) -> Column:
     return F.when(good, data)
 
 
-def known_records(baselines: DataFrame) -> DataFrame:
-    """case_id, valid, known records (a map) of baseline searches (case_id, term, status_code, body): each must answer, every
-    record must hold its term, and records of one id must agree."""
+def known_records(baselines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(case_id, valid) and (case_id, id, message) of baseline searches (case_id, term, status_code, body): each must answer, every
+    record must hold its term, and records of one id must agree. Records stay rows, so a case may have any number."""
     rows = baselines.withColumn("records", parse_records(F.col("body"))).withColumn("fine", (F.col("status_code") == 200) & F.col("records").isNotNull() & F.forall("records", lambda r: F.contains(r["message"], F.col("term"))))
-    whole = rows.groupBy("case_id").agg(F.bool_and(F.coalesce("fine", F.lit(False))).alias("fine"))
-    each = rows.select("case_id", F.explode("records").alias("r")).groupBy("case_id", "r.id").agg(F.min("r.message").alias("message"), F.count_distinct("r.message").alias("kinds"))
-    sums = each.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "message"))).alias("known"), (F.max("kinds") == 1).alias("agree"))
-    return whole.join(sums, "case_id", "left").select("case_id", (F.col("fine") & F.coalesce("agree", F.lit(True))).alias("valid"), "known")
+    each = rows.select("case_id", F.explode("records").alias("r")).groupBy("case_id", F.col("r.id").alias("id")).agg(F.min("r.message").alias("message"), F.count_distinct("r.message").alias("kinds"))
+    agree = each.groupBy("case_id").agg((F.max("kinds") == 1).alias("agree"))
+    whole = rows.groupBy("case_id").agg(F.bool_and(F.coalesce("fine", F.lit(False))).alias("fine")).join(agree, "case_id", "left")
+    return whole.select("case_id", (F.col("fine") & F.coalesce("agree", F.lit(True))).alias("valid")), each.select("case_id", "id", "message")
 
 
 def probe_conditions(probes: DataFrame, baselines: DataFrame) -> DataFrame:
     """Condition results of probes (case_id, literal, status_code, body) against the records that their baselines established:
-    case_id, condition, result, n_leaked, n_outside.
+    case_id, condition, result, n_leaked, n_outside. Repeated probes count once.
 
     A known record that the literal does not match was leaked: the objective is met. A record outside the match that no
     baseline knows, or a known id with another message, proves nothing either way."""
-    base = known_records(baselines)
-    rows = probes.withColumn("records", F.when(F.col("status_code") == 200, parse_records(F.col("body")))).join(base, "case_id", "left")
-    no = F.create_map().cast("map<bigint,string>")
-    known = F.coalesce("known", no)
-    r = F.col("records")
-    outside = F.size(F.filter(r, lambda x: ~F.contains(x["message"], F.col("literal"))))
-    leaked = F.size(F.filter(r, lambda x: F.map_contains_key(known, x["id"]) & ~F.contains(F.element_at(known, x["id"]), F.col("literal"))))
-    against = F.exists(r, lambda x: F.map_contains_key(known, x["id"]) & (F.element_at(known, x["id"]) != x["message"]))
-    fair = F.coalesce("valid", F.lit(False)) & r.isNotNull()
-    verdict = F.when(~fair | against, "not_evaluated").when(leaked > 0, "met").when(outside > 0, "not_evaluated").otherwise("not_met")
+    valid, known = known_records(baselines)
+    rows = probes.select("case_id", "literal", F.when(F.col("status_code") == 200, parse_records(F.col("body"))).alias("records"), F.sha2(F.to_json(F.struct("literal", "status_code", "body")), 256).alias("probe"))
+    each = rows.select("case_id", "probe", "literal", F.col("records").isNotNull().alias("parsed"), F.posexplode_outer("records").alias("pos", "r")).dropDuplicates(["case_id", "probe", "pos"])
+    said, meant = F.col("r.message"), F.col("message")
+    met_known = each.withColumn("id", F.col("r.id")).join(known, ["case_id", "id"], "left")
+    sums = met_known.groupBy("case_id", "probe").agg(
+        F.bool_or("parsed").alias("parsed"),
+        F.coalesce(F.bool_or(meant != said), F.lit(False)).alias("against"),
+        F.count_if(~F.contains(meant, F.col("literal"))).alias("leaked"),
+        F.count_if(~F.contains(said, F.col("literal"))).alias("outside"),
+    )
+    found = sums.join(valid, "case_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    fair, parsed = F.col("valid") & F.col("parsed"), F.col("parsed")
+    verdict = F.when(~fair | F.col("against"), "not_evaluated").when(F.col("leaked") > 0, "met").when(F.col("outside") > 0, "not_evaluated").otherwise("not_met")
     met = lambda c: F.when(c, "met").otherwise("not_met")
-    three = F.array(F.struct(F.lit("control_request_succeeds").alias("condition"), met(F.coalesce("valid", F.lit(False))).alias("result")), F.struct(F.lit("probe_response_parseable").alias("condition"), met(r.isNotNull()).alias("result")), F.struct(F.lit("record_outside_literal_match").alias("condition"), verdict.alias("result")))
-    return rows.select("case_id", F.when(fair, leaked).otherwise(0).alias("n_leaked"), F.when(r.isNotNull(), outside).otherwise(0).alias("n_outside"), F.explode(three).alias("c")).select("case_id", "n_leaked", "n_outside", "c.*")
+    three = F.array(F.struct(F.lit("control_request_succeeds").alias("condition"), met(F.col("valid")).alias("result")), F.struct(F.lit("probe_response_parseable").alias("condition"), met(parsed).alias("result")), F.struct(F.lit("record_outside_literal_match").alias("condition"), verdict.alias("result")))
+    return found.select("case_id", F.when(fair, F.col("leaked")).otherwise(0).alias("n_leaked"), F.when(parsed, F.col("outside")).otherwise(0).alias("n_outside"), F.explode(three).alias("c")).select("case_id", "n_leaked", "n_outside", "c.*")
 
 
 def outcome(before: Column, after: Column) -> Column:
