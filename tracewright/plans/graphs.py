@@ -106,3 +106,41 @@ def q_search_oracle(spark, d):
     status = rules.first_rule(results, spark.createDataFrame(rules.SEARCH_RULES, rules.RULE))
     counts = results.where("condition = 'probe_response_parseable'").select("case_id", "n_leaked", "n_outside")
     return counts.join(status, "case_id").select("case_id", "n_leaked", "n_outside", "status", "reason_code", "rule_no")
+
+
+@query("""
+    with r as (select l_orderkey, l_linenumber, l_partkey, round(l_discount * 100)::int as d, round(l_tax * 100)::int as t, l_quantity = 50 as none, l_linestatus = 'F' as fake,
+            case when o_orderpriority = '4-NOT SPECIFIED' then 'blocked' when o_orderstatus = 'F' then 'objective_achieved' when o_orderstatus = 'O' then 'objective_not_observed' else 'inconclusive' end as sa,
+            case when l_returnflag = 'R' then 'objective_achieved' when l_returnflag = 'A' then 'objective_not_observed' when l_quantity < 10 then 'not_validated' else 'inconclusive' end as sb,
+            o_orderpriority = '5-LOW' as seen from lineitem join orders on l_orderkey = o_orderkey),
+    p as (select *, none or (sa <> 'blocked' and sb <> 'not_validated') as run, case when none then ['report_type_invalid'] else list_filter([
+            case when seen then 'observation_is_not_remediation_evidence' end, case when t = 0 then 'same_run' end, case when d = 2 then 'incident_mismatch' end, case when d = 1 then 'scenario_mismatch' end,
+            case when d = 3 then 'scenario_definition_mismatch' end, case when d = 4 then 'oracle_mismatch' end, case when d = 5 then 'target_origin_mismatch' end, case when d = 6 then 'baseline_not_pre_remediation' end,
+            case when d = 7 then 'post_not_post_remediation' end, case when d = 8 then 'pre_state_id_missing' end, case when d = 9 then 'pre_state_id_mismatch' end, case when t = 1 then 'post_state_id_missing' end,
+            case when t = 2 then 'states_not_distinct' end, case when t = 3 then 'remediation_not_attested' end, case when t = 4 then 'transport_kinds_differ' end,
+            case when t = 5 then 'timestamps_missing' end, case when t = 6 then 'baseline_not_before_post' end], lambda x: x is not null) end as problems from r),
+    q as (select *, run and len(problems) = 0 as fine from p),
+    c as (select *, case when run and not fine then 'not_comparable' when sa = 'blocked' then 'baseline_not_run' when sb = 'not_validated' then 'post_not_run' when sa = 'inconclusive' then 'baseline_inconclusive'
+            when sb = 'inconclusive' then 'post_inconclusive' when sa = 'objective_achieved' and sb = sa then 'objective_still_achievable' when sa = 'objective_achieved' then 'objective_not_observed_after_baseline_achieved'
+            when sb = 'objective_achieved' then 'objective_newly_observed' else 'objective_not_observed_in_both' end as category,
+        case when not fine then null when fake then 'simulation_only' when sa = 'inconclusive' or sb = 'inconclusive' or (sa = sb and sa = 'objective_not_observed') then 'no_inference_possible'
+            when sa = 'objective_achieved' and sb = sa then 'remediation_did_not_stop_tested_probe' when sa = 'objective_achieved' then 'consistent_with_remediation_blocking_tested_probe' else 'unexpected_regression' end as interpretation from q)
+    select l_orderkey, l_linenumber, l_partkey, case when run then array_to_string(problems, ',') else '' end as problems, fine as comparable, category, interpretation,
+        case when fine then case when fake then 'simulation' else 'live' end end as basis, fine and not fake and interpretation <> 'no_inference_possible' as usable from c
+""")
+def q_report_comparison(spark, d):
+    """An order as the report before and each of its items as the report after; discount and tax say in what the two differ."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    rows = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    off = lambda c, n: F.round(F.col(c) * 100).cast("int") == n
+    discount, tax = lambda n: off("l_discount", n), lambda n: off("l_tax", n)
+    text, i = F.lit, F.col("l_orderkey").cast("string")
+    kind = F.when(F.col("l_linestatus") == "F", "fake").otherwise("http")
+    before = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "blocked").when(F.col("o_orderstatus") == "F", "objective_achieved").when(F.col("o_orderstatus") == "O", "objective_not_observed").otherwise("inconclusive")
+    after = F.when(F.col("l_returnflag") == "R", "objective_achieved").when(F.col("l_returnflag") == "A", "objective_not_observed").when(F.col("l_quantity") < 10, "not_validated").otherwise("inconclusive")
+    report = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    a = report(report_kind=F.when(F.col("o_orderpriority") == "5-LOW", "pre_remediation_observation").otherwise("validation"), run_id=text("a"), incident_id=i, scenario_id=text("s"), definition_sha256=F.when(~discount(3), "d"), oracle=text("o:1"), origin=text("http://a"), tested_state=F.when(~discount(6), "pre_remediation"), pre_state_id=text("pre"), transport_kind=kind, started_at=text("2026-01-01"), finished_at=F.when(~tax(5), F.when(tax(6), "2026-01-04").otherwise("2026-01-02")), status=before)
+    b = report(report_kind=text("validation"), run_id=F.when(tax(0), "a").otherwise("b"), incident_id=F.when(discount(2), "other").otherwise(i), scenario_id=F.when(discount(1), "other").otherwise("s"), definition_sha256=text("d"), oracle=F.when(~discount(4), "o:1"), origin=F.when(discount(5), "http://b").otherwise("http://a"), tested_state=F.when(discount(7), "pre_remediation").otherwise("post_remediation"), pre_state_id=F.when(discount(9), "other").when(~discount(8), "pre"), post_state_id=F.when(tax(2), "pre").when(~tax(1), "post"), application_state=text("independently_attested"), applied_ids=F.when(tax(3), F.array().cast("array<string>")).otherwise(F.array(text("r1"))), transport_kind=F.when(tax(4), "other").otherwise(kind), started_at=text("2026-01-03"), finished_at=text("2026-01-05"), status=after)
+    pairs = rows.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_quantity") != 50, a).alias("a"), b.alias("b"))
+    got = rules.compare_reports(pairs)
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("problems", ",").alias("problems"), "comparable", "category", "interpretation", "basis", "usable")

@@ -163,12 +163,13 @@ def q_literals(spark, d):
 
 
 @query("""
-    with c as (select conv_id, turn, role from conversations where conv_id is not null and turn is not null), e as (select distinct conv_id, turn from c where role = 'user')
-    select distinct conv_id::varchar as incident_id, 'observed_evidence[' || turn || ']' as location, 'http_fact_mismatch' as code from c where turn % 3 = 0 or (conv_id, turn - 1) not in (select conv_id, turn from e)
-    union all select distinct conv_id::varchar, 'observed_evidence[' || turn || '].evidence_ids', 'unknown_evidence_id' from c where (conv_id, turn - 1) not in (select conv_id, turn from e)
+    with c as (select conv_id, turn, role from conversations where conv_id is not null and turn is not null), e as (select distinct conv_id, turn from c where role = 'user'),
+        t as (select conv_id, unnest(range(0, max(turn) + 1)) as turn from c group by 1)
+    select conv_id::varchar as incident_id, 'observed_evidence[' || turn || ']' as location, 'http_fact_mismatch' as code from t where turn % 3 = 0 or (conv_id, turn - 1) not in (select conv_id, turn from e)
+    union all select conv_id::varchar, 'observed_evidence[' || turn || '].evidence_ids', 'unknown_evidence_id' from t where (conv_id, turn - 1) not in (select conv_id, turn from e)
 """)
 def q_answer_issues(spark, d):
-    """An answer for each conversation: its turns are statements that cite the turn before and name a method."""
+    """An answer for each conversation: statements up to its last turn cite the turn before and name a method; all issues."""
     c = table(spark, d, "conversations").where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("string").alias("incident_id"), "turn", "role")
     event = lambda t: F.concat(F.lit("api-"), t.cast("string"))
     said = F.concat(F.when(F.col("turn") % 3 == 0, "A POST").otherwise("A GET"), F.lit(" was seen."))
@@ -183,9 +184,7 @@ def q_answer_issues(spark, d):
     facts = seen.select("incident_id", "id", F.lit("method").alias("kind"), F.lit("get").alias("value"))
     empty = spark.createDataFrame([], "incident_id string, id string, identifier string")
     context = grounded.Context(catalog, empty, facts, spark.createDataFrame([], "incident_id string"))
-    found = grounded.answer_checks(answers.select("incident_id", body.alias("response")), context).select("incident_id", "location", "code")
-    turns = c.select("incident_id", F.concat(F.lit("observed_evidence["), F.col("turn").cast("string"), F.lit("]")).alias("at")).distinct()
-    return found.join(turns, ["incident_id"]).where(F.col("location").startswith(F.col("at"))).select("incident_id", "location", "code")
+    return grounded.answer_checks(answers.select("incident_id", body.alias("response")), context).select("incident_id", "location", "code")
 
 
 @query("select sha256(string_agg(line, chr(10) order by line)) as fingerprint, count(*) as n_documents from (select doc_id || chr(9) || sha256(coalesce(text, '')) as line from documents)")
