@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 CONCLUSIVE = ["objective_achieved", "objective_not_observed"]
 NOT_RUN = ["not_validated", "blocked"]
 #: Outcome and reading of a conclusive pair, before and after.
@@ -57,8 +59,9 @@ def known_records(baselines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(case_id, valid) and (case_id, id, message) of baseline searches (case_id, term, status_code, body): each must answer, every
     record must hold its term, and records of one id must agree. Records stay rows, so a case may have any number."""
     rows = baselines.withColumn("records", parse_records(F.col("body"))).withColumn("fine", (F.col("status_code") == 200) & F.col("records").isNotNull() & F.forall("records", lambda r: F.contains(r["message"], F.col("term"))))
-    each = rows.select("case_id", F.explode("records").alias("r")).groupBy("case_id", F.col("r.id").alias("id")).agg(F.min("r.message").alias("message"), F.count_distinct("r.message").alias("kinds"))
-    agree = each.groupBy("case_id").agg((F.max("kinds") == 1).alias("agree"))
+    rows = written(rows.select("case_id", "records", "fine"), "baselines")  # bodies are parsed once
+    each = rows.select("case_id", F.explode("records").alias("r")).groupBy("case_id", F.col("r.id").alias("id")).agg(F.min("r.message").alias("message"), F.max("r.message").alias("_last"))
+    agree = each.groupBy("case_id").agg(F.bool_and(F.col("message") == F.col("_last")).alias("agree"))
     whole = rows.groupBy("case_id").agg(F.bool_and(F.coalesce("fine", F.lit(False))).alias("fine")).join(agree, "case_id", "left")
     return whole.select("case_id", (F.col("fine") & F.coalesce("agree", F.lit(True))).alias("valid")), each.select("case_id", "id", "message")
 

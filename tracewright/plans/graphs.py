@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, rules
 from ..schema import event_columns
+from ..sources.scratch import written
 from .registry import query
 from .tables import table
 
@@ -102,7 +103,7 @@ def q_search_oracle(spark, d):
     last = record(F.when(seg == "MACHINERY", hi["id"] + 1_000_000_000_000).otherwise(hi["id"]), F.when(seg == "BUILDING", "other").otherwise(hi["msg"]))
     answer = F.when(seg == "FURNITURE", '{"data": 3}').otherwise(body(record(F.col("lo.id"), F.col("lo.msg")), last))
     probes = ends.select(F.col("o_custkey").alias("case_id"), F.col("lo.st").alias("literal"), F.when(F.col("c_acctbal") < 0, 500).otherwise(200).alias("status_code"), answer.alias("body"))
-    results = rules.probe_conditions(probes, searches.union(again))
+    results = written(rules.probe_conditions(probes, searches.union(again)), "conditions")
     status = rules.first_rule(results, spark.createDataFrame(rules.SEARCH_RULES, rules.RULE))
     counts = results.where("condition = 'probe_response_parseable'").select("case_id", "n_leaked", "n_outside")
     return counts.join(status, "case_id").select("case_id", "n_leaked", "n_outside", "status", "reason_code", "rule_no")
