@@ -28,10 +28,15 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "5 minutes", late:
 
 
 def first_seen(events: DataFrame, keys: list[str], at: str, late: str = "10 minutes") -> DataFrame:
-    """Each observation once: on a stream, repeats inside the watermark are dropped."""
+    """The first row of each observation, by its time (rows without one come last). A stream gives each observation once, as it
+    arrives: repeats inside the watermark are dropped."""
     if events.isStreaming:
         return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
-    return events.dropDuplicates(keys)
+    rest = [c for c in events.columns if c not in (*keys, at)]
+    if not rest:
+        return events.groupBy(*keys).agg(F.min(at).alias(at)).select(*events.columns)
+    row = F.min_by(F.struct(at, *rest), F.struct(F.col(at).isNull(), at))
+    return events.groupBy(*keys).agg(row.alias("_r")).select(*[c if c in keys else F.col(f"_r.{c}").alias(c) for c in events.columns])
 
 
 def latest(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
