@@ -128,3 +128,17 @@ def test_ties_and_very_long_texts(spark, small):
     assert len({(r["kept"], r["score"]) for r in got if r["doc_id"] < 6}) == 1
     assert [r["n_words"] for r in got if r["doc_id"] == 9] == [400_000] * 2
     assert all(r["base_failed"] for r in got if r["doc_id"] == 9)
+
+
+def test_all_labelled_rows_count(spark):
+    """The forest and the cut on a table are those on all of its rows in memory: 5,000 good rows and 300 bad, of which a bounded
+    sample of a class would leave most out."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.random((5000, 6)), rng.random((300, 6)) + 0.7])
+    good = np.arange(5300) < 5000
+    rows = spark.createDataFrame([(*map(float, r), bool(g)) for r, g in zip(x, good)], ", ".join(f"{r} double" for r in quality.RATIOS) + ", good boolean").repartition(5)
+    forest, plain = quality.grow_forest(rows, trees=16), quality.fit_forest(x, trees=16, sample=len(x))
+    assert all(np.array_equal(a, b) for one, two in zip(forest, plain, strict=True) for a, b in zip(one, two, strict=True))
+    s = np.round(quality.forest_scores(forest, x, len(x)), 3)  # many ties
+    scored = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(s, good)], "score double, good boolean")
+    assert quality.fit_cut(scored.repartition(3)) == quality.calibrate(s, good)
