@@ -104,3 +104,15 @@ def test_empty_and_null_texts(spark, tmp_path):
     one = none.changed(frame(spark, [(1, 0, None, None), (2, 0, None, "A b")]))
     assert (one.chunks, one.words) == (2, 2)
     assert [r["doc_id"] for r in retrieval.index_hits(one, spark.createDataFrame([("q", "a")], "query_id string, term string")).collect()] == [2]
+
+
+def test_a_lot_gives_only_its_best(spark, tmp_path):
+    """One word in all chunks, of different lengths: pairs of query and chunk never become rows but for the best of a lot."""
+    rows = [(i, 0, "", "w1" + " x" * i if i < 600 else "y") for i in range(2000)]
+    one = index.build(frame(spark, rows), f"file://{tmp_path}/i", buckets=4, block_chunks=300)
+    asked = spark.createDataFrame([("q", "w1"), ("r", "x"), ("r", "w1")], "query_id string, term string")
+    best, plain = retrieval.index_hits(one, asked, 5), retrieval.bm25_hits(frame(spark, rows), asked)
+    assert best.count() == 10
+    key = lambda df: sorted(map(tuple, retrieval.hit_window(df, 5).select("query_id", "doc_id", "hit", "score").collect()))
+    assert key(best) == key(plain)
+    assert one.read("postings").groupBy("term", "block").count().where("count > 1").count() == 0
