@@ -94,3 +94,17 @@ def test_the_limit_acts_before_enumeration(spark, monkeypatch):
     got = paths.depth_first_paths(rows, spark.createDataFrame([("s", "t")], "source string, target string"), 8, 20)
     assert [r["nodes"][-3:-1] for r in got.orderBy("place").collect()][:7] == [["4.0", f"5.{i}"] for i in range(6)] + [["4.1", "5.0"]]
     assert got.count() == 20 and max(counts) <= len(edges)
+
+
+def test_rows_do_not_meet_the_steps_of_other_targets(spark, monkeypatch):
+    """A hub in front of many targets: the steps that paths grow by are as many as targets, not their square."""
+    made = {}
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: made.setdefault(name, keep(df, name)) if name == "ways" else keep(df, name))
+    n = 300
+    edges = spark.createDataFrame([("r", "hub", "accesses", "observed"), *[("hub", f"t{i}", "hosts", "observed") for i in range(n)]], "source string, target string, edge_type string, basis string")
+    nodes = edges.select("source").union(edges.select("target")).distinct().toDF("node_id")
+    ends = spark.createDataFrame([("r", f"t{i}") for i in range(n)], "source string, target string")
+    got = graph.candidate_paths(nodes, edges, ends).collect()
+    assert sorted((r["target"], tuple(r["nodes"])) for r in got) == sorted((f"t{i}", ("r", "hub", f"t{i}")) for i in range(n))
+    assert made["ways"].count() == 2 * n

@@ -169,6 +169,13 @@ def distances(steps: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     return labels
 
 
+def ways_to(steps: DataFrame, ahead: DataFrame) -> DataFrame:
+    """The steps (s, t, …) that come nearer to a target, or could: those into a node of ahead (target, node, d), with the target as
+    _end and the hops left behind the step as d. Paths that grow by these join on target and node, so they never meet the
+    other targets' steps from a node that many of them share."""
+    return written(steps.join(ahead.select(F.col("target").alias("_end"), F.col("node").alias("_node"), "d"), F.col("t") == F.col("_node")).drop("_node"), "ways")
+
+
 def candidate_paths(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_hops: int = 6, max_paths: int = 10, observed_only: bool = False) -> DataFrame:
     """Simple directed paths for each (source, target) of ends: nodes, edge types, score, position.
 
@@ -188,16 +195,16 @@ def candidate_paths(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_hop
     place = F.row_number().over(Window.partitionBy("source").orderBy("target", "edge_type"))
     steps = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("edge_type").alias("e"), edge_weight(F.col("edge_type"), F.col("basis")).alias("w"), place.alias("place"))
     steps = written(steps, "steps")
-    ahead = distances(steps, ends.select(F.col("target").alias("t")), max_hops).withColumnsRenamed({"target": "_end", "node": "_node"})
-    near = lambda rows, left: rows.join(ahead, (F.col("target") == F.col("_end")) & (F.col("at") == F.col("_node"))).where(F.col("d") <= left).drop("_end", "_node", "d")
+    ahead = distances(steps, ends.select(F.col("target").alias("t")), max_hops)
+    ways = ways_to(steps, ahead)
     strings, numbers, doubles = (F.array().cast(f"array<{k}>") for k in ("string", "int", "double"))
     open_ = ends.select("source", "target", F.array("source").alias("nodes"), strings.alias("edge_types"), doubles.alias("weights"), numbers.alias("places"), F.col("source").alias("at"))
     same = open_.where("source = target").drop("at").withColumn("score", F.lit(1.0))
-    open_, found = near(open_.where("source <> target"), max_hops), []
+    open_, found = open_.where("source <> target"), []
     for hop in range(max_hops):
-        grown = open_.join(steps, (F.col("at") == F.col("s")) & ~F.array_contains("nodes", F.col("t")))
+        grown = open_.join(ways, (F.col("target") == F.col("_end")) & (F.col("at") == F.col("s")) & (F.col("d") < max_hops - hop) & ~F.array_contains("nodes", F.col("t")))
         grown = grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("edge_types", F.array("e")).alias("edge_types"), F.concat("weights", F.array("w")).alias("weights"), F.concat("places", F.array("place")).alias("places"), F.col("t").alias("at"))
-        grown = written(near(grown, max_hops - hop - 1), "hop")
+        grown = written(grown, "hop")
         found.append(grown.where("at = target").drop("at"))
         if hop + 1 == max_hops:
             break

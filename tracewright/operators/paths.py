@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-from .graph import adjusted_score, distances, path_coverage
+from .graph import adjusted_score, distances, path_coverage, ways_to
 
 
 def depth_first_paths(edges: DataFrame, ends: DataFrame, max_hops: int = 8, limit: int = 100) -> DataFrame:
@@ -21,17 +21,17 @@ def depth_first_paths(edges: DataFrame, ends: DataFrame, max_hops: int = 8, limi
     node before its last one is as near to the target as that, for a shortest way on meets none of them; once `limit` paths
     that arrived or surely will come before a path, it goes. Paths from whose end the target is too far go at once."""
     steps = written(edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("position").cast("long").alias("p")), "steps")
-    ahead = distances(steps, ends.select(F.col("target").alias("t")), max_hops).withColumnsRenamed({"target": "_end", "node": "_node"})
-    near = lambda rows, left: rows.join(ahead, (F.col("target") == F.col("_end")) & (F.col("at") == F.col("_node"))).where(F.col("d") <= left).drop("_end", "_node")
+    ahead = distances(steps, ends.select(F.col("target").alias("t")), max_hops)
+    ways = ways_to(steps, ahead)
     empty = F.array().cast("array<bigint>")
     start = ends.select("source", "target", F.array("source").alias("nodes"), empty.alias("positions"), F.col("source").alias("at"), F.lit(None).cast("int").alias("nearest"))
     found = start.where("source = target").select("source", "target", "nodes", "positions")
-    open_ = near(start.where("source <> target"), max_hops)
+    open_ = start.where("source <> target").join(ahead.select(F.col("target").alias("_end"), F.col("node").alias("_node"), "d"), (F.col("target") == F.col("_end")) & (F.col("at") == F.col("_node"))).drop("_end", "_node")
     sooner = Window.partitionBy("source", "target").orderBy("positions").rowsBetween(Window.unboundedPreceding, -1)
     for hop in range(max_hops):
-        grown = open_.withColumn("nearest", F.least("nearest", "d")).drop("d").join(steps, (F.col("at") == F.col("s")) & ~F.array_contains("nodes", F.col("t")))
-        grown = grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("positions", F.array("p")).alias("positions"), F.col("t").alias("at"), "nearest")
-        grown = near(grown, max_hops - hop - 1).withColumn("sure", (F.col("d") <= F.col("nearest")).cast("int"))
+        grown = open_.withColumn("nearest", F.least("nearest", "d")).drop("d").join(ways, (F.col("target") == F.col("_end")) & (F.col("at") == F.col("s")) & (F.col("d") < max_hops - hop) & ~F.array_contains("nodes", F.col("t")))
+        grown = grown.select("source", "target", F.concat("nodes", F.array("t")).alias("nodes"), F.concat("positions", F.array("p")).alias("positions"), F.col("t").alias("at"), "nearest", "d")
+        grown = grown.withColumn("sure", (F.col("d") <= F.col("nearest")).cast("int"))
         arrived = found.select("source", "target", "nodes", "positions", F.col("target").alias("at"), F.lit(0).alias("nearest"), F.lit(0).alias("d"), F.lit(1).alias("sure"))
         rows = grown.unionByName(arrived).withColumn("sooner", F.coalesce(F.sum("sure").over(sooner), F.lit(0))).where(F.col("sooner") < limit).drop("sure", "sooner")
         rows = written(rows, "deep")
