@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import archives
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written
 from .registry import query
 from .tables import table
 
@@ -84,7 +84,7 @@ def _catalogs(spark: SparkSession, parts: DataFrame, what: archives.Catalog, for
 
 def _weaknesses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     at = _catalogs(spark, table(spark, d, "part"), archives.WEAKNESSES, _WEAKNESS)
-    return archives.read_catalog(spark, at), archives.read_references(spark, at)
+    return written(archives.read_catalog(spark, at), "records"), archives.read_references(spark, at)
 
 
 @query("""
@@ -122,7 +122,7 @@ def q_weakness_documents(spark, d):
 """)
 def q_pattern_documents(spark, d):
     at = _catalogs(spark, table(spark, d, "part"), archives.PATTERNS, _PATTERN)
-    return archives.documents(archives.read_catalog(spark, at, archives.PATTERNS), archives.read_references(spark, at, archives.PATTERNS)).select("doc_id", "content")
+    return archives.documents(written(archives.read_catalog(spark, at, archives.PATTERNS), "records"), archives.read_references(spark, at, archives.PATTERNS)).select("doc_id", "content")
 
 
 @query("""
