@@ -86,6 +86,32 @@ def test_parting_keeps_all_repeats(spark):
         assert got == want and want
 
 
+def test_parts_that_became_the_same_go_on_as_one(spark, monkeypatch):
+    """Near copies of one passage, each with one place changed: parts that do not hold the place are one text, and are parted once."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh") for _ in range(168))
+    rows, want, seen = [], set(), set()
+    for i in range(600):
+        at = rng.choice([*range(60), *range(108, 168)])
+        text = (base[:at] + rng.choice("stuvwxyz") * 8 + base[at + 8 :])[:168] if not 52 < at < 100 else base
+        rows.append((5, i, 0, 68, 100, bytearray(text.encode())))
+        for k in range(69):
+            want |= {(i, k)} if text[k : k + 100] in seen else set()
+            seen.add(text[k : k + 100])
+    made = []
+
+    def counted(df, name, kept=suffix.materialize):
+        out = kept(df, name)
+        made.append(out.count() if name == "parted" else 0)
+        return out
+
+    monkeypatch.setattr(suffix, "materialize", counted)
+    found = suffix.sorted_repeats(spark.createDataFrame(rows, suffix.TEXTS).repartition(3)).collect()
+    got = {(r["doc_id"], p) for r in found for p in range(r["begin"], r["stop"] - 99)}
+    assert got == want and want
+    assert 0 < sum(made) < 6 * len(rows)
+
+
 def test_copies_are_checked_by_their_bytes(spark):
     """A copy that a hash takes for its source, and is not, stops the job."""
     base = b"q" * 120

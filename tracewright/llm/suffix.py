@@ -17,7 +17,8 @@ them are repeats. Many texts are sorted side by side with array operations.
 
 An anchor with very many different texts is parted by more of its strings' bytes: a string holds either the next bytes
 left of the anchor or those right of it, so each text gives a left and a right part, named by those bytes; parts that are
-still too many are parted again, up to whole strings. Sorting means the same in each part, and no group grows with the input.
+still too many are parted again, up to whole strings. Parts that became the same bytes go on as one, the earliest. Sorting means
+the same in each part, and no group grows with the input.
 
 Defined cases: a null or empty text has no bytes; texts are never joined, so matches stay inside documents; rows that
 share a doc_id, or have none, are documents in the order of doc_id (null first) and then text; equal rows that share
@@ -484,18 +485,34 @@ def differing(taken: DataFrame) -> DataFrame:
     return met.where(F.when(wrong, F.raise_error(F.lit("two different strings have one 64-bit name: change the hash's base"))).otherwise(F.lit(False))).select("doc_id", "begin", (F.col("begin") + F.col("n")).alias("stop"))
 
 
+def _firsts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The earliest row of each different text of a key, and doc_id, begin, stop of the other rows, which repeat it whole."""
+    first = parts.groupBy("key", "low", "high", "bytes").agg(F.min(F.struct("doc_id", "begin")).alias("p"))
+    first = materialize(first.select("key", "p.doc_id", "p.begin", "low", "high", "bytes"), "firsts")
+    # a string lies in one part, so document and begin name a part
+    copies = parts.join(first.select("key", "doc_id", "begin"), ["key", "doc_id", "begin"], "left_anti")
+    return first, copies.select("doc_id", "begin", (F.col("begin") + F.length("bytes")).alias("stop"))
+
+
 def sorted_repeats(texts: DataFrame, many: int = MANY) -> DataFrame:
-    """doc_id, begin, stop of repeats among texts that share a key. Keys with over `many` different texts are parted first."""
+    """doc_id, begin, stop of repeats among texts that share a key. Keys with over `many` different texts are parted first;
+    parts that became the same text go on as one, so a text has new parts only around the places where it differs."""
     found, level, whole = [], texts, True
     while True:
-        sizes = level.groupBy("key", F.xxhash64("bytes").alias("h")).agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
-        sizes = materialize(sizes.where(f"n > 1 and (d > {many} or {not whole})"), "sizes")
+        if whole:
+            sizes = level.groupBy("key", F.xxhash64("bytes").alias("h")).agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+            sizes = materialize(sizes.where(f"n > 1 and d > {many}"), "sizes")
+        else:
+            sizes = materialize(level.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"), "sizes")
         large = sizes.where(f"d > {many}").select("key")
         fine = level.join(large, "key", "left_anti") if whole else level.join(sizes.where(f"d <= {many}").select("key"), "key", "left_semi")
         found.append(fine.repartition("key").sortWithinPartitions("key", "bytes", "doc_id", "begin").mapInArrow(_sort, "doc_id long, begin long, stop long"))
         if large.limit(1).count() == 0:
             break
-        level, whole = materialize(level.join(large, "key", "left_semi").mapInArrow(_parted, TEXTS), "parted"), False
+        parts = materialize(level.join(large, "key", "left_semi").mapInArrow(_parted, TEXTS), "parted")
+        level, copies = _firsts(parts)
+        found.append(copies)
+        whole = False
     out = found[0]
     for rows in found[1:]:
         out = out.unionByName(rows)
