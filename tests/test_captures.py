@@ -91,6 +91,14 @@ def test_bytes_come_back(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_short_lines_make_no_short_pieces(spark, tmp_path):
+    """A file of line feeds alone has as many pieces as its bytes need, however many lines it has."""
+    (tmp_path / "x").write_bytes(b"\n" * 300_000 + b"ab\n\nc")
+    parts = captures.file_pieces(spark, f"file://{tmp_path}/x").orderBy("at").collect()
+    assert b"".join(bytes(p["data"]) for p in parts) == (tmp_path / "x").read_bytes()
+    assert len(parts) <= 8  # 31 pieces were made of batches of 10,000 lines
+
+
 def test_unlikely_records_are_found(spark, tmp_path):
     """Packets that no guess takes for likely: without bytes, and with a fraction of more than a second."""
     data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)

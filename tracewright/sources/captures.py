@@ -9,11 +9,12 @@ import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def decode_link(link: int, data: bytes, order: str) -> tuple[str, str | None, st
     return decode_ip(data[at:]) if ether in (IPV4, IPV6) else ("UNKNOWN", None, None, None, None)
 
 
+def _runs(b: pa.RecordBatch) -> list[int]:
+    """Where the rows of each split begin, and the end of the last."""
+    file, block = b.column("file"), b.column("block").to_numpy()
+    new = pa.compute.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1]) if b.num_rows else np.zeros(0, bool)
+    return [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows] if b.num_rows else []
+
+
+def _joined(lines: pa.Array) -> bytes:
+    """Lines with their line feeds again, without a Python object for each."""
+    return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), b"\n")[0].as_py() + b"\n"
+
+
 def file_pieces(spark: SparkSession, path: str) -> DataFrame:
     """file, size, at (offset), data: the bytes of all files under path, in pieces, read by as many tasks as they have splits.
 
@@ -73,14 +86,25 @@ def file_pieces(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).select(*where, F.col("value").cast("binary").alias("data"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, own, held = 0, None, bytearray()
+
+        def cut(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            while len(held) >= least:
+                part = bytes(held[:PIECE])
+                del held[:PIECE]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*own, n, len(part))] + [pa.array([part], pa.binary())], ["file", "size", "block", "n", "long", "data"])
+                n += 1
+
         for b in batches:
-            for (file, block, size), own in groupby(zip(*(b.column(c).to_pylist() for c in ("file", "block", "size", "data")), strict=True), lambda r: r[:3]):
-                data = b"\n".join(r[3] for r in own) + b"\n"
-                for start in range(0, len(data), PIECE):
-                    part = data[start : start + PIECE]
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (file, size, block, n, len(part))] + [pa.array([part], pa.binary())], ["file", "size", "block", "n", "long", "data"])
-                    n += 1
+            for start, end in pairwise(_runs(b)):
+                where = tuple(b.column(c)[start].as_py() for c in ("file", "size", "block"))
+                if where != own:
+                    yield from cut(1)
+                    own = where
+                held += _joined(b.column("data").slice(start, end - start))
+                yield from cut(PIECE)
+        yield from cut(1)
 
     pieces = written(lines.mapInArrow(join, "file string, size long, block long, n long, long long, data binary"), "pieces")
     before = F.sum("long").over(Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, -1))
@@ -158,14 +182,20 @@ def steps(kind: Kind, data: bytes, base: int, chunk: int, size: int, at: int, or
 def guesses(kind: Kind, data: bytes, base: int, chunk: int, size: int, order: str) -> list[tuple[int, int]]:
     """(start, offset behind the chunk) of the chains of likely records that run through the chunk, each from its first record.
 
-    Every offset gets the next one that its length names, at once; jumps are doubled until all leave the chunk, and a chain
-    counts if all of its records look like records. Mostly one is left. A true chain that looks unlikely is found later."""
+    Every offset that looks like a record gets the next one that its length names; their jumps are doubled until all leave the
+    chunk or meet one that does not, and a chain counts if all of its records look like records. Mostly one is left. A true chain that looks unlikely is found later."""
     span = min(chunk, size - base)
     raw = np.zeros(span + 16, np.uint8)
     held = np.frombuffer(data[: span + 16], np.uint8)
     raw[: len(held)] = held
-    parts = [raw[i : i + span + 4].astype(np.int64) for i in range(12)]
-    number = lambda i: sum(parts[i + (k if order == "<" else 3 - k)][:span] << 8 * k for k in range(4))
+
+    def number(i: int) -> np.ndarray:
+        out = np.empty(span, np.int64)
+        for k in range(min(4, span)):
+            own = out[k::4]
+            own[:] = raw[i + k : i + k + 4 * len(own)].view(order + "u4")
+        return out
+
     at = np.arange(span)
     if kind.blocks:
         step = number(4)
@@ -176,20 +206,19 @@ def guesses(kind: Kind, data: bytes, base: int, chunk: int, size: int, order: st
         step = 16 + kept
         fits = (kept > 0) & (kept <= SNAP) & (fraction < 1_000_000 * kind.part)
     fits &= base + at + step <= size
-    jump = np.where(fits, np.minimum(at + step, span), at)
-    end = np.where(fits, at + step, 0)
-    sure = fits.copy()
-    for _ in range(max(1, int(span).bit_length())):
-        inside = jump < span
-        there = np.where(inside, jump, 0)
-        sure &= ~inside | sure[there]
-        end = np.where(inside, end[there], end)
-        jump = np.where(inside, jump[there], jump)
-    sure &= fits & (jump >= span)
-    follows = np.zeros(span, bool)
-    later = (at + step)[sure]
-    follows[later[later < span]] = True
-    return [(base + int(i), base + int(end[i])) for i in np.flatnonzero(sure & ~follows)]
+    at = np.flatnonzero(fits)
+    after, n = at + step[at], len(at)
+    row = np.full(span + 1, n + 1)  # of a likely record; n behind the chunk, n + 1 where none is likely
+    row[at], row[span] = np.arange(n), n
+    next_ = row[np.minimum(after, span)]
+    jump, end = np.append(next_, [n, n + 1]), np.append(after, [0, 0])
+    while (on := jump < n)[:n].any():
+        end = np.where(on, end[jump], end)
+        jump = jump[jump]
+    sure = jump[:n] == n
+    follows = np.zeros(n + 2, bool)
+    follows[next_[sure]] = True
+    return [(base + int(at[i]), base + int(end[i])) for i in np.flatnonzero(sure & ~follows[:n])]
 
 
 def record_starts(chunks: DataFrame, kinds: DataFrame, chunk: int) -> DataFrame:
