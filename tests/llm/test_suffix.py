@@ -112,6 +112,48 @@ def test_parts_that_became_the_same_go_on_as_one(spark, monkeypatch):
     assert 0 < sum(made) < 6 * len(rows)
 
 
+def test_texts_that_share_no_string_are_not_sorted(spark, monkeypatch):
+    """Texts around one anchor whose other bytes differ are not taken; those that share a string are, cut to where they may share it."""
+    rng = random.Random(10)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core = "00000000000000000000000000000000000000000000000000"  # too short to be a whole string
+    docs = {i: say(110) + core + say(110) for i in range(60)}
+    docs |= {60: say(110) + docs[3][60:], 61: docs[7][:215] + say(55)}
+    taken = []
+
+    def counted(df, name, kept=suffix.materialize):
+        out = kept(df, name)
+        if name == "taken":
+            taken.extend(r["doc_id"] for r in out.where(f"kind = {suffix.TEXT}").collect())
+        return out
+
+    monkeypatch.setattr(suffix, "materialize", counted)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    assert rows_of(suffix.remove_repeats(df)) == plain(docs)
+    assert {3, 7, 60, 61} >= set(taken) and taken
+
+
+def test_an_anchor_of_many_chunks_keeps_what_may_be_shared():
+    """Two texts of one anchor far apart in its rows share a class: neither is dropped, as a chunk does not show both."""
+    import pyarrow as pa
+
+    n = 130_000
+    k = np.arange(n)
+    marks = [(k * m) % 65521 for m in (1, 7, 11)]  # some of them meet, and so do these two
+    for m in marks:
+        m[-1] = m[0]
+    shape = 68 | marks[0] << 14 | marks[1] << 30 | marks[2] << 46
+    columns = [np.full(n, 5), k, k, np.full(n, 1000), shape]
+    none = pa.nulls(n, pa.int64())
+    whole = pa.RecordBatch.from_arrays([*map(pa.array, columns), none, none], [c.split()[0] for c in suffix.CONTEXTS.split(", ")])
+    out = pa.Table.from_batches(list(suffix._settle(whole.slice(i, 10_000) for i in range(0, n, 10_000))))
+    got = {r["doc_id"]: (r["begin"], r["stop"], r["at"]) for r in out.to_pylist()}
+    assert got[0] == got[n - 1] == (932, 1100, 68)
+    few = whole.take(pa.array([0, 1, 2, n - 1]))
+    out = pa.Table.from_batches(list(suffix._settle(iter([few]))))
+    assert sorted(out.column("doc_id").to_pylist()) == [0, n - 1]
+
+
 def test_copies_are_checked_by_their_bytes(spark):
     """A copy that a hash takes for its source, and is not, stops the job."""
     base = b"q" * 120

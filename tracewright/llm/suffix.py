@@ -5,6 +5,11 @@ the same one. To sort only suffixes that can match, every string of LENGTH bytes
 inside it (its anchor), which equal strings share, at the same place. Neighbouring strings with one anchor travel
 together as a context. An anchor that occurs once has nothing to sort.
 
+A string starts 0 to 68 bytes left of its anchor. Starts are dealt to CLASSES by that distance; all strings of a class hold the
+same 78 bytes around the anchor, and equal strings are in one class. A context carries a short hash of these bytes
+for each class it has strings in. Where no other text of the anchor has a class's hash, none has its strings, and the text is
+sorted without them; a hash only lets strings go that differ for certain.
+
 Contexts of one anchor that are the same text enter as one text, its earliest place. A hash brings them together; that
 they are the same is then checked on the bytes: a copy's neighbouring contexts that follow the same source are joined to
 pieces, and each piece's bytes are compared with its source's by a join. A difference stops the job: no hash decides.
@@ -41,8 +46,12 @@ from .common import materialize, slices
 from .components import numbered
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text that a task works on at a time; positions inside fit PLACE bits.
-BLOCK, PLACE = 1 << 20, 22
+#: Bytes of text whose hashes are taken at a time, as arrays that stay in a core's cache; positions inside fit PLACE bits.
+BLOCK, PLACE = 1 << 17, 22
+#: Bytes of text that a task holds at a time otherwise.
+SLICE = 1 << 21
+#: Classes of strings by their anchor's place in them, and distances in each.
+CLASSES, STEP = 3, 23
 #: Contexts among which a task spots repeats without a shuffle.
 TOGETHER_CONTEXTS = 1 << 17
 #: Different texts of an anchor that are sorted together, and bytes of texts sorted side by side.
@@ -108,11 +117,11 @@ class Stretches:
 
 def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """The contexts of a block of documents that begin at `starts`: document, place of the anchor, first and last start
-    of its strings, hash of the anchor, hash of the context."""
+    of its strings, hash of the anchor, hash of the context, and its shape."""
     n, width = len(data) - LENGTH + 1, LENGTH - GRAM + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, none
     grams = _rolling(data, GRAM)
     best = (grams & ~U((1 << PLACE) - 1)) | np.arange(len(grams), dtype=np.uint64)
     k = 1
@@ -139,11 +148,28 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     p = at[a]
     doc = np.searchsorted(starts, a, side="right") - 1
     name = grams[p]
-    context = Stretches(data).hash(a, b + LENGTH) + (p - a).astype(np.uint64) * ODD
-    return doc, p, a, b, name.view(np.int64), context.view(np.int64)
+    stretches = Stretches(data)
+    context = stretches.hash(a, b + LENGTH) + (p - a).astype(np.uint64) * ODD
+    return doc, p, a, b, name.view(np.int64), context.view(np.int64), _shape(stretches, p, a, b)
+
+
+def _shape(stretches: Stretches, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of a context's first and last start from its anchor, 7 bits each, and for each class in which it has
+    strings 16 bits of the hash of the bytes that all strings of that class hold."""
+    first, last = p - a, p - b
+    shape = (first | last << 7).astype(np.uint64)
+    for c in range(CLASSES):
+        k = np.flatnonzero((last < (c + 1) * STEP) & (first >= c * STEP))
+        h = stretches.hash(p[k] - c * STEP, p[k] - (c + 1) * STEP + 1 + LENGTH)
+        shape[k] |= (h >> U(48)) << U(14 + 16 * c)
+    return shape.view(np.int64)
+
 
+def _span(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return shape & 127, shape >> 7 & 127
 
-CONTEXTS = "anchor long, context long, doc_id long, place long, first int, last int, of_doc long, of_place long"
+
+CONTEXTS = "anchor long, context long, doc_id long, place long, shape long, of_doc long, of_place long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -175,20 +201,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = 0
 
     def close() -> pa.RecordBatch:
-        name, context, own, place, first, last = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((place, own, context, name))
-        same = np.append(False, (name[order][1:] == name[order][:-1]) & (context[order][1:] == context[order][:-1]))
-        repeat, source = np.zeros(len(order), bool), np.arange(len(order))
-        repeat[order[same]] = True
-        source[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        columns = [pa.array(name, mask=repeat), pa.array(np.where(repeat, own, context)), *map(pa.array, (own, place, first, last))]
+        name, context, own, place, shape = (np.concatenate(c) for c in zip(*held, strict=True))
+        by = np.argsort(own, kind="stable")  # places of a document ascend already
+        name, context, own, place, shape = (c[by] for c in (name, context, own, place, shape))
+        order = np.argsort(context)
+        new = np.append(True, (context[order][1:] != context[order][:-1]) | (name[order][1:] != name[order][:-1]))
+        source = np.empty(len(order), np.int64)
+        source[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+        repeat = source != np.arange(len(order))
+        columns = [pa.array(name, mask=repeat), pa.array(np.where(repeat, own, context)), *map(pa.array, (own, place, shape))]
         columns += [pa.array(own[source], mask=~repeat), pa.array(place[source], mask=~repeat)]
-        return pa.RecordBatch.from_arrays(columns, ["anchor", "context", "doc_id", "place", "first", "last", "of_doc", "of_place"])
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "context", "doc_id", "place", "shape", "of_doc", "of_place"])
 
     for data, starts, ids, offsets in _blocks(batches):
-        doc, p, a, b, name, context = anchors(data, starts)
+        doc, p, _, _, name, context, shape = anchors(data, starts)
         if len(doc):
-            held.append((name, context, ids[doc], p - starts[doc] + offsets[doc], (p - a).astype(np.int32), (p - b).astype(np.int32)))
+            held.append((name, context, ids[doc], p - starts[doc] + offsets[doc], shape))
             n += len(doc)
             if n > TOGETHER_CONTEXTS:
                 yield close()
@@ -200,15 +228,34 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SETTLED = "doc_id long, begin long, stop long, anchor long, at int, of_doc long, of_begin long"
 
 
+def _shared(group: np.ndarray, shape: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start (distances from the anchor) of what different texts of an anchor may share with another one;
+    first < last: nothing. Where `every` is set the whole text counts, as texts that it shares with may not be among these."""
+    first, last = _span(shape)
+    upper, lower = np.full(len(shape), -1), np.full(len(shape), LENGTH)
+    for c in range(CLASSES):
+        k = np.flatnonzero((last < (c + 1) * STEP) & (first >= c * STEP))
+        name = group[k] << 16 | shape[k] >> (14 + 16 * c) & 0xFFFF
+        order = np.argsort(name, kind="stable")
+        new = np.ones(len(k) + 1, bool)
+        new[1:-1] = name[order][1:] != name[order][:-1]
+        k = k[order[~(new[1:] & new[:-1])]]
+        upper[k] = (c + 1) * STEP - 1
+        lower[k] = np.minimum(lower[k], c * STEP)
+    return np.where(every, first, np.minimum(first, upper)), np.where(every, last, np.maximum(last, lower))
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From contexts sorted by anchor, context, document and place: those that look like an earlier one, with its place
-    (anchor null), and the first of each text of an anchor that has several. Memory stays bounded whatever an anchor has."""
+    (anchor null), and the first of each text of an anchor that has several, cut to what it may share with the others. Memory stays
+    bounded whatever an anchor has."""
     names = [c.split()[0] for c in SETTLED.split(", ")]
     carry: pa.Table | None = None
     going: tuple[int, int, int, int] | None = None  # anchor, context and first place before carry, if that anchor is known to have several
 
-    def decide(t: pa.Table) -> tuple[pa.RecordBatch, tuple[int, int, int, int]]:
-        name, context, own, place, first, last = (t.column(c).to_numpy() for c in ("anchor", "context", "doc_id", "place", "first", "last"))
+    def decide(t: pa.Table, whole: bool = True) -> tuple[pa.RecordBatch, tuple[int, int, int, int]]:
+        name, context, own, place, shape = (t.column(c).to_numpy() for c in ("anchor", "context", "doc_id", "place", "shape"))
+        first, last = _span(shape)
         begin = place - first
         new = np.append(True, name[1:] != name[:-1])
         head = new | np.append(True, context[1:] != context[:-1])
@@ -222,8 +269,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head[0] = False
                 same = before == 0
                 of_doc, of_begin = np.where(same, going[2], of_doc), np.where(same, going[3], of_begin)
-        take = ~head | several
-        columns = [own[take], begin[take], (place - last + LENGTH)[take], pa.array(name[take], mask=~head[take]), first[take], pa.array(of_doc[take], mask=head[take]), pa.array(of_begin[take], mask=head[take])]
+        k = np.flatnonzero(head & several)
+        more = np.full(len(k), not whole) if not (going and name[0] == going[0]) else (group[k] == 0) | (not whole)
+        first[k], last[k] = _shared(group[k], shape[k], more)
+        take = ~head
+        take[k] = first[k] >= last[k]
+        begin = place - first
+        columns = [own[take], begin[take], (place - last + LENGTH)[take], pa.array(name[take], mask=~head[take]), first[take].astype(np.int32), pa.array(of_doc[take], mask=head[take]), pa.array(of_begin[take], mask=head[take])]
         state = int(name[-1]), int(context[-1]), int(of_doc[-1]), int(of_begin[-1])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names), state
 
@@ -231,8 +283,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = pa.compute.is_null(b.column("anchor"))
         local = b.filter(done)
         if local.num_rows:
-            place, first, last, of_place = (local.column(c).to_numpy() for c in ("place", "first", "last", "of_place"))
-            yield pa.RecordBatch.from_arrays([local.column("doc_id"), pa.array(place - first), pa.array(place - last + LENGTH), pa.nulls(local.num_rows, pa.int64()), pa.array(first), local.column("of_doc"), pa.array(of_place - first)], names)
+            place, shape, of_place = (local.column(c).to_numpy() for c in ("place", "shape", "of_place"))
+            first, last = _span(shape)
+            yield pa.RecordBatch.from_arrays([local.column("doc_id"), pa.array(place - first), pa.array(place - last + LENGTH), pa.nulls(local.num_rows, pa.int64()), pa.array(first.astype(np.int32)), local.column("of_doc"), pa.array(of_place - first)], names)
         rest = pa.Table.from_batches([b.filter(pa.compute.invert(done))])
         carry = rest if carry is None else pa.concat_tables([carry, rest])
         if carry.num_rows > 50_000:
@@ -242,7 +295,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield decide(carry.slice(0, cut))[0]
                 carry, going = carry.slice(cut), None
             elif context[0] != context[-1] or going and going[0] == name[0]:
-                out, going = decide(carry)
+                out, going = decide(carry, whole=False)
                 yield out
                 carry = carry.slice(carry.num_rows)
             else:  # one context so far: its first row waits
@@ -295,12 +348,13 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Suffix arrays of many texts at once, by grouping. `text` holds positive symbols, each text ends in a 0 that it has
+    """Suffix arrays of many texts at once, by grouping. `text` holds symbols from 1 to 511, each text ends in a 0 that it has
     nowhere else, and begins at `starts`. Returns for each place of the layout the suffix (its index in `text`)."""
     total = len(text)
     sizes = np.diff(np.append(starts, total))
     base = np.repeat(starts, sizes)
-    sa = np.lexsort((text, base))
+    bits = U(total.bit_length())
+    sa = (np.sort(((base.astype(np.uint64) << U(9) | text.astype(np.uint64)) << bits) | np.arange(total, dtype=np.uint64)) & ((U(1) << bits) - U(1))).astype(np.int64)
     isa = np.empty(total, np.int64)
     isa[sa] = np.arange(total)
     new = np.append(True, (text[sa][1:] != text[sa][:-1]) | (base[sa][1:] != base[sa][:-1]))
@@ -315,6 +369,8 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
 
+    leaves = np.zeros(total, bool)
+
     # first phase: each text's groups from the largest down
     edge = starts + sizes
     live = np.arange(len(starts))
@@ -323,11 +379,13 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         members = sa[spread(g, width[g])]
         level = np.repeat(g, width[g])
         j = before[members]
+        climbing, at = np.arange(len(j)), j
         while True:
-            climb = (j >= 0) & (group[j] >= level)
-            if not climb.any():
+            on = np.flatnonzero((at >= 0) & (group[at] >= level[climbing]))
+            if not len(on):
                 break
-            j[climb] = before[j[climb]]
+            climbing, at = climbing[on], before[at[on]]
+            j[climbing] = at
         before[members] = j
         edge[live] = g
         j = j[j >= 0]
@@ -343,7 +401,9 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
             own = isa[moved]
             leaving = own < np.repeat(h + width[h] - n, n)
             staying = sa[slot]
-            out = staying[~np.isin(staying, moved, assume_unique=True)]
+            leaves[moved] = True
+            out = staying[~leaves[staying]]
+            leaves[moved] = False
             sa[own[leaving]] = out
             isa[out] = own[leaving]
             sa[slot] = moved
@@ -384,35 +444,38 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats among the texts of each key; rows are sorted by key, bytes, document and begin. Of the rows of one text the
-    first is sorted; the others repeat it whole."""
-    held: list[tuple] = []
-    size = 0
+    first is sorted; the others repeat it whole. Keys with about as many bytes are sorted side by side: the largest one's
+    size is the number of steps."""
+    group: list[tuple] = []  # of the last key
+    held: dict[int, list[tuple]] = {}  # by the size of a key, to a power of 4
+    filled: dict[int, int] = {}
     again: list[tuple[int, int, int]] = []
 
     def copies() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*again, strict=True) if again else ((), (), ()))], ["doc_id", "begin", "stop"])
 
-    def close() -> pa.RecordBatch:
-        parts, starts, at, last = [], [], 0, None
-        place = []
-        for name, _, _, x in held:
-            if name != last:
-                if parts:
-                    parts.append(b"\0\0")
-                    at += 1
-                starts.append(at)
-                last = name
-            else:
-                parts.append(b"\1\0")
-                at += 1
-            place.append(at)
-            parts.append((np.frombuffer(x, np.uint8).astype("<u2") + 2).tobytes())
-            at += len(x)
-        parts.append(b"\0\0")
-        text = np.frombuffer(b"".join(parts), "<u2").astype(np.int64)
-        sizes = np.array([len(x[3]) - LENGTH + 1 for x in held])
-        doc, begin, place = np.array([x[1] for x in held]), np.array([x[2] for x in held]), np.array(place)
-        sa = suffix_arrays(text, np.array(starts))
+    def ready() -> Iterator[pa.RecordBatch]:
+        """Put the last key to those of its size, and sort them if they are many."""
+        size = sum(len(x[3]) for x in group)
+        kind = size.bit_length() // 2
+        held.setdefault(kind, []).extend(group)
+        filled[kind] = filled.get(kind, 0) + size
+        group.clear()
+        if filled[kind] > TOGETHER:
+            yield close(held.pop(kind))
+            del filled[kind]
+
+    def close(held: list[tuple]) -> pa.RecordBatch:
+        lengths = np.array([len(x[3]) for x in held])
+        place = np.cumsum(lengths + 1) - lengths - 1
+        key = np.array([x[0] for x in held])
+        new = np.append(True, key[1:] != key[:-1])
+        symbols = np.frombuffer(b"\0".join([*(x[3] for x in held), b""]), np.uint8)
+        text = symbols.astype(np.int64) + 2
+        text[place + lengths] = np.where(np.append(new[1:], True), 0, 1)
+        sizes = lengths - LENGTH + 1
+        doc, begin = np.array([x[1] for x in held]), np.array([x[2] for x in held])
+        sa = suffix_arrays(text, place[new])
         # of each suffix that starts a whole string: its context and place there
         row = np.full(len(text), -1)
         spot = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -421,7 +484,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = row[sa]
         r = r[r >= 0]
         suffix = (place[owner] + spot)[r]
-        view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
+        view = np.lib.stride_tricks.sliding_window_view(symbols, LENGTH)
         same = np.zeros(len(r), bool)
         for k in range(1, len(r), 1 << 14):
             e = min(len(r), k + (1 << 14))
@@ -434,22 +497,20 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, s = d[order][repeat], s[order][repeat]
         return _joined(d, s)
 
-    last = None
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "begin", "bytes")), strict=True):
-            if held and row[0] == held[-1][0] and row[3] == held[-1][3]:
+            if group and row[0] != group[-1][0]:
+                yield from ready()
+            if group and row[3] == group[-1][3]:
                 again.append((row[1], row[2], row[2] + len(row[3])))
-                continue
-            if size > TOGETHER and row[0] != last:
-                yield close()
-                held, size = [], 0
-            held.append(row)
-            last = row[0]
-            size += len(row[3])
+            else:
+                group.append(row)
         yield copies()
         again.clear()
-    if held:
-        yield close()
+    if group:
+        yield from ready()
+    for rows in held.values():
+        yield close(rows)
 
 
 def _joined(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -468,12 +529,14 @@ TAKEN = "kind int, doc_id long, begin long, one long, two long, bytes binary"
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted stretches of each document."""
-    for b in slices(batches, "text", 2 * BLOCK):
-        for i, t, w in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
-            for k in range(0, len(w), 1 << 14):
-                part = w[k : k + (1 << 14)]
-                kind, begin, one, two = (pa.array([x[c] for x in part], t_) for c, t_ in (("kind", pa.int32()), ("begin", pa.int64()), ("one", pa.int64()), ("two", pa.int64())))
-                yield pa.RecordBatch.from_arrays([kind, pa.array([i] * len(part), pa.int64()), begin, one, two, pa.array([t[x["begin"] : x["stop"]] for x in part], pa.binary())], ["kind", "doc_id", "begin", "one", "two", "bytes"])
+    for b in slices(batches, "text", SLICE):
+        sizes = pa.compute.list_value_length(b.column("w")).to_numpy(zero_copy_only=False)
+        kind, begin, stop, one, two = b.column("w").flatten().flatten()
+        row, texts = np.repeat(np.arange(b.num_rows), sizes), b.column("text").to_pylist()
+        ids = b.column("doc_id").take(pa.array(row))
+        for k in range(0, len(row), 1 << 14):
+            held = [texts[i][x:y] for i, x, y in zip(row[k : k + (1 << 14)].tolist(), begin.slice(k, 1 << 14).to_pylist(), stop.slice(k, 1 << 14).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(k, 1 << 14) for c in (kind, ids, begin, one, two)), pa.array(held, pa.binary())], ["kind", "doc_id", "begin", "one", "two", "bytes"])
 
 
 def differing(taken: DataFrame) -> DataFrame:
@@ -538,7 +601,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", 2 * BLOCK):
+    for b in slices(batches, "text", SLICE):
         kept, removed, spans = [], [], []
         for t, gaps in zip(b.column("text").to_pylist(), b.column("gaps").to_pylist(), strict=True):
             out, at, runs = [], 0, 0
