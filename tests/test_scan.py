@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from tracewright.operators import retrieval
-from tracewright.plans.registry import QUERIES
+from tracewright.plans.registry import QUERIES, _judged
 from tracewright.sources.scratch import scratch_dir
 
 WORDS = ["café", "Cafe", "naïve", "attack", "log", "of", "the", *(f"w{i}" for i in range(40))]
@@ -58,7 +58,7 @@ def test_scan_of_nothing(spark):
     assert retrieval.scan_hits(frame(spark, 6, int), asked.where("term = 'missing'")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["q_rrf"])
+@pytest.mark.parametrize("name", ["q_rrf", "q_paired_change"])
 def test_two_rankings_build_no_index(spark, small, tmp_path, name):
     """Two indexes of all words take several times the input; the queries' words alone take a part of it."""
     for t in ("documents", "benchmark"):
@@ -69,3 +69,14 @@ def test_two_rankings_build_no_index(spark, small, tmp_path, name):
     left = {f for f in shared.rglob("*.parquet")} - before
     assert not [f for f in left if "/index-" in str(f)]
     assert sum(f.stat().st_size for f in left) < (tmp_path / "documents.parquet").stat().st_size
+
+
+def test_judging_shuffles_no_text(spark, small):
+    """Documents larger than a broadcast meet the few pairs that were found, where they are read."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        pairs = _judged(spark, small)
+        assert pairs.count()
+        assert "hashpartitioning(doc_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
